@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrail.llm.common import table
+from lumentrail.llm.common import bucket_of, table
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
+from lumentrail.llm.quality import fit_quality, score_quality
+from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def _fold(scored: DataFrame, modulus: int, remainder: int, least: float) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), modulus) == remainder
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the rows whose crc32 modulo 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(bucket_of(F.col("doc_id"), 5) != 0))
+    return _fold(score_quality(docs, model), 5, 0, 0.3)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +31,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), F.array("source"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the rows whose crc32 modulo 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(bucket_of(F.col("doc_id"), 3) != 1))
+    return _fold(score_toxicity(docs, model), 3, 1, 0.7)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines of 20 code points that three of them share."""
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -25,7 +46,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op5_mixing": op5_mixing,
+        "op7_toxicity": op7_toxicity,
         "op10_line_dedup": op10_line_dedup,
     }
 
