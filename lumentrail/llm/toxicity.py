@@ -178,7 +178,7 @@ def _counts(max_prefix: int):
     return counted
 
 
-def learn_terms(labelled: DataFrame, *, most: int = 400, least_docs: int = 5, precision: float = 0.9, max_prefix: int = 6) -> list[Term]:
+def learn_terms(labelled: DataFrame, *, most: int = 400, least_docs: int = 4, precision: float = 0.9, max_prefix: int = 6) -> list[Term]:
     """Words and stems that occur almost only in toxic rows of ``labelled``
     (columns ``text``, ``toxic``), with smoothed log odds as weights."""
     counts = labelled.mapInPandas(_counts(max_prefix), "kind string, term string, toxic int, n long, forms array<string>")
