@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumentrail.llm.common import bucket_of, table
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
+from lumentrail.llm.ngram_join import ngram_join
 from lumentrail.llm.quality import fit_quality, score_quality
 from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -38,6 +39,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(score_toxicity(docs, model), 3, 1, 0.7)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked at a Jaccard similarity of 0.8 on five-word shingles."""
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines of 20 code points that three of them share."""
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op5_mixing": op5_mixing,
         "op7_toxicity": op7_toxicity,
+        "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
     }
 
