@@ -41,3 +41,10 @@ def ascii_lower(text: str) -> str:
 def bucket_of(id_column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the fold of a row."""
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

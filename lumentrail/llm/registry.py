@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrail.llm.common import bucket_of, table
+from lumentrail.llm.common import bucket_of, table, tokenizer_file
+from lumentrail.llm.html_text import extract_text
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
 from lumentrail.llm.ngram_join import ngram_join
 from lumentrail.llm.quality import fit_quality, score_quality
+from lumentrail.llm.token_count import count_tokens, read_vocabulary
 from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -27,11 +29,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(score_quality(docs, model), 5, 0, 0.3)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1 over the sources, three uses at most."""
     return mix_sources(table(spark, sf_dir, "documents"), F.array("source"))
 
 
+def op6_token_count(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document's pieces under the pieces and scores of a public sentencepiece vocabulary."""
+    pieces, lowest = read_vocabulary(vocabulary or tokenizer_file("piece_bpe_32k.model"))
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, lowest).select("doc_id", "n_tokens")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the rows whose crc32 modulo 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -53,7 +66,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
+        "op4_html_text": op4_html_text,
         "op5_mixing": op5_mixing,
+        "op6_token_count": op6_token_count,
         "op7_toxicity": op7_toxicity,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
