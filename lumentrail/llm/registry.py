@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lumentrail.llm.html_text import extract_text
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
 from lumentrail.llm.ngram_join import ngram_join
+from lumentrail.llm.packing import pack
 from lumentrail.llm.quality import fit_quality, score_quality
 from lumentrail.llm.token_count import count_tokens, read_vocabulary
 from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
@@ -52,6 +54,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(score_toxicity(docs, model), 3, 1, 0.7)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids of a public byte-level vocabulary."""
+    return pack_public(table(spark, sf_dir, "documents"))
+
+
+def pack_public(docs: DataFrame) -> DataFrame:
+    """``docs`` packed under the public vocabulary of 50k entries."""
+    import public_tokenizers
+
+    ranks = Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes()
+    return pack(docs, ranks, public_tokenizers.PATTERN)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents linked at a Jaccard similarity of 0.8 on five-word shingles."""
     return ngram_join(table(spark, sf_dir, "documents"))
@@ -70,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_token_count": op6_token_count,
         "op7_toxicity": op7_toxicity,
+        "op8_packing": op8_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
     }
