@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentrail.llm.ann import ann_search
 from lumentrail.llm.common import bucket_of, table, tokenizer_file
 from lumentrail.llm.html_text import extract_text
 from lumentrail.llm.line_dedup import line_dedup
@@ -17,6 +18,18 @@ from lumentrail.llm.packing import pack
 from lumentrail.llm.quality import fit_quality, score_quality
 from lumentrail.llm.token_count import count_tokens, read_vocabulary
 from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
+from lumentrail.llm.voronoi_join import voronoi_top_k
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten near neighbours of every hundredth vector."""
+    return ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest integer inner products of every fiftieth vector."""
+    whole = F.transform("embedding", lambda x: F.floor(F.when(F.abs(x) < float("inf"), x.cast("double")) * 256).cast("double"))
+    return voronoi_top_k(table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
 
 
 def _fold(scored: DataFrame, modulus: int, remainder: int, least: float) -> DataFrame:
@@ -80,6 +93,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
+        "op2_voronoi_top_k": op2_voronoi_top_k,
         "op3_quality": op3_quality,
         "op4_html_text": op4_html_text,
         "op5_mixing": op5_mixing,
@@ -91,6 +106,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM whole q JOIN whole x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
@@ -115,4 +144,4 @@ GROUP BY k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op2_voronoi_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL}
