@@ -1,6 +1,684 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the catalog views, each with its SQL twin where SQL can express it.
+
+Doubles that depend on the order of a sum are rounded to six places on both
+sides; every ordering ends in a unique key.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumentrail.functions import geo, text, time, vector
+from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
+from lumentrail.plans.parser import parse
+from lumentrail.sources import tables
+from lumentrail.sources.fixtures import view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+NOW = datetime(2001, 8, 2)
+NOW_SQL = "TIMESTAMP '2001-08-02 00:00:00'"
+STREAM_NOW = datetime(2024, 1, 31)
+STREAM_NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def stream_now():
+    return F.lit(STREAM_NOW).cast("timestamp_ntz")
+
+
+def query(*names: str, sql: str | None = None):
+    """Registers a function of the named views; ``sql`` is its twin over the same views."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in names])
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(sql, *names)
+        return f
+
+    return register
+
+
+# Search and ranking.
+
+
+def _query_vector(vectors: DataFrame) -> DataFrame:
+    """One row: the vector of item 7."""
+    return F.broadcast(vectors.where("media_id = 7").limit(1).select(F.col("vector").alias("__q")))
+
+
+def _semantic(vectors: DataFrame) -> DataFrame:
+    """Each item's best similarity to item 7."""
+    both = vectors.crossJoin(_query_vector(vectors))  # one row
+    return both.groupBy("media_id").agg(F.max(vector.cosine(F.col("vector"), F.col("__q"))).alias("semantic"))
+
+
+COSINE = "list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[])"
+SEMANTIC_SQL = f"sem AS (SELECT v.media_id, max({COSINE}) AS semantic FROM vectors v, vectors q WHERE q.media_id = 7 GROUP BY v.media_id)"
+TEXT_SQL = "txt AS (SELECT media_id, max((CAST(contains(lower(text), 'the') AS DOUBLE) + CAST(contains(lower(text), 'idiot') AS DOUBLE)) / 2) AS text_score FROM texts WHERE contains(lower(text), 'the') OR contains(lower(text), 'idiot') GROUP BY media_id)"
+HYBRID_SQL = "hyb AS (SELECT media_id, coalesce(semantic, 0) AS semantic, coalesce(text_score, 0) AS text_score, 0.7 * coalesce(semantic, 0) + 0.3 * coalesce(text_score, 0) AS score FROM sem FULL JOIN txt USING (media_id) WHERE media_id IN (SELECT media_id FROM media))"
+RANK_SQL = f"""greatest(0, least(1, 0.5 * h.semantic + 0.15 * CAST(m.media_id IN (SELECT media_id FROM favorites) AS DOUBLE)
+  + 0.1 * (CASE WHEN date_diff('day', m.created, {NOW_SQL}) <= 0 THEN 1.0 ELSE exp(-date_diff('day', m.created, {NOW_SQL}) / 30.0) END)
+  + 0.08 * coalesce(m.quality, 0.5) + 0.07 * least(1.0, ln(1 + m.views) / ln(101)) + 0.05 * 0.5))"""
+
+
+def _details(media: DataFrame, favorites: DataFrame) -> DataFrame:
+    marked = favorites.select("media_id", F.lit(True).alias("favorite"))
+    return media.select("media_id", "created", "quality", "views", "album").join(marked, "media_id", "left").withColumn("favorite", F.coalesce("favorite", F.lit(False))).withColumn("object_score", F.lit(0.0))
+
+
+@query(
+    "vectors", "texts", "media", "favorites",
+    sql=f"""WITH {SEMANTIC_SQL}, {TEXT_SQL}, {HYBRID_SQL},
+    rough AS (SELECT * FROM hyb ORDER BY score DESC, media_id LIMIT 60),
+    done AS (SELECT h.media_id, h.score, {RANK_SQL} AS rank_score FROM rough h JOIN media m USING (media_id))
+    SELECT media_id, round(score, 6) AS score, round(rank_score, 6) AS rank_score FROM done ORDER BY done.rank_score DESC, media_id LIMIT 20""",
+)
+def hybrid_search(vectors, texts, media, favorites):
+    scores = retrieval.hybrid(_semantic(vectors), retrieval.text_scores(texts, "the idiot"), media)
+    best = retrieval.two_phase(scores, _details(media, favorites), 20, now=now())
+    return best.select("media_id", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("vectors", sql=f"SELECT v.media_id, round(max({COSINE}), 6) AS score FROM vectors v, vectors q WHERE q.media_id = 7 AND v.media_id <> 7 GROUP BY v.media_id ORDER BY max({COSINE}) DESC, v.media_id LIMIT 15")
+def similar_items(vectors):
+    return retrieval.similar_to(vectors, 7, 15).select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("texts", "media", sql=f"WITH {TEXT_SQL} SELECT media_id, round(0.3 * text_score, 6) AS score FROM txt WHERE media_id IN (SELECT media_id FROM media) ORDER BY text_score DESC, media_id LIMIT 25")
+def text_only_search(texts, media):
+    return retrieval.top(retrieval.hybrid(None, retrieval.text_scores(texts, "the idiot"), media), 25).select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("vectors", "media", "faces", sql=f"WITH {SEMANTIC_SQL} SELECT m.media_id, round(coalesce(s.semantic, 0.5), 6) AS score FROM media m LEFT JOIN sem s USING (media_id) WHERE m.media_id IN (SELECT media_id FROM faces WHERE person_id = 3)")
+def person_and_semantic_search(vectors, media, faces):
+    return retrieval.person_search(media, faces, 3, _semantic(vectors)).select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("media", "faces", sql="SELECT media_id, CAST(1 AS DOUBLE) AS score FROM media WHERE media_id IN (SELECT media_id FROM faces WHERE person_id = 3)")
+def person_search(media, faces):
+    return retrieval.person_search(media, faces, 3)
+
+
+@query("vectors", "media", sql=f"WITH {SEMANTIC_SQL} SELECT m.media_id, round(0.15 + 0.7 * coalesce(s.semantic, 0), 6) AS score FROM media m LEFT JOIN sem s USING (media_id) WHERE lat IS NOT NULL AND lng IS NOT NULL")
+def location_search(vectors, media):
+    return retrieval.location_search(media, _semantic(vectors)).select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("tags", "media", sql="SELECT media_id, max(confidence) AS score FROM tags WHERE label IN ('AF', 'RF') AND confidence >= 0.3 AND media_id IN (SELECT media_id FROM media) GROUP BY media_id")
+def object_search(tags, media):
+    return filters.any_label(tags, ["AF", "RF"]).join(media.select("media_id"), "media_id", "left_semi").select("media_id", F.col("confidence").alias("score"))
+
+
+@query(
+    "vectors", "texts", "media",
+    sql=f"WITH {SEMANTIC_SQL}, {TEXT_SQL}, {HYBRID_SQL} SELECT media_id, array_to_string(list_filter([CASE WHEN text_score > 0 THEN 'ocr' END, CASE WHEN semantic >= 0.25 THEN 'semantic' END], lambda x: x IS NOT NULL), ',') AS matched FROM hyb",
+)
+def match_signals(vectors, texts, media):
+    scores = retrieval.hybrid(_semantic(vectors), retrieval.text_scores(texts, "the idiot"), media)
+    rows = retrieval.signals(scores.withColumn("object_score", F.lit(0.0)).withColumn("region", F.lit(None).cast("string")))
+    return rows.select("media_id", F.array_join("matched", ",").alias("matched"))
+
+
+@query("turns", sql="SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1 ORDER BY times DESC, query LIMIT 100")
+def query_log(turns):
+    rows = turns.select(text.normalized_query(F.substring("text", 1, 12)).alias("query"), F.lit(STREAM_NOW).alias("at"))
+    empty = rows.limit(0).select("query", F.lit(0).cast("long").alias("times"), F.col("at").alias("last"))
+    return retrieval.logged_queries(empty, rows).select("query", "times")
+
+
+@query("turns", sql="WITH h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1) SELECT query, times FROM h WHERE starts_with(query, 'the') ORDER BY times DESC, query LIMIT 5")
+def query_suggestions(turns):
+    h = turns.groupBy(text.normalized_query(F.substring("text", 1, 12)).alias("query")).agg(F.count("*").alias("times")).withColumn("last", F.lit(STREAM_NOW))
+    return retrieval.suggestions(h, "the").select("query", "times")
+
+
+# Filters.
+
+FROM_SQL, TO_SQL = "TIMESTAMP '1997-01-01 00:00:00'", "TIMESTAMP '2000-06-30 23:59:59'"
+SPEC = filters.MediaFilter(date_from=datetime(1997, 1, 1), date_to=datetime(2000, 6, 30, 23, 59, 59), kind="photo", min_quality=0.3, max_blur=0.6, has_location=True)
+
+
+@query("media", sql=f"SELECT media_id FROM media WHERE created >= {FROM_SQL} AND created <= {TO_SQL} AND kind = 'photo' AND quality >= 0.3 AND blur <= 0.6 AND lat IS NOT NULL AND lng IS NOT NULL")
+def strict_filter(media):
+    return filters.structured(media, SPEC).select("media_id")
+
+
+@query("media", sql=f"SELECT media_id FROM media WHERE (created IS NULL OR created >= {FROM_SQL}) AND (created IS NULL OR created <= {TO_SQL}) AND kind = 'photo' AND coalesce(quality, 0) >= 0.3 AND coalesce(blur, 1) <= 0.6 AND lat IS NOT NULL AND lng IS NOT NULL")
+def lenient_filter(media):
+    return filters.structured(media, SPEC, nulls="lenient").select("media_id")
+
+
+@query(
+    "media", "tags", "faces", "favorites",
+    sql="SELECT media_id FROM media WHERE kind = 'photo' AND media_id IN (SELECT media_id FROM tags WHERE lower(label) = 'nf' OR lower(label) = 'no') AND media_id IN (SELECT media_id FROM tags WHERE lower(label) = 'no') AND media_id NOT IN (SELECT media_id FROM tags WHERE label = 'RF') AND media_id IN (SELECT media_id FROM favorites)",
+)
+def full_filter(media, tags, faces, favorites):
+    return filters.structured(media, filters.MediaFilter(kind="photo", labels=("NO",), exclude_labels=("RF",), favorites=True), tags=tags, faces=faces, favorites=favorites).select("media_id")
+
+
+@query("tags", sql="SELECT media_id FROM tags WHERE label IN ('AF', 'NO') AND confidence >= 0.3 GROUP BY media_id HAVING count(DISTINCT label) = 2")
+def all_labels(tags):
+    return filters.all_labels(tags, ["AF", "NO"])
+
+
+@query("media", "tags", sql="SELECT media_id FROM media WHERE media_id NOT IN (SELECT media_id FROM tags WHERE label IN ('AF'))")
+def excluded_labels(media, tags):
+    return filters.without_labels(media, tags, ["AF"]).select("media_id")
+
+
+@query("media", "tags", sql="SELECT media_id FROM media")
+def excluded_by_nobody(media, tags):
+    """A label that nothing carries excludes nothing."""
+    return filters.without_labels(media, tags, ["no such label"]).select("media_id")
+
+
+@query("media", "trash", "hidden", sql="SELECT media_id, created FROM media WHERE media_id NOT IN (SELECT media_id FROM trash) AND media_id NOT IN (SELECT media_id FROM hidden) ORDER BY created DESC, media_id DESC LIMIT 80")
+def timeline_page(media, trash, hidden):
+    return filters.timeline_page(filters.visible(media, trash, hidden)).select("media_id", "created")
+
+
+@query("media", sql="SELECT media_id, created FROM media WHERE created < TIMESTAMP '1999-01-01 00:00:00' OR (created = TIMESTAMP '1999-01-01 00:00:00' AND media_id < 5000) ORDER BY created DESC, media_id DESC LIMIT 80")
+def timeline_next_page(media):
+    return filters.timeline_page(media, before=(datetime(1999, 1, 1), 5000)).select("media_id", "created")
+
+
+@query(
+    "media",
+    sql="WITH near AS (SELECT media_id, abs(lat - 10) + abs(lng - 20) AS distance FROM media WHERE lat BETWEEN -10 AND 30 AND lng BETWEEN 0 AND 40) SELECT media_id, round(distance, 6) AS distance, round(CASE WHEN (SELECT max(distance) FROM near) > 0 THEN 1 - distance / (2 * (SELECT max(distance) FROM near)) ELSE 1 END, 6) AS score FROM near",
+)
+def near_position(media):
+    return filters.in_box(media, 10.0, 20.0, 20.0).select("media_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000 AND video_id < 500")
+def segments_in_range(segments):
+    return filters.overlapping(segments.where("video_id < 500"), 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
+
+
+@query("media", sql="SELECT media_id FROM media WHERE stages & 5 = 0")
+def missing_stages(media):
+    return filters.lacks_stage(media, 5).select("media_id")
+
+
+@query("trash", sql=f"SELECT media_id, greatest(0, least(30, 30 - date_diff('day', deleted, {NOW_SQL}))) AS days_left FROM trash WHERE deleted > {NOW_SQL} - INTERVAL 200 DAY")
+def trash_days_left(trash):
+    recent = trash.where(F.col("deleted") > now() - F.expr("INTERVAL 200 DAYS"))
+    return recent.select("media_id", time.days_left(F.col("deleted"), now()).cast("long").alias("days_left"))
+
+
+@query("trash", sql=f"SELECT media_id FROM trash WHERE deleted <= {NOW_SQL} - INTERVAL 30 DAY")
+def expired_trash(trash):
+    return filters.expired(trash, now()).select("media_id")
+
+
+@query("texts", sql="SELECT media_id FROM texts WHERE contains(lower(text), '%')")
+def literal_wildcards(texts):
+    """A percent sign is itself and matches nothing else."""
+    return texts.where(text.contains_folded(F.col("text"), "%")).select("media_id")
+
+
+@query("people", sql="SELECT person_id, name FROM people WHERE lower(name) = lower('SUPPLIER#000000007') AND status = 'active'")
+def person_by_name(people):
+    return people.where((F.lower("name") == "supplier#000000007") & (F.col("status") == "active")).select("person_id", "name")
+
+
+@query("people", sql="SELECT person_id, display_name IS NULL AS unknown FROM people")
+def named_people(people):
+    return people.select("person_id", F.col("display_name").isNull().alias("unknown"))
+
+
+# Counts.
+
+
+@query(
+    "media", "tags", "faces", "favorites",
+    sql="""SELECT (SELECT count(*) FROM media) AS n_media, (SELECT count(*) FROM media WHERE kind = 'photo') AS n_photos, (SELECT count(*) FROM media WHERE kind = 'video') AS n_videos,
+    (SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) FROM media) AS bytes, (SELECT count(lat) FROM media) AS n_located, (SELECT count(*) FROM media WHERE blur >= 0.6) AS n_blurry, (SELECT count(*) FROM media WHERE quality >= 0.7) AS n_good,
+    (SELECT count(DISTINCT label) FROM tags) AS n_labels, (SELECT count(DISTINCT media_id) FROM tags) AS n_tagged, (SELECT count(DISTINCT person_id) FROM faces) AS n_people, (SELECT count(*) FROM favorites) AS n_favorites""",
+)
+def overview(media, tags, faces, favorites):
+    return stats.overview(media, tags, faces, favorites)
+
+
+@query("tags", sql="SELECT label, count(*) AS n FROM tags GROUP BY label ORDER BY n DESC, label LIMIT 4")
+def top_labels(tags):
+    return stats.top_values(tags, "label", 4)
+
+
+@query("media", sql="SELECT strftime(created, '%Y-%m') AS month, count(*) AS n FROM media GROUP BY 1")
+def count_by_month(media):
+    return stats.by_month(media)
+
+
+@query("media", sql="SELECT CAST(year(created) AS INTEGER) AS year, count(*) AS n FROM media GROUP BY 1")
+def count_by_year(media):
+    return stats.by_year(media)
+
+
+@query("media", sql="SELECT round(lat, 2) AS lat, round(lng, 2) AS lng, count(*) AS n FROM media WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY 1, 2")
+def count_by_cell(media):
+    return stats.by_cell(media)
+
+
+@query("jobs", sql="SELECT d.status, coalesce(c.n, 0) AS n FROM (VALUES ('pending'), ('running'), ('failed'), ('completed'), ('cancelled'), ('paused')) d(status) LEFT JOIN (SELECT status, count(*) AS n FROM jobs GROUP BY status) c USING (status)")
+def jobs_by_status(jobs):
+    return stats.by_status(jobs, ["pending", "running", "failed", "completed", "cancelled", "paused"])
+
+
+@query(
+    "jobs",
+    sql=f"WITH c AS (SELECT count(*) FILTER (WHERE status = 'failed' AND created >= {STREAM_NOW_SQL} - INTERVAL 24 HOUR) AS n_failed, count(*) FILTER (WHERE status = 'running' AND started < {STREAM_NOW_SQL} - INTERVAL 15 MINUTE) AS n_stale FROM jobs) SELECT n_failed, n_stale, CASE WHEN n_failed > 50 THEN 'critical' WHEN n_failed > 10 OR n_stale > 0 THEN 'degraded' ELSE 'healthy' END AS class FROM c",
+)
+def job_health(jobs):
+    return stats.health(jobs, stream_now())
+
+
+@query("jobs", sql="SELECT job_id, priority, created FROM jobs WHERE status = 'pending' ORDER BY priority DESC, created, job_id LIMIT 50")
+def job_queue(jobs):
+    return stats.queue(jobs, 50).select("job_id", "priority", "created")
+
+
+@query("jobs", sql=f"SELECT job_id, CASE WHEN status = 'running' AND started < {STREAM_NOW_SQL} - INTERVAL 10 MINUTE THEN 'pending' ELSE status END AS status FROM jobs")
+def jobs_unstuck(jobs):
+    return stats.unstuck(jobs, stream_now()).select("job_id", "status")
+
+
+@query("jobs", sql="SELECT job_id, CASE WHEN retries < 3 THEN 'retry' ELSE 'give_up' END AS action, CASE WHEN retries < 3 THEN greatest(1, least(30, 2 * (retries + 1))) END AS wait_s FROM jobs WHERE status = 'failed'")
+def job_retries(jobs):
+    return stats.retry_plan(jobs)
+
+
+@query("timeline", sql="SELECT kind, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM timeline GROUP BY kind")
+def timing_stats(timeline):
+    return stats.timings(timeline, "kind", "value").select("kind", "n", "least", "most", F.round("mean", 6).alias("mean"), F.round("total", 4).alias("total"))
+
+
+@query("faces", sql="SELECT person_id, count(*) AS n FROM faces GROUP BY person_id ORDER BY n DESC, person_id LIMIT 30")
+def faces_per_person(faces):
+    return stats.top_values(faces, "person_id", 30)
+
+
+@query("media", sql="SELECT album, round(avg(q), 6) AS quality FROM (SELECT album, coalesce(quality, 0.5) AS q, row_number() OVER (PARTITION BY album ORDER BY coalesce(quality, 0.5) DESC) AS pos, count(*) OVER (PARTITION BY album) AS n FROM media) WHERE pos <= ceil(n * CAST(0.7 AS DOUBLE)) GROUP BY album")
+def best_share_quality(media):
+    return media.groupBy("album").agg(F.round(stats.best_mean(F.collect_list(F.coalesce("quality", F.lit(0.5)))), 6).alias("quality"))
+
+
+@query("timeline", sql="SELECT kind, media_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC) AS pos FROM timeline) WHERE pos = 1")
+def latest_by_kind(timeline):
+    return stats.latest(timeline, ["kind"], "ts").select("kind", "media_id", "ts")
+
+
+# Timeline.
+
+GAP_SQL = "lag(ts) OVER (PARTITION BY owner ORDER BY ts, media_id)"
+
+
+def _sessions_sql(test: str) -> str:
+    return f"WITH g AS (SELECT *, coalesce(CAST({test} AS INTEGER), 0) AS fresh FROM (SELECT *, date_diff('microsecond', {GAP_SQL}, ts) AS gap FROM timeline)), s AS (SELECT owner, ts, CAST(sum(fresh) OVER (PARTITION BY owner ORDER BY ts, media_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g), b AS (SELECT owner, session, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY owner, session)"
+
+
+@query("timeline", sql=_sessions_sql("gap > 14400000000") + ' SELECT owner, session, start, "end", n FROM b')
+def sessions(timeline_):
+    return timeline.session_bounds(timeline.sessions(timeline_)).select("owner", "session", "start", "end", "n")
+
+
+@query("timeline", sql=_sessions_sql("gap >= 90000000000") + ' SELECT owner, session, start, "end", n FROM b')
+def adaptive_sessions(timeline_):
+    return timeline.session_bounds(timeline.adaptive_sessions(timeline_)).select("owner", "session", "start", "end", "n")
+
+
+@query("timeline", sql=_sessions_sql("gap > 3600000000") + """, m AS (SELECT *, coalesce(CAST(date_diff('microsecond', lag("end") OVER (PARTITION BY owner ORDER BY start, session), start) > 21600000000 AS INTEGER), 0) AS fresh FROM b),
+k AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY owner ORDER BY start, session ROWS UNBOUNDED PRECEDING) AS BIGINT) AS merged FROM m) SELECT owner, merged, min(start) AS start, max("end") AS "end", CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY owner, merged""")
+def merged_sessions(timeline_):
+    return timeline.merged_sessions(timeline.session_bounds(timeline.sessions(timeline_, gap_hours=1)), gap_hours=6)
+
+
+@query("timeline", sql=_sessions_sql("gap >= 90000000000").replace("SELECT owner, ts,", "SELECT owner, ts, media_id,") + " SELECT media_id, CAST(floor((row_number() OVER (PARTITION BY owner, session ORDER BY ts, media_id) - 1) / 20) AS INTEGER) AS chunk FROM s")
+def session_chunks(timeline_):
+    return timeline.split_oversize(timeline.adaptive_sessions(timeline_), most=20).select("media_id", "chunk")
+
+
+@query("timeline", sql=f"SELECT * FROM (SELECT owner, {GAP_SQL} AS start, ts AS \"end\", date_diff('microsecond', {GAP_SQL}, ts) AS micros FROM timeline) WHERE micros >= 43200000000")
+def long_gaps(timeline_):
+    return timeline.gaps(timeline_, least_hours=12)
+
+
+@query("timeline", sql="SELECT media_id, n_near FROM (SELECT media_id, count(*) OVER (PARTITION BY owner ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND 7199999999 FOLLOWING) AS n_near FROM timeline) WHERE n_near >= 3")
+def hotspots(timeline_):
+    return timeline.hotspots(timeline_, minutes=120).select("media_id", "n_near")
+
+
+@query("timeline", sql="SELECT media_id, n_recent, n_recent <= 2 AS allowed FROM (SELECT media_id, count(*) OVER (PARTITION BY owner ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_recent FROM timeline)")
+def rate_limits(timeline_):
+    return timeline.rate_limited(timeline_, seconds=3600, most=2).select("media_id", "n_recent", "allowed")
+
+
+EVENTS_SQL = """WITH g AS (SELECT *, lag(created) OVER w AS c0, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM media WINDOW w AS (PARTITION BY album ORDER BY created, media_id)),
+f AS (SELECT *, CASE WHEN coalesce(date_diff('hour', c0, created) >= 4, false) OR coalesce(abs(lat - lat0) > 90 OR abs(lng - lng0) > 90, false) THEN 1 ELSE 0 END AS fresh FROM g),
+e AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY created, media_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM f),
+n AS (SELECT *, count(*) OVER (PARTITION BY album, event) AS n_event FROM e), k AS (SELECT * FROM n WHERE n_event >= 2)"""
+
+
+def _events(media: DataFrame) -> DataFrame:
+    return timeline.events(media, owner=["album"], degrees=90.0)
+
+
+@query(
+    "media",
+    sql=EVENTS_SQL + " SELECT album, event, min(created) AS start, max(created) AS \"end\", count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, round(greatest(0.3, least(1.0, 0.4 * least(count(*) / 10.0, 1.0) + 0.6 * least(date_diff('hour', min(created), max(created)) / 8.0, 1.0))), 6) AS confidence FROM k GROUP BY album, event",
+)
+def events(media):
+    found = timeline.event_summary(_events(media), owner=["album"])
+    return found.select("album", "event", "start", "end", "n", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("media", sql=EVENTS_SQL + " SELECT album, event, count(*) AS n, round(coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0), 6) AS spread FROM k GROUP BY album, event HAVING count(*) >= 3 AND coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0) >= 0.25")
+def trips(media):
+    return timeline.trips(_events(media), owner=["album"], least=3).select("album", "event", "n", F.round("spread", 6).alias("spread"))
+
+
+@query(
+    "media",
+    sql=EVENTS_SQL + """, t AS (SELECT album, event, min(created) AS start, max(created) AS "end", count(*) AS n FROM k GROUP BY album, event HAVING count(*) >= 3 AND coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0) >= 0.25),
+    u AS (SELECT *, coalesce(CAST(date_diff('microsecond', max("end") OVER (PARTITION BY album ORDER BY start, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start) > 172800000000 AS INTEGER), 0) AS fresh FROM t),
+    v AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY start, event ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trip FROM u) SELECT album, trip, min(start) AS start, max("end") AS "end", CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY album, trip""",
+)
+def merged_trips(media):
+    return timeline.merged_trips(timeline.trips(_events(media), owner=["album"], least=3), owner=["album"])
+
+
+@query(
+    "timeline",
+    sql="WITH s AS (SELECT owner AS event, min(ts) AS start FROM timeline GROUP BY owner) SELECT a.event AS a, b.event AS b, date_diff('microsecond', a.start, b.start) AS micros FROM s a JOIN s b ON (a.start < b.start OR (a.start = b.start AND a.event < b.event)) AND date_diff('microsecond', a.start, b.start) < 90000000000",
+)
+def events_close_in_time(timeline_):
+    return timeline.band_pairs(timeline_.groupBy(F.col("owner").alias("event")).agg(F.min("ts").alias("start")))
+
+
+@query("media", sql=f"SELECT media_id, CASE WHEN month(created) IN (3, 4, 5) THEN 'Spring' WHEN month(created) IN (6, 7, 8) THEN 'Summer' WHEN month(created) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END AS season, CASE WHEN date_diff('day', CAST(created AS DATE), CAST({NOW_SQL} AS DATE)) = 0 THEN 'Today' WHEN date_diff('day', CAST(created AS DATE), CAST({NOW_SQL} AS DATE)) = 1 THEN 'Yesterday' WHEN year(created) = 2001 THEN strftime(created, '%B %-d') ELSE strftime(created, '%B %-d, %Y') END AS label FROM media")
+def timeline_labels(media):
+    return media.select("media_id", time.season(F.col("created")).alias("season"), time.timeline_label(F.col("created"), now()).alias("label"))
+
+
+@query("timeline", sql="SELECT media_id, CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN 'Morning' WHEN hour(ts) >= 12 AND hour(ts) < 17 THEN 'Afternoon' WHEN hour(ts) >= 17 AND hour(ts) < 21 THEN 'Evening' ELSE 'Late Night' END AS part FROM timeline")
+def day_parts(timeline_):
+    return timeline_.select("media_id", time.day_part(F.col("ts")).alias("part"))
+
+
+# Joins.
+
+
+@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.media_id % 50 = 1")
+def distances(media):
+    a = media.where("lat is not null and media_id % 50 = 1").select(F.col("media_id").alias("a"), "person_id", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
+    b = media.where("lat is not null").select(F.col("media_id").alias("b"), "person_id", "lat", "lng")
+    return a.join(b, "person_id").where("a < b").select("a", "b", F.round(geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")), 4).alias("km"))
+
+
+@query("faces", sql="WITH f AS (SELECT DISTINCT media_id, person_id FROM faces) SELECT a.person_id AS person_id, b.person_id AS other, count(*) AS n FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id < b.person_id GROUP BY 1, 2")
+def people_together(faces):
+    e = graph.together(faces)
+    return e.select(F.col("source").cast("long").alias("person_id"), F.col("target").cast("long").alias("other"), F.col("weight").cast("long").alias("n"))
+
+
+@query("media", "states", sql="SELECT m.media_id FROM media m LEFT JOIN states s USING (media_id) WHERE s.is_good IS NULL OR s.is_good <> 1")
+def needs_analysis(media, states):
+    return stats.outdated(media, states.select("media_id", F.col("is_good").cast("string").alias("version")), "1")
+
+
+@query("media", "tags", sql="SELECT media_id, CASE WHEN t THEN 'orphaned' ELSE 'missing' END AS state FROM (SELECT media_id, true AS t FROM media WHERE media_id NOT IN (SELECT media_id FROM tags) UNION ALL SELECT DISTINCT media_id, false FROM tags WHERE media_id NOT IN (SELECT media_id FROM media))")
+def reconciled(media, tags):
+    return tables.reconcile(media, tags)
+
+
+@query("media", sql="SELECT media_id, CASE WHEN i IS NULL THEN 'new' WHEN s IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT media_id, CASE WHEN media_id % 3 = 0 THEN created + INTERVAL 1 HOUR ELSE created END AS s FROM media WHERE media_id % 10 <> 1) FULL JOIN (SELECT media_id, created AS i FROM media WHERE media_id % 10 <> 2) USING (media_id) WHERE i IS NULL OR s IS NULL OR s > i")
+def scan_changes(media):
+    source = media.where("media_id % 10 <> 1").select("media_id", F.when(F.col("media_id") % 3 == 0, F.col("created") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("created")).alias("modified"))
+    return tables.scan_diff(source, media.where("media_id % 10 <> 2").select("media_id", F.col("created").alias("modified")))
+
+
+@query("media", sql="SELECT media_id, CASE WHEN media_id % 2 = 0 THEN coalesce(quality, 0) + 1 ELSE quality END AS quality FROM media")
+def upserted(media):
+    stored = media.select("media_id", "quality")
+    return tables.upsert(stored, stored.where("media_id % 2 = 0").withColumn("quality", F.coalesce("quality", F.lit(0.0)) + 1), ["media_id"])
+
+
+@query("media", sql="SELECT media_id, quality FROM media WHERE media_id % 2 = 0 UNION ALL SELECT media_id, CAST(0 AS DOUBLE) FROM media WHERE media_id % 2 = 1")
+def insert_ignored(media):
+    stored = media.where("media_id % 2 = 0").select("media_id", "quality")
+    return tables.insert_ignore(stored, media.select("media_id", F.lit(0.0).alias("quality")), ["media_id"], [F.col("quality")])
+
+
+@query("tags", "trash", sql="SELECT media_id, label, confidence FROM tags WHERE media_id NOT IN (SELECT media_id FROM trash)")
+def cascaded(tags, trash):
+    return tables.delete_cascade({"tags": tags}, trash)["tags"].select("media_id", "label", "confidence")
+
+
+# Duplicates.
+
+
+@query("texts", sql="SELECT sha256(text) AS hash, count(*) AS n, min(media_id) AS first FROM texts GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(texts):
+    return dedup.exact_groups(texts.select("media_id", F.sha2("text", 256).alias("content_hash"))).select("hash", "n", F.col("members")[0].alias("first"))
+
+
+HASH_SQL = "h AS (SELECT media_id, CAST(media_id * 2654435761 % 4294967296 AS BIGINT) & 4278255360 AS hi, CAST(media_id * 40503 % 4294967296 AS BIGINT) & 16711935 AS lo FROM vectors)"
+
+
+def _hashes(vectors: DataFrame) -> DataFrame:
+    return vectors.selectExpr("media_id", "(media_id * 2654435761 % 4294967296) & 4278255360 AS hi", "(media_id * 40503 % 4294967296) & 16711935 AS lo")
+
+
+@query("vectors", sql=f"WITH {HASH_SQL} SELECT a.media_id AS a, b.media_id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM h a JOIN h b ON a.media_id < b.media_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 5")
+def near_duplicate_pairs(vectors):
+    return dedup.hamming_pairs(_hashes(vectors), within=5)
+
+
+@query(
+    "vectors",
+    sql=f"WITH RECURSIVE {HASH_SQL}, e AS (SELECT a.media_id AS a, b.media_id AS b FROM h a JOIN h b ON a.media_id <> b.media_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS comp FROM r GROUP BY node",
+)
+def near_duplicate_groups(vectors):
+    return dedup.near_groups(_hashes(vectors), within=3)
+
+
+@query("texts", sql="WITH g AS (SELECT sha256(text) AS h, media_id, length(text) % 10 / CAST(10 AS DOUBLE) AS q, source FROM texts) SELECT h AS comp, max_by(media_id, [CAST(media_id % 7 AS DOUBLE), -CAST(media_id AS DOUBLE)]) AS best FROM g GROUP BY h HAVING count(*) > 1")
+def best_of_duplicates(texts):
+    hashed = texts.select("media_id", F.sha2("text", 256).alias("comp"))
+    several = hashed.groupBy("comp").count().where("count > 1").select("comp")
+    groups = hashed.join(several, "comp", "left_semi").select("comp", F.col("media_id").alias("node"))
+    return dedup.keep_best(texts.select("media_id", (F.col("media_id") % 7).cast("double").alias("quality")), groups)
+
+
+# Graph.
+
+
+def _graph(media, faces, people, tags):
+    return graph.build(media, faces, people, tags)
+
+
+@query(
+    "media", "faces", "people", "tags",
+    sql="""WITH p AS (SELECT media_id, printf('%.2f', round(lat, 2)) || ',' || printf('%.2f', round(lng, 2)) AS place FROM media WHERE lat IS NOT NULL AND lng IS NOT NULL), f AS (SELECT DISTINCT media_id, person_id FROM faces)
+    SELECT 'entity' AS what, 'media' AS name, count(DISTINCT media_id) AS n FROM media UNION ALL SELECT 'entity', 'person', count(*) FROM people UNION ALL SELECT 'entity', 'place', count(DISTINCT place) FROM p UNION ALL SELECT 'entity', 'label', count(DISTINCT label) FROM tags UNION ALL SELECT 'entity', 'album', count(DISTINCT album) FROM media
+    UNION ALL SELECT 'edge', 'media_contains_person', count(*) FROM f UNION ALL SELECT 'edge', 'media_taken_at_place', count(*) FROM p UNION ALL SELECT 'edge', 'media_has_label', count(*) FROM (SELECT DISTINCT media_id, label FROM tags) UNION ALL SELECT 'edge', 'media_in_album', count(*) FROM media
+    UNION ALL SELECT 'edge', 'person_visited_place', count(*) FROM (SELECT DISTINCT person_id, place FROM faces JOIN p USING (media_id)) UNION ALL SELECT 'edge', 'people_co_occurs', count(*) FROM (SELECT DISTINCT a.person_id, b.person_id FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id < b.person_id)""",
+)
+def graph_stats(media, faces, people, tags):
+    return graph.stats(*_graph(media, faces, people, tags))
+
+
+@query("media", "faces", "people", "tags", sql="SELECT CAST(person_id AS VARCHAR) AS target, max(confidence) AS confidence, CAST(count(*) AS DOUBLE) AS weight FROM faces WHERE media_id = 3 GROUP BY person_id")
+def graph_outgoing(media, faces, people, tags):
+    return graph.outgoing(_graph(media, faces, people, tags)[1], "3", relations=["media_contains_person"]).select("target", "confidence", "weight")
+
+
+@query(
+    "media", "faces", "people", "tags",
+    sql="WITH w AS (SELECT media_id, person_id, count(*) AS w FROM faces GROUP BY 1, 2), t AS (SELECT media_id, label, count(*) AS w FROM tags GROUP BY 1, 2), v AS (SELECT w.media_id, t.label, w.w * t.w AS w FROM w JOIN t USING (media_id) WHERE w.person_id = 5) SELECT label AS external_id, CAST(sum(w) AS DOUBLE) AS weight, count(*) AS paths FROM v GROUP BY label",
+)
+def graph_two_hop(media, faces, people, tags):
+    nodes, links = _graph(media, faces, people, tags)
+    turned = links.where("relation = 'media_contains_person'").select(F.lit("person_in_media").alias("relation"), F.col("target").alias("source"), F.col("source").alias("target"), "confidence", "weight")
+    both = turned.unionByName(links.where("relation = 'media_has_label'"))
+    return graph.two_hop(both, nodes, "5", "person_in_media", "media_has_label", "label").select("external_id", "weight", "paths")
+
+
+@query("media", "faces", "people", "tags", sql="WITH f AS (SELECT DISTINCT media_id, person_id FROM faces), o AS (SELECT b.person_id AS other, count(*) AS n FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id = 5 AND b.person_id <> 5 GROUP BY 1) SELECT CAST(other AS VARCHAR) AS external_id, p.name, CAST(n AS DOUBLE) AS weight FROM o JOIN people p ON p.person_id = o.other")
+def graph_co_occurring(media, faces, people, tags):
+    nodes, links = _graph(media, faces, people, tags)
+    return graph.co_occurring(links, nodes, "5").select("external_id", "name", "weight")
+
+
+@query("faces", sql="SELECT CAST(person_id AS VARCHAR) AS target, max(confidence) AS confidence, CAST(2 * count(*) AS DOUBLE) AS weight FROM faces GROUP BY person_id")
+def edges_upserted(faces):
+    rows = graph.edges(faces.withColumn("all", F.lit("all")), "seen", F.col("all"), F.col("person_id"), confidence=F.col("confidence"))
+    dated = rows.withColumn("evidence", F.lit("face")).withColumn("updated", F.lit(NOW).cast("timestamp_ntz"))
+    return tables.upsert_edges(dated, dated).select("target", "confidence", "weight")
+
+
+# Video.
+
+
+@query("segments", sql="SELECT video_id, CAST(s AS BIGINT) AS start_ms, least(s + step, d) AS end_ms FROM (SELECT video_id, d, step, unnest(range(0, d, step)) AS s FROM (SELECT video_id, max(end_ms) AS d, CAST(CASE WHEN max(end_ms) <= 30000 THEN 10000 WHEN max(end_ms) <= 120000 THEN 15000 WHEN max(end_ms) <= 300000 THEN 30000 ELSE 60000 END AS BIGINT) AS step FROM segments GROUP BY video_id HAVING max(end_ms) > 0))")
+def fixed_segments(segments):
+    return video.fixed_segments(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
+
+
+@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(2000, CAST(ceil(d / 5.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments GROUP BY video_id HAVING max(end_ms) > 0)")
+def sampled_frames(segments):
+    return video.sample_times(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")), most=5)
+
+
+def _frames(segments: DataFrame) -> DataFrame:
+    return segments.select("video_id", (F.col("start_ms") + 1500).alias("ts_ms")).distinct()
+
+
+FRAMES_SQL = "WITH f AS (SELECT DISTINCT video_id, start_ms + 1500 AS ts_ms FROM segments), s AS (SELECT DISTINCT video_id, start_ms, end_ms FROM segments)"
+
+
+@query("segments", sql=FRAMES_SQL + " SELECT video_id, ts_ms, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY start_ms, end_ms) AS pos FROM f JOIN s USING (video_id) WHERE ts_ms >= start_ms AND ts_ms < end_ms) WHERE pos = 1")
+def frames_in_segments(segments):
+    return video.in_segments(_frames(segments), segments.select("video_id", "start_ms", "end_ms").distinct())
+
+
+@query("segments", sql=FRAMES_SQL + " SELECT video_id, ts_ms, start_ms, end_ms, off FROM (SELECT *, abs(start_ms - ts_ms) AS off, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY abs(start_ms - ts_ms), start_ms, end_ms) AS pos FROM f JOIN s USING (video_id)) WHERE pos = 1")
+def frames_to_nearest_segment(segments):
+    return video.nearest_segment(_frames(segments), segments.select("video_id", "start_ms", "end_ms").distinct())
+
+
+@query("segments", sql="WITH c AS (SELECT DISTINCT video_id, start_ms - 2000 AS start_ms, start_ms + 3000 AS end_ms FROM segments) SELECT c.video_id, c.start_ms, c.end_ms, array_to_string(list_sort(list_distinct(list(s.label))), ',') AS labels FROM c JOIN segments s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms GROUP BY 1, 2, 3")
+def chapters(segments):
+    scenes = segments.select("video_id", (F.col("start_ms") - 2000).alias("start_ms"), (F.col("start_ms") + 3000).alias("end_ms")).distinct()
+    rows = segments.select("video_id", "start_ms", "end_ms", F.array(F.col("person_id").cast("string")).alias("people"), F.array("label").alias("labels"))
+    return video.chapters(scenes, rows).select("video_id", "start_ms", "end_ms", F.array_join("labels", ",").alias("labels"))
+
+
+@query("segments", sql="SELECT video_id, start_ms, end_ms, label, round(CAST(0.1 AS DOUBLE) + CASE WHEN contains(lower(label), 'f') THEN 0.3 ELSE 0 END + CASE WHEN person_id = 4 THEN 0.5 ELSE 0 END, 6) AS score FROM segments WHERE start_ms <= 8000 AND end_ms >= 4000")
+def video_search(segments):
+    rows = segments.withColumn("people", F.array(F.col("person_id").cast("string"))).withColumn("labels", F.array("label")).withColumn("ocr_text", F.lit(""))
+    found = video.searched(rows, label="f", person="4", between=(4000, 8000))
+    return found.select("video_id", "start_ms", "end_ms", "label", F.round("score", 6).alias("score"))
+
+
+@query("segments", sql="SELECT video_id, start_ms, end_ms, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_ms, end_ms) AS pos FROM segments WHERE confidence >= 0.4) WHERE pos <= 2")
+def highlights(segments):
+    return video.highlights(segments.where("confidence >= 0.4"), k=2, least=0.0).select("video_id", "start_ms", "end_ms", "score")
+
+
+@query("segments", sql="WITH f AS (SELECT DISTINCT video_id, start_ms AS ts_ms FROM segments), g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY ts_ms) AS gap FROM f) SELECT video_id, round(CASE WHEN count(gap) < 2 THEN 1.0 ELSE greatest(0.0, 1 - coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0) / 2) END, 6) AS evenness FROM g GROUP BY video_id")
+def frame_evenness(segments):
+    return video.evenness(segments.select("video_id", F.col("start_ms").alias("ts_ms")).distinct()).select("video_id", F.round("evenness", 6).alias("evenness"))
+
+
+@query("vectors")
+def scenes(vectors):
+    """Ten frames to a video, cut where neighbours differ."""
+    frames = vectors.select(F.floor(F.col("media_id") / 10).alias("video_id"), (F.col("media_id") % 10 * 1500).alias("ts_ms"), "vector", F.lit(15_000).cast("long").alias("duration_ms"))
+    return video.merged_scenes(video.scenes(frames, threshold=0.9))
+
+
+# Albums, memories, clusters.
+
+
+@query(
+    "media",
+    sql=EVENTS_SQL + """, m AS (SELECT album, event, count(*) AS n, date_diff('microsecond', min(created), max(created)) / CAST(3600000000 AS DOUBLE) AS hours, greatest(max(lat) - min(lat), max(lng) - min(lng)) AS spread, avg(CAST(person_id % 2 AS DOUBLE)) AS people FROM k GROUP BY album, event),
+    b AS (SELECT album, event, avg(q) AS quality FROM (SELECT album, event, coalesce(quality, 0.5) AS q, row_number() OVER (PARTITION BY album, event ORDER BY coalesce(quality, 0.5) DESC) AS pos, n_event FROM k) WHERE pos <= greatest(1, ceil(n_event * CAST(0.7 AS DOUBLE))) GROUP BY album, event)
+    SELECT album, event, n, round(score, 6) AS score FROM (SELECT album, event, n, 0.25 * least(1.0, 0.5 * least(n / 10.0, 1.0) + 0.5 * least(hours / 8.0, 1.0)) + 0.2 * (CASE WHEN spread IS NULL THEN 0.5 WHEN spread < 0.01 THEN 1.0 WHEN spread < 0.1 THEN 0.8 ELSE 0.4 END) + 0.2 * people + 0.1 + 0.15 * quality AS score FROM m JOIN b USING (album, event)) WHERE score >= 0.3""",
+)
+def memories(media):
+    rows = _events(media).withColumn("has_people", F.col("person_id") % 2 == 1)
+    return albums.memory_scores(rows, ["album", "event"]).select("album", "event", "n", F.round("score", 6).alias("score"))
+
+
+@query(
+    "media", "faces",
+    sql="""WITH r AS (SELECT 'best_of_year' AS category, CAST(year(created) AS VARCHAR) AS name, media_id FROM media WHERE year(created) < 2001 UNION ALL SELECT 'month', strftime(created, '%Y-%m'), media_id FROM media
+    UNION ALL SELECT 'season', (CASE WHEN month(created) IN (3, 4, 5) THEN 'Spring' WHEN month(created) IN (6, 7, 8) THEN 'Summer' WHEN month(created) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END) || ' ' || year(created), media_id FROM media
+    UNION ALL SELECT 'person', CAST(d.person_id AS VARCHAR), d.media_id FROM (SELECT DISTINCT media_id, person_id FROM faces) d JOIN media USING (media_id)),
+    q AS (SELECT r.*, row_number() OVER (PARTITION BY category, name ORDER BY m.quality DESC NULLS LAST, media_id) AS pos FROM r JOIN media m USING (media_id))
+    SELECT category, name, count(*) AS n, array_to_string(list(media_id ORDER BY pos) FILTER (WHERE pos <= 5), ',') AS best FROM q GROUP BY category, name HAVING count(*) >= CASE category WHEN 'season' THEN 15 WHEN 'month' THEN 5 ELSE 10 END""",
+)
+def automatic_albums(media, faces):
+    found = albums.albums(media.drop("person_id"), faces, 2001, most=5)
+    return found.select("category", "name", "n", F.array_join("members", ",").alias("best"))
+
+
+@query("media", sql="SELECT media_id, round(greatest(0, least(1, 0.4 * coalesce(quality, 0.5) + 0.3 * (1 - coalesce(blur, 0.5)) + 0.15 - CASE WHEN media_id % 3 = 0 THEN 0 ELSE 0.3 END + CASE WHEN person_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN kind = 'photo' THEN 0.1 ELSE 0 END)), 6) AS score FROM media")
+def cover_scores(media):
+    score = clusters.cover_score(F.col("quality"), F.col("blur"), F.col("media_id") % 3 == 0, F.col("person_id") % 2 == 0, F.col("kind") == "photo")
+    return media.select("media_id", F.round(score, 6).alias("score"))
+
+
+@query("vectors", sql="WITH p AS (SELECT region, i, avg(CAST(vector[i] AS DOUBLE)) AS x FROM (SELECT region, vector, unnest(range(1, len(vector) + 1)) AS i FROM vectors) GROUP BY region, i) SELECT region, round(sum(x), 6) AS total, round(max(x), 6) AS most FROM p GROUP BY region")
+def mean_vectors(vectors):
+    found = clusters.mean_vectors(vectors, ["region"])
+    return found.select("region", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("vector"), 6).alias("most"))
+
+
+@query("vectors", sql=f"SELECT v.region, round(1 - avg({COSINE}), 6) AS diversity FROM vectors v JOIN vectors q ON v.region = q.region AND v.media_id < q.media_id GROUP BY v.region")
+def cluster_diversity(vectors):
+    """From the length of the mean unit vector, where the twin goes through all pairs."""
+    return clusters.coherence(vectors, ["region"]).select("region", F.round("diversity", 6).alias("diversity"))
+
+
+@query("vectors", sql=f"""WITH known AS (SELECT region, list(x ORDER BY i) AS vector FROM (SELECT region, i, avg(CAST(vector[i] AS DOUBLE)) AS x FROM (SELECT region, vector, unnest(range(1, len(vector) + 1)) AS i FROM vectors WHERE media_id % 2 = 0) GROUP BY region, i) GROUP BY region),
+s AS (SELECT v.media_id AS face_id, q.region AS person_id, greatest(-1, least(1, list_inner_product(v.vector::DOUBLE[], q.vector))) AS similarity FROM vectors v, known q WHERE v.media_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY similarity DESC, person_id) AS pos FROM s)
+SELECT face_id, CASE WHEN similarity >= 0.1 THEN person_id END AS person_id, round(similarity, 6) AS similarity FROM r WHERE pos = 1""")
+def faces_assigned(vectors):
+    known = clusters.mean_vectors(vectors.where("media_id % 2 = 0"), ["region"]).select(F.col("region").alias("person_id"), "vector")
+    found = clusters.assigned(vectors.where("media_id % 2 = 1").select(F.col("media_id").alias("face_id"), "vector"), known, least=0.1)
+    return found.select("face_id", "person_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vectors")
+def face_clusters(vectors):
+    """At 0.3, as the fixture's vectors are nearly random."""
+    return clusters.leader_clusters(vectors.select(F.col("region").alias("block"), F.col("media_id").alias("face_id"), "vector"), least=0.3)
+
+
+@query("vectors")
+def diverse_selection(vectors):
+    return clusters.diverse(vectors.withColumn("score", (F.col("media_id") % 10) / 10.0), ["region"], 3)
+
+
+# The front end.
+
+
+@query("media", sql="SELECT media_id FROM media WHERE created >= TIMESTAMP '1998-01-01 00:00:00' AND created <= TIMESTAMP '1998-12-31 23:59:59' AND coalesce(quality, 0) >= 0.7 AND coalesce(blur, 1) <= 0.3")
+def parsed_phrase(media):
+    p = parse("sharp photos in 1998", NOW)
+    spec = filters.MediaFilter(date_from=p.date_from, date_to=p.date_to, min_quality=p.min_quality, max_blur=p.max_blur)
+    return filters.structured(media, spec, nulls="lenient").select("media_id")
+
