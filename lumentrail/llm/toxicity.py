@@ -238,8 +238,10 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, window: int = 5) -> ToxicityModel:
     """Lexicon and weights from the rows of ``docs`` that ``labels`` (``doc_id``, ``toxic``) marks."""
-    pairs = docs.select("doc_id", "text").join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    sample = pairs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).cache()
+    marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # fit_rows ids at most
+    sample = sample.select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).cache()
     terms = learn_terms(sample) or [Term(t, False, 5.0) for t in SEED_TERMS]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
