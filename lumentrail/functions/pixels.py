@@ -150,6 +150,105 @@ def greedy_ctc(logits: np.ndarray, alphabet: str, blank: int = 0) -> str:
     return "".join(alphabet[i - 1 if i > blank else i] for i in kept if i != blank)
 
 
+def hsl(rgb: np.ndarray) -> np.ndarray:
+    """Hue (0 to 360), saturation and lightness (0 to 1) by pixel."""
+    x = np.asarray(rgb, float) / 255
+    high, low = x.max(-1), x.min(-1)
+    light, range_ = (high + low) / 2, high - low
+    sat = np.divide(range_, 1 - np.abs(2 * light - 1), out=np.zeros_like(range_), where=range_ > 0)
+    r, g, b = x[..., 0], x[..., 1], x[..., 2]
+    safe = np.where(range_ > 0, range_, 1)
+    hue = np.where(high == r, (g - b) / safe % 6, np.where(high == g, (b - r) / safe + 2, (r - g) / safe + 4)) * 60
+    return np.stack([np.where(range_ > 0, hue, 0), sat, light], -1)
+
+
+def rgb_of(hsl_: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`hsl`."""
+    h, s, l = (hsl_[..., k] for k in range(3))
+    a = s * np.minimum(l, 1 - l)
+    channel = lambda n: l - a * np.clip(np.minimum((n + h / 30) % 12 - 3, 9 - (n + h / 30) % 12), -1, 1)
+    return np.rint(np.clip(np.stack([channel(0), channel(8), channel(4)], -1), 0, 1) * 255).astype(np.uint8)
+
+
+def hue_adjusted(rgb: np.ndarray, centre: float, *, width: float = 45.0, hue: float = 0.0, saturation: float = 0.0, lightness: float = 0.0) -> np.ndarray:
+    """Changes around one hue that fade out over ``width`` degrees (one channel of an eight-channel mixer)."""
+    x = hsl(rgb)
+    apart = np.abs((x[..., 0] - centre + 180) % 360 - 180)
+    weight = np.clip(1 - apart / width, 0, 1) * (x[..., 1] > 0)
+    x[..., 0] = (x[..., 0] + hue * weight) % 360
+    x[..., 1] = np.clip(x[..., 1] * (1 + saturation * weight), 0, 1)
+    x[..., 2] = np.clip(x[..., 2] + lightness * weight, 0, 1)
+    return rgb_of(x)
+
+
+def warmed(rgb: np.ndarray, amount: float) -> np.ndarray:
+    """Red up and blue down by a share of the range."""
+    shift = np.array([amount, 0, -amount]) * 30
+    return np.rint(np.clip(np.asarray(rgb, float) + shift, 0, 255)).astype(np.uint8)
+
+
+def sharpened(gray: np.ndarray, amount: float, radius: int = 1) -> np.ndarray:
+    """Unsharp mask."""
+    g = np.asarray(gray, float)
+    return np.rint(np.clip(g + amount * (g - box_blur(g, radius)), 0, 255)).astype(np.uint8)
+
+
+def vignetted(gray: np.ndarray, amount: float) -> np.ndarray:
+    h, w = gray.shape[:2]
+    y, x = np.mgrid[0:h, 0:w]
+    r = np.hypot((x - (w - 1) / 2) / max(1, w / 2), (y - (h - 1) / 2) / max(1, h / 2))
+    t = np.clip((r - 0.5) / 0.9, 0, 1)
+    return np.rint(gray * (1 - amount * t * t * (3 - 2 * t))).astype(np.uint8)
+
+
+def grained(gray: np.ndarray, amount: float, seed: int) -> np.ndarray:
+    noise_ = np.random.default_rng(seed).standard_normal(gray.shape) * 25 * amount
+    return np.rint(np.clip(gray + noise_, 0, 255)).astype(np.uint8)
+
+
+def faded(gray: np.ndarray, amount: float) -> np.ndarray:
+    """Blacks lifted towards gray."""
+    return np.rint(np.asarray(gray, float) * (1 - 0.4 * amount) + 255 * 0.2 * amount).astype(np.uint8)
+
+
+def blended(image: np.ndarray, filtered: np.ndarray, strength: float) -> np.ndarray:
+    return np.rint(np.asarray(image, float) * (1 - strength) + np.asarray(filtered, float) * strength).astype(np.uint8)
+
+
+def auto_levels(gray: np.ndarray, clip: float = 0.01) -> np.ndarray:
+    """Stretched between the quantiles ``clip`` and 1 - ``clip``."""
+    low, high = np.quantile(gray, [clip, 1 - clip])
+    return np.rint(np.clip((np.asarray(gray, float) - low) / max(1.0, high - low), 0, 1) * 255).astype(np.uint8)
+
+
+def denoised(gray: np.ndarray) -> np.ndarray:
+    """Median of 3 by 3."""
+    g = np.pad(gray, 1, mode="edge")
+    h, w = gray.shape
+    return np.median(np.stack([g[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0).astype(np.uint8)
+
+
+def screenshot_score(rgb: np.ndarray) -> float:
+    """Mean of four signs of a screen: few colours, straight edges, flat areas, an upright format."""
+    gray = luminance(rgb)
+    q = np.asarray(rgb, np.uint8).reshape(-1, 3) >> 4
+    colours = len(np.unique((q[:, 0].astype(int) << 8) | (q[:, 1].astype(int) << 4) | q[:, 2])) / 4096
+    rows, cols = np.abs(np.diff(gray, axis=0)), np.abs(np.diff(gray, axis=1))
+    straight = max((rows > 30).mean(axis=1).max(initial=0), (cols > 30).mean(axis=0).max(initial=0))
+    flat = float((cols < 1).mean()) if cols.size else 1.0
+    return float(np.mean([1 - min(1.0, 8 * colours), straight, flat, float(gray.shape[0] / max(1, gray.shape[1]) > 1.6)]))
+
+
+def document_score(gray: np.ndarray) -> float:
+    """Mean of four signs of a page: bright paper, two tones, text-like rows, the format of a sheet."""
+    bright = float((gray > 180).mean())
+    tones = float(((gray > 200) | (gray < 80)).mean())
+    ink = (gray < 110).mean(axis=1)
+    lines = min(1.0, float((np.abs(np.diff(ink > 0.02)) > 0).sum()) / max(1.0, gray.shape[0] / 20))
+    ratio = max(gray.shape) / max(1, min(gray.shape))
+    return float(np.mean([bright, tones, lines, max(0.0, 1 - abs(ratio - 1.414))]))
+
+
 def kernel_column(content: Column, width: Column, kernel: Callable[[np.ndarray], float], kind: str = "double") -> Column:
     """A kernel over gray rasters stored as bytes, row by row."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
@@ -37,6 +38,25 @@ class MediaFilter:
     person: str | None = None
     favorites: bool | None = None
 
+    @classmethod
+    def from_json(cls, text: str | None) -> "MediaFilter":
+        """A stored album's filter; malformed JSON and unknown fields are no conditions."""
+        try:
+            stored = json.loads(text or "{}")
+        except ValueError:
+            stored = {}
+        known = {k: v for k, v in stored.items() if k in cls.__dataclass_fields__ and v is not None} if isinstance(stored, dict) else {}
+        for k in ("date_from", "date_to"):
+            if k in known:
+                known[k] = datetime.fromisoformat(known[k])
+        for k in ("labels", "exclude_labels"):
+            if k in known:
+                known[k] = tuple(known[k])
+        return cls(**known)
+
+    def to_json(self) -> str:
+        return json.dumps({k: v.isoformat() if isinstance(v, datetime) else v for k, v in vars(self).items() if v not in (None, ())})
+
     def refined(self, newer: "MediaFilter") -> "MediaFilter":
         """With the fields that a later query sets in place of these."""
         return replace(self, **{k: v for k, v in vars(newer).items() if v not in (None, ())})
@@ -165,3 +185,14 @@ def timeline_page(media: DataFrame, *, size: int = 80, before: tuple[datetime, i
         media = media.where(later if ascending else earlier)
     order = [F.col("created").asc(), F.col("media_id").asc()] if ascending else [F.col("created").desc(), F.col("media_id").desc()]
     return media.orderBy(*order).limit(size)
+
+
+def keep_history(history: DataFrame, most: int = 100) -> DataFrame:
+    """The ``most`` most frequent queries, newest first among equals."""
+    return history.orderBy(F.desc("times"), F.desc("last"), "query").limit(most)
+
+
+def with_region_vectors_missing(tags: DataFrame, vectors: DataFrame, least: float = 0.5) -> DataFrame:
+    """Tags sure enough to deserve a region vector that have none yet."""
+    done = vectors.where("region_label is not null").select("media_id", F.col("region_label").alias("label"))
+    return tags.where(F.col("confidence") >= least).join(done, ["media_id", "label"], "left_anti")

@@ -148,3 +148,18 @@ def logged_queries(history: DataFrame, new: DataFrame, most: int = 100) -> DataF
 def suggestions(history: DataFrame, prefix: str, k: int = 5) -> DataFrame:
     """Queries that begin with a prefix, most frequent first."""
     return history.where(F.startswith(F.lower("query"), F.lit(prefix.lower()))).orderBy(F.desc("times"), F.desc("last"), "query").limit(k)
+
+
+def recent_queries(history: DataFrame, k: int = 5) -> DataFrame:
+    return history.orderBy(F.desc("last"), "query").limit(k)
+
+
+def popular_but_not_recent(history: DataFrame, k: int = 5) -> DataFrame:
+    """Frequent queries that are not among the recent ones."""
+    rest = history.join(recent_queries(history, k).select("query"), "query", "left_anti")
+    return rest.orderBy(F.desc("times"), F.desc("last"), "query").limit(k)
+
+
+def seasonal_queries(history: DataFrame, month: int, k: int = 5) -> DataFrame:
+    """Queries most often last asked in a month of the year."""
+    return history.where(F.month("last") == month).orderBy(F.desc("times"), F.desc("last"), "query").limit(k)

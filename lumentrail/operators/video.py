@@ -113,3 +113,42 @@ def work_list(states: DataFrame, statuses: Sequence[int]) -> DataFrame:
 
 def unit_range(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def key_moments(videos: DataFrame, *, most: int = 10, edge_share: float = 0.05) -> DataFrame:
+    """``video_id, ts_ms``: near the start and the end, and evenly between them; distinct, at most ``most``."""
+    span = F.col("duration_ms")
+    first, last = F.floor(span * edge_share).cast("long"), F.floor(span * (1 - edge_share)).cast("long")
+    n = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(span / 1000).cast("int")))
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: first + F.when(n > 1, F.floor((last - first) * i / (n - 1))).otherwise(F.lit(0)).cast("long"))
+    return videos.where("duration_ms > 0").select("video_id", F.explode(F.array_distinct(at)).alias("ts_ms"))
+
+
+def adaptive_times(videos: DataFrame, *, most: int = 60) -> DataFrame:
+    """``video_id, ts_ms``: a frame each second up to 30 s, each 2 s up to 2 min, each 5 s beyond, spread wider where that is more than ``most``."""
+    every = F.when(F.col("duration_ms") <= 30_000, 1000).when(F.col("duration_ms") <= 120_000, 2000).otherwise(5000).cast("long")
+    step = F.greatest(every, F.ceil(F.col("duration_ms") / most).cast("long"))
+    return videos.where("duration_ms > 0").select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, step)).alias("ts_ms"))
+
+
+def storage(frames: DataFrame) -> DataFrame:
+    """``video_id, n, bytes`` of stored frames, and the share of all bytes."""
+    by = frames.groupBy("video_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    total = by.agg(F.sum("bytes").alias("total"))
+    return by.crossJoin(F.broadcast(total)).select("video_id", "n", "bytes", F.coalesce(F.try_divide("bytes", "total"), F.lit(0.0)).alias("share"))  # one row
+
+
+def running_mean(old: Column, old_n: Column, new: Column) -> Column:
+    """A mean vector after one more; vectors of another size leave it as it is."""
+    joined = F.zip_with(old, new, lambda a, b: (a * old_n + b) / (old_n + 1))
+    return F.when(F.size(old) == F.size(new), joined).otherwise(old)
+
+
+def ocr_summary(rows: DataFrame) -> DataFrame:
+    """``media_id, text, confidence, left, top, width, height``: lines joined in reading order, mean confidence, the box around all."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda x: x["text"])
+    by = rows.groupBy("media_id").agg(
+        F.array_join(lines, "\n").alias("text"), F.avg("confidence").alias("confidence"),
+        F.min("left").alias("l"), F.min("top").alias("t"), F.max(F.col("left") + F.col("width")).alias("r"), F.max(F.col("top") + F.col("height")).alias("b"),
+    )
+    return by.select("media_id", "text", unit_range(F.col("confidence")).alias("confidence"), F.col("l").alias("left"), F.col("t").alias("top"), (F.col("r") - F.col("l")).alias("width"), (F.col("b") - F.col("t")).alias("height"))

@@ -682,3 +682,108 @@ def parsed_phrase(media):
     spec = filters.MediaFilter(date_from=p.date_from, date_to=p.date_to, min_quality=p.min_quality, max_blur=p.max_blur)
     return filters.structured(media, spec, nulls="lenient").select("media_id")
 
+
+
+ALBUM_JSON = '{"kind": "photo", "min_quality": 0.5, "labels": ["NO"], "date_from": "1996-05-01T00:00:00", "unknown": 1}'
+
+
+@query("media", "tags", sql="SELECT media_id FROM media WHERE kind = 'photo' AND quality >= 0.5 AND created >= TIMESTAMP '1996-05-01 00:00:00' AND media_id IN (SELECT media_id FROM tags WHERE lower(label) = 'no')")
+def smart_album(media, tags):
+    return filters.structured(media, filters.MediaFilter.from_json(ALBUM_JSON), tags=tags).select("media_id")
+
+
+def _history(turns: DataFrame) -> DataFrame:
+    words = turns.select(text.normalized_query(F.substring("text", 1, 12)).alias("query"), (F.lit(STREAM_NOW).cast("timestamp_ntz") - F.make_dt_interval(F.col("conv_id") % 300)).alias("at"))
+    return words.groupBy("query").agg(F.count("*").alias("times"), F.max("at").alias("last"))
+
+
+HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
+
+
+@query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times, last FROM h ORDER BY last DESC, query LIMIT 5")
+def recent_queries(turns):
+    return retrieval.recent_queries(_history(turns))
+
+
+@query("turns", sql=f"WITH {HISTORY_SQL}, r AS (SELECT query FROM h ORDER BY last DESC, query LIMIT 5) SELECT query, times FROM h WHERE query NOT IN (SELECT query FROM r) ORDER BY times DESC, last DESC, query LIMIT 5")
+def rediscovered_queries(turns):
+    return retrieval.popular_but_not_recent(_history(turns)).select("query", "times")
+
+
+@query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times FROM h WHERE month(last) = 1 ORDER BY times DESC, last DESC, query LIMIT 5")
+def seasonal_queries(turns):
+    return retrieval.seasonal_queries(_history(turns), 1).select("query", "times")
+
+
+RELATED_SQL = """WITH m AS (SELECT *, (media_id * 2654435761 % 4294967296) & 4278255360 AS hi, (media_id * 40503 % 4294967296) & 16711935 AS lo FROM media),
+s AS (SELECT * FROM m WHERE media_id = 2), d AS (SELECT m.media_id, m.album = s.album AS same, m.person_id = s.person_id AS person,
+2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - m.lng) / 2), 2)))) AS km,
+abs(date_diff('hour', s.created, m.created)) AS hours, bit_count(xor(m.hi, s.hi)) + bit_count(xor(m.lo, s.lo)) AS bits FROM m, s WHERE m.media_id <> 2)
+SELECT media_id, round(score, 6) AS score FROM (SELECT media_id, 0.3 * CAST(same AS DOUBLE) + 0.25 * CAST(person AS DOUBLE) + 0.2 * coalesce(CASE WHEN km < 1 THEN 1.0 WHEN km < 10 THEN 1 - (km - 1) / 9 ELSE 0.0 END, 0) + CASE WHEN hours <= 24 THEN 0.15 WHEN hours <= 168 THEN 0.05 ELSE 0 END + CASE WHEN bits < 10 THEN 0.1 ELSE 0 END AS score FROM d) WHERE score >= 0.36"""
+
+
+@query("media", sql=RELATED_SQL)
+def related_items(media):
+    rows = media.selectExpr("media_id", "album AS event", "array(person_id) AS people", "lat", "lng", "created", "(media_id * 2654435761 % 4294967296) & 4278255360 AS hi", "(media_id * 40503 % 4294967296) & 16711935 AS lo")
+    found = retrieval.related(rows, rows.where("media_id = 2"), least=0.36)
+    return found.select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("media", sql="SELECT media_id, array_to_string(list_transform(list_reverse_sort(list_filter([{'s': coalesce(quality, 0), 'n': 'quality'}, {'s': 1 - coalesce(blur, 1), 'n': 'sharpness'}], lambda x: x.s > 0)), lambda x: x.n), ',') AS reasons FROM media WHERE coalesce(quality, 0) <> 1 - coalesce(blur, 1)")
+def explained_signals(media):
+    rows = media.select("media_id", F.coalesce("quality", F.lit(0.0)).alias("quality"), (1 - F.coalesce("blur", F.lit(1.0))).alias("sharpness")).where("quality <> sharpness")
+    return retrieval.explained(rows, ["quality", "sharpness"]).select("media_id", F.array_join(F.transform("reasons", lambda x: x["signal"]), ",").alias("reasons"))
+
+
+@query("timeline", sql=_sessions_sql("gap >= 14400000000") + ' SELECT owner, start, "end", n FROM b')
+def window_sessions(timeline_):
+    """The batch form of the streaming sessions, which end a gap after their last row."""
+    by = timeline_.groupBy("owner", F.session_window("ts", "4 hours").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    return by.select("owner", "start", "end", "n")
+
+
+@query("timeline", sql="SELECT date_trunc('day', ts) AS start, kind, count(*) AS n FROM timeline GROUP BY 1, 2")
+def daily_counts(timeline_):
+    return timeline_.groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+
+
+@query("segments", sql="SELECT video_id, n, bytes, round(bytes / sum(bytes) OVER (), 9) AS share FROM (SELECT video_id, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS bytes FROM segments GROUP BY video_id)")
+def video_storage(segments):
+    return video.storage(segments.select("video_id", (F.col("end_ms") - F.col("start_ms")).alias("bytes"))).select("video_id", "n", "bytes", F.round("share", 9).alias("share"))
+
+
+@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(CASE WHEN d <= 30000 THEN 1000 WHEN d <= 120000 THEN 2000 ELSE 5000 END, CAST(ceil(d / 60.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments WHERE video_id < 300 GROUP BY video_id HAVING max(end_ms) > 0)")
+def adaptive_frames(segments):
+    return video.adaptive_times(segments.where("video_id < 300").groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
+
+
+@query("segments")
+def key_moments(segments):
+    return video.key_moments(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
+
+
+@query("media", "faces", "people", sql="SELECT DISTINCT CAST(media_id AS VARCHAR) AS source, concat('p', person_id) AS target FROM faces WHERE person_id IN (SELECT person_id FROM people WHERE status <> 'active')")
+def graph_orphans(media, faces, people):
+    """Edges to people who were merged away."""
+    person = F.concat(F.lit("p"), F.col("person_id").cast("string"))
+    nodes = graph.entities(media, "media", F.col("media_id"), F.col("media_id")).unionByName(graph.entities(people.where("status = 'active'"), "person", person, F.col("name")))
+    return graph.orphan_edges(nodes, graph.edges(faces, "media_contains_person", F.col("media_id"), person)).select("source", "target")
+
+
+@query("faces", "media", sql=EVENTS_SQL + ", fp AS (SELECT DISTINCT k.album || ':' || k.event AS event, fc.person_id FROM faces fc JOIN k USING (media_id)) SELECT CAST(a.person_id AS VARCHAR) AS source, CAST(b.person_id AS VARCHAR) AS target, CAST(count(*) AS DOUBLE) AS weight FROM fp a JOIN fp b ON a.event = b.event AND a.person_id < b.person_id GROUP BY a.person_id, b.person_id")
+def people_at_events(faces, media):
+    """Pairs of people by the number of events both attended."""
+    marked = _events(media).select("media_id", F.concat_ws(":", "album", F.col("event").cast("string")).alias("event"))
+    return graph.together(faces.join(marked, "media_id"), "event", "people_same_event").select("source", "target", "weight")
+
+
+@query("tags", "media", sql="SELECT media_id, label FROM tags WHERE NOT (media_id % 10 = 0 AND label = 'AF') AND label <> 'RF' GROUP BY ALL")
+def corrected_tags(tags, media):
+    wrong = media.where("media_id % 10 = 0").select("media_id", F.lit("AF").alias("label")).unionByName(media.limit(1).select(F.lit(None).cast("long").alias("media_id"), F.lit("RF").alias("label")))
+    return filters.corrected(tags, wrong).select("media_id", "label").distinct()
+
+
+@query("faces", "people", sql="SELECT media_id, CASE WHEN p.status = 'merged' THEN 1 ELSE f.person_id END AS person_id FROM faces f JOIN people p USING (person_id)")
+def people_merged(faces, people):
+    into = people.where("status = 'merged'").select("person_id", F.lit(1).cast("long").alias("into"))
+    return clusters.merged_people(faces, into).select("media_id", F.col("person_id").cast("long").alias("person_id"))
