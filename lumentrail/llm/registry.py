@@ -128,6 +128,48 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def _op5_sql(rounds: int = 24) -> str:
+    """Targets by rounds of water filling, each a CTE: a round beyond the last changes nothing."""
+    parts = [
+        """sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix' || doc_id) AS draw FROM documents)""",
+        """s0 AS (SELECT source, size, [5, 2, 1][1 + (pos - 1) % 3] AS w, CAST(NULL AS DOUBLE) AS t
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM sized GROUP BY source))""",
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(f"u{k} AS (SELECT greatest(0, CAST(sum(size) AS DOUBLE) - coalesce(sum(t), 0)) / sum(w) FILTER (WHERE t IS NULL) AS unit FROM s{k - 1})")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT source, size, w, CASE WHEN t IS NOT NULL THEN t WHEN unit * w > CAST(3 AS DOUBLE) * size THEN CAST(3 AS DOUBLE) * size END AS t FROM s{k - 1}, u{k})")
+    parts.append(f"goal AS (SELECT source, size AS source_size, coalesce(t, unit * w) AS target, CAST(least(round_even(coalesce(t, unit * w), 0), 3 * size) AS BIGINT) AS routed FROM s{rounds}, u{rounds})")
+    parts.append("ordered AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, CAST(o.size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE o.size * (routed // source_size) + greatest(0, least(o.size, routed % source_size - before)) END AS BIGINT) AS taken
+FROM ordered o JOIN goal g ON o.source IS NOT DISTINCT FROM g.source"""
+
+
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT node, min(root) AS component_id FROM reached GROUP BY node) r ON r.node = d.doc_id
+"""
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
@@ -152,4 +194,4 @@ GROUP BY k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_voronoi_top_k": OP2_SQL, "op5_mixing": _op5_sql(), "op9_ngram_join": OP9_SQL, "op10_line_dedup": OP10_SQL}
