@@ -5,8 +5,11 @@ Two sets whose similarity reaches the threshold share a token among the first
 order here puts rare tokens first: a count sketch of bounded size tells light
 tokens from heavy ones (it never counts too low, and an order needs no exact
 counts), ties go by hash. Candidates come from the prefixes under that order;
-before a pair is verified it must share a prefix token under further orders
-(other hashes) too, and its sizes must fit.
+before a pair is verified its sizes must fit and its prefixes must share enough
+tokens under that order and under a second one (another hash). Enough is what a
+pair of those sizes must share in prefixes of that length, given the threshold.
+For that test a class's prefixes travel as 32-bit hashes, which can only add to
+what is shared; sets are read, from the texts again, for the pairs that pass.
 
 Links are wanted per document, not all pairs of a group of copies:
 
@@ -143,9 +146,37 @@ def _levels(prints: DataFrame) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / light))).astype(np.uint8)
 
 
+def short_prefixes(own: np.ndarray, first: np.ndarray) -> bytes:
+    """The prefixes of a set under both orders (of the first: ``first``) as sorted 32-bit hashes."""
+    second = np.partition(finished(own ^ _MIX[1]), len(first) - 1)[: len(first)]
+    return b"".join(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for h in (finished(first), second))
+
+
+def share_enough(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
+    """Whether the prefixes of two sets share, under each order, what sets of that similarity must share."""
+    overlap = -(-percent * (n_x + n_y) // (100 + percent))
+    a, b = (np.frombuffer(s, np.uint32).reshape(2, -1) for s in (x, y))
+    least = max(1, min(a.shape[1] - n_x + overlap, b.shape[1] - n_y + overlap))
+    for p, q in zip(a, b):
+        at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+        if int((q[at] == p).sum()) < least:
+            return False
+    return True
+
+
+def _enough(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "n_x", "y", "n_y")))
+            keep = [share_enough(x, n, y, m, percent) for x, n, y, m in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
-    """Prefix tokens of each class: light ones packed by bucket, heavy ones as rows."""
-    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+    """Prefix tokens of each class (light ones packed by bucket, heavy ones as rows), and its short prefixes."""
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("short", pa.binary())])
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +184,14 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
         known, seen = WordHashes(), set()
         held, rows = [], 0
         heavy: list[tuple] = []
+        short: list[tuple] = []
 
         def flush():
-            nonlocal held, rows, heavy
+            nonlocal held, rows, heavy, short
+            if short:
+                none = pa.nulls(len(short))
+                classes, ns, shorts = zip(*short)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(shorts, pa.binary())], schema=schema)
             if held:
                 packed = np.concatenate(held)
                 bucket = (packed["token"] % np.uint64(buckets)).astype(np.int32)
@@ -165,16 +201,16 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 firsts = bucket[np.concatenate([[0], cuts])].tolist()
                 blobs = [x.tobytes() for x in np.split(packed, cuts)]
                 none = [None] * len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary()), *[pa.array(none, pa.int64())] * 3], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary()), *[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary())], schema=schema)
             if heavy:
                 tokens = np.concatenate([t for t, _, _ in heavy]).view(np.int64)
                 lengths = [len(t) for t, _, _ in heavy]
                 none = pa.nulls(len(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens), pa.array(np.repeat(np.array([c for _, c, _ in heavy], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, _, n in heavy], np.int64), lengths))],
+                    [none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens), pa.array(np.repeat(np.array([c for _, c, _ in heavy], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, _, n in heavy], np.int64), lengths)), none.cast(pa.binary())],
                     schema=schema,
                 )
-            held, rows, heavy = [], 0, []
+            held, rows, heavy, short = [], 0, [], []
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -193,7 +229,9 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 tokens = own[first]
                 light = np.empty(int((~is_heavy).sum()), record)
                 light["token"], light["cls"], light["n"] = tokens[~is_heavy], c, len(own)
-                held.append(light)
+                if len(light):
+                    held.append(light)
+                short.append((c, len(own), short_prefixes(own, tokens)))
                 rows += len(tokens)
                 if is_heavy.any():
                     heavy.append((tokens[is_heavy], c, len(own)))
@@ -205,16 +243,23 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct member lists, of two classes and more, of a partition's light tokens; heavy rows pass through."""
-    schema = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+    """The distinct member lists, of two classes and more, of a partition's light tokens; heavy rows and a class's first short prefixes pass through."""
+    schema = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("short", pa.binary())])
+    classes: set[int] = set()
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
     blobs: list[bytes] = []
     for batch in batches:
         blobs += [blob for blob in batch.column("packed").to_pylist() if blob is not None]
-        rows = batch.filter(pc.is_valid(batch.column("token")))
+        rows = batch.filter(pc.is_valid(batch.column("cls")))
         if len(rows):
+            fresh = []
+            for c, s in zip(rows.column("cls").to_pylist(), pc.is_valid(rows.column("short")).to_pylist()):
+                fresh.append(not s or c not in classes)
+                if s:
+                    classes.add(c)
+            rows = rows.filter(pa.array(fresh))
             none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *(rows.column(c) for c in ("token", "cls", "n"))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *(rows.column(c) for c in ("token", "cls", "n", "short"))], schema=schema)
     if not blobs:
         return
     packed = np.unique(np.concatenate([np.frombuffer(b, record) for b in blobs]))
@@ -231,7 +276,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(out), 10_000):
         names, members, ns = (list(x) for x in zip(*out[at : at + 10_000]))
         none = pa.nulls(len(names), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
 
 
 def _sets(width: int):
@@ -244,30 +289,23 @@ def _sets(width: int):
     return run
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int, orders: int) -> bool:
-    """Whether two sorted sets reach the similarity; first they must share a prefix token under each further order."""
-    px, py = prefix_length(len(x), percent), prefix_length(len(y), percent)
-    for k in range(1, orders):
-        salt = _MIX[k] << np.uint64(1)
-        fx, fy = (np.sort(np.partition(h, p - 1)[:p]) for h, p in ((finished(x ^ salt), px), (finished(y ^ salt), py)))
-        at = np.minimum(np.searchsorted(fy, fx), len(fy) - 1)
-        if not (fy[at] == fx).any():
-            return False
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(percent: int, orders: int):
+def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent, orders) for x, y in zip(left, right)]
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
     Documents link when ``100 * |intersection| >= percent * |union|`` of their
@@ -283,27 +321,27 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // 500_000 + 1)
 
-    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width), "bucket int, packed binary, token long, cls long, n long")
-    # One shuffle takes both kinds: packed light tokens go by bucket, heavy rows are spread by class.
+    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width), "bucket int, packed binary, token long, cls long, n long, short binary")
+    # One shuffle takes all kinds: packed light tokens go by bucket, the others are spread by class.
     dealt = emitted.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("token", "cls")))
-    found = settle(dealt.select("packed", "token", "cls", "n").mapInArrow(_lists, "list long, members array<long>, ns array<long>, token long, cls long, n long"))
-    light = settle(found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"]))
+    found = settle(dealt.select("packed", "token", "cls", "n", "short").mapInArrow(_lists, "list long, members array<long>, ns array<long>, token long, cls long, n long, short binary"))
+    light = found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"])
+    shorts = found.where("short is not null").select("cls", "n", "short")
     heavy = found.where("token is not null").select("token", "cls", "n").distinct()
     # Of heavy tokens with the same members one is enough.
     signs = heavy.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign")).where("size > 1").groupBy("size", "sign").agg(F.min("token").alias("token"))
     heavy = settle(heavy.join(signs.select("token"), "token", "left_semi"))
-
-    wanted = light.select(F.explode("members").alias("cls")).union(heavy.select("cls")).distinct()
-    first = settle(rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc")).join(wanted, "cls", "left_semi"))
-    n_first = first.count()
-    if n_first == 0:
-        return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cls")).transform(_labelled, None)
-    known = F.broadcast(first) if n_first <= BROADCAST_IDS else first
-    sets = settle(texts.join(known, "doc").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary").dropDuplicates(["cls"]))
+    firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity."""
+        a, b = (shorts.select(F.col("cls").alias(p), F.col("short").alias(s), F.col("n").alias(n)) for p, s, n in (("a", "x", "n_x"), ("b", "y", "n_y")))
+        likely = settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(_enough(percent), "a long, b long"))
+        wanted = settle(firsts.join(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        sets = settle(texts.join(known, "doc").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary"))
         a, b = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-        return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent, orders), "a long, b long"))
+        return settle(likely.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct())
 
     def fit(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
