@@ -11,10 +11,11 @@ The driver holds one row per pattern and per source, never one per document;
 seeded part is found from sums over prefixes of a document's hash, so no task
 sorts the documents of a source.
 
-Defined cases: a null text has no words; a null source is a source of its own,
-last in order; a document without sources is never taken; rows that repeat an id
-count each (ties of the seeded order are broken by size and number of the row's
-hash); an empty table gives an empty mix.
+Defined cases: a null or empty text has no words; a null source is a source of
+its own, last in order; a document without sources is never taken; rows that
+repeat an id count each, draw alike and are ordered by size; a text of any length
+is counted whole; other columns are not looked at; an empty table gives an empty
+mix.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Lexicon and model are fitted on labelled rows, at most ``fit_rows`` of them (the
 ones with the smallest hashes of their ids); scoring reads every whole text.
 
 Defined cases: a null, empty or wordless text has no hits and gets the model's
-base score; repeated rows are scored alike; without labelled rows of both
+base score; a text of any length is read whole; repeated rows are scored alike; without labelled rows of both
 classes the lexicon is the built-in one and the model a fixed prior; other
 columns pass unchanged except ``score``, which is replaced.
 """
