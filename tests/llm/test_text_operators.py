@@ -116,6 +116,14 @@ def test_ngram_join_heavy_tokens(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows of one id and several texts: each text is linked for itself."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (4, "c " + a), (None, a)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (3, 57, 1), (4, 57, 1)]
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(frame(spark, ["a"]).limit(0)).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [None])).collect()] == [(0, 0, 0)]
