@@ -1,27 +1,59 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table.
 
-Every round is two shuffles of the edges and a settled table; nothing but a
-count reaches the driver. A node of very high degree is one key of a grouped
-minimum, which is combined before the shuffle, and its edges are split by AQE's
-skew join.
+Edges are first contracted where they lie: a task reduces the edges of its
+partition, of bounded number, to a spanning forest of stars by union-find. Where
+all edges fit one task that is the answer. Otherwise the forests go through
+alternating large and small stars, each round two shuffles and a settled table.
+
+Nothing but a count reaches the driver. A node of very high degree is one key of
+a grouped minimum, which is combined before the shuffle, and its edges are split
+by AQE's skew join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentrail.llm.common import settle
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, comp`` for every node of ``edges`` (``a``, ``b``: long); ``comp`` is the smallest node reachable.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as edges from each node to the smallest one it is joined to."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    pairs = [(x, find(x)) for x in list(root)]
+    pairs = [(x, r) for x, r in pairs if x != r]
+    for at in range(0, len(pairs), 50_000):
+        u, v = zip(*pairs[at : at + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = 1_000_000) -> DataFrame:
+    """``node, comp`` for every node of ``edges`` (``a``, ``b``: long) that another is joined to; ``comp`` is the smallest node reachable.
 
     Loops and repeated edges do no harm. ``most_rounds`` is a guard: it raises,
     it never returns components that are not final.
     """
     # Each edge from its larger to its smaller end.
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    tasks = max(1, -(-now.count() // task_edges))
+    now = settle(now.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
+    if tasks == 1:
+        return _labels(now)
     for _ in range(most_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -37,5 +69,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         twice = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         now = after
         if not open_ and not twice:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+            return _labels(now)
     raise RuntimeError(f"components not final after {most_rounds} rounds")
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -176,7 +176,7 @@ def _enough(percent: int):
 
 def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
     """Prefix tokens of each class (light ones packed by bucket, heavy ones as rows), and its short prefixes."""
-    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("short", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
             if short:
                 none = pa.nulls(len(short))
                 classes, ns, shorts = zip(*short)
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(shorts, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), none.cast(pa.int64()), pa.array(shorts, pa.binary())], schema=schema)
             if held:
                 packed = np.concatenate(held)
                 bucket = (packed["token"] % np.uint64(buckets)).astype(np.int32)
@@ -201,15 +201,13 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 firsts = bucket[np.concatenate([[0], cuts])].tolist()
                 blobs = [x.tobytes() for x in np.split(packed, cuts)]
                 none = [None] * len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary()), *[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary()), *[pa.array(none, pa.int64())] * 4, pa.array(none, pa.binary())], schema=schema)
             if heavy:
-                tokens = np.concatenate([t for t, _, _ in heavy]).view(np.int64)
-                lengths = [len(t) for t, _, _ in heavy]
+                tokens, places = np.concatenate([t for t, _, _, _ in heavy]).view(np.int64), np.concatenate([at for _, at, _, _ in heavy]).astype(np.int64)
+                lengths = [len(t) for t, _, _, _ in heavy]
+                classes, ns = (np.repeat(np.array([h[k] for h in heavy], np.int64), lengths) for k in (2, 3))
                 none = pa.nulls(len(tokens))
-                yield pa.RecordBatch.from_arrays(
-                    [none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens), pa.array(np.repeat(np.array([c for _, c, _ in heavy], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, _, n in heavy], np.int64), lengths)), none.cast(pa.binary())],
-                    schema=schema,
-                )
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, (tokens, classes, ns, places)), none.cast(pa.binary())], schema=schema)
             held, rows, heavy, short = [], 0, [], []
 
         for batch in batches:
@@ -234,7 +232,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 short.append((c, len(own), short_prefixes(own, tokens)))
                 rows += len(tokens)
                 if is_heavy.any():
-                    heavy.append((tokens[is_heavy], c, len(own)))
+                    heavy.append((tokens[is_heavy], np.flatnonzero(is_heavy), c, len(own)))
                 if rows >= 1_000_000:
                     yield from flush()
         yield from flush()
@@ -244,7 +242,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct member lists, of two classes and more, of a partition's light tokens; heavy rows and a class's first short prefixes pass through."""
-    schema = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("short", pa.binary())])
+    schema = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
     classes: set[int] = set()
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
     blobs: list[bytes] = []
@@ -259,7 +257,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     classes.add(c)
             rows = rows.filter(pa.array(fresh))
             none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *(rows.column(c) for c in ("token", "cls", "n", "short"))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *(rows.column(c) for c in ("token", "cls", "n", "pos", "short"))], schema=schema)
     if not blobs:
         return
     packed = np.unique(np.concatenate([np.frombuffer(b, record) for b in blobs]))
@@ -276,7 +274,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(out), 10_000):
         names, members, ns = (list(x) for x in zip(*out[at : at + 10_000]))
         none = pa.nulls(len(names), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
+
+
+def _second_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each class's prefix under the second order."""
+    for batch in batches:
+        for c, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens = np.unique(np.frombuffer(short, np.uint32).reshape(2, -1)[1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), c, np.int64)), pa.array(tokens)], ["cls", "second"])
 
 
 def _sets(width: int):
@@ -321,15 +327,16 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // 500_000 + 1)
 
-    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width), "bucket int, packed binary, token long, cls long, n long, short binary")
+    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width), "bucket int, packed binary, token long, cls long, n long, pos long, short binary")
     # One shuffle takes all kinds: packed light tokens go by bucket, the others are spread by class.
     dealt = emitted.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("token", "cls")))
-    found = settle(dealt.select("packed", "token", "cls", "n", "short").mapInArrow(_lists, "list long, members array<long>, ns array<long>, token long, cls long, n long, short binary"))
+    found = settle(dealt.select("packed", "token", "cls", "n", "pos", "short").mapInArrow(_lists, "list long, members array<long>, ns array<long>, token long, cls long, n long, pos long, short binary"))
     light = found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"])
     shorts = found.where("short is not null").select("cls", "n", "short")
-    heavy = found.where("token is not null").select("token", "cls", "n").distinct()
-    # Of heavy tokens with the same members one is enough.
-    signs = heavy.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign")).where("size > 1").groupBy("size", "sign").agg(F.min("token").alias("token"))
+    heavy = found.where("token is not null").select("token", "cls", "n", "pos").distinct()
+    # Of heavy tokens with the same members the first in the order is enough: it is the first that any two of them share.
+    signs = heavy.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"), F.min(F.struct("cls", "pos"))["pos"].alias("pos"))
+    signs = signs.where("size > 1").groupBy("size", "sign").agg(F.min_by("token", F.struct("pos", "token")).alias("token"))
     heavy = settle(heavy.join(signs.select("token"), "token", "left_semi"))
     firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
 
@@ -349,18 +356,24 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def pair(x, y, n, m):
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")], fit(n, m)
 
+    def in_reach(n, pos, m, other_pos):
+        """Whether enough of both sets lies at and after a token that is the first they share."""
+        needs = percent * (n + m)
+        return ((100 + percent) * (n - pos) >= needs) & ((100 + percent) * (m - other_pos) >= needs)
+
     def starred(lists: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Pairs of each heavy token's hub (``token, hub, hub_n``) with its other members."""
+        """Pairs of each heavy token's hub (``token, hub, hub_n, hub_pos``) with its other members."""
         columns, fits = pair(F.col("hub"), F.col("cls"), F.col("hub_n"), F.col("n"))
-        return lists.join(hubs, "token").where(fits & (F.col("hub") != F.col("cls"))).select(*columns)
+        reach = in_reach(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"))
+        return lists.join(hubs, "token").where(fits & reach & (F.col("hub") != F.col("cls"))).select(*columns)
 
     # First round: a star in every list.
     columns, fits = pair(F.col("members")[0], F.col("m.members"), F.col("ns")[0], F.col("m.ns"))
     stars = light.select("members", "ns", F.explode(F.slice(F.arrays_zip("members", "ns"), 2, 1 << 30)).alias("m")).where(fits).select(*columns)
-    hubs = heavy.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = heavy.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     tested = settle(stars.unionAll(starred(heavy, hubs)).distinct())
     links = verify(tested)
-    comps = settle(components(links))
+    comps = components(links)
 
     def apart() -> DataFrame:
         """Members of heavy lists that are not all in one component."""
@@ -385,20 +398,23 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
                 used = hubs.select("token", F.col("hub").alias("cls"))
                 ranked = members.join(used, ["token", "cls"], "left_anti").join(degree, "cls", "left")
-                best = ranked.groupBy("token").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
+                best = ranked.groupBy("token").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
                 hubs = settle(hubs.unionAll(best))
                 more = starred(members, best)
             else:
-                # The largest component of a list needs no pairs inside it; the others meet everything outside their own.
-                other = members.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-                more = members.join(other, "token").where("cls < cls2 and comp <> comp2").where(fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+                # Pairs must share a prefix token under the second order too: both filters are the join's key.
+                seconds = shorts.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "short").mapInArrow(_second_tokens, "cls long, second long")
+                keyed = members.join(seconds, "cls")
+                other = keyed.select("token", "second", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+                reach = fit(F.col("n"), F.col("n2")) & in_reach(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
+                more = keyed.join(other, ["token", "second"]).where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
             continue
         tested = settle(tested.unionAll(more))
         new = verify(more)
         links = settle(links.unionAll(new))
-        comps = settle(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(new)))
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(new))
 
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cls")).transform(_labelled, comps)
 
