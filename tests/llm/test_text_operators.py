@@ -108,8 +108,10 @@ def test_ngram_join(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
 
 
-def test_ngram_join_heavy_tokens(spark, monkeypatch):
-    """The same links where every shared token counts as heavy."""
+@pytest.mark.parametrize("family", [5000, 0])
+def test_ngram_join_heavy_tokens(spark, monkeypatch, family):
+    """The same links where every shared token counts as heavy, by families and by stars."""
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
     monkeypatch.setattr(ngram_join, "_levels", lambda prints: np.ones(1 << ngram_join.SKETCH_BITS, np.uint8))
     texts = near_copies(seed=5, groups=2, size=25)
     got = ngram_join.ngram_join(frame(spark, texts))
@@ -129,6 +131,28 @@ def test_ngram_join_empty(spark):
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [None])).collect()] == [(0, 0, 0)]
 
 
+def test_spanning_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 2**63, 60), base).astype(np.uint64)) for _ in range(80)] + [np.unique(rng.integers(0, 2**63, 9).astype(np.uint64))]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def parts(links):
+        root[:] = range(len(sets))
+        for x, y in links:
+            root[find(x)] = find(y)
+        return {frozenset(i for i in range(len(sets)) if find(i) == r) for r in map(find, range(len(sets)))}
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.similar(sets[i], sets[j], 80)]
+    got = ngram_join.spanning_links(sets, 80)
+    assert parts(got) == parts(every) and 1 < len(parts(every)) and set(map(lambda p: (max(p), min(p)), got)) <= set(every)
+
+
 def test_prefix_filter_keeps_similar_pairs():
     rng = np.random.default_rng(1)
     for _ in range(300):
