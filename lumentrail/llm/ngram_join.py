@@ -17,17 +17,19 @@ Links are wanted per document, not all pairs of a group of copies:
 * a prefix token's list is first linked as a star around one member; later
   rounds test only pairs of members that are still in different components, so a
   list of near copies costs its length and not its square;
-* lists of heavy tokens stay tables keyed by token and take their stars, around
-  ever better linked members, in SQL, where AQE splits a hot key.
+* heavy lists that share members are a family; a family of bounded size is
+  searched breadth first by one task, where a set once reached is never compared
+  with another one reached; larger ones stay tables keyed by token and take
+  stars, around ever better linked members, in SQL, where AQE splits a hot key.
 
 No list is cut short: after the stars every pair of a list that is still apart
-is verified. Token hashes and class ids have 64 bits; equality of shingles is
+and passes the filters is verified. Token hashes and class ids have 64 bits; equality of shingles is
 equality of hashes.
 
 Defined cases: a null or wordless text has an empty set and links with nothing;
-fewer words than a shingle make one shingle; rows that repeat an id are one
-document if their texts agree and otherwise all count for that id; null ids take
-no part; other columns are not looked at.
+fewer words than a shingle make one shingle; a text of any length is read whole;
+each row of a repeated id is linked by its own text and returned; rows without an
+id take no part; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 SKETCH_BITS, PIECES = 22, 16
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Families of heavy lists with up to so many classes are searched by one task each; larger ones by stars and joins.
+FAMILY = 5_000
 
 
 def finished(h: np.ndarray) -> np.ndarray:
@@ -64,7 +68,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -277,20 +281,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
 
 
-def _second_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of each class's prefix under the second order."""
-    for batch in batches:
-        for c, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens = np.unique(np.frombuffer(short, np.uint32).reshape(2, -1)[1]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), c, np.int64)), pa.array(tokens)], ["cls", "second"])
-
-
 def _sets(width: int):
+    """The sets of classes from one of their documents. An id may be of several texts: only the class's own counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
+            classes, sets = batch.column(0).to_pylist(), [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
+            own = [(c, s.tobytes()) for c, s in zip(classes, sets) if len(s) and class_of(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["cls", "tokens"])
 
     return run
 
@@ -311,6 +310,51 @@ def _verified(percent: int):
     return run
 
 
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all sets which are joined by links, found breadth first.
+
+    A set already reached is never compared with another one reached, and one
+    pass over the tokens of those not yet reached gives all of a set's overlaps.
+    """
+    n = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    own = [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+    mark = np.zeros(int(ids.max()) + 1, np.int64)
+    free, left = np.ones(len(sets), bool), np.arange(len(sets))
+    flat, links = ids, []
+    ends_left = ends
+    for start in range(len(sets)):
+        if not free[start]:
+            continue
+        free[start] = False
+        queue = [start]
+        while queue and free.any():
+            x = queue.pop()
+            if 2 * int(free[left].sum()) < len(left):  # those reached need not be passed over again
+                left = left[free[left]]
+                flat, ends_left = np.concatenate([own[k] for k in left]), np.cumsum(n[left])
+            mark[own[x]] = 1
+            upto = np.cumsum(mark[flat])[ends_left - 1]
+            both = np.diff(upto, prepend=0)
+            mark[own[x]] = 0
+            near = left[free[left] & (100 * both >= percent * (n[left] + n[x] - both))]
+            free[near] = False
+            queue.extend(near.tolist())
+            links.extend((x, y) for y in near.tolist())
+    return links
+
+
+def _family_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = dict(zip(table.column("cls").to_pylist(), table.column("tokens").to_pylist()))
+        classes = sorted(rows)
+        links = spanning_links([np.frombuffer(rows[c], np.uint64) for c in classes], percent)
+        return pa.table({"a": pa.array([classes[x] for x, _ in links], pa.int64()), "b": pa.array([classes[y] for _, y in links], pa.int64())})
+
+    return run
+
+
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
@@ -340,13 +384,26 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     heavy = settle(heavy.join(signs.select("token"), "token", "left_semi"))
     firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """``cls, tokens`` of some classes (``cls``), each from its first document."""
+        wanted = settle(firsts.join(wanted, "cls", "left_semi"))
+        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        return settle(texts.join(known, "doc").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary"))
+
+    # Heavy lists that share members are a family. One of bounded size is searched whole by one task.
+    hubs = heavy.groupBy("token").agg(F.min("cls").alias("hub"))
+    family = components(heavy.join(hubs, "token").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    small = family.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") <= FAMILY).select("comp")
+    inside = settle(family.join(small, "comp", "left_semi").select(F.col("node").alias("cls"), F.col("comp").alias("family")))
+    gathered = sets_of(inside.select("cls")).join(inside, "cls")
+    families = settle(gathered.groupBy("family").applyInArrow(_family_links(percent), "a long, b long"))
+    heavy = settle(heavy.join(inside, "cls", "left_anti"))  # the lists of larger families
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the similarity."""
         a, b = (shorts.select(F.col("cls").alias(p), F.col("short").alias(s), F.col("n").alias(n)) for p, s, n in (("a", "x", "n_x"), ("b", "y", "n_y")))
         likely = settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(_enough(percent), "a long, b long"))
-        wanted = settle(firsts.join(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
-        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        sets = settle(texts.join(known, "doc").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary"))
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         a, b = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
         return settle(likely.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct())
 
@@ -372,7 +429,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     stars = light.select("members", "ns", F.explode(F.slice(F.arrays_zip("members", "ns"), 2, 1 << 30)).alias("m")).where(fits).select(*columns)
     hubs = heavy.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     tested = settle(stars.unionAll(starred(heavy, hubs)).distinct())
-    links = verify(tested)
+    links = settle(verify(tested).unionAll(families))
     comps = components(links)
 
     def apart() -> DataFrame:
@@ -381,6 +438,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         return placed.join(several, "token", "left_semi")
 
+    any_heavy = heavy.limit(1).count()
     # Second round: pairs of light lists that are still apart. Third and fourth: stars around the best linked members of heavy lists. Fifth: what is left of those, pair by pair.
     for step in ("light", "heavy", "heavy", "rest"):
         if step == "light":
@@ -391,6 +449,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             other = placed.select("list", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
             more = placed.join(other, "list").where("cls < cls2 and comp <> comp2").where(fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         else:
+            if not any_heavy:
+                continue
             members = settle(apart())
             if not members.limit(1).count():
                 continue
@@ -402,12 +462,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 hubs = settle(hubs.unionAll(best))
                 more = starred(members, best)
             else:
-                # Pairs must share a prefix token under the second order too: both filters are the join's key.
-                seconds = shorts.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "short").mapInArrow(_second_tokens, "cls long, second long")
-                keyed = members.join(seconds, "cls")
-                other = keyed.select("token", "second", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+                other = members.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
                 reach = fit(F.col("n"), F.col("n2")) & in_reach(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
-                more = keyed.join(other, ["token", "second"]).where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+                more = members.join(other, "token").where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
             continue
