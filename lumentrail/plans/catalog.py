@@ -418,13 +418,25 @@ def day_parts(timeline_):
 # Joins.
 
 
-@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.media_id % 50 = 1")
-def distances(media):
-    a = media.where("lat is not null and media_id % 50 = 1").select(F.col("media_id").alias("a"), "person_id", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
+def _distances(first: DataFrame, media: DataFrame) -> DataFrame:
+    """Each of the first items with the later ones of its person."""
+    a = first.where("lat is not null").select(F.col("media_id").alias("a"), "person_id", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
     b = media.where("lat is not null").select(F.col("media_id").alias("b"), "person_id", "lat", "lng")
     return a.join(b, "person_id").where("a < b").select("a", "b", F.round(geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")), 4).alias("km"))
 
 
+@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.media_id % 50 = 1")
+def distances(media):
+    """From one item in 50; ``all_distances`` is the whole job."""
+    return _distances(media.where("media_id % 50 = 1"), media)
+
+
+@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL")
+def all_distances(media):
+    """Every pair of a person's located items."""
+    return _distances(media, media)
+
+
 @query("faces", sql="WITH f AS (SELECT DISTINCT media_id, person_id FROM faces) SELECT a.person_id AS person_id, b.person_id AS other, count(*) AS n FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id < b.person_id GROUP BY 1, 2")
 def people_together(faces):
     e = graph.together(faces)
