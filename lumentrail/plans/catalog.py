@@ -202,9 +202,15 @@ def near_position(media):
 
 @query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000 AND video_id < 500")
 def segments_in_range(segments):
+    """Of the first videos; ``all_segments_in_range`` is the whole job."""
     return filters.overlapping(segments.where("video_id < 500"), 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
 
 
+@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000")
+def all_segments_in_range(segments):
+    return filters.overlapping(segments, 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
+
+
 @query("media", sql="SELECT media_id FROM media WHERE stages & 5 = 0")
 def missing_stages(media):
     return filters.lacks_stage(media, 5).select("media_id")
@@ -766,9 +772,15 @@ def video_storage(segments):
 
 @query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(CASE WHEN d <= 30000 THEN 1000 WHEN d <= 120000 THEN 2000 ELSE 5000 END, CAST(ceil(d / 60.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments WHERE video_id < 300 GROUP BY video_id HAVING max(end_ms) > 0)")
 def adaptive_frames(segments):
+    """Of the first videos; ``all_adaptive_frames`` is the whole job."""
     return video.adaptive_times(segments.where("video_id < 300").groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
 
 
+@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(CASE WHEN d <= 30000 THEN 1000 WHEN d <= 120000 THEN 2000 ELSE 5000 END, CAST(ceil(d / 60.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments GROUP BY video_id HAVING max(end_ms) > 0)")
+def all_adaptive_frames(segments):
+    return video.adaptive_times(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
+
+
 @query("segments")
 def key_moments(segments):
     return video.key_moments(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))

@@ -12,3 +12,12 @@ def test_distances_start_at_every_located_item(spark, sf):
     assert whole.count() == per_person.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
     assert {r[0] for r in whole.select(F.col("a") % 50).distinct().collect()} == {k for k in range(50) if k % 5}  # items at multiples of 5 have no position
     assert catalog.QUERIES["distances"](spark, sf).exceptAll(whole).count() == 0
+
+
+def test_segments_of_every_video(spark, sf):
+    segments = view(spark, sf, "segments")
+    assert catalog.QUERIES["all_segments_in_range"](spark, sf).count() == segments.where("start_ms < 9000 and end_ms > 5000").count()
+    assert catalog.QUERIES["all_segments_in_range"](spark, sf).where("video_id >= 500").count() > 0
+    videos = catalog.QUERIES["all_adaptive_frames"](spark, sf).select("video_id").distinct()
+    assert videos.count() == segments.where("end_ms > 0").select("video_id").distinct().count()
+    assert videos.where("video_id >= 300").count() > 0
