@@ -131,14 +131,34 @@ def match_signals(vectors, texts, media):
 
 @query("turns", sql="SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1 ORDER BY times DESC, query LIMIT 100")
 def query_log(turns):
-    rows = turns.select(text.normalized_query(F.substring("text", 1, 12)).alias("query"), F.lit(STREAM_NOW).alias("at"))
+    """Of the first 12 characters; ``whole_query_log`` counts whole texts."""
+    return _query_log(turns, F.substring("text", 1, 12))
+
+
+@query("turns", sql="SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1 ORDER BY times DESC, query LIMIT 100")
+def whole_query_log(turns):
+    return _query_log(turns, F.col("text"))
+
+
+def _query_log(turns: DataFrame, words) -> DataFrame:
+    rows = turns.select(text.normalized_query(words).alias("query"), F.lit(STREAM_NOW).alias("at"))
     empty = rows.limit(0).select("query", F.lit(0).cast("long").alias("times"), F.col("at").alias("last"))
     return retrieval.logged_queries(empty, rows).select("query", "times")
 
 
 @query("turns", sql="WITH h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1) SELECT query, times FROM h WHERE starts_with(query, 'the') ORDER BY times DESC, query LIMIT 5")
 def query_suggestions(turns):
-    h = turns.groupBy(text.normalized_query(F.substring("text", 1, 12)).alias("query")).agg(F.count("*").alias("times")).withColumn("last", F.lit(STREAM_NOW))
+    """Of the first 12 characters; ``whole_query_suggestions`` counts whole texts."""
+    return _query_suggestions(turns, F.substring("text", 1, 12))
+
+
+@query("turns", sql="WITH h AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1) SELECT query, times FROM h WHERE starts_with(query, 'the') ORDER BY times DESC, query LIMIT 5")
+def whole_query_suggestions(turns):
+    return _query_suggestions(turns, F.col("text"))
+
+
+def _query_suggestions(turns: DataFrame, words) -> DataFrame:
+    h = turns.groupBy(text.normalized_query(words).alias("query")).agg(F.count("*").alias("times")).withColumn("last", F.lit(STREAM_NOW))
     return retrieval.suggestions(h, "the").select("query", "times")
 
 
@@ -710,12 +730,15 @@ def smart_album(media, tags):
     return filters.structured(media, filters.MediaFilter.from_json(ALBUM_JSON), tags=tags).select("media_id")
 
 
-def _history(turns: DataFrame) -> DataFrame:
-    words = turns.select(text.normalized_query(F.substring("text", 1, 12)).alias("query"), (F.lit(STREAM_NOW).cast("timestamp_ntz") - F.make_dt_interval(F.col("conv_id") % 300)).alias("at"))
+def _history(turns: DataFrame, words=None) -> DataFrame:
+    """Queries by text: ``words``, or the first 12 characters."""
+    words = F.substring("text", 1, 12) if words is None else words
+    words = turns.select(text.normalized_query(words).alias("query"), (F.lit(STREAM_NOW).cast("timestamp_ntz") - F.make_dt_interval(F.col("conv_id") % 300)).alias("at"))
     return words.groupBy("query").agg(F.count("*").alias("times"), F.max("at").alias("last"))
 
 
 HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
+WHOLE_HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
 
 
 @query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times, last FROM h ORDER BY last DESC, query LIMIT 5")
@@ -723,16 +746,31 @@ def recent_queries(turns):
     return retrieval.recent_queries(_history(turns))
 
 
+@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL} SELECT query, times, last FROM h ORDER BY last DESC, query LIMIT 5")
+def whole_recent_queries(turns):
+    return retrieval.recent_queries(_history(turns, F.col("text")))
+
+
 @query("turns", sql=f"WITH {HISTORY_SQL}, r AS (SELECT query FROM h ORDER BY last DESC, query LIMIT 5) SELECT query, times FROM h WHERE query NOT IN (SELECT query FROM r) ORDER BY times DESC, last DESC, query LIMIT 5")
 def rediscovered_queries(turns):
     return retrieval.popular_but_not_recent(_history(turns)).select("query", "times")
 
 
+@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL}, r AS (SELECT query FROM h ORDER BY last DESC, query LIMIT 5) SELECT query, times FROM h WHERE query NOT IN (SELECT query FROM r) ORDER BY times DESC, last DESC, query LIMIT 5")
+def whole_rediscovered_queries(turns):
+    return retrieval.popular_but_not_recent(_history(turns, F.col("text"))).select("query", "times")
+
+
 @query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times FROM h WHERE month(last) = 1 ORDER BY times DESC, last DESC, query LIMIT 5")
 def seasonal_queries(turns):
     return retrieval.seasonal_queries(_history(turns), 1).select("query", "times")
 
 
+@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL} SELECT query, times FROM h WHERE month(last) = 1 ORDER BY times DESC, last DESC, query LIMIT 5")
+def whole_seasonal_queries(turns):
+    return retrieval.seasonal_queries(_history(turns, F.col("text")), 1).select("query", "times")
+
+
 RELATED_SQL = """WITH m AS (SELECT *, (media_id * 2654435761 % 4294967296) & 4278255360 AS hi, (media_id * 40503 % 4294967296) & 16711935 AS lo FROM media),
 s AS (SELECT * FROM m WHERE media_id = 2), d AS (SELECT m.media_id, m.album = s.album AS same, m.person_id = s.person_id AS person,
 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - m.lng) / 2), 2)))) AS km,

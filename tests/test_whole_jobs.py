@@ -21,3 +21,14 @@ def test_segments_of_every_video(spark, sf):
     videos = catalog.QUERIES["all_adaptive_frames"](spark, sf).select("video_id").distinct()
     assert videos.count() == segments.where("end_ms > 0").select("video_id").distinct().count()
     assert videos.where("video_id >= 300").count() > 0
+
+
+def test_queries_are_whole_texts(spark):
+    long = "the same beginning, "
+    rows = [(1, 1, "user", long + "one end"), (2, 1, "user", long + "another end"), (3, 1, "user", long.upper() + "  another   END ")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in catalog.whole_query_log(turns).collect()] == [(long + "another end", 2), (long + "one end", 1)]
+    assert [tuple(r) for r in catalog.whole_query_suggestions(turns).collect()] == [(long + "another end", 2), (long + "one end", 1)]
+    assert {r.query for r in catalog.whole_recent_queries(turns).collect()} == {long + "another end", long + "one end"}
+    assert catalog.whole_rediscovered_queries(turns).count() == 0
+    assert [tuple(r) for r in catalog.whole_seasonal_queries(turns).collect()] == [(long + "another end", 2), (long + "one end", 1)]
