@@ -238,10 +238,16 @@ def missing_stages(media):
 
 @query("trash", sql=f"SELECT media_id, greatest(0, least(30, 30 - date_diff('day', deleted, {NOW_SQL}))) AS days_left FROM trash WHERE deleted > {NOW_SQL} - INTERVAL 200 DAY")
 def trash_days_left(trash):
+    """Of the last 200 days; ``all_trash_days_left`` is the whole job."""
     recent = trash.where(F.col("deleted") > now() - F.expr("INTERVAL 200 DAYS"))
     return recent.select("media_id", time.days_left(F.col("deleted"), now()).cast("long").alias("days_left"))
 
 
+@query("trash", sql=f"SELECT media_id, greatest(0, least(30, 30 - date_diff('day', deleted, {NOW_SQL}))) AS days_left FROM trash")
+def all_trash_days_left(trash):
+    return trash.select("media_id", time.days_left(F.col("deleted"), now()).cast("long").alias("days_left"))
+
+
 @query("trash", sql=f"SELECT media_id FROM trash WHERE deleted <= {NOW_SQL} - INTERVAL 30 DAY")
 def expired_trash(trash):
     return filters.expired(trash, now()).select("media_id")

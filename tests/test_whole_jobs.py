@@ -32,3 +32,9 @@ def test_queries_are_whole_texts(spark):
     assert {r.query for r in catalog.whole_recent_queries(turns).collect()} == {long + "another end", long + "one end"}
     assert catalog.whole_rediscovered_queries(turns).count() == 0
     assert [tuple(r) for r in catalog.whole_seasonal_queries(turns).collect()] == [(long + "another end", 2), (long + "one end", 1)]
+
+
+def test_days_left_of_all_trash(spark, sf):
+    rows = catalog.QUERIES["all_trash_days_left"](spark, sf)
+    assert rows.count() == view(spark, sf, "trash").count()
+    assert rows.where("days_left = 0").join(view(spark, sf, "trash").where(F.col("deleted") < catalog.now() - F.expr("INTERVAL 200 DAYS")), "media_id").count() > 0
