@@ -7,7 +7,7 @@ a settled partition with a bounded number of tokens; each shard has an inverted
 index of its own with BM25 weights from the corpus-wide counts.
 
 A shard is packed greedily: a seed document opens a window, the unused documents
-that BM25 ranks highest for the seed's most telling terms fill it, and the one
+that BM25 ranks highest for the seed's terms fill it, and the one
 that reaches the window's end is cut there and goes on in the next window, whose
 seed it becomes. What remains at a shard's end is split into sequences whose
 lengths are powers of two, so nothing is padded.
@@ -102,10 +102,13 @@ def _frequencies(size: int):
 
 
 class Shard:
-    """An inverted index over some documents' ids, with BM25 scores and marks of use."""
+    """An inverted index over some documents' ids, with BM25 scores and marks of use.
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, terms: int, k1: float = 1.2, b: float = 0.75):
-        self.docs, self.idf, self.terms = docs, idf, terms
+    Terms of at least one in ``share`` documents are a dense matrix instead of postings.
+    """
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, share: int, k1: float = 1.2, b: float = 0.75):
+        self.docs = docs
         lengths = np.array([len(d) for d in docs])
         flat = np.concatenate(docs)
         order = np.argsort(flat, kind="stable")  # a radix sort of 16-bit ids: postings by term, documents ascending
@@ -118,26 +121,54 @@ class Shard:
         norm = k1 * (1 - b + b * lengths / mean_length)
         self.weight = (idf[term] * (times * (k1 + 1) / (times + norm[self.posting_doc]))).astype(np.float32)
         self.unused = np.ones(len(docs), bool)
+        held = np.diff(self.starts)
+        common = np.flatnonzero((held > 1) & (held * share >= len(docs)))
+        self.column = np.full(len(idf), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(docs), len(common)), np.float32)
+        dense = self.column[term] >= 0
+        self.dense[self.posting_doc[dense], self.column[term[dense]]] = self.weight[dense]
+        by_doc = np.argsort(self.posting_doc, kind="stable")
+        self.doc_term, self.doc_weight = term[by_doc], self.weight[by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.posting_doc, minlength=len(docs)))])
+        self.asked = np.zeros(len(idf), bool)
+
+    def scores(self, docs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of some documents for the terms ``own``."""
+        first, lengths = self.doc_starts[docs], self.doc_starts[docs + 1] - self.doc_starts[docs]
+        begins = np.cumsum(lengths) - lengths
+        at = np.repeat(first - begins, lengths) + np.arange(lengths.sum())
+        self.asked[own] = True
+        found = np.add.reduceat(np.where(self.asked[self.doc_term[at]], self.doc_weight[at], 0.0), begins)
+        self.asked[own] = False
+        return found
 
     def neighbours(self, seed: int, most: int) -> np.ndarray:
-        """Unused documents by falling score for the seed's most telling terms, ties to the earlier one."""
-        own = np.unique(self.docs[seed])
-        own = own[self.starts[own + 1] - self.starts[own] > 1] if len(own) else own
-        if len(own) > self.terms:
-            own = own[np.argsort(-self.idf[own], kind="stable")[: self.terms]]
-        if not len(own):
-            return own
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in own.tolist()]
-        score = np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
-        score *= self.unused
-        found = np.flatnonzero(score)
+        """The ``most`` unused documents of highest score for all terms of the seed, ties to the earlier one.
+
+        Sums of single precision find the documents that may be among them, and
+        those are scored again in double precision.
+        """
+        own = self.doc_term[self.doc_starts[seed] : self.doc_starts[seed + 1]]
+        own = own[self.starts[own + 1] - self.starts[own] > 1]
+        columns = self.column[own]
+        wanted = np.zeros(self.dense.shape[1], np.float32)
+        wanted[columns[columns >= 0]] = 1
+        score = self.dense @ wanted
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in own[columns < 0].tolist()]
+        if spans:
+            score = score + np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
+        found = np.flatnonzero((score > 0) & self.unused)
         if len(found) > most:
-            found = found[np.argpartition(-score[found], most - 1)[:most]]
-        return found[np.lexsort((found, -score[found]))]
+            reached = score[found]
+            found = found[reached >= np.partition(reached, len(found) - most)[len(found) - most] * (1 - 1e-3)]
+        if not len(found):
+            return found
+        return found[np.lexsort((found, -self.scores(found, own)))[:most]]
 
 
 def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
-    """The order in which documents enter the stream of windows."""
+    """The order in which documents enter the stream of windows; ``most`` neighbours are asked for at first, then more."""
     order, at, seed, next_free = [], 0, -1, 0
     n = len(shard.docs)
 
@@ -160,11 +191,15 @@ def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
         if at == end:
             seed = -1
             continue
-        for doc in shard.neighbours(seed, most).tolist():
-            take(doc)
-            if at >= end:
-                break
-        # A document cut at the window's end seeds the next; a list that ran out leaves the window to another seed.
+        asked, more = most, True
+        while at < end and more:
+            found = shard.neighbours(seed, asked).tolist()
+            for doc in found:
+                take(doc)
+                if at >= end:
+                    break
+            asked, more = 4 * asked, len(found) == asked
+        # A document cut at the window's end seeds the next; where no unused document scores, another seed goes on.
         seed = order[-1] if at > end else -1
 
 
@@ -173,11 +208,11 @@ def tail_lengths(left: int, window: int) -> list[int]:
     return [1 << k for k in range(window.bit_length(), -1, -1) if left >> k & 1]
 
 
-def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, terms: int):
+def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, share: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pieces(ids: list, docs: list[np.ndarray], idf: np.ndarray, first_sequence: int):
-        shard = Shard(docs, idf, mean_length, terms)
+        shard = Shard(docs, idf, mean_length, share)
         total = sum(map(len, docs))
         lengths = [window] * (total // window) + tail_lengths(total % window, window)
         rows, sequence, offset = [], 0, 0
@@ -231,13 +266,13 @@ def pack(
     end_id: int = 1,
     vocabulary: int = 50_257,
     shard_tokens: int = 4_000_000,
-    terms: int = 12,
+    share: int = 8,
 ) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``.
 
-    ``terms`` is the number of a seed's terms that are looked up (its rarest in
-    the corpus), ``shard_tokens`` bounds a shard's memory.
+    ``shard_tokens`` bounds a shard's memory; terms of at least one in ``share``
+    documents of a shard are kept as a matrix, of at most ``share`` cells a posting.
     """
     if vocabulary > 1 << 16 or window & (window - 1):
         raise ValueError("the vocabulary must fit 16 bits and the window be a power of two")
@@ -251,4 +286,4 @@ def pack(
     n_docs, n_tokens = held[vocabulary], held[vocabulary + 1]
     idf = np.log1p((n_docs - held[:vocabulary] + 0.5) / (held[:vocabulary] + 0.5))
     rows = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.mapInArrow(_packed(context.broadcast(idf.tobytes()), max(1.0, n_tokens / max(1.0, n_docs)), window, shard_tokens, terms), rows)
+    return tokens.mapInArrow(_packed(context.broadcast(idf.tobytes()), max(1.0, n_tokens / max(1.0, n_docs)), window, shard_tokens, share), rows)

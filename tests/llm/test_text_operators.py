@@ -262,6 +262,37 @@ def test_packing_brings_neighbours_together():
     assert sorted(order) == list(range(16)) and len({i % 2 for i in order[:8]}) == 1
 
 
+def test_packing_asks_for_all_neighbours_of_a_seed():
+    """More short documents than one request returns fill the window before any that share less."""
+    a, b = np.arange(100, 110, dtype="<u2"), np.arange(500, 510, dtype="<u2")
+    docs = [np.concatenate([x, np.array([1000 + i], "<u2")]) for i, x in enumerate([a, b] * 60)]
+    order = packing.packed_order(packing.Shard(docs, np.ones(2000), 11.0, 12), 512)
+    assert sorted(order) == list(range(120)) and {i % 2 for i in order[:47]} == {0}
+
+
+@pytest.mark.parametrize("share", [1, 8, 1000])
+def test_packing_scores_all_terms(share):
+    """Neighbours are those of the whole BM25 sum, whatever part of it is dense."""
+    rng = np.random.default_rng(share)
+    idf = rng.exponential(2.0, 400) ** 2 + 1e-3
+    docs = [rng.zipf(1.3, rng.integers(1, 200)).clip(1, 399).astype("<u2") for _ in range(400)]
+    mean = float(np.mean([len(d) for d in docs]))
+    shard = packing.Shard(docs, idf, mean, share)
+    shard.unused[rng.integers(0, 400, 60)] = False
+    weights = np.zeros((400, 400))
+    for i, d in enumerate(docs):
+        t, n = np.unique(d, return_counts=True)
+        weights[i, t] = (idf[t] * (n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean)))).astype(np.float32)
+    for seed in range(0, 400, 7):
+        shard.unused[seed], was = False, shard.unused[seed]
+        score = weights[:, np.unique(docs[seed])].sum(axis=1) * shard.unused
+        for most in (1, 5, 16, 400):
+            found = shard.neighbours(seed, most)
+            best = np.sort(score[score > 0])[::-1][:most]
+            assert len(set(found.tolist())) == len(found) == len(best) and np.allclose(score[found], best, rtol=1e-9)
+        shard.unused[seed] = was
+
+
 # Token counts.
 
 
