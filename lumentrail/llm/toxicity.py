@@ -57,7 +57,7 @@ class FuzzyTrie:
 
     def __init__(self, terms: Iterable[Term], fuzzy_from: int = 5):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: dict[int, Term] = {}
+        self.ends: defaultdict[int, list[Term]] = defaultdict(list)  # a stem may be a word, too
         for term in terms:
             node = 0
             for c in term.text:
@@ -65,7 +65,7 @@ class FuzzyTrie:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                 node = self.children[node][c]
-            self.ends[node] = term
+            self.ends[node].append(term)
         self.can_bend = [False] * len(self.children)  # nodes on the way to a word that may be misspelled
         self._mark(0, 0, fuzzy_from)
         self.states: dict[frozenset, int] = {}
@@ -76,8 +76,7 @@ class FuzzyTrie:
         self.start = self._state(self._closed({(0, 0)}))
 
     def _mark(self, node: int, depth: int, fuzzy_from: int) -> bool:
-        term = self.ends.get(node)
-        bends = bool(term and not term.stem and len(term.text) >= fuzzy_from)
+        bends = any(not term.stem and len(term.text) >= fuzzy_from for term in self.ends.get(node, ()))
         for child in self.children[node].values():
             bends |= self._mark(child, depth + 1, fuzzy_from)
         self.can_bend[node] = bends
@@ -95,7 +94,7 @@ class FuzzyTrie:
             self.states[places] = len(self.sets)
             self.sets.append(places)
             self.next.append({})
-            ends = [(self.ends[n], e) for n, e in places if n in self.ends and (not e or self.can_bend[n])]
+            ends = [(t, e) for n, e in places if not e or self.can_bend[n] for t in self.ends.get(n, ())]
             ends = [(t, e) for t, e in ends if not e or not t.stem]
             self.found.append(min(ends, key=lambda x: (x[1], -x[0].weight, x[0].text), default=None))
             self.stemmed.append(next((t for t, e in ends if t.stem and not e), None))
@@ -163,7 +162,7 @@ def _counts(max_prefix: int):
         forms: defaultdict = defaultdict(set)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words = {w for w in TOKEN.findall((text or "").lower()) if len(w) >= 4}
+                words = set(TOKEN.findall((text or "").lower()))
                 seen.update(("w", w, toxic) for w in words)
                 stems = {w[:n] for w in words for n in range(4, max_prefix + 1) if len(w) > n}
                 seen.update(("s", s, toxic) for s in stems)
@@ -178,17 +177,19 @@ def _counts(max_prefix: int):
     return counted
 
 
-def learn_terms(labelled: DataFrame, *, most: int = 400, least_docs: int = 4, precision: float = 0.9, max_prefix: int = 6) -> list[Term]:
+def learn_terms(labelled: DataFrame, *, least_docs: int = 4, precision: float = 0.9, max_prefix: int = 6) -> list[Term]:
     """Words and stems that occur almost only in toxic rows of ``labelled``
-    (columns ``text``, ``toxic``), with smoothed log odds as weights."""
+    (columns ``text``, ``toxic``), with smoothed log odds as weights.
+
+    Words of any length that a stem covers stay beside it, for their misspellings."""
     counts = labelled.mapInPandas(_counts(max_prefix), "kind string, term string, toxic int, n long, forms array<string>")
     toxic = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0))
     total = F.sum("n")
     found = (
         counts.groupBy("kind", "term").agg(toxic.alias("toxic"), total.alias("total"), F.size(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("n_forms"))
         .where((F.col("toxic") >= least_docs) & (F.col("toxic") >= precision * F.col("total")) & ((F.col("kind") == "w") | (F.col("n_forms") >= 3)))
-        .orderBy(F.desc("toxic"), "kind", "term").limit(most).collect()
-    )
+        .orderBy(F.desc("toxic"), "kind", "term").collect()
+    )  # fmt: skip; no more than the labelled rows hold
     stems = sorted((r.term for r in found if r.kind == "s"), key=lambda s: (len(s), s))
     short = [s for i, s in enumerate(stems) if not any(s.startswith(x) for x in stems[:i])]
     support = {r.term: r.toxic for r in found if r.kind == "s"}
@@ -197,7 +198,7 @@ def learn_terms(labelled: DataFrame, *, most: int = 400, least_docs: int = 4, pr
     return [
         Term(r.term, r.kind == "s", math.log((r.toxic + 0.5) / (r.total - r.toxic + 0.5)))
         for r in found
-        if (r.kind == "s" and r.term in short) or (r.kind == "w" and not any(r.term.startswith(s) for s in short))
+        if r.kind == "w" or r.term in short
     ]
 
 

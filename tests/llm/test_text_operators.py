@@ -413,3 +413,21 @@ def test_line_query_matches_sql(spark, duck, sf):
     got = sorted(map(tuple, registry.queries()["op10_line_dedup"](spark, sf).collect()))
     assert got == sorted(duck.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({registry.oracle_sql()['op10_line_dedup']})").fetchall())
     assert len(got[0][3]) == len(hashlib.sha256().hexdigest())
+
+
+def test_toxicity_keeps_words_under_a_stem(spark):
+    """Words that a stem covers, short words and more terms than 400 are all learned."""
+    many = ["".join(chr(97 + i // 26**k % 26) for k in range(2)) + "qxzv" for i in range(420)]
+    bad = ["clownish", "clownery", "clowns", "clown", "oaf"]
+    rows = [(" ".join([*bad, *many]), 1)] * 5 + [("a kind word", 0)] * 5
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {t.text for t in terms if not t.stem} == {*bad, *many}
+    assert any(t.stem and "clowns".startswith(t.text) for t in terms)
+    trie = toxicity.FuzzyTrie(terms)
+    assert [trie.match(w)[1] for w in ("clowns", "clown", "oaf", "clpwns", "clpwn", "clwn")] == [0, 0, 0, 1, 1, 1]
+
+
+def test_a_word_and_a_stem_of_the_same_letters():
+    for order in (1, -1):
+        trie = toxicity.FuzzyTrie([toxicity.Term("idiot", True, 3.0), toxicity.Term("idiot", False, 2.0)][::order])
+        assert [trie.match(w) and trie.match(w)[1] for w in ("idiot", "idiotic", "idxot", "idxotic")] == [0, 0, 1, None]
