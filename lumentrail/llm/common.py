@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,16 @@ def settle(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder.
 
     The files outlive lost executors and go when the JVM no longer refers to
-    them. The folder is the cluster's ``spark.checkpoint.dir``; only a session
-    without one (tests) gets a folder of its own.
+    them. The folder is the cluster's ``spark.checkpoint.dir``. A session of one
+    machine that names none gets a folder of its own; a cluster's must name one,
+    as executors can't read each other's disks.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumentrail-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumentrail-"))
     return df.checkpoint(eager=True)
 
 

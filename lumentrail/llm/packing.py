@@ -2,31 +2,38 @@
 
 Texts are tokenised once and the ids are settled. Document frequencies of token
 ids are counted over the whole corpus (as many counts as the vocabulary has
-entries). The corpus is then read shard by shard, a shard being a run of rows of
-a settled partition with a bounded number of tokens; each shard has an inverted
-index of its own with BM25 weights from the corpus-wide counts.
+entries). Documents are then dealt to shards of a bounded number of tokens, each
+with an inverted index of its own and BM25 weights from the corpus-wide counts.
+
+So that a seed's neighbours lie in its shard, documents are dealt by their terms
+and not by where they are stored: the BM25 weights of a document's terms, under a
+random projection, lead it down a tree whose splits are medians of a bounded
+sample. A leaf that holds more than a shard (a group of copies can't be split) is
+several shards, by a hash of the id.
 
 A shard is packed greedily: a seed document opens a window, the unused documents
 that BM25 ranks highest for the seed's terms fill it, and the one
 that reaches the window's end is cut there and goes on in the next window, whose
-seed it becomes. What remains at a shard's end is split into sequences whose
-lengths are powers of two, so nothing is padded.
+seed it becomes. What remains at a shard's end is one shorter sequence, padded.
 
-Only counts leave the executors; no document is shuffled. A partition is packed
-by one task from settled files, so a lost executor's work is done again alike.
+Only counts and the sample leave the executors. A shard is packed by one task
+from settled ids, so a lost executor's work is done again alike.
 
 Defined cases: a null or empty text is the end id alone; a document longer than a
 window, however long, is cut into as many pieces as it takes; rows that repeat an
-id are packed each for itself; an empty table gives no pieces; other columns are
-not looked at.
+id are packed each for itself; of neighbours with the same score the one
+stored earlier comes first; an empty table gives no pieces; other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,8 @@ ID = np.dtype("<u2")
 #: The tokenizer's word rule for texts of these characters, where Python's classes agree with Unicode's letters and numbers.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¿-ÖØ-öø-ſ‐-‧]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ſ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ſ]+|\s+(?!\S)|\s+")
+#: A run of Unicode's white space that is too long for the library's own word rule, which recurses over it.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class Encoder(dict):
@@ -57,7 +66,7 @@ class Encoder(dict):
         self.remembered = remembered
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), ID).tobytes()
+        ids = np.array(self.encoding._encode_single_piece(piece), ID).tobytes()
         if len(self) >= self.remembered:
             self.clear()
         if len(piece) <= 40:
@@ -65,8 +74,21 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text of any length.
+
+        A long run of white space is a piece of its own under the word rule, all
+        but its last character where something follows: it is cut out here.
+        """
         if _PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            upto = run.end() - (run.end() < len(text))
+            out += [self._ordinary(text[at : run.start()]), self[text[run.start() : upto]]]
+            at = upto
+        return b"".join([*out, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
 
 
@@ -203,9 +225,101 @@ def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
         seed = order[-1] if at > end else -1
 
 
-def tail_lengths(left: int, window: int) -> list[int]:
-    """Powers of two, falling, that sum to ``left``."""
-    return [1 << k for k in range(window.bit_length(), -1, -1) if left >> k & 1]
+def _bm25(ids: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms and their BM25 weights."""
+    term, times = np.unique(ids, return_counts=True)
+    return term, idf[term] * (times * (k1 + 1) / (times + k1 * (1 - b + b * len(ids) / mean_length)))
+
+
+class Projection:
+    """Documents as short vectors: BM25 weights of their terms under seeded signs, of length 1."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float, dims: int, seed: int):
+        self.idf, self.mean_length = idf, mean_length
+        self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (len(idf), dims))
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        term, weight = _bm25(ids, self.idf, self.mean_length)
+        x = weight.astype(np.float32) @ self.signs[term]
+        return x / (np.linalg.norm(x) + 1e-9)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A full binary tree of splits, breadth first, and the first shard and number of shards of each leaf."""
+
+    normals: np.ndarray
+    cuts: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for level in range((len(self.cuts) + 1).bit_length() - 1):
+            node = (1 << level) - 1 + at
+            at = 2 * at + ((x * self.normals[node]).sum(axis=1) > self.cuts[node])
+        return at
+
+
+def grown(x: np.ndarray, sizes: np.ndarray, depth: int, total: float, shard_tokens: int) -> Tree:
+    """A tree whose splits lie across the two halves of their rows, in the widest gap near the median.
+
+    ``sizes``: the rows' tokens, whose shares tell how many shards a leaf needs.
+    """
+    normals, cuts = np.zeros(((1 << depth) - 1, x.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
+    rows = [np.arange(len(x))]
+    for node in range((1 << depth) - 1):
+        own = rows[node]
+        left = right = own
+        if len(own) > 1:
+            one = x[own[np.argmax(((x[own] - x[own].mean(axis=0)) ** 2).sum(axis=1))]]
+            other = x[own[np.argmax(((x[own] - one) ** 2).sum(axis=1))]]
+            for _ in range(4):  # two means
+                near = ((x[own] - one) ** 2).sum(axis=1) <= ((x[own] - other) ** 2).sum(axis=1)
+                if near.all() or not near.any():
+                    break
+                one, other = x[own[near]].mean(axis=0), x[own[~near]].mean(axis=0)
+            normals[node] = other - one
+            along = (x[own] * normals[node]).sum(axis=1)
+            ranked = np.sort(along)
+            low = int(0.4 * (len(own) - 1))
+            gap = low + int(np.argmax(np.diff(ranked[low : max(low + 2, int(0.6 * len(own)) + 1)])))
+            cuts[node] = (ranked[gap] + ranked[gap + 1]) / 2
+            left, right = own[along <= cuts[node]], own[along > cuts[node]]
+        rows += [left, right]
+    tokens = np.array([sizes[own].sum() for own in rows[-(1 << depth) :]], float)
+    parts = np.maximum(1, np.ceil(total * tokens / max(1, sizes.sum()) / shard_tokens)).astype(np.int64)
+    return Tree(normals, cuts, np.cumsum(parts) - parts, parts)
+
+
+def _sampled(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        projection = Projection(*model.value)
+        for batch in batches:
+            docs = [np.frombuffer(blob, ID) for blob in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([projection.of(d).tolist() for d in docs], pa.list_(pa.float32())), pa.array([len(d) for d in docs], pa.int64())], ["x", "tokens"])
+
+    return run
+
+
+def _dealt(model, tree):
+    """Documents with their shard, and their place among the settled rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        projection, splits = Projection(*model.value), tree.value
+        partition, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = np.arange(at, at + len(batch))
+            at += len(batch)
+            leaf = np.zeros(len(batch), np.int64)
+            if len(splits.cuts):
+                leaf = splits.leaves(np.array([projection.of(np.frombuffer(blob, ID)) for blob in batch.column(1).to_pylist()]).reshape(len(batch), -1))
+            shard = splits.first[leaf] + (partition * 7919 + place) % splits.parts[leaf]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard), pa.array((partition << 33) + place)], ["doc_id", "ids", "shard", "place"])
+
+    return run
 
 
 def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, share: int):
@@ -214,7 +328,7 @@ def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, share:
     def pieces(ids: list, docs: list[np.ndarray], idf: np.ndarray, first_sequence: int):
         shard = Shard(docs, idf, mean_length, share)
         total = sum(map(len, docs))
-        lengths = [window] * (total // window) + tail_lengths(total % window, window)
+        lengths = [window] * (total // window) + [total % window] * (total % window > 0)
         rows, sequence, offset = [], 0, 0
         for d in packed_order(shard, window):
             start, own = 0, docs[d]
@@ -231,7 +345,7 @@ def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, share:
 
         idf = np.frombuffer(idf_blob.value, np.float64)
         sequence = TaskContext.get().partitionId() << 40  # a partition's numbers are its own
-        ids, docs, size, id_type = [], [], 0, None
+        ids, docs, size, id_type, now = [], [], 0, None, None
 
         def flush():
             nonlocal ids, docs, size, sequence
@@ -243,10 +357,11 @@ def _packed(idf_blob, mean_length: float, window: int, shard_tokens: int, share:
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, blob, shard in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 own = np.frombuffer(blob, ID)
-                if size and size + len(own) > shard_tokens:
+                if size and (shard != now or size + len(own) > 2 * shard_tokens):  # shards are as large as the sample foretells
                     yield from flush()
+                now = shard
                 ids.append(doc_id)
                 docs.append(own)
                 size += len(own)
@@ -267,16 +382,21 @@ def pack(
     vocabulary: int = 50_257,
     shard_tokens: int = 4_000_000,
     share: int = 8,
+    fit_docs: int = 65_536,
+    dims: int = 48,
+    seed: int = 7,
 ) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``.
 
-    ``shard_tokens`` bounds a shard's memory; terms of at least one in ``share``
-    documents of a shard are kept as a matrix, of at most ``share`` cells a posting.
+    ``shard_tokens`` is what a shard holds about (twice that at most); terms of at
+    least one in ``share`` documents of a shard are kept as a matrix, of at most
+    ``share`` cells a posting. The tree is grown on ``fit_docs`` documents at most.
     """
     if vocabulary > 1 << 16 or window & (window - 1):
         raise ValueError("the vocabulary must fit 16 bits and the window be a power of two")
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    context = spark.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     tokens = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenised(context.broadcast(ranks), pattern, end_id), f"doc_id {id_type}, ids binary"))
     counts = tokens.select("ids").mapInArrow(_frequencies(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -285,5 +405,23 @@ def pack(
         held[row.id] = row.n
     n_docs, n_tokens = held[vocabulary], held[vocabulary + 1]
     idf = np.log1p((n_docs - held[:vocabulary] + 0.5) / (held[:vocabulary] + 0.5))
+    mean_length = max(1.0, n_tokens / max(1.0, n_docs))
+    model = context.broadcast((idf, mean_length, dims, seed))
+
+    leaves = n_tokens / shard_tokens
+    wanted = min(fit_docs, 64 * leaves) if leaves > 1 else 0
+    x, sizes = np.zeros((0, dims), np.float32), np.zeros(0)
+    if wanted:
+        drawn = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / n_docs))
+        found = tokens.where(drawn).select("ids").mapInArrow(_sampled(model), "x array<float>, tokens long").limit(2 * fit_docs).toArrow()
+        x, sizes = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, dims), found.column("tokens").to_numpy()
+        order = np.lexsort([*x.T, sizes])
+        x, sizes = x[order], sizes[order]
+    depth = max(0, min(math.ceil(math.log2(leaves)), int(math.log2(len(x) / 16)))) if len(x) >= 16 else 0
+    tree = grown(x, sizes, depth, n_tokens, shard_tokens) if depth else Tree(np.zeros((0, dims)), np.zeros(0), np.zeros(1, np.int64), np.array([max(1, math.ceil(leaves))]))
+    shards = int(tree.parts.sum())
+    dealt = tokens.mapInArrow(_dealt(model, context.broadcast(tree)), f"doc_id {id_type}, ids binary, shard long, place long")
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 20_000))
+    dealt = dealt.repartitionById(tasks, F.col("shard").cast("int")).sortWithinPartitions("shard", "place").select("doc_id", "ids", "shard")
     rows = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.mapInArrow(_packed(context.broadcast(idf.tobytes()), max(1.0, n_tokens / max(1.0, n_docs)), window, shard_tokens, share), rows)
+    return dealt.mapInArrow(_packed(context.broadcast(idf.tobytes()), mean_length, window, shard_tokens, share), rows)
