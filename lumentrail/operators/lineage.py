@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's shared checkpoint folder; only a session that names none gets a folder of its own."""
+    """``df`` computed once into the session's shared checkpoint folder.
+
+    A session of one machine that names none gets a folder of its own; on a
+    cluster, where executors can't read each other's disks, that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumentrail-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumentrail-"))
     return df.checkpoint(eager=True)
