@@ -279,8 +279,8 @@ def test_packing_deals_related_documents_to_one_shard(spark):
         shards[r.sequence_id >> 20].append(r)
     assert len(shards) >= 8 and max(sum(r.length for r in p) for p in shards.values()) <= 2 * 16_000
     kind = lambda r: r.doc_id % 8 if r.doc_id < 800 else 8
-    pure = sum(max(collections.Counter(kind(r) for r in p).values()) for p in shards.values())
-    assert pure / len(rows) > 0.8
+    together = [max(sum(kind(r) == k for r in p) for p in shards.values()) / sum(kind(r) == k for r in rows) for k in range(8)]
+    assert sum(together) / 8 > 0.6, together  # dealt at random, about a tenth of a kind would meet
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
 
 
