@@ -33,7 +33,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -246,50 +246,69 @@ class Projection:
 
 @dataclass(frozen=True)
 class Tree:
-    """A full binary tree of splits, breadth first, and the first shard and number of shards of each leaf."""
+    """Nodes of a binary tree of splits; a leaf's children are -1, and it has a first shard and a number of shards."""
 
     normals: np.ndarray
     cuts: np.ndarray
+    children: np.ndarray
     first: np.ndarray
     parts: np.ndarray
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
-        for level in range((len(self.cuts) + 1).bit_length() - 1):
-            node = (1 << level) - 1 + at
-            at = 2 * at + ((x * self.normals[node]).sum(axis=1) > self.cuts[node])
+        while (rows := np.flatnonzero(self.children[at, 0] >= 0)).size:
+            right = (x[rows] * self.normals[at[rows]]).sum(axis=1) > self.cuts[at[rows]]
+            at[rows] = self.children[at[rows], right.astype(int)]
         return at
 
 
-def grown(x: np.ndarray, sizes: np.ndarray, depth: int, total: float, shard_tokens: int) -> Tree:
-    """A tree whose splits lie across the two halves of their rows, in the widest gap near the median.
+def grown(x: np.ndarray, sizes: np.ndarray, total: float, shard_tokens: int, least_rows: int = 8) -> Tree:
+    """A tree whose splits lie between the two means of their rows.
 
-    ``sizes``: the rows' tokens, whose shares tell how many shards a leaf needs.
+    ``sizes``: the rows' tokens, whose shares of ``total`` foretell what a leaf
+    holds. Rows are split down to a quarter of a shard; leaves that are near in
+    the tree then fill a shard together, and one that holds more is several.
     """
-    normals, cuts = np.zeros(((1 << depth) - 1, x.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
-    rows = [np.arange(len(x))]
-    for node in range((1 << depth) - 1):
+    normals, cuts, children, rows = [], [], [], [np.arange(len(x))]
+    scale = total / max(1.0, sizes.sum())
+    leaves, open_ = [], [0]
+    while open_:
+        node = open_.pop()
+        while len(cuts) < len(rows):
+            normals.append(np.zeros(x.shape[1], np.float32))
+            cuts.append(np.float32(0))
+            children.append((-1, -1))
         own = rows[node]
-        left = right = own
-        if len(own) > 1:
+        near = np.ones(len(own), bool)
+        if len(own) >= 2 * least_rows and scale * sizes[own].sum() > shard_tokens / 4:
             one = x[own[np.argmax(((x[own] - x[own].mean(axis=0)) ** 2).sum(axis=1))]]
             other = x[own[np.argmax(((x[own] - one) ** 2).sum(axis=1))]]
-            for _ in range(4):  # two means
-                near = ((x[own] - one) ** 2).sum(axis=1) <= ((x[own] - other) ** 2).sum(axis=1)
+            for _ in range(8):  # two means
+                cuts[node] = np.float32(((other**2).sum() - (one**2).sum()) / 2)
+                normals[node] = (other - one).astype(np.float32)
+                near = (x[own] * normals[node]).sum(axis=1) <= cuts[node]
                 if near.all() or not near.any():
                     break
                 one, other = x[own[near]].mean(axis=0), x[own[~near]].mean(axis=0)
-            normals[node] = other - one
-            along = (x[own] * normals[node]).sum(axis=1)
-            ranked = np.sort(along)
-            low = int(0.4 * (len(own) - 1))
-            gap = low + int(np.argmax(np.diff(ranked[low : max(low + 2, int(0.6 * len(own)) + 1)])))
-            cuts[node] = (ranked[gap] + ranked[gap + 1]) / 2
-            left, right = own[along <= cuts[node]], own[along > cuts[node]]
-        rows += [left, right]
-    tokens = np.array([sizes[own].sum() for own in rows[-(1 << depth) :]], float)
-    parts = np.maximum(1, np.ceil(total * tokens / max(1, sizes.sum()) / shard_tokens)).astype(np.int64)
-    return Tree(normals, cuts, np.cumsum(parts) - parts, parts)
+        if near.all() or not near.any():
+            leaves.append(node)
+            continue
+        children[node] = (len(rows), len(rows) + 1)
+        open_ += [len(rows) + 1, len(rows)]
+        rows += [own[near], own[~near]]
+    first, parts = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64)
+    shards, filled = 0, 0.0
+    for leaf in leaves:  # depth first
+        tokens = scale * sizes[rows[leaf]].sum()
+        if tokens > shard_tokens:
+            shards += filled > 0
+            first[leaf], parts[leaf], filled = shards, math.ceil(tokens / shard_tokens), 0.0
+            shards += int(parts[leaf])
+        else:
+            if filled + tokens > shard_tokens:
+                shards, filled = shards + 1, 0.0
+            first[leaf], filled = shards, filled + tokens
+    return Tree(np.array(normals).reshape(-1, x.shape[1]), np.array(cuts, np.float32), np.array(children).reshape(-1, 2), first, parts)
 
 
 def _sampled(model):
@@ -314,7 +333,7 @@ def _dealt(model, tree):
             place = np.arange(at, at + len(batch))
             at += len(batch)
             leaf = np.zeros(len(batch), np.int64)
-            if len(splits.cuts):
+            if len(splits.cuts) > 1:
                 leaf = splits.leaves(np.array([projection.of(np.frombuffer(blob, ID)) for blob in batch.column(1).to_pylist()]).reshape(len(batch), -1))
             shard = splits.first[leaf] + (partition * 7919 + place) % splits.parts[leaf]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard), pa.array((partition << 33) + place)], ["doc_id", "ids", "shard", "place"])
@@ -417,9 +436,10 @@ def pack(
         x, sizes = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, dims), found.column("tokens").to_numpy()
         order = np.lexsort([*x.T, sizes])
         x, sizes = x[order], sizes[order]
-    depth = max(0, min(math.ceil(math.log2(leaves)), int(math.log2(len(x) / 16)))) if len(x) >= 16 else 0
-    tree = grown(x, sizes, depth, n_tokens, shard_tokens) if depth else Tree(np.zeros((0, dims)), np.zeros(0), np.zeros(1, np.int64), np.array([max(1, math.ceil(leaves))]))
-    shards = int(tree.parts.sum())
+    tree = grown(x, sizes, n_tokens, shard_tokens)
+    if not len(x):  # one shard, or (with no row in the draw) as many as it takes
+        tree = replace(tree, parts=np.array([max(1, math.ceil(leaves))]))
+    shards = int((tree.first + tree.parts).max())
     dealt = tokens.mapInArrow(_dealt(model, context.broadcast(tree)), f"doc_id {id_type}, ids binary, shard long, place long")
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 20_000))
     dealt = dealt.repartitionById(tasks, F.col("shard").cast("int")).sortWithinPartitions("shard", "place").select("doc_id", "ids", "shard")

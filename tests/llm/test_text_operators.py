@@ -271,7 +271,7 @@ def test_packing_long_runs():
 def test_packing_deals_related_documents_to_one_shard(spark):
     """Kinds of documents stored in turns meet in the shards; a group of copies of more than a shard is several."""
     rng = np.random.default_rng(6)
-    kinds = [[f"{c}{k}" for k in range(60)] for c in ("ka", "lo", "mi", "nu", "pe", "ri", "so", "tu")]
+    kinds = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(60)] for _ in range(8)]
     texts = [" ".join(rng.choice(kinds[i % 8], 60)) for i in range(800)] + ["one copy of many " * 12] * 400
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), *public_ranks(), shard_tokens=16_000).collect()
     shards = collections.defaultdict(list)
@@ -280,7 +280,7 @@ def test_packing_deals_related_documents_to_one_shard(spark):
     assert len(shards) >= 8 and max(sum(r.length for r in p) for p in shards.values()) <= 2 * 16_000
     kind = lambda r: r.doc_id % 8 if r.doc_id < 800 else 8
     together = [max(sum(kind(r) == k for r in p) for p in shards.values()) / sum(kind(r) == k for r in rows) for k in range(8)]
-    assert sum(together) / 8 > 0.6, together  # dealt at random, about a tenth of a kind would meet
+    assert sum(together) / 8 > 0.45, together  # a kind fills more than one shard; dealt at random, about a tenth of it would meet
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
 
 
