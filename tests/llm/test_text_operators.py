@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -202,9 +203,78 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0), F.array("source")).count() == 0
 
 
-def test_mixing_refuses_too_many_patterns(spark):
-    with pytest.raises(ValueError):
-        mixing.mix_sources(frame(spark, ["a", "b", "c"]), F.array("source"), max_patterns=2)
+def brute_flow(supplies, quotas, edges, costs):
+    """The largest flow and its least cost, over all whole amounts."""
+    best = None
+
+    def go(k, left, used):
+        nonlocal best
+        if k == len(edges):
+            price = sum(costs[i // n] for p, n in enumerate(supplies) for i in range(used[p])) if all(used[p] <= len(costs) * n for p, n in enumerate(supplies)) else None
+            if price is not None:
+                best = min(best or (1, 0), (-sum(used), price))
+            return
+        p, s = edges[k]
+        for words in range(min(left[s], len(costs) * supplies[p] - used[p]) + 1):
+            go(k + 1, [x - words * (i == s) for i, x in enumerate(left)], [x + words * (i == p) for i, x in enumerate(used)])
+
+    go(0, list(quotas), [0] * len(supplies))
+    return best
+
+
+def test_flow_matches_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        supplies, quotas = rng.integers(1, 3, 3).tolist(), rng.integers(0, 6, 3).tolist()
+        edges = [(p, s) for p in range(3) for s in range(3) if rng.random() < 0.55]
+        flow = mixing.min_cost_flow(supplies, quotas, edges)
+        used = [sum(w for (p, _), w in flow.items() if p == k) for k in range(3)]
+        assert all(sum(w for (_, s), w in flow.items() if s == k) <= quotas[k] for k in range(3))
+        price = sum(mixing.REPETITION_COSTS[i // n] for p, n in enumerate(supplies) for i in range(used[p]))
+        assert (-sum(used), price) == (brute_flow(supplies, quotas, edges, mixing.REPETITION_COSTS) or (0, 0))
+
+
+def test_mixing_with_overlaps(spark):
+    """Documents of two sources at once: quotas are met with the fewest repeats."""
+    kinds = [["a"], ["a", "b"], ["b"], ["b", "c"], ["d"]]
+    rows = [(i, "w " * (1 + i % 9), kinds[i % 5]) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    got = {r.doc_id: r for r in mixing.mix_sources(df, F.col("sources")).collect()}
+    size = collections.Counter()
+    for i, t, k in rows:
+        assert got[i].size == len(t.split()) and 0 <= got[i].taken <= 3 * got[i].size
+        for s in k:
+            size[s] += got[i].size
+    quotas = dict(zip("abcd", mixing.targets([size[s] for s in "abcd"], [5, 2, 1, 5], sum(r.size for r in got.values()))))
+    taken = [sum(got[i].taken for i in range(500) if i % 5 == k) for k in range(5)]
+    order = sorted(range(5), key=lambda k: json.dumps(kinds[k], separators=(",", ":")))
+    sizes = [sum(got[i].size for i in range(500) if i % 5 == k) for k in order]
+    want = mixing.routed([kinds[k] for k in order], sizes, {s: round(q) for s, q in quotas.items()}, 3)
+    assert [taken[k] for k in order] == want and taken[4] == round(quotas["d"])
+    assert got[1].source_size == size["a"] + size["b"] and got[1].target == pytest.approx(quotas["a"] + quotas["b"])
+    assert abs(sum(taken[:4]) - sum(quotas[s] for s in "abc")) <= 3
+
+
+def test_mixing_of_many_sources():
+    """No graph where no document has two sources."""
+    names = [[f"s{i}"] for i in range(200_000)]
+    assert sum(mixing.routed(names, [3] * len(names), {n[0]: 5 for n in names}, 3)) == 5 * len(names)
+    assert len(mixing.targets([3] * len(names), [5, 2, 1] * 66_666 + [5, 2], 600_000)) == len(names)
+
+
+def test_mixing_more_patterns_than_are_broadcast(spark, monkeypatch):
+    df = frame(spark, [" ".join(["w"] * (1 + i % 7)) for i in range(60)])
+    few = sorted(map(tuple, mixing.mix_sources(df, F.array("source")).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 1)
+    assert sorted(map(tuple, mixing.mix_sources(df, F.array("source")).collect())) == few
+
+
+def test_mixing_repeated_and_missing_ids(spark):
+    rows = [(1, "a b", "x"), (1, "a b c", "x"), (None, "a", "x"), (None, "a b c d", "x"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, F.array("source")).collect()
+    assert sorted(r.size for r in got) == [0, 1, 2, 3, 4] and sum(r.taken for r in got) == 10
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(df.repartition(5), F.array("source")).collect()))
 
 
 # Packing.
