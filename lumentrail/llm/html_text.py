@@ -4,16 +4,22 @@ Every node of the page's tree gets a density: its characters per tag, weighted
 by a logarithm that falls with the share of link characters and link tags. A
 block's density sum adds the densities of its children; the block with the
 largest sum is the content. The smallest density on its path to the body is a
-threshold: what hangs beside the path and reaches it belongs to the content too.
-The selection is widened to an ``article`` element around it.
+threshold: what hangs beside the path and reaches it belongs to the content too,
+unless links make up most of it.
 
-Subtrees that say they are no content (navigation, page header and footer,
-asides, forms, adverts, notices, comments; by element, role or class) are cut
-before densities are taken.
+What cannot hold text for readers (scripts, styles, inputs) is never counted.
+Elements, roles and names that say navigation, header, footer, aside, form,
+advert, notice or comments are heeded only then: the chosen block does not lie in
+one, and those inside the choice are cut, as are blocks that are mostly links. A
+block on the path, or one that holds most of the page's text and its heading, is
+a wrapper, whatever it is called. A name counts as a whole: each of its parts
+must be such a word or a neutral one ("site-footer" is, "entry-header" is not).
 
 Defined cases: a null or empty page has the empty text; an unclosed element ends
-where HTML lets it, any page yields some tree; pages are read whole; repeated
-rows are treated alike; other columns pass unchanged except the added ones.
+where HTML lets it, any page yields some tree, in time that grows with its
+length; pages are read whole; of equal sums the outer, then the earlier block is
+chosen; repeated rows are treated alike; other columns pass unchanged except the
+added ones; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +46,8 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Where a raw element ends: at its closing tag, in any case.
+_RAW_END = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I | re.A) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of their own kind, up to the element that holds them.
@@ -51,23 +60,33 @@ SIBLINGS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select", "datalist")),
 }
-NO_CONTENT = frozenset("head script style noscript template nav footer aside form dialog button select option textarea input iframe object embed svg canvas audio video menu".split())
-NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NO_CONTENT_NAMES = frozenset(
+NO_TEXT = frozenset("head script style noscript template button select option textarea input iframe object embed svg canvas audio video".split())
+AROUND = frozenset("nav footer aside form dialog menu".split())
+AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+AROUND_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead header "
     "footer comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget pagination pager skip search copyright".split()
 )
+#: Words that say nothing beside one of the above.
+NEUTRAL_NAMES = frozenset("site page main global primary secondary top bottom left right upper lower box block list item items bar wrapper wrap container links link area section inner outer posts form unit slot text content icons buttons thread".split())
 KEPT = frozenset("html body main article".split())
 
 
+def says_around(name: str) -> bool:
+    """Whether a class or an id names what lies around an article."""
+    parts = [p for p in _SPLIT.split(name) if p and not p.isdigit()]
+    return not AROUND_NAMES.isdisjoint(parts) and all(p in AROUND_NAMES or p in NEUTRAL_NAMES for p in parts)
+
+
 class Page:
     """A page's tree in lists; a child's number is above its parent's."""
 
     def __init__(self, source: str):
         self.tag: list[str] = ["html"]
         self.parent = [-1]
-        self.cut = [False]
+        self.cut = [False]  # no text for readers
+        self.around = [False]  # by element, role or name
         self.pieces: list[tuple[int, str]] = []  # node and text; a block's start and end are empty texts
         self._build(source)
 
@@ -75,42 +94,48 @@ class Page:
         over = self.stack[-1]
         self.tag.append(tag)
         self.parent.append(over)
-        self.cut.append(self.cut[over] or self._is_cut(tag, attrs))
+        self.cut.append(self.cut[over] or tag in NO_TEXT)
+        self.around.append(self._is_around(tag, attrs))
         return len(self.tag) - 1
 
-    def _is_cut(self, tag: str, attrs: str) -> bool:
-        if tag in NO_CONTENT or (tag == "header" and not any(self.tag[n] == "article" for n in self.stack)):
+    def _is_around(self, tag: str, attrs: str) -> bool:
+        if tag in AROUND or (tag == "header" and not self.open["article"]):
             return True
         if tag in KEPT or "=" not in attrs and "hidden" not in attrs:
             return False
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id") and not NO_CONTENT_NAMES.isdisjoint(_SPLIT.split(value)):
+            if name in ("class", "id") and any(map(says_around, value.split())):
                 return True
-            if (name == "role" and value.strip() in NO_CONTENT_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+            if (name == "role" and value.strip() in AROUND_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
         return False
 
+    def _push(self, node: int) -> None:
+        tag = self.tag[node]
+        self.open[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append(node)
+
     def _pop(self, depth: int) -> None:
         for node in reversed(self.stack[depth:]):
+            self.open[self.tag[node]].pop()
             if self.tag[node] not in INLINE:
+                self.open_blocks.pop()
                 self.pieces.append((node, ""))
         del self.stack[depth:]
 
     def _open_depth(self, tags, limits=()) -> int | None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in tags:
-                return depth
-            if tag in limits:
-                return None
-        return None
+        """Depth of the nearest open element of ``tags``, if none of ``limits`` is nearer."""
+        depth, limit = (max((self.open[t][-1] for t in some if self.open[t]), default=0) for some in (tags, limits))
+        return depth if depth > limit else None
 
     def _build(self, source: str) -> None:
-        self.stack = [0]
-        low, at, end = None, 0, len(source)
+        self.stack, self.open, self.open_blocks = [0], defaultdict(list), [0]
+        at, end = 0, len(source)
         while at < end:
             m = _TOKEN.match(source, at)
             at = m.end()
@@ -132,28 +157,23 @@ class Page:
                 elif tag == "br":
                     self.pieces.append((node, " "))
                 if tag in RAW:
-                    low = source.lower() if low is None else low
-                    close = low.find(f"</{tag}", at)
-                    close = end if close < 0 else close
-                    if tag == "textarea" or tag == "title":
-                        self.pieces.append((node, source[at:close]))
-                    after = source.find(">", close)
-                    at = end if after < 0 else after + 1
+                    close = _RAW_END[tag].search(source, at)
+                    at = close.end() if close else end
                 elif tag not in VOID:
-                    self.stack.append(node)
+                    self._push(node)
             elif m["close"] is not None:
                 tag = m["close"].lower()
-                limits = () if tag not in INLINE else tuple({self.tag[n] for n in self.stack} - INLINE)
-                if tag not in ("html", "body") and (depth := self._open_depth((tag,), limits)) is not None:
+                depth = self._open_depth((tag,))
+                if tag not in ("html", "body") and depth is not None and (tag not in INLINE or depth > self.open_blocks[-1]):
                     self._pop(depth)
         self._pop(1)
 
-    def blocks(self, chosen: set[int]) -> list[str]:
-        """Texts of the blocks under the chosen nodes, in page order."""
+    def blocks(self, chosen: set[int], cut: list[bool]) -> list[str]:
+        """Texts of the blocks under the chosen nodes, less those cut, in page order."""
         inside = [False] * len(self.tag)
         for node in range(len(self.tag)):
             over = self.parent[node]
-            inside[node] = not self.cut[node] and (node in chosen or (over >= 0 and inside[over]))
+            inside[node] = not cut[node] and (node in chosen or (over >= 0 and inside[over]))
         out, now = [], []
         for node, text in self.pieces:
             if not text:
@@ -166,10 +186,10 @@ class Page:
             out.append(line)
         return out
 
-    def content(self) -> set[int]:
-        """Numbers of the nodes whose subtrees are the main content."""
+    def content(self) -> tuple[set[int], list[bool]]:
+        """Numbers of the nodes whose subtrees are the main content, and which nodes are cut from them."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        chars, tags, link_chars, link_tags, headings, mains = ([0] * n for _ in range(6))
         in_link = [False] * n
         for node in range(1, n):
             in_link[node] = self.tag[node] == "a" or in_link[self.parent[node]]
@@ -187,6 +207,8 @@ class Page:
             link_chars[over] += link_chars[node]
             tags[over] += tags[node] + 1
             link_tags[over] += link_tags[node] + (self.tag[node] == "a")
+            headings[over] += headings[node] + (self.tag[node] == "h1")
+            mains[over] += mains[node] + (self.tag[node] == "main")
         body = next((k for k in range(n) if self.tag[k] == "body" and not self.cut[k]), 0)
         share = link_chars[body] / max(1, chars[body])
 
@@ -198,32 +220,32 @@ class Page:
             base = math.log(c / max(1, c - link_chars[k]) * link_chars[k] + share * c + math.e)
             return c / t * math.log(max(1.0, c / lc * t / lt)) / max(0.05, math.log(base))
 
+        def wraps(k: int) -> bool:
+            """Whether a block holds so much of the page that it can't lie around the article."""
+            return 2 * chars[k] >= chars[body] and ((headings[k] and headings[k] == headings[body]) or mains[k] > 0 or 20 * chars[k] >= 19 * chars[body])
+
         dense = [density(k) for k in range(n)]
-        sums = [0.0] * n
+        sums, under, outside = [0.0] * n, [False] * n, [False] * n
+        under[body] = True
         for k in range(1, n):
             if self.tag[k] not in INLINE:
                 sums[self.parent[k]] += dense[k]
-        blocks = [k for k in range(n) if not self.cut[k] and self.tag[k] not in INLINE and (k == body or self._under(k, body))]
+            under[k] |= under[self.parent[k]]
+            outside[k] = outside[self.parent[k]] or (self.around[k] and not wraps(k))
+        blocks = [k for k in range(n) if under[k] and not self.cut[k] and not outside[k] and self.tag[k] not in INLINE]
         best = max(blocks, key=lambda k: (sums[k], -k), default=body)
-        if not sums[best]:
-            return {body}
         path = [best]
         while path[-1] != body and self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
+        on_path = set(path)
         least = min(dense[k] for k in path)
-        chosen = {best}
+        chosen = {best} if sums[best] else {body}
+        mostly_links = [3 * link_chars[k] >= 2 * chars[k] and link_tags[k] >= 3 and self.tag[k] not in INLINE for k in range(n)]
         for k in blocks:
-            if self.parent[k] in path[1:] and k not in path and dense[k] >= least and 2 * link_chars[k] < max(1, chars[k]):
+            if self.parent[k] in on_path and self.parent[k] != best and k not in on_path and dense[k] >= least and 2 * link_chars[k] < chars[k]:
                 chosen.add(k)
-        for k in path:
-            if self.tag[k] == "article":
-                chosen = {k}  # the outermost article on the path stays
-        return chosen
-
-    def _under(self, node: int, top: int) -> bool:
-        while node > top:
-            node = self.parent[node]
-        return node == top
+        cut = [self.cut[k] or (k not in on_path and ((self.around[k] and not wraps(k)) or mostly_links[k])) for k in range(n)]
+        return chosen, cut
 
 
 def main_text(source: str | None) -> str:
@@ -231,7 +253,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    return "\n".join(page.blocks(page.content()))
+    return "\n".join(page.blocks(*page.content()))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import os
 import re
 import zlib
 
@@ -447,9 +448,66 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PARAGRAPH = "<p>A long paragraph of article text that goes on for a while, so that it weighs something.</p>"
+SAID = "A long paragraph of article text that goes on for a while, so that it weighs something."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout has-sidebar'><article><h1>T</h1>{PARAGRAPH}</article></div>", f"T\n{SAID}"),
+        (f"<body><form action=x><div><h1>T</h1>{PARAGRAPH}{PARAGRAPH}</div><input></form>", f"T\n{SAID}\n{SAID}"),
+        (f"<article><div class='entry-header'><h1>Title</h1></div>{PARAGRAPH}</article>", f"Title\n{SAID}"),
+        (f"<article><h1>T</h1>{PARAGRAPH}<section id='social-history'>{PARAGRAPH}</section><p class='copyright-law'>Law.</p></article>", f"T\n{SAID}\n{SAID}\nLaw."),
+        ("İ" * 50 + f"<script>x</SCRIPT >{PARAGRAPH}<p>after", "İ" * 50 + f"\n{SAID}\nafter"),
+        (f"<body><div><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><div><h1>Head</h1>{PARAGRAPH}{PARAGRAPH}</div><div><a href=a>One more</a><a href=b>Two</a><a href=c>Three</a></div>", f"Head\n{SAID}\n{SAID}"),
+        (f"<body><article><h1>Head</h1>{PARAGRAPH}</article><section class='comments'>{PARAGRAPH * 9}</section><div class='site-footer'>f</div>", f"Head\n{SAID}"),
+    ],
+)
+def test_main_text_by_density(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_density_chooses(monkeypatch):
+    """Menus and sidebars without a name go only because density chooses: with the body in place of its choice they stay."""
+    page = f"<body><div><a href=a>One</a> <a href=b>Two</a></div><div><h1>Head</h1>{PARAGRAPH * 3}</div><div><span>x</span> <a href=c>Three</a></div>"
+    want = "\n".join(["Head", *[SAID] * 3])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text.Page, "content", lambda self: ({self.tag.index("body")}, self.cut))
+    assert html_text.main_text(page) != want
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div><b>", "<p><table>", "<ul><li>", "<b><div></b>", "<p><button><div>"])
+def test_main_text_of_deep_pages(part):
+    """Time grows with a page's length, whatever is nested."""
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * (50_000 // part.count("<")) + "text")
+    assert time.process_time() - began < 8  # quadratic work would take minutes
+
+
+def test_main_text_of_fixture_pages(spark, sf):
+    """The fixture's articles, taken from between their tags."""
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)(?:</article>|$)", page or "", re.S)
+        parts = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", inner[1] if inner else "")))
+        return "\n".join(x for part in parts if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", part)).split())))
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in registry.queries()["op4_html_text"](spark, sf).collect()}
+    assert len(got) == len(pages) and all(got[p.page_id] == article(p.html) for p in pages)
+    for row in spark.read.parquet(f"{os.path.dirname(sf)}/sf0.1/pages.parquet").select("html").collect():
+        assert html_text.main_text(row.html) == article(row.html)
+
+
 def test_html_column(spark):
-    df = spark.createDataFrame([(1, None, "k"), (2, "<article><p>Añ</p></article>" + "<p>" * 3000, "k")], "page_id long, html string, text string")
-    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "Añ", 2)]
+    df = spark.createDataFrame([(1, None, "k"), (2, "<article><p>Añ</p></article>" + "<p>" * 3000, "k"), (3, "<p>same", "a"), (3, "<p>same", "b"), (4, f"<article>{PARAGRAPH * 20_000}</article>", None)], "page_id long, html string, text string")
+    rows = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
+    assert rows[:4] == [(1, "", 0), (2, "Añ", 2), (3, "same", 4), (3, "same", 4)] and rows[4][2] == 20_000 * (len(SAID) + 1) - 1
+    assert html_text.extract_text(df.limit(0)).count() == 0
 
 
 # Toxicity and quality.
