@@ -15,16 +15,15 @@ def usable(vector: Column, zero: bool) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & some, F.lit(False))
 
 
-def of_common_size(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """The rows whose vector has the commonest number of components (ties: the larger), and that number; 0 where there are no rows."""
-    sizes = vectors.groupBy(F.size(column).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    return vectors.where(F.size(column) == size), size
+def by_size(vectors: DataFrame, column: str) -> list[tuple[DataFrame, int]]:
+    """The rows of each number of components, and how many they are: only vectors of one size can be compared."""
+    sizes = sorted(vectors.groupBy(F.size(column).alias("size")).agg(F.count("*").alias("n")).collect())  # one row a size
+    return [(vectors if len(sizes) == 1 else vectors.where(F.size(column) == r["size"]), r["n"]) for r in sizes]
 
 
 def sampled(vectors: DataFrame, rows: int, id_column: str, column: str) -> np.ndarray:
-    """The vectors of the ``rows`` rows whose ids have the smallest hashes."""
-    found = vectors.orderBy(F.xxhash64(id_column), id_column).limit(rows).select(column).toArrow()
+    """The vectors of the ``rows`` rows whose ids (for rows of one id, vectors) have the smallest hashes."""
+    found = vectors.orderBy(F.xxhash64(id_column), id_column, F.xxhash64(column)).limit(rows).select(column).toArrow()
     return matrix(found.column(0)) if len(found) else np.zeros((0, 0))
 
 

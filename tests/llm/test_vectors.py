@@ -53,8 +53,53 @@ def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(0)
     x, q = rng.standard_normal((500, 64)), rng.standard_normal(64)
     d = ((x - q) ** 2).sum(1)
-    kept = ann.scan(x, q, np.inf, 10, 16, 2.1)
-    assert len(set(np.argsort(d)[:10]) - set(kept.tolist())) <= 1 and len(kept) < 200
+    of, kept = ann.scan(x, q[None], np.array([np.inf]), 10, 16, 2.1)
+    assert set(of.tolist()) == {0} and len(set(np.argsort(d)[:10]) - set(kept.tolist())) <= 1 and len(kept) < 200
+    copies = np.repeat(x[:1], 300, axis=0)
+    assert len(ann.scan(copies, copies[:1], np.zeros(1), 10, 16, 2.1)[1]) == 300  # nothing is nearer than a copy
+
+
+def test_two_levels_of_lists():
+    x = clustered(4000)
+    lists = ann.Lists(x, 4096, 1)
+    own, far = lists.own(x[:200]), lists.far(x[:200])
+    assert len(lists.second) > 1 and lists.cross.size == far.shape[1] and 0 <= own.min() and own.max() < lists.cross.size
+    centres = (lists.first[:, None] + lists.second[None]).reshape(-1, 8)
+    assert np.allclose(2 * far + (x[:200] ** 2).sum(1)[:, None], ((x[:200, None] - centres[None]) ** 2).sum(2))
+
+
+def test_ann_query_recall(spark, sf):
+    """The registered query on the fixture's vectors of 64 components, which are nearly random."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in registry.queries()["op1_ann"](spark, sf).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hit = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(got[q]))
+    assert hit >= 0.95 * 10 * len(got)
+
+
+def repeated(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 5.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [1.0, 2.0, 4.0]), (None, [1.0, 0.0])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_ann_repeated_ids_and_sizes(spark):
+    """Each row of an id is a query and a candidate of the others; sizes do not meet."""
+    got = sorted(tuple(r) for r in ann.ann_search(repeated(spark), F.col("vec_id") % 10 == 0, k=2).collect())
+    far = math.sqrt(32)
+    want = [(0, 1, 0, 0.0), (0, 1, 0, 0.0), (0, 2, 7, 1.0), (0, 2, 7, 1.0), (0, 1, 7, far), (0, 2, 7, far), (10, 1, 9, 1.0)]
+    assert [(a, b, c, pytest.approx(d)) for a, b, c, d in sorted(want)] == got
+
+
+def test_voronoi_repeated_ids_and_sizes(spark):
+    got = sorted(tuple(r) for r in voronoi_join.voronoi_top_k(repeated(spark), F.col("vec_id") % 10 == 0, vector_col="embedding", k=2).collect())
+    want = [(0, 1, 0, 5), (0, 1, 0, 5), (0, 2, 0, 1), (0, 2, 0, 1), (0, 1, 7, 10), (0, 2, 7, 10), (10, 1, 9, 17)]
+    assert got == sorted(want)
 
 
 def brute_products(x, queries, k):
