@@ -92,35 +92,32 @@ class Encoder(dict):
         return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
 
 
-def _tokenised(ranks, pattern: str, end_id: int):
+def _tokenised(ranks, pattern: str, end_id: int, size: int):
+    """Documents' ids, and at a partition's end one row that counts the documents of each id (then of all, then all tokens)."""
     end = np.array([end_id], ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
+        held, id_type = np.zeros(size + 2, np.int64), None
         for batch in batches:
+            id_type = batch.column(0).type
             ids = [encoder.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for blob in ids:
+                held[np.unique(np.frombuffer(blob, ID))] += 1
+                held[size:] += (1, len(blob) // ID.itemsize)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], ["doc_id", "ids", "held"])
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([held.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids", "held"])
 
     return run
 
 
-def _frequencies(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, tokens = np.zeros(size, np.int64), 0, 0
-        mark = np.zeros(size, bool)
-        for batch in batches:
-            for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), ID)
-                mark[ids] = True
-                found = np.flatnonzero(mark) if len(ids) > 2000 else np.unique(ids)
-                held[found] += 1
-                mark[found] = False
-                docs, tokens = docs + 1, tokens + len(ids)
-        found = np.flatnonzero(held)
-        # Two more entries, beyond the vocabulary: documents and tokens.
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [size, size + 1])), pa.array(np.append(held[found], [docs, tokens]))], ["id", "n"])
-
-    return run
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column(0).flatten().to_numpy().reshape(len(batch), -1)
+        total = rows.sum(axis=0)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
 
 class Shard:
@@ -165,14 +162,28 @@ class Shard:
         self.asked[own] = False
         return found
 
-    def neighbours(self, seed: int, most: int) -> np.ndarray:
-        """The ``most`` unused documents of highest score for all terms of the seed, ties to the earlier one.
+    def terms(self, doc: int) -> np.ndarray:
+        return self.doc_term[self.doc_starts[doc] : self.doc_starts[doc + 1]]
+
+    def compacted(self) -> np.ndarray:
+        """Takes used documents out of the index; the old numbers of those left."""
+        keep = self.unused
+        new = np.cumsum(keep) - 1
+        stays, own = keep[self.posting_doc], np.repeat(keep, np.diff(self.doc_starts))
+        self.starts = np.concatenate([[0], np.cumsum(stays)])[self.starts]
+        self.posting_doc, self.weight = new[self.posting_doc[stays]].astype(np.int32), self.weight[stays]
+        self.doc_term, self.doc_weight = self.doc_term[own], self.doc_weight[own]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.diff(self.doc_starts)[keep])])
+        self.docs, self.dense, self.unused = [d for d, k in zip(self.docs, keep) if k], self.dense[keep], keep[keep]
+        return np.flatnonzero(keep)
+
+    def neighbours(self, own: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` unused documents of highest score for all of a seed's terms ``own``, ties to the earlier one.
 
         Sums of single precision find the documents that may be among them, and
         those are scored again in double precision.
         """
-        own = self.doc_term[self.doc_starts[seed] : self.doc_starts[seed + 1]]
-        own = own[self.starts[own + 1] - self.starts[own] > 1]
+        own = own[self.starts[own + 1] > self.starts[own]]
         columns = self.column[own]
         wanted = np.zeros(self.dense.shape[1], np.float32)
         wanted[columns[columns >= 0]] = 1
@@ -190,39 +201,45 @@ class Shard:
 
 
 def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
-    """The order in which documents enter the stream of windows; ``most`` neighbours are asked for at first, then more."""
-    order, at, seed, next_free = [], 0, -1, 0
-    n = len(shard.docs)
+    """The order in which documents enter the stream of windows; ``most`` neighbours are asked for at first, then more.
+
+    The index is left to those unused each time half of its documents are used.
+    """
+    order, at, seed, next_free = [], 0, None, 0
+    names, used = np.arange(len(shard.docs)), 0
 
     def take(doc: int) -> None:
-        nonlocal at
+        nonlocal at, used
         shard.unused[doc] = False
-        order.append(doc)
-        at += len(shard.docs[doc])
+        order.append(int(names[doc]))
+        at, used = at + len(shard.docs[doc]), used + 1
 
     while True:
-        while next_free < n and not shard.unused[next_free]:
+        if used > 64 and 2 * used > len(shard.docs):
+            names, used, next_free = names[shard.compacted()], 0, 0
+        while next_free < len(shard.docs) and not shard.unused[next_free]:
             next_free += 1
-        if next_free == n:
+        if next_free == len(shard.docs):
             return order
-        if seed < 0:  # a new seed opens what is left of the window
-            seed = next_free
-            take(seed)
+        if seed is None:  # a new seed opens what is left of the window
+            seed = shard.terms(next_free)
+            take(next_free)
             continue
         end = (at + window - 1) // window * window
         if at == end:
-            seed = -1
+            seed = None
             continue
-        asked, more = most, True
+        asked, more, last = most, True, seed
         while at < end and more:
             found = shard.neighbours(seed, asked).tolist()
             for doc in found:
+                last = shard.terms(doc)
                 take(doc)
                 if at >= end:
                     break
             asked, more = 4 * asked, len(found) == asked
         # A document cut at the window's end seeds the next; where no unused document scores, another seed goes on.
-        seed = order[-1] if at > end else -1
+        seed = last if at > end else None
 
 
 def _bm25(ids: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +419,7 @@ def pack(
     shard_tokens: int = 4_000_000,
     share: int = 8,
     fit_docs: int = 65_536,
-    dims: int = 48,
+    dims: int = 32,
     seed: int = 7,
 ) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -417,8 +434,10 @@ def pack(
     spark = docs.sparkSession
     context = spark.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
-    tokens = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenised(context.broadcast(ranks), pattern, end_id), f"doc_id {id_type}, ids binary"))
-    counts = tokens.select("ids").mapInArrow(_frequencies(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = settle(texts.mapInArrow(_tokenised(context.broadcast(ranks), pattern, end_id, vocabulary), f"doc_id {id_type}, ids binary, held array<long>"))
+    tokens = found.where("ids is not null").select("doc_id", "ids")
+    counts = found.where("held is not null").select("held").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     held = np.zeros(vocabulary + 2)
     for row in counts:  # as many rows as the vocabulary has entries
         held[row.id] = row.n

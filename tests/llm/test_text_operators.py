@@ -392,12 +392,17 @@ def test_packing_scores_all_terms(share):
         weights[i, t] = (idf[t] * (n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean)))).astype(np.float32)
     for seed in range(0, 400, 7):
         shard.unused[seed], was = False, shard.unused[seed]
+        terms = shard.terms(seed)
         score = weights[:, np.unique(docs[seed])].sum(axis=1) * shard.unused
         for most in (1, 5, 16, 400):
-            found = shard.neighbours(seed, most)
+            found = shard.neighbours(terms, most)
             best = np.sort(score[score > 0])[::-1][:most]
             assert len(set(found.tolist())) == len(found) == len(best) and np.allclose(score[found], best, rtol=1e-9)
         shard.unused[seed] = was
+    terms, most = shard.terms(3), 50
+    before = shard.neighbours(terms, most)
+    names = shard.compacted()
+    assert names[shard.neighbours(terms, most)].tolist() == before.tolist()  # the index without those used
 
 
 # Token counts.
