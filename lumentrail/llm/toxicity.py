@@ -2,27 +2,33 @@
 
 The lexicon is a trie of whole words and of stems (a stem matches every word
 that begins with it). Levenshtein automata of the words are intersected with
-that trie; the product is determinised as it is walked, so that a word costs one
-table look-up per character and most words leave the table after three or four.
+that trie (one edit in words of five letters, two in words of ten); the product is
+determinised as it is walked, so that a word costs one table look-up per character
+and most words leave the table after three or four. Words disguised by digits and
+signs for letters, or by signs between letters, are unfolded and looked up, too.
 
-A hit counts with its term's weight, less for a misspelling, less where the
-words around it quote or report it rather than use it, more where they address
-someone. Two sums per document, over exact and over misspelled hits, go through
-a logistic model.
+A hit counts with its term's weight, less for a misspelling or disguise, less where
+it lies in quotation marks or the words around it report it rather than use it,
+more where they address someone. Two sums per document, over exact and over other
+hits, go through a logistic model.
 
 Lexicon and model are fitted on labelled rows, at most ``fit_rows`` of them (the
 ones with the smallest hashes of their ids); scoring reads every whole text.
 
 Defined cases: a null, empty or wordless text has no hits and gets the model's
-base score; a text of any length is read whole; repeated rows are scored alike; without labelled rows of both
-classes the lexicon is the built-in one and the model a fixed prior; other
-columns pass unchanged except ``score``, which is replaced.
+base score; a text of any length is read whole; repeated rows are scored alike; of
+terms that a word is equally near to the heavier, then the first by letters counts;
+a label that two rows give differently counts both ways; without labelled rows of
+both classes the lexicon is the built-in one and the model a fixed prior; other
+columns pass unchanged except ``score``, which is replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,6 +40,13 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
 QUOTE_MARKS = "\"'`«»‘’‚“”„‹›"
+#: A quotation of any length within a line.
+QUOTED = re.compile("\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+#: Digits and signs that stand for letters; 1 may be either of two.
+STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+#: A word with such signs, each run of them before a letter; and four single letters or more with one sign between them.
+DISGUISED = re.compile(r"(?<![\w@$!])[^\W\d_]*(?:[0134578@$!]+[^\W\d_]+)+(?![\w@$])")
+SPREAD = re.compile(r"(?<![\w@$!.\-*])[^\W_]([.\-_*·|~ ])[^\W_](?:\1[^\W_]){2,}(?![^\W_])")
 REPORTING = frozenset("said says say quote quoted quotes word words term called wrote writes cited example zitat sagte wort dit cité mot dijo palabra cita".split())
 ADDRESS = frozenset("you your youre ur du dich dein sie tu toi ton vous votre usted tú".split())
 #: Terms that hold where nothing can be learned.
@@ -51,13 +64,14 @@ class FuzzyTrie:
     """Terms in a trie, walked by all their Levenshtein automata at once.
 
     A state is the set of (trie node, edits so far) that the word's prefix can
-    be in. Words of ``fuzzy_from`` letters and more may be one edit away; stems
-    and shorter words must be exact.
+    be in. Words of ``once`` letters and more may be one edit away, of ``twice``
+    and more two; stems and shorter words must be exact.
     """
 
-    def __init__(self, terms: Iterable[Term], fuzzy_from: int = 5):
+    def __init__(self, terms: Iterable[Term], once: int = 5, twice: int = 10):
         self.children: list[dict[str, int]] = [{}]
         self.ends: defaultdict[int, list[Term]] = defaultdict(list)  # a stem may be a word, too
+        self.least = (once, twice)
         for term in terms:
             node = 0
             for c in term.text:
@@ -66,51 +80,53 @@ class FuzzyTrie:
                     self.children.append({})
                 node = self.children[node][c]
             self.ends[node].append(term)
-        self.can_bend = [False] * len(self.children)  # nodes on the way to a word that may be misspelled
-        self._mark(0, 0, fuzzy_from)
+        # The most edits of any word that a node lies on the way to; children have higher numbers.
+        self.bend = [max(map(self._edits, self.ends.get(node, ())), default=0) for node in range(len(self.children))]
+        for node in range(len(self.children) - 1, -1, -1):
+            self.bend[node] = max([self.bend[node], *(self.bend[child] for child in self.children[node].values())])
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[Term, int] | None] = []
         self.stemmed: list[Term | None] = []
-        self.start = self._state(self._closed({(0, 0)}))
-
-    def _mark(self, node: int, depth: int, fuzzy_from: int) -> bool:
-        bends = any(not term.stem and len(term.text) >= fuzzy_from for term in self.ends.get(node, ()))
-        for child in self.children[node].values():
-            bends |= self._mark(child, depth + 1, fuzzy_from)
-        self.can_bend[node] = bends
-        return bends
-
-    def _closed(self, places: set[tuple[int, int]]) -> frozenset:
-        """With what leaving out a letter of the term reaches."""
-        for node, edits in list(places):
-            if not edits:
-                places |= {(child, 1) for child in self.children[node].values() if self.can_bend[child]}
-        return frozenset((n, e) for n, e in places if not e or (n, 0) not in places)
-
-    def _state(self, places: frozenset) -> int:
-        if places not in self.states:
-            self.states[places] = len(self.sets)
-            self.sets.append(places)
+        self.start = self._state({0: 0})
+
+    def _edits(self, term: Term) -> int:
+        """How many edits away a term may be."""
+        return 0 if term.stem else sum(len(term.text) >= n for n in self.least)
+
+    def _state(self, places: dict[int, int]) -> int:
+        """The state of the fewest edits by node, with what leaving out letters of the terms reaches."""
+        queue = list(places)
+        for node in queue:
+            for child in self.children[node].values():
+                edits = places[node] + 1
+                if edits <= self.bend[child] and edits < places.get(child, 99):
+                    places[child] = edits
+                    queue.append(child)
+        key = frozenset(places.items())
+        if key not in self.states:
+            self.states[key] = len(self.sets)
+            self.sets.append(key)
             self.next.append({})
-            ends = [(t, e) for n, e in places if not e or self.can_bend[n] for t in self.ends.get(n, ())]
-            ends = [(t, e) for t, e in ends if not e or not t.stem]
+            ends = [(t, e) for n, e in places.items() for t in self.ends.get(n, ()) if e <= self._edits(t)]
             self.found.append(min(ends, key=lambda x: (x[1], -x[0].weight, x[0].text), default=None))
             self.stemmed.append(next((t for t, e in ends if t.stem and not e), None))
-        return self.states[places]
+        return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
         """The state after one more letter; -1 if no term can follow."""
-        places = set()
+        places: dict[int, int] = {}
+
+        def reach(node: int, edits: int) -> None:
+            if edits <= self.bend[node] and edits < places.get(node, 99):
+                places[node] = edits
+
         for node, edits in self.sets[state]:
-            if c in self.children[node] and (not edits or self.can_bend[self.children[node][c]]):
-                places.add((self.children[node][c], edits))
-            if not edits:
-                if self.can_bend[node]:
-                    places.add((node, 1))  # a letter too many
-                places |= {(child, 1) for other, child in self.children[node].items() if other != c and self.can_bend[child]}
-        after = self._state(self._closed(places)) if places else -1
+            reach(node, edits + 1)  # a letter too many
+            for other, child in self.children[node].items():
+                reach(child, edits + (other != c))
+        after = self._state(places) if places else -1
         if len(self.next[state]) < 4096:  # letters of a text are without bound; the table isn't
             self.next[state][c] = after
         return after
@@ -128,31 +144,52 @@ class FuzzyTrie:
         return self.found[state]
 
 
-def context_factor(text: str, spans: list[tuple[int, int]], words: list[str], at: int, window: int = 5) -> float:
-    """How much a hit counts for the ``window`` words on either side of it."""
-    near = words[max(0, at - window) : at] + words[at + 1 : at + 1 + window]
-    start, end = spans[at]
-    marked = text[start - 1 : start] in tuple(QUOTE_MARKS) and text[end : end + 1] in tuple(QUOTE_MARKS)
-    factor = 0.3 if marked and start else 0.6 if any(w in REPORTING for w in near) else 1.0
+def unfolded(word: str) -> list[str]:
+    """What a disguised word may stand for."""
+    plain = "".join(STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)
+    return [plain, "".join("l" if c == "1" else STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)] if "1" in word else [plain]
+
+
+def disguised(low: str, match) -> list[tuple[int, int, Term]]:
+    """Places of terms (as they are, not misspelled) under digits, signs and separators."""
+    out = []
+    for pattern in (DISGUISED, SPREAD):
+        for m in pattern.finditer(low):
+            hit = next((h for h in map(match, unfolded(m.group())) if h and not h[1]), None)
+            if hit:
+                out.append((m.start(), m.end(), hit[0]))
+    return out
+
+
+def context_factor(text: str, start: int, end: int, before: list[str], after: list[str], quoted: list[tuple[int, int]]) -> float:
+    """How much a hit from ``start`` to ``end`` counts for the words on either side of it."""
+    near = before + after
+    marked = start and text[start - 1] in QUOTE_MARKS and text[end : end + 1] in tuple(QUOTE_MARKS)
+    factor = 0.3 if marked or any(a < start and end < b for a, b in quoted) else 0.6 if any(w in REPORTING for w in near) else 1.0
     return factor * (1.25 if any(w in ADDRESS for w in near) else 1.0)
 
 
 def evidence(text: str | None, trie: FuzzyTrie, window: int = 5, misspelled: float = 0.5) -> tuple[float, float]:
-    """Weighted exact and misspelled hits of a text."""
+    """Weighted exact and other hits of a text; ``misspelled`` is what each edit leaves of a weight, or a disguise."""
     if not text:
         return 0.0, 0.0
     low = text.lower()
     match = trie.match
     hits = {w: m for w in set(TOKEN.findall(low)) if (m := match(w))}
-    if not hits:
+    hidden = disguised(low, match)
+    if not hits and not hidden:
         return 0.0, 0.0
     tokens = list(TOKEN.finditer(low))
-    words, spans = [t.group() for t in tokens], [t.span() for t in tokens]
+    words, starts = [t.group() for t in tokens], [t.start() for t in tokens]
+    found = [(starts[at], starts[at] + len(w), at, at + 1, *hits[w]) for at, w in enumerate(words) if w in hits]
+    found += [(a, b, bisect_left(starts, a), bisect_left(starts, b), term, 1) for a, b, term in hidden]
+    quoted = [m.span() for m in QUOTED.finditer(low)]
+    opens = [a for a, _ in quoted]
     sums = [0.0, 0.0]
-    for at, word in enumerate(words):
-        if word in hits:
-            term, edits = hits[word]
-            sums[bool(edits)] += term.weight * (misspelled if edits else 1.0) * context_factor(low, spans, words, at, window)
+    for start, end, first, last, term, edits in found:
+        around = quoted[max(0, bisect_left(opens, start) - 1) :][:1]
+        factor = context_factor(low, start, end, words[max(0, first - window) : first], words[last : last + window], around)
+        sums[edits > 0] += term.weight * misspelled**edits * factor
     return sums[0], sums[1]
 
 

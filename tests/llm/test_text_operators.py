@@ -519,7 +519,7 @@ def test_html_column(spark):
 
 
 def test_levenshtein_trie():
-    words = ["idiot", "moron", "scum", "worthless", "clown"]
+    words = ["idiot", "moron", "scum", "worthless", "clown", "disgusting"]
     trie = toxicity.FuzzyTrie([toxicity.Term(w, False, 1.0) for w in words] + [toxicity.Term("lowei", True, 1.0)])
 
     def distance(a, b):
@@ -537,11 +537,11 @@ def test_levenshtein_trie():
     rng = np.random.default_rng(0)
     for _ in range(3000):
         w = list(words[rng.integers(len(words))])
-        for _ in range(rng.integers(0, 3)):
+        for _ in range(rng.integers(0, 4)):
             at = rng.integers(len(w) + 1)
             w[at : at + rng.integers(0, 2)] = list("".join(rng.choice(list("aiomx"), rng.integers(0, 2))))
         w = "".join(w)
-        near = [(distance(w, t), t) for t in words if distance(w, t) <= (1 if len(t) >= 5 else 0)]
+        near = [(distance(w, t), t) for t in words if distance(w, t) <= (len(t) >= 5) + (len(t) >= 10)]
         got = trie.match(w)
         assert (got is None) == (not near), (w, got, near)
         assert got is None or got[1] == min(near)[0]
@@ -556,6 +556,30 @@ def test_context():
     assert toxicity.evidence(None, trie) == toxicity.evidence("", trie) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("text", ["id1ot", "you 1d!ot", "i.d.i.o.t", "i d i o t", "an I-D-I-O-T here", "1d1ot"])
+def test_disguised_terms(text):
+    trie = toxicity.FuzzyTrie([toxicity.Term("idiot", False, 4.0), toxicity.Term("scum", False, 2.0)])
+    assert toxicity.evidence(text, trie)[1] > 0 == toxicity.evidence(text, trie)[0]
+    assert toxicity.evidence(text.replace("d", "x").replace("D", "X"), trie) == (0.0, 0.0)
+
+
+def test_quotations():
+    """A hit anywhere inside quotation marks counts less than the same one outside."""
+    trie = toxicity.FuzzyTrie([toxicity.Term("idiot", False, 4.0)])
+    inside, outside, unclosed = (toxicity.evidence(t, trie)[0] for t in ('"what an idiot and a fool" was on the wall', "what an idiot and a fool was on the wall", '"what an idiot and a fool was\non the "wall'))
+    assert inside < outside == unclosed
+    assert toxicity.evidence("„so ein idiot hier“ x", trie)[0] == inside
+
+
+def test_disguise_patterns_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for x in ("1" * 200_000, "a1" * 100_000, "a." * 100_000 + "bb", "a1" * 100_000 + "_", "!" * 200_000 + "a"):
+        toxicity.disguised(x, lambda w: None)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("name, label, least", [("op3_quality", "quality", 0.95), ("op7_toxicity", "toxic", 0.85)])
 def test_held_out(spark, sf, name, label, least):
     df = registry.queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
@@ -573,6 +597,52 @@ def test_scores_of_odd_texts(spark):
     assert [r.score for r in score_quality(df, fit_quality(df, empty)).collect()] == [0.5] * 5
     scores = [r.score for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, empty)).collect()]
     assert all(0 <= s < 0.7 for s in scores)
+    none = df.limit(0)
+    assert score_quality(none, fit_quality(none, empty)).count() == toxicity.score_toxicity(none, toxicity.fit_toxicity(none, empty)).count() == 0
+
+
+def test_scores_of_repeats_and_clashing_columns(spark):
+    """Repeated rows are scored alike, a column called score is replaced, ties of strength get one score."""
+    from lumentrail.llm.quality import fit_quality, score_quality
+
+    rows = [(i, "a plain and readable line of text" if i % 3 else "!!! ### !!! buy buy buy, you idiot", i, "x") for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, score long, quality string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(60)] + [(0, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for got in (score_quality(df, fit_quality(df, labels)), toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels))):
+        assert got.columns == df.columns
+        scores = collections.defaultdict(set)
+        for r in got.collect():
+            scores[r.doc_id % 3 > 0].add(r.score)
+        assert len(scores[True]) == len(scores[False]) == 1 and scores[True] != scores[False]
+
+
+def test_n_grams_of_any_script_and_length():
+    from lumentrail.llm import quality
+
+    assert np.abs(quality.features("обычный текст на русском языке") - quality.features("!!! купи купи купи")).sum() > 1
+    data = np.frombuffer(("слова и words " * 200_000).encode(), np.uint8)
+    whole = quality.n_gram_counts(data)
+    assert whole.sum() == len(data) - 3
+    small = np.frombuffer(b"abcdefg", np.uint8)
+    assert quality.n_gram_counts(small).sum() == 4 and quality.n_gram_counts(small[:3]).sum() == 0
+    step, quality.STEP = quality.STEP, 1000
+    try:
+        assert (quality.n_gram_counts(data[:50_000]) == sum(quality.n_gram_counts(data[i : i + 4]) for i in range(49_997))).all()
+    finally:
+        quality.STEP = step
+
+
+def test_pairwise_logistic_is_at_its_optimum():
+    from lumentrail.llm import quality
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((200, 5))
+    y = (x @ np.array([1.0, -2, 0, 0.5, 0]) + rng.standard_normal(200) > 0).astype(float)
+    won, lost = quality.preference_pairs(y, 6, 0)
+    assert (y[won] == 1).all() and (y[lost] == 0).all()
+    w = quality.pairwise_logistic(x, won, lost, ridge=1.0)
+    loss = lambda w: np.log1p(np.exp(-(x[won] - x[lost]) @ w)).sum() + (w**2).sum() / 2
+    assert all(loss(w) <= loss(w + d) for d in 1e-3 * rng.standard_normal((50, 5)))
 
 
 # SQL twins.
