@@ -1,35 +1,43 @@
 """Exact Jaccard self-join on word shingles by prefixes under several token orders.
 
 Two sets whose similarity reaches the threshold share a token among the first
-``n - ceil(t * n) + 1`` of each, under *any* total order of tokens. The first
-order here puts rare tokens first: a count sketch of bounded size tells light
-tokens from heavy ones (it never counts too low, and an order needs no exact
-counts), ties go by hash. Candidates come from the prefixes under that order;
-before a pair is verified its sizes must fit and its prefixes must share enough
-tokens under that order and under a second one (another hash). Enough is what a
-pair of those sizes must share in prefixes of that length, given the threshold.
-For that test a class's prefixes travel as 32-bit hashes, which can only add to
-what is shared; sets are read, from the texts again, for the pairs that pass.
+``n - ceil(t * n) + 1`` of each, under *any* total order of tokens. Three orders
+are used here. All put frequent tokens last, as far as a count sketch of bounded
+size tells them from the rest (it never counts too low, and an order needs no
+exact counts); they differ in the hash that ranks tokens of one level. Candidates
+share a token of their prefixes under the first order; before a pair is verified
+its sizes must fit and its prefixes must share enough tokens under each of the
+three. Enough is what a pair of those sizes must share in prefixes of that length,
+given the threshold. For that test a class's prefixes travel as 32-bit hashes,
+which can only add to what is shared; sets are read, from the texts again, for the
+pairs that pass, once for each class.
 
 Links are wanted per document, not all pairs of a group of copies:
 
 * documents with the same set are one class; only classes are joined;
-* a prefix token's list is first linked as a star around one member; later
-  rounds test only pairs of members that are still in different components, so a
-  list of near copies costs its length and not its square;
-* heavy lists that share members are a family; a family of bounded size is
-  searched breadth first by one task, where a set once reached is never compared
-  with another one reached; larger ones stay tables keyed by token and take
-  stars, around ever better linked members, in SQL, where AQE splits a hot key.
-
-No list is cut short: after the stars every pair of a list that is still apart
-and passes the filters is verified. Token hashes and class ids have 64 bits; equality of shingles is
-equality of hashes.
+* a prefix token's list of at most ``LIGHT`` classes is first linked as a star
+  around one member; a later round tests the pairs of members that are still in
+  different components, so a list of near copies costs its length and not its
+  square;
+* longer lists that share members are a family. One with at most
+  ``FAMILY_TOKENS`` shingles is searched breadth first by one task, which keeps
+  an index of the prefixes under three orders of its own; a set once reached is
+  never compared with another one reached;
+* the lists of larger families stay tables keyed by token and take stars, around
+  ever better linked members, in SQL; what is then still apart is joined by the
+  token and one of the prefix under the second order together.
+
+No list is cut short. Token hashes have 64 bits, equality of shingles is equality
+of hashes. A class id is one half of a hash of 128 bits; the classes that share
+that half (a few in 10^10) are told apart by the other.
 
 Defined cases: a null or wordless text has an empty set and links with nothing;
 fewer words than a shingle make one shingle; a text of any length is read whole;
-each row of a repeated id is linked by its own text and returned; rows without an
-id take no part; other columns are not looked at; an empty table gives no rows.
+each row of a repeated id is linked by its own text and returned; a row without an
+id is linked and returned, too, but gives no name to its component (null where no
+row has an id); of equally good centres of a star the smaller class id is taken,
+which changes no result; other columns are not looked at; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -53,8 +61,12 @@ _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 SKETCH_BITS, PIECES = 22, 16
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Families of heavy lists with up to so many classes are searched by one task each; larger ones by stars and joins.
-FAMILY = 5_000
+#: Lists of up to so many classes are joined pair by pair.
+LIGHT = 64
+#: Families of longer lists with up to so many shingles (8 bytes each, some ten times that in use) are searched by one task each.
+FAMILY_TOKENS = 4_000_000
+#: Total orders of tokens that prefixes are taken under.
+ORDERS = 3
 
 
 def finished(h: np.ndarray) -> np.ndarray:
@@ -88,9 +100,16 @@ def shingle_set(text: str | None, known: WordHashes, width: int = 5) -> np.ndarr
     return np.unique(finished(sums))
 
 
-def class_of(own: np.ndarray) -> int:
-    """The id of a set, as a signed long."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)))
+def halves(own: np.ndarray) -> tuple[int, int]:
+    """A set's hash of 128 bits as two signed longs."""
+    h = xxhash.xxh3_128_intdigest(own.tobytes())
+    return tuple(int(np.uint64(x).view(np.int64)) for x in (h & (1 << 64) - 1, h >> 64))
+
+
+def class_of(own: np.ndarray, clashing: frozenset) -> int:
+    """The id of a set: one half of its hash, the other where several sets have the first."""
+    low, high = halves(own)
+    return high if low in clashing else low
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -102,29 +121,30 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(width: int):
-    """Rows of a document (doc, n, cls), and of the sketch (piece, counts) at a partition's end."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+    """Rows of a document (doc, n, cls and the other half of its hash), and of the sketch (piece, counts) at a partition's end."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, seen = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), set()
         some = False
         for batch in batches:
-            docs, ns, classes = batch.column(0).to_pylist(), [], []
+            docs, ns, classes, others = batch.column(0).to_pylist(), [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, known, width)
-                c = class_of(own) if len(own) else None
+                c, other = halves(own) if len(own) else (None, None)
                 ns.append(len(own))
                 classes.append(c)
+                others.append(other)
                 if c is not None and c not in seen:
                     if len(seen) < 200_000:
                         seen.add(c)
                     counts[_cells(own)] += 1  # a set's cells may meet: an undercount by one at most, and orders need no exact counts
                     some = True
             empty = [None] * len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (docs, ns, classes, others)), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], schema=schema)
         if some:
             for piece, part in enumerate(np.split(counts, PIECES)):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([piece], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([piece], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
 
     return run
 
@@ -150,16 +170,22 @@ def _levels(prints: DataFrame) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / light))).astype(np.uint8)
 
 
-def short_prefixes(own: np.ndarray, first: np.ndarray) -> bytes:
-    """The prefixes of a set under both orders (of the first: ``first``) as sorted 32-bit hashes."""
-    second = np.partition(finished(own ^ _MIX[1]), len(first) - 1)[: len(first)]
-    return b"".join(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for h in (finished(first), second))
+def short_prefixes(own: np.ndarray, first: np.ndarray, height: np.ndarray) -> bytes:
+    """The prefixes of a set under all orders (of the first: ``first``) as sorted 32-bit hashes. ``height``: the levels of its tokens."""
+    prefixes = [finished(first)]
+    for k in range(1, ORDERS):
+        mixed = finished(own ^ _MIX[k])
+        if height.any():
+            prefixes.append(mixed[np.lexsort((mixed, height))[: len(first)]])
+        else:
+            prefixes.append(np.partition(mixed, len(first) - 1)[: len(first)])
+    return b"".join(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for h in prefixes)
 
 
 def share_enough(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
     """Whether the prefixes of two sets share, under each order, what sets of that similarity must share."""
     overlap = -(-percent * (n_x + n_y) // (100 + percent))
-    a, b = (np.frombuffer(s, np.uint32).reshape(2, -1) for s in (x, y))
+    a, b = (np.frombuffer(s, np.uint32).reshape(ORDERS, -1) for s in (x, y))
     least = max(1, min(a.shape[1] - n_x + overlap, b.shape[1] - n_y + overlap))
     for p, q in zip(a, b):
         at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -178,7 +204,7 @@ def _enough(percent: int):
     return run
 
 
-def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
+def _prefixes(levels: bytes, buckets: int, percent: int, width: int, clashing: frozenset):
     """Prefix tokens of each class (light ones packed by bucket, heavy ones as rows), and its short prefixes."""
     schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
@@ -219,7 +245,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 own = shingle_set(text, known, width)
                 if not len(own):
                     continue
-                c = class_of(own)
+                c = class_of(own, clashing)
                 if c in seen:
                     continue
                 if len(seen) < 200_000:
@@ -233,7 +259,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
                 light["token"], light["cls"], light["n"] = tokens[~is_heavy], c, len(own)
                 if len(light):
                     held.append(light)
-                short.append((c, len(own), short_prefixes(own, tokens)))
+                short.append((c, len(own), short_prefixes(own, tokens, height)))
                 rows += len(tokens)
                 if is_heavy.any():
                     heavy.append((tokens[is_heavy], np.flatnonzero(is_heavy), c, len(own)))
@@ -245,8 +271,8 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct member lists, of two classes and more, of a partition's light tokens; heavy rows and a class's first short prefixes pass through."""
-    schema = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
+    """The distinct member lists, of two classes to ``LIGHT``, of a partition's light tokens, and longer ones as heavy rows; heavy rows and a class's first short prefixes pass through."""
+    schema = pa.schema([("list", pa.binary()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
     classes: set[int] = set()
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
     blobs: list[bytes] = []
@@ -268,27 +294,37 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del blobs
     starts = np.flatnonzero(np.concatenate([[True], packed["token"][1:] != packed["token"][:-1]]))
     ends = np.append(starts[1:], len(packed))
-    seen, out = set(), []
+    seen, out, long_ = set(), [], []
     for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
         members = packed["cls"][s:e]
-        name = xxhash.xxh3_64_intdigest(members.tobytes())
+        name = xxhash.xxh3_128_digest(members.tobytes())
         if name not in seen:
             seen.add(name)
-            out.append((int(np.int64(np.uint64(name).view(np.int64))), members.tolist(), packed["n"][s:e].tolist()))
+            if e - s > LIGHT:
+                long_.append((s, e))
+            else:
+                out.append((name, members.tolist(), packed["n"][s:e].tolist()))
     for at in range(0, len(out), 10_000):
         names, members, ns = (list(x) for x in zip(*out[at : at + 10_000]))
         none = pa.nulls(len(names), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(members, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64())), none, none, none, none, pa.nulls(len(names), pa.binary())], schema=schema)
+    for s, e in long_:  # their places in the prefixes are not kept; 0 is always a right bound
+        for at in range(s, e, 100_000):
+            part = packed[at : min(e, at + 100_000)]
+            rows = [part["token"].astype(np.int64), part["cls"], part["n"].astype(np.int64), np.zeros(len(part), np.int64)]
+            none = pa.nulls(len(part))
+            yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *(pa.array(np.ascontiguousarray(r)) for r in rows), none.cast(pa.binary())], schema=schema)
 
 
-def _sets(width: int):
+def _sets(width: int, clashing: frozenset):
     """The sets of classes from one of their documents. An id may be of several texts: only the class's own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             classes, sets = batch.column(0).to_pylist(), [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
-            own = [(c, s.tobytes()) for c, s in zip(classes, sets) if len(s) and class_of(s) == c]
+            own = [(c, s.tobytes()) for c, s in zip(classes, sets) if len(s) and (c is None or class_of(s, clashing) == c)]
+            own = [(class_of(np.frombuffer(s, np.uint64), clashing) if c is None else c, s) for c, s in own]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["cls", "tokens"])
 
     return run
@@ -313,38 +349,67 @@ def _verified(percent: int):
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join all sets which are joined by links, found breadth first.
 
-    A set already reached is never compared with another one reached, and one
-    pass over the tokens of those not yet reached gives all of a set's overlaps.
+    Candidates of a set share a token of its prefix under each of several orders,
+    all of them rare tokens first; the index of prefixes is left to the sets not
+    yet reached each time half of its sets are. A set already reached is never
+    compared with another one reached.
     """
     n = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.cumsum(n)
+    counts, ends = np.bincount(ids), np.cumsum(n)
     own = [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
-    mark = np.zeros(int(ids.max()) + 1, np.int64)
-    free, left = np.ones(len(sets), bool), np.arange(len(sets))
-    flat, links = ids, []
-    ends_left = ends
+    length = np.array([prefix_length(k, percent) for k in n.tolist()])
+    prefixes, index = [], []
+    for k in range(ORDERS):
+        level = counts if k == 0 else np.ceil(np.log2(counts))
+        rank = np.empty(len(counts), np.int64)
+        rank[np.lexsort((finished(np.arange(len(counts), dtype=np.uint64) ^ _MIX[k]), level))] = np.arange(len(counts))
+        prefixes.append([np.partition(rank[o], q - 1)[:q] for o, q in zip(own, length.tolist())])
+        token, holder = np.concatenate(prefixes[-1]), np.repeat(np.arange(len(sets)), length)
+        order = np.argsort(token, kind="stable")
+        index.append((token[order], holder[order]))
+    mark, free, met = np.zeros(len(counts), bool), np.ones(len(sets), bool), np.zeros(len(sets), np.int8)
+    held, left, links = len(sets), len(sets), []
     for start in range(len(sets)):
         if not free[start]:
             continue
-        free[start] = False
+        free[start], left = False, left - 1
         queue = [start]
-        while queue and free.any():
+        while queue and left:
             x = queue.pop()
-            if 2 * int(free[left].sum()) < len(left):  # those reached need not be passed over again
-                left = left[free[left]]
-                flat, ends_left = np.concatenate([own[k] for k in left]), np.cumsum(n[left])
-            mark[own[x]] = 1
-            upto = np.cumsum(mark[flat])[ends_left - 1]
-            both = np.diff(upto, prepend=0)
-            mark[own[x]] = 0
-            near = left[free[left] & (100 * both >= percent * (n[left] + n[x] - both))]
-            free[near] = False
+            if 2 * left < held:
+                index, held = [(t[free[h]], h[free[h]]) for t, h in index], left
+            met[:] = 0
+            for (token, holder), prefix in zip(index, prefixes):
+                lo, hi = np.searchsorted(token, prefix[x]), np.searchsorted(token, prefix[x], "right")
+                runs = [holder[a:b] for a, b in zip(lo.tolist(), hi.tolist()) if a < b]
+                if not runs:
+                    break
+                met[np.unique(np.concatenate(runs))] += 1
+            near = np.flatnonzero((met == ORDERS) & free)
+            near = near[100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x])]
+            if len(near):
+                mark[own[x]] = True
+                both = np.add.reduceat(mark[np.concatenate([own[y] for y in near])].astype(np.int64), np.cumsum(n[near]) - n[near])
+                mark[own[x]] = False
+                near = near[100 * both >= percent * (n[near] + n[x] - both)]
+            free[near], left = False, left - len(near)
             queue.extend(near.tolist())
             links.extend((x, y) for y in near.tolist())
     return links
 
 
+def _by_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of lists once for each token of their prefix under the second order."""
+    for batch in batches:
+        prefixes = [np.frombuffer(s, np.uint32).reshape(ORDERS, -1)[1] for s in batch.column("short").to_pylist()]
+        for at in range(0, len(prefixes), 1000):
+            part = prefixes[at : at + 1000]
+            take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(p) for p in part]))
+            rows = batch.drop_columns(["short"]).take(take)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(part).astype(np.int64))], [*rows.schema.names, "second"])
+
+
 def _family_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         rows = dict(zip(table.column("cls").to_pylist(), table.column("tokens").to_pylist()))
@@ -355,6 +420,12 @@ def _family_links(percent: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` settled, to be broadcast if it has few rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS // 4 else df
+
+
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
@@ -364,48 +435,66 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if not 0 < Fraction(percent, 100) <= 1:
         raise ValueError("percent must be over 0 and at most 100")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    prints = settle(texts.mapInArrow(_fingerprints(width), "doc long, n long, cls long, piece int, counts binary"))
-    rows = prints.where("doc is not null").select("doc", "n", "cls")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    prints = settle(texts.mapInArrow(_fingerprints(width), "doc long, n long, cls long, other long, piece int, counts binary"))
+    rows = prints.where("piece is null").select("doc", "n", "cls", "other")
+    total, unnamed = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("doc").isNull() & F.col("cls").isNotNull())).first()
+    classes = settle(rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("other").alias("lo"), F.max("other").alias("hi")))
+    clashing = frozenset(r.cls for r in classes.where("lo <> hi").select("cls").collect())  # n^2 / 2^65 are to be expected
+    firsts = classes.select("cls", "doc")
+    if clashing:
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("other")).otherwise(F.col("cls")))
+        firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
+    rows = rows.drop("other")
     levels = zlib.compress(_levels(prints).tobytes(), 1)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // 500_000 + 1)
 
-    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width), "bucket int, packed binary, token long, cls long, n long, pos long, short binary")
+    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width, clashing), "bucket int, packed binary, token long, cls long, n long, pos long, short binary")
     # One shuffle takes all kinds: packed light tokens go by bucket, the others are spread by class.
     dealt = emitted.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("token", "cls")))
-    found = settle(dealt.select("packed", "token", "cls", "n", "pos", "short").mapInArrow(_lists, "list long, members array<long>, ns array<long>, token long, cls long, n long, pos long, short binary"))
+    found = settle(dealt.select("packed", "token", "cls", "n", "pos", "short").mapInArrow(_lists, "list binary, members array<long>, ns array<long>, token long, cls long, n long, pos long, short binary"))
     light = found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"])
     shorts = found.where("short is not null").select("cls", "n", "short")
     heavy = found.where("token is not null").select("token", "cls", "n", "pos").distinct()
     # Of heavy tokens with the same members the first in the order is enough: it is the first that any two of them share.
-    signs = heavy.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"), F.min(F.struct("cls", "pos"))["pos"].alias("pos"))
-    signs = signs.where("size > 1").groupBy("size", "sign").agg(F.min_by("token", F.struct("pos", "token")).alias("token"))
-    heavy = settle(heavy.join(signs.select("token"), "token", "left_semi"))
-    firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
+    signs = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(20,0)")).alias(f"sign{k}") for k in (0, 1)]
+    signs = heavy.groupBy("token").agg(F.count("*").alias("size"), *signs, F.min("pos").alias("pos"))
+    signs = signs.where("size > 1").groupBy("size", "sign0", "sign1").agg(F.min_by("token", F.struct("pos", "token")).alias("token"))
+    heavy = settle(heavy.join(_few(signs.select("token")), "token", "left_semi"))
+    any_heavy = heavy.limit(1).count() > 0
+
+    have: DataFrame | None = None
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """``cls, tokens`` of some classes (``cls``), each from its first document."""
-        wanted = settle(firsts.join(wanted, "cls", "left_semi"))
-        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        return settle(texts.join(known, "doc").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary"))
+        """``cls, tokens`` of some classes (``cls``) and of all asked for before, each read once, from its first document."""
+        nonlocal have
+        missing = wanted if have is None else wanted.join(have.select("cls"), "cls", "left_anti")
+        missing = settle(firsts.join(missing, "cls", "left_semi"))
+        count = missing.count()
+        if have is not None and not count:
+            return have
+        known = F.broadcast(missing) if count <= BROADCAST_IDS else missing
+        read = texts.join(known.where("doc is not null"), "doc").select("cls", "text").mapInArrow(_sets(width, clashing), "cls long, tokens binary")
+        if unnamed:
+            rest = texts.where("doc is null").select(F.lit(None).cast("long").alias("cls"), "text").mapInArrow(_sets(width, clashing), "cls long, tokens binary")
+            read = read.unionAll(rest.join(known.where("doc is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+        read = settle(read)
+        have = read if have is None else have.unionAll(read)
+        return have
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes share enough under each order."""
+        a, b = (shorts.select(F.col("cls").alias(p), F.col("short").alias(s), F.col("n").alias(n)) for p, s, n in (("a", "x", "n_x"), ("b", "y", "n_y")))
+        return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(_enough(percent), "a long, b long"))
 
-    # Heavy lists that share members are a family. One of bounded size is searched whole by one task.
-    hubs = heavy.groupBy("token").agg(F.min("cls").alias("hub"))
-    family = components(heavy.join(hubs, "token").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    small = family.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") <= FAMILY).select("comp")
-    inside = settle(family.join(small, "comp", "left_semi").select(F.col("node").alias("cls"), F.col("comp").alias("family")))
-    gathered = sets_of(inside.select("cls")).join(inside, "cls")
-    families = settle(gathered.groupBy("family").applyInArrow(_family_links(percent), "a long, b long"))
-    heavy = settle(heavy.join(inside, "cls", "left_anti"))  # the lists of larger families
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the similarity."""
-        a, b = (shorts.select(F.col("cls").alias(p), F.col("short").alias(s), F.col("n").alias(n)) for p, s, n in (("a", "x", "n_x"), ("b", "y", "n_y")))
-        likely = settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(_enough(percent), "a long, b long"))
-        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        """The likely pairs that reach the similarity."""
+        sets = sets_of(ends(pairs))
         a, b = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-        return settle(likely.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct())
+        return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct())
 
     def fit(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -424,34 +513,55 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         reach = in_reach(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"))
         return lists.join(hubs, "token").where(fits & reach & (F.col("hub") != F.col("cls"))).select(*columns)
 
+    # Heavy lists that share members are a family. One of bounded size is searched whole by one task.
+    inside = families = hubs = None
+    if any_heavy:
+        centres = _few(heavy.groupBy("token").agg(F.min("cls").alias("hub")))
+        family = components(heavy.join(centres, "token").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+        family = family.withColumnRenamed("node", "cls").join(heavy.select("cls", "n").distinct(), "cls")
+        small = family.groupBy("comp").agg(F.sum("n").alias("tokens")).where(F.col("tokens") <= FAMILY_TOKENS).select("comp")
+        inside = settle(family.join(small, "comp", "left_semi").select("cls", F.col("comp").alias("family")))
+        heavy = settle(heavy.join(inside, "cls", "left_anti"))  # the lists of larger families
+        any_heavy = heavy.limit(1).count() > 0
+
     # First round: a star in every list.
     columns, fits = pair(F.col("members")[0], F.col("m.members"), F.col("ns")[0], F.col("m.ns"))
-    stars = light.select("members", "ns", F.explode(F.slice(F.arrays_zip("members", "ns"), 2, 1 << 30)).alias("m")).where(fits).select(*columns)
-    hubs = heavy.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    tested = settle(stars.unionAll(starred(heavy, hubs)).distinct())
-    links = settle(verify(tested).unionAll(families))
+    tested = light.select("members", "ns", F.explode(F.slice(F.arrays_zip("members", "ns"), 2, LIGHT)).alias("m")).where(fits).select(*columns)
+    if any_heavy:
+        hubs = heavy.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+        hubs = _few(hubs)
+        tested = tested.unionAll(starred(heavy, hubs))
+    tested = settle(tested.distinct())
+    pairs = likely(tested)
+    if inside is not None:
+        gathered = sets_of(ends(pairs).unionAll(inside.select("cls")).distinct()).join(inside, "cls")
+        families = settle(gathered.groupBy("family").applyInArrow(_family_links(percent), "a long, b long"))
+    links = verify(pairs)
+    if families is not None:
+        links = settle(links.unionAll(families))
     comps = components(links)
 
-    def apart() -> DataFrame:
-        """Members of heavy lists that are not all in one component."""
-        placed = heavy.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return placed.join(several, "token", "left_semi")
+    def placed(members: DataFrame) -> DataFrame:
+        """Members with their components."""
+        return members.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def apart(members: DataFrame, key: str) -> DataFrame:
+        """Members, with their components, of lists that are not all in one."""
+        members = placed(members)
+        several = members.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key)
+        return members.join(_few(several), key, "left_semi")
 
-    any_heavy = heavy.limit(1).count()
-    # Second round: pairs of light lists that are still apart. Third and fourth: stars around the best linked members of heavy lists. Fifth: what is left of those, pair by pair.
+    # Second round: pairs of light lists that are still apart. Third and fourth: stars around the best linked members of heavy lists. Fifth: what is left of those, under two orders at once.
     for step in ("light", "heavy", "heavy", "rest"):
         if step == "light":
             members = light.where(F.size("members") > 2).select("list", F.explode(F.arrays_zip("members", "ns")).alias("m")).select("list", F.col("m.members").alias("cls"), F.col("m.ns").alias("n"))
-            placed = members.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            several = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-            placed = placed.join(several, "list", "left_semi")
-            other = placed.select("list", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            more = placed.join(other, "list").where("cls < cls2 and comp <> comp2").where(fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+            members = apart(members, "list")
+            other = members.select("list", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            more = members.join(other, "list").where("cls < cls2 and comp <> comp2").where(fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         else:
             if not any_heavy:
                 continue
-            members = settle(apart())
+            members = settle(apart(heavy, "token"))
             if not members.limit(1).count():
                 continue
             if step == "heavy":
@@ -459,17 +569,20 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 used = hubs.select("token", F.col("hub").alias("cls"))
                 ranked = members.join(used, ["token", "cls"], "left_anti").join(degree, "cls", "left")
                 best = ranked.groupBy("token").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "cls", "n", "pos")).alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+                best = _few(best)
                 hubs = settle(hubs.unionAll(best))
                 more = starred(members, best)
             else:
-                other = members.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+                dealt = members.join(shorts.select("cls", "short"), "cls").select("token", "cls", "n", "pos", "comp", "short")
+                dealt = settle(dealt.mapInArrow(_by_second, "token long, cls long, n long, pos long, comp long, second long"))
+                other = dealt.select("token", "second", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
                 reach = fit(F.col("n"), F.col("n2")) & in_reach(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
-                more = members.join(other, "token").where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+                more = dealt.join(other, ["token", "second"]).where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
             continue
         tested = settle(tested.unionAll(more))
-        new = verify(more)
+        new = verify(likely(more))
         links = settle(links.unionAll(new))
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(new))
 

@@ -110,10 +110,10 @@ def test_ngram_join(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("family", [5000, 0])
+@pytest.mark.parametrize("family", [4_000_000, 0])
 def test_ngram_join_heavy_tokens(spark, monkeypatch, family):
     """The same links where every shared token counts as heavy, by families and by stars."""
-    monkeypatch.setattr(ngram_join, "FAMILY", family)
+    monkeypatch.setattr(ngram_join, "FAMILY_TOKENS", family)
     monkeypatch.setattr(ngram_join, "_levels", lambda prints: np.ones(1 << ngram_join.SKETCH_BITS, np.uint8))
     texts = near_copies(seed=5, groups=2, size=25)
     got = ngram_join.ngram_join(frame(spark, texts))
@@ -125,7 +125,45 @@ def test_ngram_join_repeated_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (4, "c " + a), (None, a)]
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(tuple(r) for r in got) == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (3, 57, 1), (4, 57, 1)]
+    assert sorted(tuple(r) for r in got if r.doc_id) == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (3, 57, 1), (4, 57, 1)]
+    assert [tuple(r) for r in got if r.doc_id is None] == [(None, 56, 1)]
+
+
+def test_ngram_join_rows_without_id(spark):
+    """They link, and name no component: it takes the smallest id there is, or none."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, a), (7, a + " x"), (None, b), (None, b + " y"), (None, c), (None, None)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 56, 0), (0, 56, 0), (0, 56, 7), (0, 57, 0), (7, 57, 7)]
+
+
+def test_ngram_join_of_clashing_hashes(spark, monkeypatch):
+    """Sets whose hashes share a half are still told apart."""
+    monkeypatch.setattr(ngram_join, "halves", lambda own: (len(own), int(np.bitwise_xor.reduce(own) >> np.uint64(2))))
+    texts = near_copies(seed=8, groups=2, size=6)
+    got = ngram_join.ngram_join(frame(spark, texts))
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("family", [4_000_000, 0])
+def test_ngram_join_one_token_in_many_sets(spark, monkeypatch, family):
+    """A passage of one shingle in 5,000 unlike texts: they are candidates of each other under one order, not under all."""
+    monkeypatch.setattr(ngram_join, "FAMILY_TOKENS", family)
+    compared = []
+    similar, enough = ngram_join.similar, ngram_join.share_enough
+    texts = [f"the same five words here {' '.join(f'w{i}x{k}' for k in range(12))}" for i in range(5_000)] + [f"the same five words here {' '.join(f'w7x{k}' for k in range(12))} end"]
+    got = ngram_join.ngram_join(frame(spark, texts, extra=False)).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id != r.component_id} == {(5_000, 7)} and len(got) == 5_001
+    sets = [ngram_join.shingle_set(t, ngram_join.WordHashes()) for t in texts]
+    monkeypatch.setattr(ngram_join.np, "add", type("add", (), {"reduceat": staticmethod(lambda x, at, real=np.add: compared.append(len(at)) or real.reduceat(x, at))}))
+    assert ngram_join.spanning_links(sets, 80) == [(7, 5_000)] and sum(compared) < 100
+
+
+def test_lists_beyond_the_light_limit(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    texts = near_copies(seed=9, groups=3, size=8)
+    got = ngram_join.ngram_join(frame(spark, texts))
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
 
 
 def test_ngram_join_empty(spark):
@@ -162,7 +200,9 @@ def test_prefix_filter_keeps_similar_pairs():
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.12], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)]))
         if len(y) and ngram_join.similar(x, y, 80):
-            a, b = (ngram_join.short_prefixes(s, s[: ngram_join.prefix_length(len(s), 80)]) for s in (x, y))
+            level = rng.integers(0, 3, 64) * (_ % 2)
+            orders = [(s, level[(s % np.uint64(64)).astype(int)]) for s in (x, y)]
+            a, b = (ngram_join.short_prefixes(s, s[np.lexsort((s, h))][: ngram_join.prefix_length(len(s), 80)], h) for s, h in orders)
             assert ngram_join.share_enough(a, len(x), b, len(y), 80)
 
 
