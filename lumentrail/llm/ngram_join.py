@@ -8,7 +8,7 @@ exact counts); they differ in the hash that ranks tokens of one level. Candidate
 share a token of their prefixes under the first order; before a pair is verified
 its sizes must fit and its prefixes must share enough tokens under each of the
 three. Enough is what a pair of those sizes must share in prefixes of that length,
-given the threshold. For that test a class's prefixes travel as 32-bit hashes,
+given the threshold. For that test a class's prefixes travel as 16-bit hashes,
 which can only add to what is shared; sets are read, from the texts again, for the
 pairs that pass, once for each class.
 
@@ -171,7 +171,7 @@ def _levels(prints: DataFrame) -> np.ndarray:
 
 
 def short_prefixes(own: np.ndarray, first: np.ndarray, height: np.ndarray) -> bytes:
-    """The prefixes of a set under all orders (of the first: ``first``) as sorted 32-bit hashes. ``height``: the levels of its tokens."""
+    """The prefixes of a set under all orders (of the first: ``first``) as sorted 16-bit hashes. ``height``: the levels of its tokens."""
     prefixes = [finished(first)]
     for k in range(1, ORDERS):
         mixed = finished(own ^ _MIX[k])
@@ -179,13 +179,13 @@ def short_prefixes(own: np.ndarray, first: np.ndarray, height: np.ndarray) -> by
             prefixes.append(mixed[np.lexsort((mixed, height))[: len(first)]])
         else:
             prefixes.append(np.partition(mixed, len(first) - 1)[: len(first)])
-    return b"".join(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for h in prefixes)
+    return b"".join(np.sort((h & np.uint64(0xFFFF)).astype(np.uint16)).tobytes() for h in prefixes)
 
 
 def share_enough(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
     """Whether the prefixes of two sets share, under each order, what sets of that similarity must share."""
     overlap = -(-percent * (n_x + n_y) // (100 + percent))
-    a, b = (np.frombuffer(s, np.uint32).reshape(ORDERS, -1) for s in (x, y))
+    a, b = (np.frombuffer(s, np.uint16).reshape(ORDERS, -1) for s in (x, y))
     least = max(1, min(a.shape[1] - n_x + overlap, b.shape[1] - n_y + overlap))
     for p, q in zip(a, b):
         at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -402,7 +402,7 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
 def _by_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of lists once for each token of their prefix under the second order."""
     for batch in batches:
-        prefixes = [np.frombuffer(s, np.uint32).reshape(ORDERS, -1)[1] for s in batch.column("short").to_pylist()]
+        prefixes = [np.frombuffer(s, np.uint16).reshape(ORDERS, -1)[1] for s in batch.column("short").to_pylist()]
         for at in range(0, len(prefixes), 1000):
             part = prefixes[at : at + 1000]
             take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(p) for p in part]))
