@@ -2,36 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions.time import day_part, micros_between, season
+from lumentrail.functions.time import season, whole_days
+from lumentrail.operators.clusters import mean_cosine
 from lumentrail.operators.stats import best_mean
 
 
-def memory_scores(rows: DataFrame, keys: list[str], *, least: float = 0.3) -> DataFrame:
-    """Clusters with ``score``: 0.25 temporal, 0.20 location, 0.20 people, 0.20 semantic (0.5 where unknown), 0.15 quality.
+def temporal_score(n: Column, start: Column, end: Column) -> Column:
+    """0.6 of density (2 to 20 items an hour are best) and 0.4 of span (a day or less, then 2 to 7 days, longer, two days at most)."""
+    density = n / F.greatest(F.floor(F.timestamp_diff("MINUTE", start, end)) / 60.0, F.lit(1.0))
+    days = whole_days(start, end)
+    dense = F.when(density.between(2.0, 20.0), 1.0).when(density < 2.0, density / 2.0).otherwise(1.0 - (density - 20.0) / 80.0)
+    span = F.when(days == 0, 1.0).when(days.between(2, 7), 0.9).when(days > 7, 0.7).otherwise(0.5)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * dense + 0.4 * span))
+
+
+def place_score(n: Column, located: Column, spread: Column) -> Column:
+    """By how far positions spread where more than half of the items have one; else the share of those that do (0.3 where none does)."""
+    near = F.when(spread < 0.01, 1.0).when(spread < 0.05, 0.9).when(spread < 0.1, 0.8).otherwise(0.7)
+    return F.when(located == 0, 0.3).when(located / n > 0.5, near).otherwise(located / n)
+
+
+def people_score(share: Column) -> Column:
+    """By the share of items with people on them."""
+    return F.when(share >= 0.5, 1.0).when(share >= 0.2, 0.8).when(share > 0, 0.6).otherwise(0.3)
+
+
+def memory_scores(rows: DataFrame, keys: list[str], *, vectors: DataFrame | None = None, least: float = 0.3) -> DataFrame:
+    """Clusters (``keys``) with ``score``: 0.25 temporal, 0.20 place, 0.20 people, 0.20 semantic, 0.15 quality; those under ``least`` go.
 
-    Rows have created, lat, lng, has_people, quality.
+    Rows have media_id, created, lat, lng, has_people and quality; ``vectors``
+    media_id and vector. Semantic is the mean cosine of a cluster's pairs (0.5
+    without two vectors), quality the mean of the best 70 % that is known (0.5 if
+    nothing is).
     """
-    hours = micros_between(F.min("created"), F.max("created")) / 3.6e9
-    spread = F.greatest(F.max("lat") - F.min("lat"), F.max("lng") - F.min("lng"))
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    lat, lng = F.when(located, F.col("lat")), F.when(located, F.col("lng"))
     by = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("created").alias("start"), F.max("created").alias("end"), hours.alias("hours"), spread.alias("spread"),
-        F.avg(F.coalesce(F.col("has_people"), F.lit(False)).cast("double")).alias("people"), best_mean(F.collect_list(F.coalesce("quality", F.lit(0.5)))).alias("quality"),
+        F.count("*").alias("n"), F.min("created").alias("start"), F.max("created").alias("end"), F.count_if(located).alias("located"),
+        F.greatest(F.max(lat) - F.min(lat), F.max(lng) - F.min(lng)).alias("spread"), F.avg(F.coalesce("has_people", F.lit(False)).cast("double")).alias("people"),
+        best_mean(F.collect_list("quality")).alias("quality"),
+    )
+    if vectors is None:
+        by = by.withColumn("semantic", F.lit(0.5))
+    else:
+        found = mean_cosine(rows.select(*keys, "media_id").join(vectors.select("media_id", "vector"), "media_id"), keys)
+        by = by.join(found, list(keys), "left").withColumn("semantic", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))), F.lit(0.5))).drop("similarity", "vectors")
+    score = (
+        0.25 * temporal_score(F.col("n"), F.col("start"), F.col("end")) + 0.2 * place_score(F.col("n"), F.col("located"), F.col("spread"))
+        + 0.2 * people_score(F.col("people")) + 0.2 * F.col("semantic") + 0.15 * F.coalesce("quality", F.lit(0.5))
     )
-    temporal = F.least(F.lit(1.0), 0.5 * F.least(F.col("n") / 10.0, F.lit(1.0)) + 0.5 * F.least(F.col("hours") / 8.0, F.lit(1.0)))
-    place = F.when(F.col("spread").isNull(), 0.5).when(F.col("spread") < 0.01, 1.0).when(F.col("spread") < 0.1, 0.8).otherwise(0.4)
-    score = 0.25 * temporal + 0.2 * place + 0.2 * F.col("people") + 0.2 * F.lit(0.5) + 0.15 * F.col("quality")
     return by.withColumn("score", score).where(F.col("score") >= least)
 
 
-def titled(memories: DataFrame) -> DataFrame:
-    """A title from the day part, the season and the span."""
-    days = F.date_diff(F.to_date("end"), F.to_date("start"))
-    name = F.when(days == 0, F.concat(day_part(F.col("start")), F.lit(", "), F.date_format("start", "MMMM d, yyyy"))).when(days <= 3, F.concat(F.lit("A few days in "), F.date_format("start", "MMMM yyyy"))).otherwise(F.concat(season(F.col("start")), F.lit(" "), F.date_format("start", "yyyy")))
-    return memories.withColumn("title", name)
+def theme(memory: DataFrame) -> Column:
+    """trip, people, event, seasonal or everyday, of memories with start, end, n, people (array of names) and place."""
+    several = F.to_date("start") != F.to_date("end")
+    named = F.coalesce(F.size("people"), F.lit(0))
+    placed = F.col("place").isNotNull()
+    return (
+        F.when(several & placed, "trip").when((named >= 2) | ((named == 1) & (F.col("n") >= 5)), "people")
+        .when(placed & (F.col("n") >= 5), "event").when(whole_days(F.col("start"), F.col("end")) > 30, "seasonal").otherwise("everyday")
+    )
+
+
+def titled(memories: DataFrame, now: Column) -> DataFrame:
+    """Memories (start, end, n, people, place) with ``theme``, ``title`` and ``subtitle``: what it is, where, when, and the year where it is another."""
+    rows = memories.withColumn("theme", theme(memories))
+    what = F.when(F.col("theme") == "trip", "Trip").when(F.col("theme") == "event", "Event").when(F.col("theme") == "seasonal", season(F.col("start"))).when(F.col("theme") == "people", F.get("people", F.lit(0)))
+    day = lambda t: F.date_format(t, "MMMM d")
+    when = (
+        F.when(F.to_date("start") == F.to_date("end"), F.date_format("start", "EEEE, MMMM d"))
+        .when(F.month("start") == F.month("end"), F.concat(day("start"), F.lit("–"), F.date_format("end", "d")))
+        .otherwise(F.concat(day("start"), F.lit(" – "), day("end")))
+    )
+    year = F.when(F.year("start") != F.year(now), F.year("start").cast("string"))
+    title = F.concat_ws(" ", what, F.concat(F.lit("in "), F.col("place")), when, year)
+    return rows.withColumn("title", title).withColumn("subtitle", F.when(F.col("n") > 10, F.concat(F.col("n").cast("string"), F.lit(" photos"))))
 
 
 def unseen(candidates: DataFrame, members: DataFrame, *, most_shared: float = 0.7) -> DataFrame:
@@ -43,25 +95,37 @@ def unseen(candidates: DataFrame, members: DataFrame, *, most_shared: float = 0.
     return candidates.join(seen.where(F.col("shared") <= most_shared).select("id"), "id", "left_semi")
 
 
-def albums(media: DataFrame, faces: DataFrame, now_year: int, *, most: int = 100) -> DataFrame:
-    """``category, name, n, members``: best of each past year (10 items), months (5), seasons (15) and people (10); the best ``most`` items of each."""
-    month = F.date_format("created", "yyyy-MM")
-    parts = [
-        media.where(F.year("created") < now_year).select(F.lit("best_of_year").alias("category"), F.year("created").cast("string").alias("name"), "media_id", "quality"),
-        media.select(F.lit("month").alias("category"), month.alias("name"), "media_id", "quality"),
-        media.select(F.lit("season").alias("category"), F.concat_ws(" ", season(F.col("created")), F.year("created")).alias("name"), "media_id", "quality"),
-        faces.select("media_id", "person_id").distinct().join(media.select("media_id", "quality"), "media_id").select(F.lit("person").alias("category"), F.col("person_id").cast("string").alias("name"), "media_id", "quality"),
+def albums(memories: DataFrame, members: DataFrame, people: DataFrame, now: Column, *, most: int = 100) -> DataFrame:
+    """Albums from memories: ``category, name, n, score, start, cover``.
+
+    ``memories``: memory_id, start, score, theme; ``members``: memory_id, position,
+    media_id; ``people``: memory_id, person_id. Best of each year but this one (10
+    items), months but this one (5) and seasons (15) take at most ``most`` items,
+    memories by falling score (seasons: in their order); trips (5) and people (10
+    different items) take all.
+    """
+    rows = memories.join(members, "memory_id")
+    year, month = F.year("start"), F.date_format("start", "yyyy-MM")
+    best, in_order = [F.desc("score"), F.col("memory_id"), F.col("position")], [F.col("memory_id"), F.col("position")]
+    kinds: list[tuple[str, DataFrame, Column, Sequence[Column], int]] = [
+        ("best_of_year", rows.where(year != F.year(now)), year.cast("string"), best, 10),
+        ("month", rows.where(month != F.date_format(now, "yyyy-MM")), month, best, 5),
+        ("season", rows, F.concat_ws(" ", season(F.col("start")), year), in_order, 15),
     ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    least = F.when(F.col("category") == "season", 15).when(F.col("category") == "month", 5).otherwise(10)
-    counted = rows.where("name is not null").groupBy("category", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy("category", "name").orderBy(F.desc_nulls_last("quality"), "media_id")
-    best = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most).groupBy("category", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "media_id"))), lambda x: x["media_id"]).alias("members"))
-    return counted.join(best, ["category", "name"])
-
-
-def best_photo_score(quality: Column, blur: Column) -> Column:
-    """0.4 quality, 0.3 sharpness, 0.3 of one half."""
-    return 0.4 * F.coalesce(quality, F.lit(0.5)) + 0.3 * (1 - F.coalesce(blur, F.lit(0.5))) + 0.15
+    out = []
+    for category, part, name, order, least in kinds:
+        named = part.withColumn("name", name)
+        first = named.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("at") <= most)
+        # The best score and the first start are of all the memories of a name, also of those whose items found no room.
+        whole = named.groupBy("name").agg(F.max("score").alias("score"), F.min("start").alias("start"))
+        found = first.groupBy("name").agg(F.count("*").alias("n"), F.min_by("media_id", "at").alias("cover")).where(F.col("n") >= least).join(whole, "name")
+        out.append(found.select(F.lit(category).alias("category"), "name", "n", "score", "start", "cover"))
+    trips = rows.where("theme = 'trip'").groupBy("memory_id").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.min("start").alias("start"), F.min_by("media_id", "position").alias("cover"))
+    out.append(trips.where("n >= 5").select(F.lit("trip").alias("category"), F.col("memory_id").cast("string").alias("name"), "n", "score", "start", "cover"))
+    once = rows.join(people, "memory_id").groupBy("person_id", "media_id").agg(F.min("start").alias("start"), F.min(F.struct("memory_id", "position")).alias("at"))
+    persons = once.groupBy("person_id").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.min_by("media_id", "at").alias("cover")).where("n >= 10")
+    out.append(persons.select(F.lit("person").alias("category"), F.col("person_id").cast("string").alias("name"), "n", F.lit(0.5).alias("score"), "start", "cover"))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions.vector import clamped_dot
+from lumentrail.functions.vector import clamped_dot, cosine
+from lumentrail.operators.lineage import settle
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -46,12 +47,23 @@ def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key:
     return faces.select(*block, key, "vector").groupBy(*block).applyInPandas(run, f"{kinds}, leader {faces.schema[key].dataType.simpleString()}")
 
 
-def assigned(new: DataFrame, known: DataFrame, *, least: float = 0.6) -> DataFrame:
+def assigned(new: DataFrame, known: DataFrame, *, least: float = 0.6, block: int = 20_000) -> DataFrame:
     """``face_id, person_id, similarity``: each new face goes to the person of the most similar known face; null under ``least``.
 
-    ``known`` is the people's running means (one vector a person): its size is the number of people.
+    ``known`` is the people's running means, one vector a person. Up to ``block``
+    of them are broadcast; more are dealt to so many blocks, and each face meets
+    every block once.
     """
-    both = new.select("face_id", "vector").join(known.select("person_id", F.col("vector").alias("v")))
+    people = known.select("person_id", F.col("vector").alias("v"))
+    count = people.count()
+    faces = new.select("face_id", "vector")
+    if count <= block:
+        both = faces.crossJoin(F.broadcast(people))  # block rows at most
+    else:
+        blocks, salts = -(-count // block), int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        people = people.withColumn("blk", F.pmod(F.xxhash64("person_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        faces = faces.withColumn("salt", F.pmod(F.xxhash64("face_id"), F.lit(salts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        both = faces.join(people, ["blk", "salt"])
     best = both.groupBy("face_id").agg(F.max(F.struct(clamped_dot(F.col("vector"), F.col("v")).alias("s"), (-F.col("person_id")).alias("p"))).alias("b"))
     return best.select("face_id", F.when(F.col("b.s") >= least, -F.col("b.p")).alias("person_id"), F.col("b.s").alias("similarity"))
 
@@ -76,21 +88,70 @@ def coherence(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id") ->
     return by.select(*keys, F.col("coherence"), F.col("representative"), F.when(F.col("n") > 1, 1 - pairs).otherwise(0.0).alias("diversity"))
 
 
+def mean_cosine(rows: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
+    """``keys..., vectors, similarity``: the mean cosine of each group's pairs, from the sum of its unit vectors; null without a pair.
+
+    Groups of any size are combined before the shuffle. A vector without length has cosine 0 with any other.
+    """
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = rows.select(*keys, F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0)).alias("unit"), (length > 0).cast("double").alias("square"))
+    sums = unit.select(*keys, F.posexplode("unit").alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("whole"))
+    counts = unit.groupBy(*keys).agg(F.count("*").alias("vectors"), F.sum("square").alias("squares"))
+    mean = (F.col("whole") - F.col("squares")) / (F.col("vectors") * (F.col("vectors") - 1))
+    return counts.join(whole, list(keys)).select(*keys, "vectors", F.when(F.col("vectors") > 1, mean).alias("similarity"))
+
+
 def diverse(rows: DataFrame, keys: Sequence[str], k: int, *, key: str = "media_id") -> DataFrame:
-    """``keys..., media_id, rank``: best score first, then whatever adds most score and difference to what is chosen."""
+    """``keys..., media_id, rank``: best score first, then whatever is least like one of those chosen (ties: better score, smaller id).
+
+    ``k`` rounds over tables; a group of any size is spread over tasks.
+    """
+    left = settle(rows.select(*keys, key, "score", "vector").withColumn("near", F.lit(1.0)))
+    chosen = None
+    for rank in range(1, k + 1):
+        first = F.struct(*([] if rank == 1 else [(1 - F.col("near")).alias("gain")]), F.col("score"), (-F.col(key)).alias("order"))
+        best = settle(left.groupBy(*keys).agg(F.max_by(F.struct(F.col(key).alias("taken"), F.col("vector").alias("other")), first).alias("b")).select(*keys, "b.*"))
+        picked = best.select(*keys, F.col("taken").alias(key), F.lit(rank).alias("rank"))
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        if rank < k:
+            met = left.join(best, list(keys)).where(F.col(key) != F.col("taken"))
+            left = settle(met.withColumn("near", F.least("near", cosine(F.col("vector"), F.col("other")))).drop("taken", "other"))
+    return chosen
+
+
+def sub_themes(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id", least: float = 0.7, least_size: int = 3, most: int = 5000) -> DataFrame:
+    """``keys..., media_id, theme``: within a cluster the first item not yet placed begins a theme, and takes each later one whose mean cosine with its members reaches ``least``.
+
+    Themes under ``least_size`` go; a cluster without any, and one too small for
+    two, is one theme (0). One task has one cluster, whose size is that of a
+    memory: more than ``most`` rows raise. The mean cosine with a theme is the
+    product with the sum of its unit vectors, so nothing is taken pair by pair.
+    """
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, key])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", key], ascending=[False, True], ignore_index=True)
-        x, s = _unit(_matrix(part["vector"])), part["score"].to_numpy(float)
-        chosen = [0]
-        while len(chosen) < min(k, len(part)):
-            gain = 0.5 * s + 0.5 * (1 - (x @ x[chosen].T).min(axis=1))
-            gain[chosen] = -np.inf
-            chosen.append(int(np.argmax(gain)))
-        return part.loc[chosen, [*keys, key]].assign(rank=range(1, len(chosen) + 1))
-
-    return rows.select(*keys, key, "score", "vector").groupBy(*keys).applyInPandas(run, f"{kinds}, rank int")
+        if len(part) > most:
+            raise ValueError(f"a cluster of more than {most} rows: split it first")
+        part = part.sort_values(key, ignore_index=True)
+        theme = np.zeros(len(part), int)
+        if len(part) >= 2 * least_size:
+            x, theme[:] = _unit(_matrix(part["vector"])), -1
+            for i in range(len(part)):
+                if theme[i] < 0:
+                    theme[i], total, n = i, x[i].copy(), 1
+                    for j in range(i + 1, len(part)):
+                        if theme[j] < 0 and x[j] @ total / n >= least:
+                            theme[j], total, n = i, total + x[j], n + 1
+            sizes = np.bincount(theme, minlength=len(part))
+            if (sizes >= least_size).any():
+                keep = sizes[theme] >= least_size
+                part, theme = part[keep], theme[keep]
+            else:
+                theme[:] = 0
+        return part[[*keys, key]].assign(theme=np.unique(theme, return_inverse=True)[1] if len(part) else theme)
+
+    return rows.select(*keys, key, "vector").groupBy(*keys).applyInPandas(run, f"{kinds}, theme int")
 
 
 def kept_boxes(boxes: DataFrame, keys: Sequence[str], *, over: float = 0.45, least: float = 0.25, most: int | None = None, key: str = "box_id") -> DataFrame:
@@ -124,8 +185,44 @@ def merged_people(faces: DataFrame, merges: DataFrame) -> DataFrame:
     return faces.join(merges, "person_id", "left").withColumn("person_id", F.coalesce("into", "person_id")).drop("into")
 
 
-def cover_score(quality: Column, blur: Column, candidate: Column, people: Column, landscape: Column) -> Column:
-    """0.4 quality, 0.3 sharpness, 0.15; less 0.3 for a non-candidate, more for people and format; within 0 and 1."""
-    base = 0.4 * F.coalesce(quality, F.lit(0.5)) + 0.3 * (1 - F.coalesce(blur, F.lit(0.5))) + 0.15
-    total = base - F.when(candidate, 0.0).otherwise(0.3) + F.when(people, 0.15).otherwise(0.0) + F.when(landscape, 0.1).otherwise(0.0)
+def moved_faces(faces: DataFrame, moves: DataFrame, people: DataFrame) -> DataFrame:
+    """Faces (``face_id``) under the active person that each was moved to (``face_id, into``; of several the first)."""
+    active = people.where("status = 'active'").select(F.col("person_id").alias("into"))
+    once = moves.join(active, "into", "left_semi").groupBy("face_id").agg(F.min("into").alias("into"))
+    return faces.join(once, "face_id", "left").withColumn("person_id", F.coalesce("into", "person_id")).drop("into")
+
+
+def deleted_people(faces: DataFrame, people: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces that belong to nobody any more where theirs was deleted (``person_id``; active ones only), and the people with that status."""
+    marked = people.where("status = 'active'").select("person_id").join(gone.select("person_id"), "person_id", "left_semi").withColumn("__gone", F.lit(True))
+    kept = faces.join(marked, "person_id", "left").withColumn("person_id", F.when(F.col("__gone").isNull(), F.col("person_id"))).drop("__gone")
+    return kept, people.join(marked, "person_id", "left").withColumn("status", F.when(F.col("__gone"), "deleted").otherwise(F.col("status"))).drop("__gone")
+
+
+def reset_people(faces: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces without people, and no people."""
+    return faces.withColumn("person_id", F.lit(None).cast(faces.schema["person_id"].dataType)), people.limit(0)
+
+
+def photo_score(quality: Column, blur: Column) -> Column:
+    """0.4 quality, 0.3 blur score (higher is sharper), 0.15 for no known time; unknown ones count half; within 0 and 1."""
+    total = 0.4 * F.coalesce(quality, F.lit(0.5)) + 0.3 * F.coalesce(blur, F.lit(0.5)) + 0.15
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+
+def well_composed(width: Column, height: Column) -> Column:
+    """Landscape (1.3 to 1.8), portrait (0.55 to 0.77) or square (0.9 to 1.1)."""
+    ratio = F.try_divide(width.cast("double"), height)
+    fits = ratio.between(1.3, 1.8) | ratio.between(0.55, 0.77) | ratio.between(0.9, 1.1)
+    return F.coalesce((width != 0) & fits, F.lit(False))
+
+
+def cover_score(quality: Column, blur: Column, people: Column, width: Column, height: Column) -> Column:
+    """The photo's score; less 0.3 unless quality and blur score are over 0.7, more for people (0.15) and format (0.1)."""
+    candidate = F.coalesce((quality > 0.7) & (blur > 0.7), F.lit(False))
+    return photo_score(quality, blur) - F.when(candidate, 0.0).otherwise(0.3) + F.when(people, 0.15).otherwise(0.0) + F.when(well_composed(width, height), 0.1).otherwise(0.0)
+
+
+def covers(scored: DataFrame, keys: Sequence[str], *, key: str = "media_id") -> DataFrame:
+    """``keys..., cover``: the item of best ``score`` in each group, ties to the smaller id."""
+    return scored.groupBy(*keys).agg(F.max_by(key, F.struct("score", -F.col(key))).alias("cover"))

@@ -15,26 +15,35 @@ def exact_groups(df: DataFrame, content: str = "content_hash", key: str = "media
 
 
 def hamming_pairs(df: DataFrame, *, key: str = "media_id", within: int = 8) -> DataFrame:
-    """Pairs ``a < b`` of 64-bit hashes (``hi``, ``lo``: 32 bits each) at most ``within`` bits apart, with ``bits``.
+    """Pairs ``a < b`` of 64-bit hashes (``hi``, ``lo``: 32 bits each) at most ``within`` bits apart, with ``bits``; of copies use one (see :func:`near_groups`).
 
-    Exact: of ``within + 1`` bands of bits, one at least is equal. Items with the
-    same hash are joined once as one, so a large group of copies makes no pairs
-    of its own here (see :func:`near_groups`).
+    Exact: in at least one of a few wide bands of bits two such hashes differ by at
+    most ``slack`` bits, so one side goes by its bands as they are, the other by
+    all bands that near to its own. Bands have 16 bits and more, for which a chance
+    meeting is rare.
     """
-    bands = within + 1
+    slack = 1 if within <= 5 else 2
+    bands = within // (slack + 1) + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
 
     def band(i: int) -> Column:
-        """Bits from one cut to the next of the 64, without forming a signed 64-bit number."""
+        """Bits from one cut to the next of the 64 (32 of them at most, unless there is one band), without forming a signed 64-bit number."""
         parts = []
         for half, at in (("hi", 0), ("lo", 32)):
             low, high = max(cuts[i] - at, 0), min(cuts[i + 1] - at, 32)
             if low < high:
-                parts.append(F.shiftright(F.col(half), 32 - high).bitwiseAND((1 << (high - low)) - 1))
-        return F.concat_ws(":", F.lit(str(i)), *[p.cast("string") for p in parts])
-
-    one = df.select(F.col(key).alias("id"), "hi", "lo", F.explode(F.array(*[band(i) for i in range(bands)])).alias("band"))
-    other = one.select(F.col("id").alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "band")
+                parts.append((F.shiftright(F.col(half), 32 - high).bitwiseAND((1 << (high - low)) - 1), high - low))
+        return parts[0][0] if len(parts) == 1 else F.shiftleft(parts[0][0], parts[1][1]).bitwiseOR(parts[1][0])
+
+    def near(i: int) -> Column:
+        width = cuts[i + 1] - cuts[i]
+        bits = [1 << k for k in range(width)]
+        masks = [0, *bits, *(a | b for k, a in enumerate(bits) for b in bits[:k] if slack == 2)]
+        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(i).alias("i"), band(i).bitwiseXOR(m).alias("x")))
+
+    one = df.select(F.col(key).alias("id"), "hi", "lo", F.explode(F.flatten(F.array(*[near(i) for i in range(bands)]))).alias("band"))
+    other = df.select(F.col(key).alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("x")) for i in range(bands)])).alias("band"))
     apart = hamming(F.col("hi"), F.col("lo"), F.col("hi2"), F.col("lo2"))
     return one.join(other, "band").where("id < b").withColumn("bits", apart).where(F.col("bits") <= within).select(F.col("id").alias("a"), "b", "bits").distinct()
 

@@ -196,3 +196,14 @@ def with_region_vectors_missing(tags: DataFrame, vectors: DataFrame, least: floa
     """Tags sure enough to deserve a region vector that have none yet."""
     done = vectors.where("region_label is not null").select("media_id", F.col("region_label").alias("label"))
     return tags.where(F.col("confidence") >= least).join(done, ["media_id", "label"], "left_anti")
+
+
+def without_disliked(media: DataFrame, feedback: DataFrame, query: str) -> DataFrame:
+    """Without what was marked irrelevant (``media_id, query, liked``) for a query, however it is spelled; an empty query marks nothing."""
+    from lumentrail.functions.text import normalized_query
+
+    wanted = " ".join(query.lower().split())
+    if not wanted:
+        return media
+    disliked = feedback.where((normalized_query(F.col("query")) == wanted) & ~F.col("liked"))
+    return media.join(disliked.select("media_id"), "media_id", "left_anti")

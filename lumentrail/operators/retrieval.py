@@ -111,7 +111,8 @@ def similar_to(vectors: DataFrame, media_id, k: int) -> DataFrame:
 
 
 def related(candidates: DataFrame, seed: DataFrame, *, least: float = 0.3) -> DataFrame:
-    """Items related to a seed (one row): same event, shared people, nearness in space and time, look-alike hash.
+    """Items related to a seed (one row): same event (0.3), shared people (0.25), nearness in space (0.2: full to 1 km, none from 10) and time (0.15: full in the
+    hour, falling over a day, then from 0.05 over the week), look-alike hash (0.1: under 10 bits apart, less a 64th for each).
 
     Both have media_id, event, people (array), lat, lng, created, hi and lo.
     """
@@ -125,8 +126,8 @@ def related(candidates: DataFrame, seed: DataFrame, *, least: float = 0.3) -> Da
         0.3 * F.coalesce((F.col("event") == F.col("s_event")).cast("double"), F.lit(0.0))
         + 0.25 * jaccard(F.col("people"), F.col("s_people"))
         + 0.2 * F.coalesce(geo, F.lit(0.0))
-        + F.coalesce(F.when(hours <= 24, 0.15).when(hours <= 168, 0.05), F.lit(0.0))
-        + F.coalesce(F.when(bits < 10, 0.1), F.lit(0.0))
+        + F.coalesce(F.when(hours < 1, 0.15).when(hours < 24, 0.15 * (1 - hours / 24.0)).when(hours < 168, 0.05 * (1 - (hours - 24) / 144.0)), F.lit(0.0))
+        + F.coalesce(F.when(bits < 10, 0.1 * (1 - bits / 64.0)), F.lit(0.0))
     )
     return both.withColumn("score", score).where(F.col("score") >= least).select("media_id", "score")
 

@@ -107,3 +107,19 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return df.withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
+
+
+def best_detections(tags: DataFrame, *, key: str = "tag_id") -> DataFrame:
+    """The surest detection of each label (in any case) of an item; of equally sure ones the first."""
+    best = F.max_by(F.struct(*tags.columns), F.struct("confidence", -F.col(key)))
+    return tags.groupBy("media_id", F.lower("label").alias("__label")).agg(best.alias("b")).select("b.*")
+
+
+def coverage_by(media: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """``what, n, share``: how many items each table covers, and of all."""
+    total = media.agg(F.count("*").alias("total"))
+    out = None
+    for name, df in parts.items():
+        found = media.select("media_id").join(df.select("media_id"), "media_id", "left_semi").agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return out.crossJoin(F.broadcast(total)).select("what", "n", coverage(F.col("n"), F.col("total")).alias("share"))  # one row

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions.geo import degrees_apart
+from lumentrail.functions.geo import degrees_apart, haversine_km
 from lumentrail.functions.time import micros_between, whole_hours
 
 HOUR = 3_600_000_000
@@ -61,6 +61,14 @@ def gaps(df: DataFrame, *, owner: Sequence[str] = ("owner",), time: str = "ts",
     return rows.withColumn("micros", micros_between(F.col("start"), F.col("end"))).where(F.col("micros") >= int(least_hours * HOUR))
 
 
+def moves(df: DataFrame, *, owner: Sequence[str] = ("owner",), time: str = "created", key: str = "media_id") -> DataFrame:
+    """Each row that has a position with its owner's one before (``previous``) and the way between them (``km``)."""
+    w = _series(owner, time, key)
+    placed = df.where("lat is not null and lng is not null")
+    rows = placed.select("*", F.lag(key).over(w).alias("previous"), F.lag("lat").over(w).alias("__lat"), F.lag("lng").over(w).alias("__lng")).where("previous is not null")
+    return rows.withColumn("km", haversine_km(F.col("__lat"), F.col("__lng"), F.col("lat"), F.col("lng"))).drop("__lat", "__lng")
+
+
 def hotspots(df: DataFrame, *, owner: Sequence[str] = ("owner",), time: str = "ts", minutes: int = 30, least: int = 3) -> DataFrame:
     """Rows with at least ``least`` rows within less than ``minutes`` of them, and that count."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumentrail.functions.time import clock
 from lumentrail.functions.vector import cosine_distance
 
 
@@ -18,10 +19,50 @@ def fixed_segments(videos: DataFrame) -> DataFrame:
     return starts.select("video_id", "start_ms", F.least(F.col("start_ms") + F.col("step"), F.col("duration_ms")).alias("end_ms"))
 
 
-def sample_times(videos: DataFrame, *, every_ms: int = 2000, most: int = 60) -> DataFrame:
-    """``video_id, ts_ms``: evenly spaced frames, at most ``most``."""
-    step = F.greatest(F.lit(every_ms).cast("long"), F.ceil(F.col("duration_ms") / most).cast("long"))
-    return videos.where("duration_ms > 0").select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, step)).alias("ts_ms"))
+def _frame_count(most: int) -> Column:
+    """Frames of a video: one a second, ``most`` at most, one at least."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("duration_ms") / 1000))).cast("int")
+
+
+def _frames(videos: DataFrame, times: Column) -> DataFrame:
+    """``video_id, frame, ts_ms`` of arrays of times."""
+    return videos.where("duration_ms > 0").select("video_id", F.posexplode(times).alias("frame", "ts_ms"))
+
+
+def _even(start: Column, span: Column, n: Column, shift: Column) -> Column:
+    """``n`` times from ``start``, spread over ``span``."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (start + F.floor(span * i / n) + shift).cast("long"))
+
+
+def sample_times(videos: DataFrame, *, most: int = 12) -> DataFrame:
+    """Frames in the middle of equal parts of a video (``duration_ms``)."""
+    n = _frame_count(most)
+    part = F.floor(F.col("duration_ms") / n)
+    return _frames(videos, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i * part + F.floor(part / 2)).cast("long")))
+
+
+def adaptive_times(videos: DataFrame, *, most: int = 12) -> DataFrame:
+    """Frames by quarters, half a second in: 30 % of them in the first, 50 % in the two after it, the rest in the last (each at least one, cut to the number there are)."""
+    n, quarter, late = _frame_count(most), F.floor(F.col("duration_ms") / 4), F.lit(500)
+    early, middle = (F.greatest(F.lit(1), F.floor(n * share + 0.5).cast("int")) for share in (0.3, 0.5))
+    last = F.greatest(F.lit(1), n - early - middle)
+    times = F.concat(_even(F.lit(0), quarter, early, late), _even(quarter, quarter * 2, middle, late), _even(quarter * 3, quarter, last, late))
+    return _frames(videos, F.slice(F.array_sort(times), F.lit(1), n))
+
+
+def key_moments(videos: DataFrame, *, most: int = 12) -> DataFrame:
+    """Frames at 2.5 s, at each quarter and 5 s before the end; while more are wanted, all is divided evenly by one part more than there are frames."""
+    d, n = F.col("duration_ms"), _frame_count(most)
+    first = F.array(F.lit(2500).cast("long"), *(F.floor(d * share).cast("long") for share in (0.25, 0.5, 0.75)), F.greatest(F.lit(0).cast("long"), d - 5000))
+
+    def fuller(times: Column, _: Column) -> Column:
+        parts = F.size(times) + 1
+        more = F.transform(F.sequence(F.lit(1), parts), lambda i: (i * F.floor(d / parts)).cast("long"))
+        open_ = (F.size(times) < n) & ((F.size(times) == 5) | (F.size(times) < F.floor(d / 1000)))
+        return F.when(open_, F.array_sort(F.array_distinct(F.concat(times, more)))).otherwise(times)
+
+    rounds = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))  # each round makes at least twice as many
+    return _frames(videos, F.slice(F.aggregate(rounds, first, fuller), F.lit(1), n))
 
 
 def scenes(frames: DataFrame, *, threshold: float = 0.3, least_ms: int = 1000) -> DataFrame:
@@ -80,11 +121,47 @@ def searched(segments: DataFrame, *, text: str | None = None, label: str | None
     return segments.withColumn("score", sum(parts, zero)).where("score > 0")
 
 
-def highlights(scored: DataFrame, *, least: float = 0.4, k: int | None = None) -> DataFrame:
-    """Segments whose ``score`` reaches ``least``, best first within a video."""
-    w = Window.partitionBy("video_id").orderBy(F.desc("score"), "start_ms", "end_ms")
-    out = scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.where(F.col("rank") <= k)
+def highlights(scenes_: DataFrame, segments: DataFrame, videos: DataFrame, *, least: float = 0.4) -> DataFrame:
+    """``video_id, start_ms, end_ms, score, reasons`` of scenes worth showing.
+
+    Scenes have video_id, start_ms, end_ms, confidence; segments also people,
+    labels and ocr_text; videos video_id and duration_ms. 0.1 for each segment with
+    people (0.3 at most), 0.04 for each label (0.2 at most), 0.1 for text, 0.1 for a
+    scene shorter than 0.7 of the mean segment's share of the video, a tenth of the
+    scene's confidence. A scene that meets no segment can't reach ``least``.
+    """
+    share = segments.groupBy("video_id").agg(F.count("*").alias("__n")).join(videos.select("video_id", "duration_ms"), "video_id").select("video_id", (F.col("duration_ms") / F.greatest(F.lit(1), F.col("__n"))).alias("__mean"))
+    met = overlaps(scenes_.withColumnRenamed("confidence", "__sure"), segments)
+    by = met.groupBy("video_id", "start_ms", "end_ms", "__sure").agg(
+        F.count_if(F.coalesce(F.size("people"), F.lit(0)) > 0).alias("people"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+        F.max(F.coalesce(F.length("ocr_text") > 0, F.lit(False))).alias("text"),
+    )
+    score = (
+        F.least(F.lit(0.3), F.col("people") * 0.1) + F.least(F.lit(0.2), F.size("labels") * 0.04) + F.when(F.col("text"), 0.1).otherwise(0.0)
+        + F.when(F.col("end_ms") - F.col("start_ms") < F.col("__mean") * 0.7, 0.1).otherwise(0.0) + F.col("__sure") * 0.1
+    )
+    said = F.array_compact(F.array(
+        F.when(F.col("people") > 0, F.concat(F.col("people").cast("string"), F.lit(" people detected"))),
+        F.when(F.size("labels") > 0, F.concat(F.lit("Objects: "), F.array_join(F.slice("labels", 1, 3), ", "))), F.when(F.col("text"), "Text detected on screen"),
+    ))
+    scored = by.join(share, "video_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).where(F.col("score") >= least)
+    return scored.select("video_id", "start_ms", "end_ms", "score", F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("Visual content"))).alias("reasons"))
+
+
+def summaries(scenes_: DataFrame, segments: DataFrame, highlights_: DataFrame, videos: DataFrame) -> DataFrame:
+    """``video_id, duration_ms, n_scenes, n_people, n_labels, n_texts, n_highlights``: what was found in each video, each thing once."""
+    def each(column: Column, name: str) -> DataFrame:
+        found = segments.select("video_id", column.alias("x")).where("x is not null and x <> ''").distinct()
+        return found.groupBy("video_id").agg(F.count("*").alias(name))
+
+    parts = [
+        scenes_.groupBy("video_id").agg(F.count("*").alias("n_scenes")), each(F.explode("people"), "n_people"), each(F.explode("labels"), "n_labels"), each(F.col("ocr_text"), "n_texts"),
+        highlights_.groupBy("video_id").agg(F.count("*").alias("n_highlights")),
+    ]
+    out = videos.select("video_id", "duration_ms")
+    for part in parts:
+        out = out.join(part, "video_id", "left")
+    return out.fillna(0, ["n_scenes", "n_people", "n_labels", "n_texts", "n_highlights"])
 
 
 def chapters(scenes_: DataFrame, segments: DataFrame) -> DataFrame:
@@ -93,18 +170,34 @@ def chapters(scenes_: DataFrame, segments: DataFrame) -> DataFrame:
     return met.groupBy("video_id", "start_ms", "end_ms").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
 
 
+def chapter_titles(scenes_: DataFrame, segments: DataFrame) -> DataFrame:
+    """``video_id, start_ms, end_ms, title``: a scene's label, or two of what its segments show, or its time."""
+    first = F.array_sort(F.collect_list(F.struct("seg_start", "seg_end", F.concat(F.when(F.coalesce(F.size("people"), F.lit(0)) > 0, F.array(F.lit("People"))).otherwise(F.array().cast("array<string>")), F.slice("labels", 1, 2)).alias("shown"))))
+    met = overlaps(scenes_, segments).groupBy("video_id", "start_ms", "end_ms").agg(F.array_distinct(F.flatten(F.transform(first, lambda x: x["shown"]))).alias("shown"))
+    named = scenes_.join(met, ["video_id", "start_ms", "end_ms"], "left")
+    title = F.when(F.length("label") > 0, F.col("label")).when(F.size("shown") > 0, F.array_join(F.slice("shown", 1, 2), " & ")).otherwise(F.concat(F.lit("Scene "), clock(F.col("start_ms"))))
+    return named.select("video_id", "start_ms", "end_ms", title.alias("title"))
+
+
 def evenness(frames: DataFrame) -> DataFrame:
-    """``video_id, evenness``: 1 less half the variation of the gaps between frames, at least 0; 1 with fewer than two gaps."""
+    """``video_id, evenness``: 1 less half the variation of the gaps between frames, within 0 and 1; 0.5 with fewer than two frames, or all at one time."""
     w = Window.partitionBy("video_id").orderBy("ts_ms")
     gaps = frames.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(w))
-    return gaps.groupBy("video_id").agg(F.when(F.count("gap") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop("gap"), F.avg("gap")), F.lit(0.0)) / 2)).alias("evenness"))
+    even = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.stddev_pop("gap") / F.avg("gap") / 2))
+    return gaps.groupBy("video_id").agg(F.when(F.coalesce(F.avg("gap"), F.lit(0.0)) == 0, 0.5).otherwise(even).alias("evenness"))
 
 
 def quality(frames: DataFrame) -> DataFrame:
-    """``video_id, score, issues``: 0.4 sharpness, 0.4 quality, 0.2 evenness; frames have ts_ms, sharpness, quality."""
-    by = frames.groupBy("video_id").agg(F.avg("sharpness").alias("sharpness"), F.avg("quality").alias("quality"), F.count("*").alias("n")).join(evenness(frames), "video_id")
-    issues = F.array_compact(F.array(F.when(F.col("sharpness") < 0.3, "blurry"), F.when(F.col("quality") < 0.3, "low_quality"), F.when(F.col("evenness") < 0.5, "uneven"), F.when(F.col("n") < 3, "few_frames")))
-    return by.select("video_id", (0.4 * F.col("sharpness") + 0.4 * F.col("quality") + 0.2 * F.col("evenness")).alias("score"), issues.alias("issues"))
+    """``video_id, score, issues``: 0.4 of 1 - mean blur, 0.4 mean quality, 0.2 evenness; means of nothing count half. Frames have ts_ms, blur, quality."""
+    by = frames.groupBy("video_id").agg(F.coalesce(F.avg("blur"), F.lit(0.5)).alias("blur"), F.coalesce(F.avg("quality"), F.lit(0.5)).alias("quality"), F.count("*").alias("n")).join(evenness(frames), "video_id")
+    issues = F.array_compact(F.array(F.when(F.col("blur") > 0.7, "blurry"), F.when(F.col("quality") < 0.3, "low_quality"), F.when(F.col("n") < 3, "few_frames"), F.when(F.col("evenness") < 0.3, "uneven")))
+    return by.select("video_id", unit_range(0.4 * unit_range(1 - F.col("blur")) + 0.4 * F.col("quality") + 0.2 * F.col("evenness")).alias("score"), issues.alias("issues"))
+
+
+def representative(frames: DataFrame) -> DataFrame:
+    """The frames marked ``representative``, as (``video_id, rank, ts_ms``) in order of time."""
+    w = Window.partitionBy("video_id").orderBy("ts_ms")
+    return frames.where("representative").select("video_id", F.row_number().over(w).alias("rank"), "ts_ms")
 
 
 def work_list(states: DataFrame, statuses: Sequence[int]) -> DataFrame:
@@ -115,22 +208,6 @@ def unit_range(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def key_moments(videos: DataFrame, *, most: int = 10, edge_share: float = 0.05) -> DataFrame:
-    """``video_id, ts_ms``: near the start and the end, and evenly between them; distinct, at most ``most``."""
-    span = F.col("duration_ms")
-    first, last = F.floor(span * edge_share).cast("long"), F.floor(span * (1 - edge_share)).cast("long")
-    n = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(span / 1000).cast("int")))
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: first + F.when(n > 1, F.floor((last - first) * i / (n - 1))).otherwise(F.lit(0)).cast("long"))
-    return videos.where("duration_ms > 0").select("video_id", F.explode(F.array_distinct(at)).alias("ts_ms"))
-
-
-def adaptive_times(videos: DataFrame, *, most: int = 60) -> DataFrame:
-    """``video_id, ts_ms``: a frame each second up to 30 s, each 2 s up to 2 min, each 5 s beyond, spread wider where that is more than ``most``."""
-    every = F.when(F.col("duration_ms") <= 30_000, 1000).when(F.col("duration_ms") <= 120_000, 2000).otherwise(5000).cast("long")
-    step = F.greatest(every, F.ceil(F.col("duration_ms") / most).cast("long"))
-    return videos.where("duration_ms > 0").select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, step)).alias("ts_ms"))
-
-
 def storage(frames: DataFrame) -> DataFrame:
     """``video_id, n, bytes`` of stored frames, and the share of all bytes."""
     by = frames.groupBy("video_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumentrail.functions import geo, text, time, vector
 from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
@@ -27,6 +28,8 @@ NOW_SQL = "TIMESTAMP '2001-08-02 00:00:00'"
 STREAM_NOW = datetime(2024, 1, 31)
 STREAM_NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
+HAVERSINE_SQL = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
+
 
 def now():
     return F.lit(NOW).cast("timestamp_ntz")
@@ -129,36 +132,16 @@ def match_signals(vectors, texts, media):
     return rows.select("media_id", F.array_join("matched", ",").alias("matched"))
 
 
-@query("turns", sql="SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1 ORDER BY times DESC, query LIMIT 100")
-def query_log(turns):
-    """Of the first 12 characters; ``whole_query_log`` counts whole texts."""
-    return _query_log(turns, F.substring("text", 1, 12))
-
-
 @query("turns", sql="SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1 ORDER BY times DESC, query LIMIT 100")
-def whole_query_log(turns):
-    return _query_log(turns, F.col("text"))
-
-
-def _query_log(turns: DataFrame, words) -> DataFrame:
-    rows = turns.select(text.normalized_query(words).alias("query"), F.lit(STREAM_NOW).alias("at"))
+def query_log(turns):
+    rows = turns.select(text.normalized_query(F.col("text")).alias("query"), F.lit(STREAM_NOW).alias("at"))
     empty = rows.limit(0).select("query", F.lit(0).cast("long").alias("times"), F.col("at").alias("last"))
     return retrieval.logged_queries(empty, rows).select("query", "times")
 
 
-@query("turns", sql="WITH h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1) SELECT query, times FROM h WHERE starts_with(query, 'the') ORDER BY times DESC, query LIMIT 5")
-def query_suggestions(turns):
-    """Of the first 12 characters; ``whole_query_suggestions`` counts whole texts."""
-    return _query_suggestions(turns, F.substring("text", 1, 12))
-
-
 @query("turns", sql="WITH h AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times FROM turns GROUP BY 1) SELECT query, times FROM h WHERE starts_with(query, 'the') ORDER BY times DESC, query LIMIT 5")
-def whole_query_suggestions(turns):
-    return _query_suggestions(turns, F.col("text"))
-
-
-def _query_suggestions(turns: DataFrame, words) -> DataFrame:
-    h = turns.groupBy(text.normalized_query(words).alias("query")).agg(F.count("*").alias("times")).withColumn("last", F.lit(STREAM_NOW))
+def query_suggestions(turns):
+    h = turns.groupBy(text.normalized_query(F.col("text")).alias("query")).agg(F.count("*").alias("times")).withColumn("last", F.lit(STREAM_NOW))
     return retrieval.suggestions(h, "the").select("query", "times")
 
 
@@ -220,15 +203,15 @@ def near_position(media):
     return filters.in_box(media, 10.0, 20.0, 20.0).select("media_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000 AND video_id < 500")
+@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000")
 def segments_in_range(segments):
-    """Of the first videos; ``all_segments_in_range`` is the whole job."""
-    return filters.overlapping(segments.where("video_id < 500"), 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
+    return filters.overlapping(segments, 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
 
 
-@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms < 9000 AND end_ms > 5000")
-def all_segments_in_range(segments):
-    return filters.overlapping(segments, 5000, 9000).select("video_id", "start_ms", "end_ms", "label")
+@query("segments", sql="SELECT video_id, start_ms, end_ms, label FROM segments WHERE start_ms <= 9000 AND end_ms >= 5000")
+def segments_meeting_range(segments):
+    """With their ends: touching is meeting."""
+    return filters.overlapping(segments, 5000, 9000, closed=True).select("video_id", "start_ms", "end_ms", "label")
 
 
 @query("media", sql="SELECT media_id FROM media WHERE stages & 5 = 0")
@@ -236,15 +219,8 @@ def missing_stages(media):
     return filters.lacks_stage(media, 5).select("media_id")
 
 
-@query("trash", sql=f"SELECT media_id, greatest(0, least(30, 30 - date_diff('day', deleted, {NOW_SQL}))) AS days_left FROM trash WHERE deleted > {NOW_SQL} - INTERVAL 200 DAY")
-def trash_days_left(trash):
-    """Of the last 200 days; ``all_trash_days_left`` is the whole job."""
-    recent = trash.where(F.col("deleted") > now() - F.expr("INTERVAL 200 DAYS"))
-    return recent.select("media_id", time.days_left(F.col("deleted"), now()).cast("long").alias("days_left"))
-
-
 @query("trash", sql=f"SELECT media_id, greatest(0, least(30, 30 - date_diff('day', deleted, {NOW_SQL}))) AS days_left FROM trash")
-def all_trash_days_left(trash):
+def trash_days_left(trash):
     return trash.select("media_id", time.days_left(F.col("deleted"), now()).cast("long").alias("days_left"))
 
 
@@ -395,38 +371,50 @@ def rate_limits(timeline_):
     return timeline.rate_limited(timeline_, seconds=3600, most=2).select("media_id", "n_recent", "allowed")
 
 
-EVENTS_SQL = """WITH g AS (SELECT *, lag(created) OVER w AS c0, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM media WINDOW w AS (PARTITION BY album ORDER BY created, media_id)),
-f AS (SELECT *, CASE WHEN coalesce(date_diff('hour', c0, created) >= 4, false) OR coalesce(abs(lat - lat0) > 90 OR abs(lng - lng0) > 90, false) THEN 1 ELSE 0 END AS fresh FROM g),
-e AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY created, media_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM f),
-n AS (SELECT *, count(*) OVER (PARTITION BY album, event) AS n_event FROM e), k AS (SELECT * FROM n WHERE n_event >= 2)"""
-
-
-def _events(media: DataFrame) -> DataFrame:
-    return timeline.events(media, owner=["album"], degrees=90.0)
+EVENTS_SQL = """WITH g AS (SELECT *, lag(created) OVER w AS c0, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM moments WINDOW w AS (PARTITION BY owner ORDER BY created, media_id)),
+f AS (SELECT *, CASE WHEN coalesce(date_diff('hour', c0, created) >= 4 AND date_diff('microsecond', c0, created) >= 14400000000, false) OR coalesce(abs(lat - lat0) > CAST(0.005 AS DOUBLE) OR abs(lng - lng0) > CAST(0.005 AS DOUBLE), false) THEN 1 ELSE 0 END AS fresh FROM g),
+e AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY owner ORDER BY created, media_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM f),
+n AS (SELECT *, count(*) OVER (PARTITION BY owner, event) AS n_event FROM e), k AS (SELECT * FROM n WHERE n_event >= 2)"""
 
 
 @query(
-    "media",
-    sql=EVENTS_SQL + " SELECT album, event, min(created) AS start, max(created) AS \"end\", count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, round(greatest(0.3, least(1.0, 0.4 * least(count(*) / 10.0, 1.0) + 0.6 * least(date_diff('hour', min(created), max(created)) / 8.0, 1.0))), 6) AS confidence FROM k GROUP BY album, event",
+    "moments",
+    sql=EVENTS_SQL + " SELECT owner, event, min(created) AS start, max(created) AS \"end\", count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, round(greatest(0.3, least(1.0, 0.4 * least(count(*) / 10.0, 1.0) + 0.6 * least(floor(date_diff('microsecond', min(created), max(created)) / CAST(3600000000 AS DOUBLE)) / 8.0, 1.0))), 6) AS confidence FROM k GROUP BY owner, event",
 )
-def events(media):
-    found = timeline.event_summary(_events(media), owner=["album"])
-    return found.select("album", "event", "start", "end", "n", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.round("confidence", 6).alias("confidence"))
+def events(moments):
+    found = timeline.event_summary(timeline.events(moments))
+    return found.select("owner", "event", "start", "end", "n", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.round("confidence", 6).alias("confidence"))
+
+
+TRIPS_SQL = """WITH g AS (SELECT *, date_diff('microsecond', lag(created) OVER (PARTITION BY owner ORDER BY created, media_id), created) AS gap FROM moments),
+k AS (SELECT *, CAST(sum(coalesce(CAST(gap >= 90000000000 AS INTEGER), 0)) OVER (PARTITION BY owner ORDER BY created, media_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM g),
+c AS (SELECT owner, event, min(created) AS start, max(created) AS "end", count(*) AS n, avg(lat) AS lat, avg(lng) AS lng, coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0) AS spread FROM k GROUP BY owner, event HAVING count(*) >= 5)"""
+
+
+def _clusters(moments: DataFrame) -> DataFrame:
+    """Items of each owner by runs without a gap of 25 hours."""
+    return timeline.adaptive_sessions(moments, time="created").withColumnRenamed("session", "event")
+
 
+@query("moments", sql=TRIPS_SQL + " SELECT owner, event, n, round(spread, 6) AS spread FROM c WHERE spread >= CAST(0.25 AS DOUBLE)")
+def trips(moments):
+    return timeline.trips(_clusters(moments)).select("owner", "event", "n", F.round("spread", 6).alias("spread"))
 
-@query("media", sql=EVENTS_SQL + " SELECT album, event, count(*) AS n, round(coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0), 6) AS spread FROM k GROUP BY album, event HAVING count(*) >= 3 AND coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0) >= 0.25")
-def trips(media):
-    return timeline.trips(_events(media), owner=["album"], least=3).select("album", "event", "n", F.round("spread", 6).alias("spread"))
+
+@query("moments", sql=TRIPS_SQL + f" SELECT owner, event, n FROM c WHERE {HAVERSINE_SQL.format('lat', 'CAST(40 AS DOUBLE)', 'lng', 'CAST(40 AS DOUBLE)')} / 111 >= CAST(0.5 AS DOUBLE)")
+def trips_from_home(moments):
+    """Half a degree and more from a home."""
+    return timeline.trips(_clusters(moments), home=(40.0, 40.0)).select("owner", "event", "n")
 
 
 @query(
-    "media",
-    sql=EVENTS_SQL + """, t AS (SELECT album, event, min(created) AS start, max(created) AS "end", count(*) AS n FROM k GROUP BY album, event HAVING count(*) >= 3 AND coalesce(greatest(max(lat) - min(lat), max(lng) - min(lng)), 0) >= 0.25),
-    u AS (SELECT *, coalesce(CAST(date_diff('microsecond', max("end") OVER (PARTITION BY album ORDER BY start, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start) > 172800000000 AS INTEGER), 0) AS fresh FROM t),
-    v AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY start, event ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trip FROM u) SELECT album, trip, min(start) AS start, max("end") AS "end", CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY album, trip""",
+    "moments",
+    sql=TRIPS_SQL + """, t AS (SELECT * FROM c WHERE spread >= CAST(0.25 AS DOUBLE)),
+    u AS (SELECT *, coalesce(CAST(date_diff('microsecond', max("end") OVER (PARTITION BY owner ORDER BY start, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start) > 172800000000 AS INTEGER), 0) AS fresh FROM t),
+    v AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY owner ORDER BY start, event ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trip FROM u) SELECT owner, trip, min(start) AS start, max("end") AS "end", CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY owner, trip""",
 )
-def merged_trips(media):
-    return timeline.merged_trips(timeline.trips(_events(media), owner=["album"], least=3), owner=["album"])
+def merged_trips(moments):
+    return timeline.merged_trips(timeline.trips(_clusters(moments)))
 
 
 @query(
@@ -450,23 +438,20 @@ def day_parts(timeline_):
 # Joins.
 
 
-def _distances(first: DataFrame, media: DataFrame) -> DataFrame:
-    """Each of the first items with the later ones of its person."""
-    a = first.where("lat is not null").select(F.col("media_id").alias("a"), "person_id", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
-    b = media.where("lat is not null").select(F.col("media_id").alias("b"), "person_id", "lat", "lng")
-    return a.join(b, "person_id").where("a < b").select("a", "b", F.round(geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")), 4).alias("km"))
-
-
-@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.media_id % 50 = 1")
-def distances(media):
-    """From one item in 50; ``all_distances`` is the whole job."""
-    return _distances(media.where("media_id % 50 = 1"), media)
+@query(
+    "moments",
+    sql=f"SELECT media_id, previous, round({HAVERSINE_SQL.format('lat0', 'lat', 'lng0', 'lng')}, 4) AS km FROM (SELECT media_id, lat, lng, lag(media_id) OVER w AS previous, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM moments WHERE lat IS NOT NULL AND lng IS NOT NULL WINDOW w AS (PARTITION BY owner ORDER BY created, media_id)) WHERE previous IS NOT NULL",
+)
+def distances(moments):
+    """From every located item to its owner's one before."""
+    return timeline.moves(moments).select("media_id", "previous", F.round("km", 4).alias("km"))
 
 
-@query("media", sql="SELECT a.media_id AS a, b.media_id AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 4) AS km FROM media a JOIN media b ON a.person_id = b.person_id AND a.media_id < b.media_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL")
-def all_distances(media):
-    """Every pair of a person's located items."""
-    return _distances(media, media)
+@query("media", sql=f"SELECT media_id, round({HAVERSINE_SQL.format('CAST(10 AS DOUBLE)', 'lat', 'CAST(20 AS DOUBLE)', 'lng')}, 4) AS km FROM media WHERE lat IS NOT NULL AND lng IS NOT NULL")
+def distances_to_position(media):
+    """From every located item to one position."""
+    placed = media.where("lat is not null and lng is not null")
+    return placed.select("media_id", F.round(geo.haversine_km(F.lit(10.0), F.lit(20.0), F.col("lat"), F.col("lng")), 4).alias("km"))
 
 
 @query("faces", sql="WITH f AS (SELECT DISTINCT media_id, person_id FROM faces) SELECT a.person_id AS person_id, b.person_id AS other, count(*) AS n FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id < b.person_id GROUP BY 1, 2")
@@ -599,9 +584,39 @@ def fixed_segments(segments):
     return video.fixed_segments(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
 
 
-@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(2000, CAST(ceil(d / 5.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments GROUP BY video_id HAVING max(end_ms) > 0)")
+DURATION_SQL = "v AS (SELECT video_id, max(end_ms) AS d, greatest(1, least(12, max(end_ms) // 1000)) AS n FROM segments GROUP BY video_id HAVING max(end_ms) > 0)"
+UNNEST_SQL = "SELECT video_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS frame, CAST(unnest(t) AS BIGINT) AS ts_ms FROM (SELECT video_id, {} AS t FROM {})"
+
+
+def _durations(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
+
+
+@query("segments", sql=f"WITH {DURATION_SQL} " + UNNEST_SQL.format("list_transform(range(0, n), lambda i: i * (d // n) + (d // n) // 2)", "v"))
 def sampled_frames(segments):
-    return video.sample_times(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")), most=5)
+    return video.sample_times(_durations(segments))
+
+
+@query(
+    "segments",
+    sql=f"WITH {DURATION_SQL}, c AS (SELECT *, d // 4 AS q, greatest(1, CAST(floor(n * 3e-1 + 0.5) AS BIGINT)) AS early, greatest(1, CAST(floor(n * 5e-1 + 0.5) AS BIGINT)) AS middle FROM v), e AS (SELECT *, greatest(1, n - early - middle) AS late FROM c) "
+    + UNNEST_SQL.format("list_sort(list_concat(list_concat(list_transform(range(0, early), lambda i: q * i // early + 500), list_transform(range(0, middle), lambda i: q + q * 2 * i // middle + 500)), list_transform(range(0, late), lambda i: q * 3 + q * i // late + 500)))[1:n]", "e"),
+)
+def adaptive_frames(segments):
+    return video.adaptive_times(_durations(segments))
+
+
+def _key_moments_sql(rounds: int = 4) -> str:
+    """Rounds that fill up, each a CTE: one beyond the last changes nothing."""
+    parts = [DURATION_SQL, "a0 AS (SELECT *, [2500, CAST(floor(d * 25e-2) AS BIGINT), CAST(floor(d * 5e-1) AS BIGINT), CAST(floor(d * 75e-2) AS BIGINT), greatest(0, d - 5000)] AS a FROM v)"]
+    for k in range(rounds):
+        parts.append(f"a{k + 1} AS (SELECT video_id, d, n, CASE WHEN len(a) < n AND (len(a) = 5 OR len(a) < d // 1000) THEN list_sort(list_distinct(list_concat(a, list_transform(range(1, len(a) + 2), lambda i: i * (d // (len(a) + 1)))))) ELSE a END AS a FROM a{k})")
+    return "WITH " + ", ".join(parts) + " " + UNNEST_SQL.format("a[1:n]", f"a{rounds}")
+
+
+@query("segments", sql=_key_moments_sql())
+def key_moments(segments):
+    return video.key_moments(_durations(segments))
 
 
 def _frames(segments: DataFrame) -> DataFrame:
@@ -635,16 +650,51 @@ def video_search(segments):
     return found.select("video_id", "start_ms", "end_ms", "label", F.round("score", 6).alias("score"))
 
 
-@query("segments", sql="SELECT video_id, start_ms, end_ms, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_ms, end_ms) AS pos FROM segments WHERE confidence >= 0.4) WHERE pos <= 2")
+RICH_SQL = "seg AS (SELECT *, person_id % 2 = 0 AS peopled, start_ms % 8000 = 0 AS texted FROM segments), sc AS (SELECT DISTINCT video_id, start_ms - 2000 AS start_ms, start_ms + 3000 AS end_ms, CAST(start_ms % 3 AS DOUBLE) / 2 AS sure FROM segments), du AS (SELECT video_id, max(end_ms) / CAST(count(*) AS DOUBLE) AS mean, max(end_ms) AS duration_ms FROM segments GROUP BY video_id)"
+HIGHLIGHTS_SQL = RICH_SQL + """, met AS (SELECT c.video_id, c.start_ms, c.end_ms, c.sure, count(*) FILTER (WHERE peopled) AS p, list_sort(list_distinct(list(label))) AS labels, bool_or(texted) AS texted FROM sc c JOIN seg s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms GROUP BY ALL),
+    hl AS (SELECT * FROM (SELECT m.*, greatest(0, least(1, least(3e-1, p * 1e-1) + least(2e-1, len(labels) * 4e-2) + CASE WHEN texted THEN 1e-1 ELSE 0e0 END + CASE WHEN m.end_ms - m.start_ms < mean * 7e-1 THEN 1e-1 ELSE 0e0 END + sure * 1e-1)) AS score FROM met m JOIN du USING (video_id)) WHERE score >= 4e-1)"""
+
+
+def _rich(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scenes, segments and videos with all that their operators read."""
+    rows = segments.withColumns({
+        "people": F.when(F.col("person_id") % 2 == 0, F.array(F.col("person_id").cast("string"))).otherwise(F.array().cast("array<string>")), "labels": F.array("label"),
+        "ocr_text": F.when(F.col("start_ms") % 8000 == 0, "seen"),
+    }).drop("confidence", "score", "label", "person_id")
+    found = segments.select("video_id", (F.col("start_ms") - 2000).alias("start_ms"), (F.col("start_ms") + 3000).alias("end_ms"), ((F.col("start_ms") % 3).cast("double") / 2).alias("confidence")).distinct()
+    return found, rows, _durations(segments)
+
+
+@query("segments", sql=f"WITH {HIGHLIGHTS_SQL} SELECT video_id, start_ms, end_ms, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN p > 0 THEN p || ' people detected' END, 'Objects: ' || array_to_string(labels[1:3], ', '), CASE WHEN texted THEN 'Text detected on screen' END], lambda x: x IS NOT NULL), '; ') AS reason FROM hl")
 def highlights(segments):
-    return video.highlights(segments.where("confidence >= 0.4"), k=2, least=0.0).select("video_id", "start_ms", "end_ms", "score")
+    found = video.highlights(*_rich(segments))
+    return found.select("video_id", "start_ms", "end_ms", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reason"))
+
 
+@query("segments", sql=f"WITH {HIGHLIGHTS_SQL} SELECT d.video_id, d.duration_ms, (SELECT count(*) FROM sc WHERE sc.video_id = d.video_id) AS n_scenes, (SELECT count(DISTINCT person_id) FROM seg WHERE peopled AND seg.video_id = d.video_id) AS n_people, (SELECT count(DISTINCT label) FROM seg WHERE seg.video_id = d.video_id) AS n_labels, (SELECT CAST(bool_or(texted) AS BIGINT) FROM seg WHERE seg.video_id = d.video_id) AS n_texts, (SELECT count(*) FROM hl WHERE hl.video_id = d.video_id) AS n_highlights FROM du d")
+def video_summaries(segments):
+    found, rows, videos = _rich(segments)
+    return video.summaries(found, rows, video.highlights(found, rows, videos), videos)
 
-@query("segments", sql="WITH f AS (SELECT DISTINCT video_id, start_ms AS ts_ms FROM segments), g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY ts_ms) AS gap FROM f) SELECT video_id, round(CASE WHEN count(gap) < 2 THEN 1.0 ELSE greatest(0.0, 1 - coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0) / 2) END, 6) AS evenness FROM g GROUP BY video_id")
+
+@query("segments", sql="WITH f AS (SELECT DISTINCT video_id, start_ms AS ts_ms FROM segments), g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY ts_ms) AS gap FROM f) SELECT video_id, round(CASE WHEN coalesce(avg(gap), 0) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - stddev_pop(gap) / avg(gap) / 2)) END, 6) AS evenness FROM g GROUP BY video_id")
 def frame_evenness(segments):
     return video.evenness(segments.select("video_id", F.col("start_ms").alias("ts_ms")).distinct()).select("video_id", F.round("evenness", 6).alias("evenness"))
 
 
+@query("segments", sql="""WITH f AS (SELECT video_id, end_ms AS ts_ms, confidence * 97e-2 AS blur, CASE WHEN start_ms % 3 = 0 THEN NULL ELSE least(1, score / CAST(60000 AS DOUBLE)) END AS quality FROM segments), g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY ts_ms) AS gap FROM f),
+    q AS (SELECT video_id, coalesce(avg(blur), 0.5) AS blur, coalesce(avg(quality), 0.5) AS quality, count(*) AS n, CASE WHEN coalesce(avg(gap), 0) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - stddev_pop(gap) / avg(gap) / 2)) END AS even FROM g GROUP BY video_id)
+    SELECT video_id, round(greatest(0, least(1, 0.4 * greatest(0, least(1, 1 - blur)) + 0.4 * quality + 0.2 * even)), 6) AS score, array_to_string(list_filter([CASE WHEN blur > 0.7 THEN 'blurry' END, CASE WHEN quality < 0.3 THEN 'low_quality' END, CASE WHEN n < 3 THEN 'few_frames' END, CASE WHEN even < 0.3 THEN 'uneven' END], lambda x: x IS NOT NULL), ',') AS issues FROM q""")
+def video_quality(segments):
+    frames = segments.select("video_id", F.col("end_ms").alias("ts_ms"), (F.col("confidence") * 0.97).alias("blur"), F.when(F.col("start_ms") % 3 != 0, F.least(F.lit(1.0), F.col("score") / 60000.0)).alias("quality"))
+    return video.quality(frames).select("video_id", F.round("score", 6).alias("score"), F.array_join("issues", ",").alias("issues"))
+
+
+@query("segments", sql="SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY end_ms, start_ms) AS INTEGER) AS rank, end_ms * 10000 + start_ms AS ts_ms FROM segments WHERE label = 'NO'")
+def representative_frames(segments):
+    return video.representative(segments.select("video_id", (F.col("end_ms") * 10000 + F.col("start_ms")).alias("ts_ms"), (F.col("label") == "NO").alias("representative")))
+
+
 @query("vectors")
 def scenes(vectors):
     """Ten frames to a video, cut where neighbours differ."""
@@ -655,34 +705,81 @@ def scenes(vectors):
 # Albums, memories, clusters.
 
 
-@query(
-    "media",
-    sql=EVENTS_SQL + """, m AS (SELECT album, event, count(*) AS n, date_diff('microsecond', min(created), max(created)) / CAST(3600000000 AS DOUBLE) AS hours, greatest(max(lat) - min(lat), max(lng) - min(lng)) AS spread, avg(CAST(person_id % 2 AS DOUBLE)) AS people FROM k GROUP BY album, event),
-    b AS (SELECT album, event, avg(q) AS quality FROM (SELECT album, event, coalesce(quality, 0.5) AS q, row_number() OVER (PARTITION BY album, event ORDER BY coalesce(quality, 0.5) DESC) AS pos, n_event FROM k) WHERE pos <= greatest(1, ceil(n_event * CAST(0.7 AS DOUBLE))) GROUP BY album, event)
-    SELECT album, event, n, round(score, 6) AS score FROM (SELECT album, event, n, 0.25 * least(1.0, 0.5 * least(n / 10.0, 1.0) + 0.5 * least(hours / 8.0, 1.0)) + 0.2 * (CASE WHEN spread IS NULL THEN 0.5 WHEN spread < 0.01 THEN 1.0 WHEN spread < 0.1 THEN 0.8 ELSE 0.4 END) + 0.2 * people + 0.1 + 0.15 * quality AS score FROM m JOIN b USING (album, event)) WHERE score >= 0.3""",
-)
-def memories(media):
-    rows = _events(media).withColumn("has_people", F.col("person_id") % 2 == 1)
-    return albums.memory_scores(rows, ["album", "event"]).select("album", "event", "n", F.round("score", 6).alias("score"))
+MEMORIES_SQL = EVENTS_SQL + """, m AS (SELECT owner, event, count(*) AS n, min(created) AS start, max(created) AS finish, count(lat) AS located, greatest(max(lat) - min(lat), max(lng) - min(lng)) AS spread, avg(CAST(has_people AS DOUBLE)) AS people, date_diff('microsecond', min(created), max(created)) AS micros FROM k GROUP BY owner, event),
+    b AS (SELECT owner, event, avg(quality) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY owner, event ORDER BY quality DESC) AS pos, count(*) OVER (PARTITION BY owner, event) AS known FROM k WHERE quality IS NOT NULL) WHERE pos <= greatest(1, ceil(known * CAST(0.7 AS DOUBLE))) GROUP BY owner, event),
+    vk AS (SELECT k.owner, k.event, k.media_id, v.vector FROM k JOIN vectors v USING (media_id)),
+    sm AS (SELECT v.owner, v.event, avg(list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[])) AS semantic FROM vk v JOIN vk q ON v.owner = q.owner AND v.event = q.event AND v.media_id < q.media_id GROUP BY 1, 2),
+    p AS (SELECT m.*, n / greatest(floor(micros / 6e7) / 6e1, 1e0) AS density, floor(micros / 864e8) AS days, coalesce(greatest(0, least(1, semantic)), 0.5) AS semantic, coalesce(b.quality, 0.5) AS quality FROM m LEFT JOIN b USING (owner, event) LEFT JOIN sm USING (owner, event)),
+    mem AS (SELECT * FROM (SELECT *, 25e-2 * greatest(0, least(1, 6e-1 * (CASE WHEN density >= 2 AND density <= 20 THEN 1e0 WHEN density < 2 THEN density / 2 ELSE 1 - (density - 20) / 8e1 END) + 4e-1 * (CASE WHEN days = 0 THEN 1e0 WHEN days BETWEEN 2 AND 7 THEN 9e-1 WHEN days > 7 THEN 7e-1 ELSE 5e-1 END)))
+      + 2e-1 * (CASE WHEN located = 0 THEN 3e-1 WHEN located / CAST(n AS DOUBLE) > 5e-1 THEN (CASE WHEN spread < 1e-2 THEN 1e0 WHEN spread < 5e-2 THEN 9e-1 WHEN spread < 1e-1 THEN 8e-1 ELSE 7e-1 END) ELSE located / CAST(n AS DOUBLE) END)
+      + 2e-1 * (CASE WHEN people >= 5e-1 THEN 1e0 WHEN people >= 2e-1 THEN 8e-1 WHEN people > 0 THEN 6e-1 ELSE 3e-1 END) + 2e-1 * semantic + 15e-2 * quality AS score FROM p) WHERE score >= 3e-1)"""
+
+
+@query("moments", "vectors", sql=MEMORIES_SQL + " SELECT owner, event, n, round(score, 5) AS score FROM mem")
+def memories(moments, vectors):
+    found = albums.memory_scores(timeline.events(moments), ["owner", "event"], vectors=vectors)
+    return found.select("owner", "event", "n", F.round("score", 5).alias("score"))
+
+
+ALBUM_NOW, ALBUM_NOW_SQL = datetime(2025, 3, 1), "TIMESTAMP '2025-03-01 00:00:00'"
+
+
+def _memory_tables(moments: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memories of events, their items in order and their people."""
+    rows = timeline.events(moments).withColumn("memory_id", F.col("owner") * 1000 + F.col("event"))
+    found = albums.memory_scores(rows, ["memory_id"], vectors=vectors)
+    place = F.when(F.col("located") > 0, "here")
+    scored = found.select("memory_id", "n", "start", "end", "score", F.lit(None).cast("array<string>").alias("people"), place.alias("place"))
+    scored = scored.withColumn("theme", albums.theme(scored))
+    w = Window.partitionBy("memory_id").orderBy("created", "media_id")
+    return scored, rows.select("memory_id", "media_id", F.row_number().over(w).alias("position")), rows.select("memory_id", "person_id").distinct()
 
 
 @query(
-    "media", "faces",
-    sql="""WITH r AS (SELECT 'best_of_year' AS category, CAST(year(created) AS VARCHAR) AS name, media_id FROM media WHERE year(created) < 2001 UNION ALL SELECT 'month', strftime(created, '%Y-%m'), media_id FROM media
-    UNION ALL SELECT 'season', (CASE WHEN month(created) IN (3, 4, 5) THEN 'Spring' WHEN month(created) IN (6, 7, 8) THEN 'Summer' WHEN month(created) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END) || ' ' || year(created), media_id FROM media
-    UNION ALL SELECT 'person', CAST(d.person_id AS VARCHAR), d.media_id FROM (SELECT DISTINCT media_id, person_id FROM faces) d JOIN media USING (media_id)),
-    q AS (SELECT r.*, row_number() OVER (PARTITION BY category, name ORDER BY m.quality DESC NULLS LAST, media_id) AS pos FROM r JOIN media m USING (media_id))
-    SELECT category, name, count(*) AS n, array_to_string(list(media_id ORDER BY pos) FILTER (WHERE pos <= 5), ',') AS best FROM q GROUP BY category, name HAVING count(*) >= CASE category WHEN 'season' THEN 15 WHEN 'month' THEN 5 ELSE 10 END""",
+    "moments", "vectors",
+    sql=MEMORIES_SQL + f""", mm AS (SELECT owner * 1000 + event AS memory_id, *, CASE WHEN CAST(start AS DATE) <> CAST(finish AS DATE) AND located > 0 THEN 'trip' ELSE 'other' END AS theme FROM mem),
+    it AS (SELECT mm.memory_id, mm.start, mm.score, mm.theme, k.media_id, k.person_id, row_number() OVER (PARTITION BY mm.memory_id ORDER BY k.created, k.media_id) AS position FROM mm JOIN k ON k.owner = mm.owner AND k.event = mm.event),
+    named AS (SELECT 'best_of_year' AS category, CAST(year(start) AS VARCHAR) AS name, it.*, -score AS o FROM it WHERE year(start) <> year({ALBUM_NOW_SQL}) UNION ALL SELECT 'month', strftime(start, '%Y-%m'), it.*, -score FROM it WHERE strftime(start, '%Y-%m') <> strftime({ALBUM_NOW_SQL}, '%Y-%m')
+      UNION ALL SELECT 'season', (CASE WHEN month(start) IN (3, 4, 5) THEN 'Spring' WHEN month(start) IN (6, 7, 8) THEN 'Summer' WHEN month(start) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END) || ' ' || year(start), it.*, 0 FROM it),
+    al AS (SELECT category, name, least(100, count(*)) AS n, max(score) AS score, min(start) AS start, first(media_id ORDER BY round(o, 9), memory_id, position) AS cover FROM named GROUP BY category, name HAVING count(*) >= CASE category WHEN 'best_of_year' THEN 10 WHEN 'month' THEN 5 ELSE 15 END
+      UNION ALL SELECT 'trip', CAST(memory_id AS VARCHAR), count(*), max(score), min(start), first(media_id ORDER BY position) FROM it WHERE theme = 'trip' GROUP BY memory_id HAVING count(*) >= 5
+      UNION ALL SELECT 'person', CAST(person_id AS VARCHAR), count(*), 0.5, min(start), first(media_id ORDER BY memory_id, position) FROM (SELECT pe.person_id, it.media_id, it.memory_id, it.position, it.start FROM (SELECT DISTINCT memory_id, person_id FROM it) pe JOIN it USING (memory_id)) GROUP BY person_id HAVING count(*) >= 10)
+    SELECT category, name, n, round(score, 6) AS score, start, cover FROM al""",
 )
-def automatic_albums(media, faces):
-    found = albums.albums(media.drop("person_id"), faces, 2001, most=5)
-    return found.select("category", "name", "n", F.array_join("members", ",").alias("best"))
+def automatic_albums(moments, vectors):
+    scored, members, people = _memory_tables(moments, vectors)
+    scored = scored.withColumn("score", F.round("score", 9))
+    found = albums.albums(scored, members, people, F.lit(ALBUM_NOW).cast("timestamp_ntz"))
+    return found.select("category", "name", "n", F.round("score", 6).alias("score"), "start", "cover")
+
+
+@query(
+    "moments",
+    sql=EVENTS_SQL + """, m AS (SELECT owner, event, count(*) AS n, min(created) AS s, max(created) AS f, count(lat) AS located FROM k GROUP BY owner, event),
+    t AS (SELECT *, CASE WHEN CAST(s AS DATE) <> CAST(f AS DATE) AND located > 0 THEN 'trip' WHEN located > 0 AND n >= 5 THEN 'event' ELSE 'everyday' END AS theme FROM m)
+    SELECT owner, event, theme, concat_ws(' ', CASE theme WHEN 'trip' THEN 'Trip' WHEN 'event' THEN 'Event' END, CASE WHEN located > 0 THEN 'in Town' END, CASE WHEN CAST(s AS DATE) = CAST(f AS DATE) THEN strftime(s, '%A, %B %-d') WHEN month(s) = month(f) THEN strftime(s, '%B %-d') || '–' || strftime(f, '%-d') ELSE strftime(s, '%B %-d') || ' – ' || strftime(f, '%B %-d') END, '2024') AS title, CASE WHEN n > 10 THEN n || ' photos' END AS subtitle FROM t""",
+)
+def memory_titles(moments):
+    by = timeline.events(moments).groupBy("owner", "event").agg(F.count("*").alias("n"), F.min("created").alias("start"), F.max("created").alias("end"), F.when(F.count("lat") > 0, "Town").alias("place"))
+    found = albums.titled(by.withColumn("people", F.lit(None).cast("array<string>")), F.lit(ALBUM_NOW).cast("timestamp_ntz"))
+    return found.select("owner", "event", "theme", "title", "subtitle")
 
 
-@query("media", sql="SELECT media_id, round(greatest(0, least(1, 0.4 * coalesce(quality, 0.5) + 0.3 * (1 - coalesce(blur, 0.5)) + 0.15 - CASE WHEN media_id % 3 = 0 THEN 0 ELSE 0.3 END + CASE WHEN person_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN kind = 'photo' THEN 0.1 ELSE 0 END)), 6) AS score FROM media")
+COVER_SQL = "c AS (SELECT media_id, album, greatest(0, least(1, 0.4 * coalesce(quality, 0.5) + 0.3 * coalesce(blur, 0.5) + 0.15)) - CASE WHEN coalesce(quality > 0.7 AND blur > 0.7, false) THEN 0 ELSE 0.3 END + CASE WHEN person_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN (width / height >= 1.3 AND width / height <= 1.8) OR (width / height >= 0.55 AND width / height <= 0.77) OR (width / height >= 0.9 AND width / height <= 1.1) THEN 0.1 ELSE 0 END AS score FROM media)"
+
+
+def _cover_scores(media: DataFrame) -> DataFrame:
+    return media.withColumn("score", clusters.cover_score(F.col("quality"), F.col("blur"), F.col("person_id") % 2 == 0, F.col("width"), F.col("height")))
+
+
+@query("media", sql=f"WITH {COVER_SQL} SELECT media_id, round(score, 6) AS score FROM c")
 def cover_scores(media):
-    score = clusters.cover_score(F.col("quality"), F.col("blur"), F.col("media_id") % 3 == 0, F.col("person_id") % 2 == 0, F.col("kind") == "photo")
-    return media.select("media_id", F.round(score, 6).alias("score"))
+    return _cover_scores(media).select("media_id", F.round("score", 6).alias("score"))
+
+
+@query("media", sql=f"WITH {COVER_SQL} SELECT album, media_id AS cover FROM (SELECT *, row_number() OVER (PARTITION BY album ORDER BY round(score, 9) DESC, media_id) AS pos FROM c) WHERE pos = 1")
+def album_covers(media):
+    return clusters.covers(_cover_scores(media).withColumn("score", F.round("score", 9)), ["album"])
 
 
 @query("vectors", sql="WITH p AS (SELECT region, i, avg(CAST(vector[i] AS DOUBLE)) AS x FROM (SELECT region, vector, unnest(range(1, len(vector) + 1)) AS i FROM vectors) GROUP BY region, i) SELECT region, round(sum(x), 6) AS total, round(max(x), 6) AS most FROM p GROUP BY region")
@@ -712,11 +809,79 @@ def face_clusters(vectors):
     return clusters.leader_clusters(vectors.select(F.col("region").alias("block"), F.col("media_id").alias("face_id"), "vector"), least=0.3)
 
 
-@query("vectors")
+def _diverse_sql(k: int = 3) -> str:
+    """One pair of CTEs a round: what is chosen, and how near it is to what is left."""
+    parts = ["r0 AS (SELECT region, media_id, vector::DOUBLE[] AS vector, (media_id % 10) / CAST(10 AS DOUBLE) AS score, 1e0 AS near FROM vectors)"]
+    for i in range(1, k + 1):
+        parts.append(f"c{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(1 - near, 12) DESC, score DESC, media_id) AS pos FROM r{i - 1}) WHERE pos = 1)")
+        parts.append(f"r{i} AS (SELECT r.region, r.media_id, r.vector, r.score, least(r.near, list_cosine_similarity(r.vector, c.vector)) AS near FROM r{i - 1} r JOIN c{i} c ON r.region = c.region AND r.media_id <> c.media_id)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT region, media_id, CAST({i} AS INTEGER) AS rank FROM c{i}" for i in range(1, k + 1))
+
+
+@query("vectors", sql=_diverse_sql())
 def diverse_selection(vectors):
     return clusters.diverse(vectors.withColumn("score", (F.col("media_id") % 10) / 10.0), ["region"], 3)
 
 
+@query("vectors")
+def sub_themes(vectors):
+    """At 0.2, as the fixture's vectors are nearly random; clusters of 25 items."""
+    return clusters.sub_themes(vectors.withColumn("cluster", F.floor(F.col("media_id") / 25)), ["cluster"], least=0.2)
+
+
+@query("tags", sql="SELECT tag_id, media_id, label FROM (SELECT *, row_number() OVER (PARTITION BY media_id, lower(label) ORDER BY confidence DESC, tag_id) AS pos FROM tags) WHERE pos = 1")
+def best_detections(tags):
+    return stats.best_detections(tags).select("tag_id", "media_id", "label")
+
+
+@query("media", sql="SELECT media_id FROM media WHERE NOT (media_id % 2 = 0 AND media_id % 3 <> 0)")
+def feedback_filter(media):
+    """Without what was marked irrelevant for a query, however it was spelled."""
+    marks = media.select("media_id", F.when(F.col("media_id") % 2 == 0, "  Beach   SUNSET ").otherwise("dogs").alias("query"), (F.col("media_id") % 3 == 0).alias("liked"))
+    return filters.without_disliked(media, marks, "beach sunset").select("media_id")
+
+
+@query("media", "tags", "faces", "texts", sql="SELECT what, n, round(n / CAST((SELECT count(*) FROM media) AS DOUBLE), 9) AS share FROM (SELECT 'tags' AS what, count(*) AS n FROM media WHERE media_id IN (SELECT media_id FROM tags) UNION ALL SELECT 'faces', count(*) FROM media WHERE media_id IN (SELECT media_id FROM faces) UNION ALL SELECT 'texts', count(*) FROM media WHERE media_id IN (SELECT media_id FROM texts))")
+def index_coverage(media, tags, faces, texts):
+    return stats.coverage_by(media, {"tags": tags, "faces": faces, "texts": texts}).select("what", "n", F.round("share", 9).alias("share"))
+
+
+@query("faces", "people", sql="WITH m AS (SELECT f.face_id, min(p.person_id) AS target FROM faces f JOIN people p ON p.person_id = f.person_id % 5 + 1 AND p.status = 'active' WHERE f.face_id % 7 = 0 GROUP BY f.face_id) SELECT f.face_id, coalesce(m.target, f.person_id) AS person_id FROM faces f LEFT JOIN m USING (face_id)")
+def faces_moved(faces, people):
+    moves = faces.where("face_id % 7 = 0").select("face_id", (F.col("person_id") % 5 + 1).alias("into"))
+    return clusters.moved_faces(faces, moves, people).select("face_id", "person_id")
+
+
+@query("faces", "people", sql="SELECT face_id, CASE WHEN f.person_id % 4 = 0 AND p.status = 'active' THEN NULL ELSE f.person_id END AS person_id FROM faces f LEFT JOIN people p USING (person_id)")
+def faces_of_deleted(faces, people):
+    return clusters.deleted_people(faces, people, people.where("person_id % 4 = 0"))[0].select("face_id", "person_id")
+
+
+@query("faces", "people", sql="SELECT person_id, CASE WHEN person_id % 4 = 0 AND status = 'active' THEN 'deleted' ELSE status END AS status FROM people")
+def people_deleted(faces, people):
+    return clusters.deleted_people(faces, people, people.where("person_id % 4 = 0"))[1].select("person_id", "status")
+
+
+@query("faces", "people", sql="SELECT count(*) AS n_faces, 0 AS n_named, 0 AS n_people FROM faces")
+def people_reset(faces, people):
+    kept, nobody = clusters.reset_people(faces, people)
+    return kept.agg(F.count("*").alias("n_faces"), F.count("person_id").cast("int").alias("n_named")).crossJoin(nobody.agg(F.count("*").cast("int").alias("n_people")))  # one row each
+
+
+@query("moments", sql=EVENTS_SQL + ", s AS (SELECT owner || ':' || event AS event, min(created) AS start FROM k GROUP BY k.owner, k.event), c AS (SELECT a.event AS x, b.event AS y, greatest(3e-1, least(1e0, 1 - floor(date_diff('microsecond', a.start, b.start) / 6e7) / 144e1)) AS sure FROM s a JOIN s b ON (a.start < b.start OR (a.start = b.start AND a.event < b.event)) AND date_diff('microsecond', a.start, b.start) < 90000000000) SELECT relation, count(*) AS n, round(sum(sure), 3) AS total FROM (SELECT 'events_close_in_time' AS relation, sure FROM c UNION ALL SELECT 'events_close_in_time', sure FROM c) GROUP BY relation")
+def graph_event_times(moments):
+    by = timeline.events(moments).groupBy(F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event")).agg(F.min("created").alias("start"))
+    return graph.both_ways(graph.close_events(by)).groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 3).alias("total"))
+
+
+@query("moments", "segments", sql=EVENTS_SQL + ", a AS (SELECT DISTINCT owner, event, media_id FROM k), b AS (SELECT DISTINCT owner, event, person_id FROM k), c AS (SELECT DISTINCT video_id, person_id FROM segments WHERE person_id % 3 <> 0), d AS (SELECT DISTINCT video_id, label FROM segments), nn AS (SELECT ['memory_contains_media', 'media_in_memory'] AS r, (SELECT count(*) FROM a) AS n UNION ALL SELECT ['memory_contains_person', 'person_in_memory'], (SELECT count(*) FROM b) UNION ALL SELECT ['media_contains_person', 'person_appears_in_media'], (SELECT count(*) FROM c) UNION ALL SELECT ['media_has_label', 'label_appears_in_media'], (SELECT count(*) FROM d)) SELECT unnest(r) AS relation, n FROM nn")
+def graph_memories_and_segments(moments, segments):
+    rows = timeline.events(moments).withColumn("memory_id", F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")))
+    person = F.when(F.col("person_id") % 3 == 0, F.concat(F.lit("face:"), F.col("person_id").cast("string"))).otherwise(F.col("person_id").cast("string"))
+    seen = graph.segment_edges(segments.select("video_id", F.array(person).alias("people"), F.array("label").alias("labels")))
+    return graph.both_ways(graph.memory_edges(rows, rows).unionByName(seen)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
 # The front end.
 
 
@@ -736,15 +901,13 @@ def smart_album(media, tags):
     return filters.structured(media, filters.MediaFilter.from_json(ALBUM_JSON), tags=tags).select("media_id")
 
 
-def _history(turns: DataFrame, words=None) -> DataFrame:
-    """Queries by text: ``words``, or the first 12 characters."""
-    words = F.substring("text", 1, 12) if words is None else words
-    words = turns.select(text.normalized_query(words).alias("query"), (F.lit(STREAM_NOW).cast("timestamp_ntz") - F.make_dt_interval(F.col("conv_id") % 300)).alias("at"))
+def _history(turns: DataFrame) -> DataFrame:
+    """Queries by whole text."""
+    words = turns.select(text.normalized_query(F.col("text")).alias("query"), (F.lit(STREAM_NOW).cast("timestamp_ntz") - F.make_dt_interval(F.col("conv_id") % 300)).alias("at"))
     return words.groupBy("query").agg(F.count("*").alias("times"), F.max("at").alias("last"))
 
 
-HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(left(text, 12)), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
-WHOLE_HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
+HISTORY_SQL = f"h AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, count(*) AS times, max({STREAM_NOW_SQL} - to_days(CAST(conv_id % 300 AS INTEGER))) AS last FROM turns GROUP BY 1)"
 
 
 @query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times, last FROM h ORDER BY last DESC, query LIMIT 5")
@@ -752,36 +915,26 @@ def recent_queries(turns):
     return retrieval.recent_queries(_history(turns))
 
 
-@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL} SELECT query, times, last FROM h ORDER BY last DESC, query LIMIT 5")
-def whole_recent_queries(turns):
-    return retrieval.recent_queries(_history(turns, F.col("text")))
-
-
 @query("turns", sql=f"WITH {HISTORY_SQL}, r AS (SELECT query FROM h ORDER BY last DESC, query LIMIT 5) SELECT query, times FROM h WHERE query NOT IN (SELECT query FROM r) ORDER BY times DESC, last DESC, query LIMIT 5")
 def rediscovered_queries(turns):
     return retrieval.popular_but_not_recent(_history(turns)).select("query", "times")
 
 
-@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL}, r AS (SELECT query FROM h ORDER BY last DESC, query LIMIT 5) SELECT query, times FROM h WHERE query NOT IN (SELECT query FROM r) ORDER BY times DESC, last DESC, query LIMIT 5")
-def whole_rediscovered_queries(turns):
-    return retrieval.popular_but_not_recent(_history(turns, F.col("text"))).select("query", "times")
-
-
 @query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times FROM h WHERE month(last) = 1 ORDER BY times DESC, last DESC, query LIMIT 5")
 def seasonal_queries(turns):
     return retrieval.seasonal_queries(_history(turns), 1).select("query", "times")
 
 
-@query("turns", sql=f"WITH {WHOLE_HISTORY_SQL} SELECT query, times FROM h WHERE month(last) = 1 ORDER BY times DESC, last DESC, query LIMIT 5")
-def whole_seasonal_queries(turns):
-    return retrieval.seasonal_queries(_history(turns, F.col("text")), 1).select("query", "times")
+@query("turns", sql=f"WITH {HISTORY_SQL} SELECT query, times FROM h ORDER BY times DESC, last DESC, query LIMIT 20")
+def kept_history(turns):
+    return filters.keep_history(_history(turns), 20).select("query", "times")
 
 
 RELATED_SQL = """WITH m AS (SELECT *, (media_id * 2654435761 % 4294967296) & 4278255360 AS hi, (media_id * 40503 % 4294967296) & 16711935 AS lo FROM media),
 s AS (SELECT * FROM m WHERE media_id = 2), d AS (SELECT m.media_id, m.album = s.album AS same, m.person_id = s.person_id AS person,
 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - m.lng) / 2), 2)))) AS km,
 abs(date_diff('hour', s.created, m.created)) AS hours, bit_count(xor(m.hi, s.hi)) + bit_count(xor(m.lo, s.lo)) AS bits FROM m, s WHERE m.media_id <> 2)
-SELECT media_id, round(score, 6) AS score FROM (SELECT media_id, 0.3 * CAST(same AS DOUBLE) + 0.25 * CAST(person AS DOUBLE) + 0.2 * coalesce(CASE WHEN km < 1 THEN 1.0 WHEN km < 10 THEN 1 - (km - 1) / 9 ELSE 0.0 END, 0) + CASE WHEN hours <= 24 THEN 0.15 WHEN hours <= 168 THEN 0.05 ELSE 0 END + CASE WHEN bits < 10 THEN 0.1 ELSE 0 END AS score FROM d) WHERE score >= 0.36"""
+SELECT media_id, round(score, 6) AS score FROM (SELECT media_id, 0.3 * CAST(same AS DOUBLE) + 0.25 * CAST(person AS DOUBLE) + 0.2 * coalesce(CASE WHEN km < 1 THEN 1.0 WHEN km < 10 THEN 1 - (km - 1) / 9 ELSE 0.0 END, 0) + CASE WHEN hours < 1 THEN 0.15 WHEN hours < 24 THEN 0.15 * (1 - hours / CAST(24 AS DOUBLE)) WHEN hours < 168 THEN 0.05 * (1 - (hours - 24) / CAST(144 AS DOUBLE)) ELSE 0 END + CASE WHEN bits < 10 THEN 0.1 * (1 - bits / CAST(64 AS DOUBLE)) ELSE 0 END AS score FROM d) WHERE score >= 0.36"""
 
 
 @query("media", sql=RELATED_SQL)
@@ -814,22 +967,6 @@ def video_storage(segments):
     return video.storage(segments.select("video_id", (F.col("end_ms") - F.col("start_ms")).alias("bytes"))).select("video_id", "n", "bytes", F.round("share", 9).alias("share"))
 
 
-@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(CASE WHEN d <= 30000 THEN 1000 WHEN d <= 120000 THEN 2000 ELSE 5000 END, CAST(ceil(d / 60.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments WHERE video_id < 300 GROUP BY video_id HAVING max(end_ms) > 0)")
-def adaptive_frames(segments):
-    """Of the first videos; ``all_adaptive_frames`` is the whole job."""
-    return video.adaptive_times(segments.where("video_id < 300").groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
-
-
-@query("segments", sql="SELECT video_id, CAST(unnest(range(0, d, greatest(CASE WHEN d <= 30000 THEN 1000 WHEN d <= 120000 THEN 2000 ELSE 5000 END, CAST(ceil(d / 60.0) AS BIGINT)))) AS BIGINT) AS ts_ms FROM (SELECT video_id, max(end_ms) AS d FROM segments GROUP BY video_id HAVING max(end_ms) > 0)")
-def all_adaptive_frames(segments):
-    return video.adaptive_times(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
-
-
-@query("segments")
-def key_moments(segments):
-    return video.key_moments(segments.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")))
-
-
 @query("media", "faces", "people", sql="SELECT DISTINCT CAST(media_id AS VARCHAR) AS source, concat('p', person_id) AS target FROM faces WHERE person_id IN (SELECT person_id FROM people WHERE status <> 'active')")
 def graph_orphans(media, faces, people):
     """Edges to people who were merged away."""
@@ -838,10 +975,10 @@ def graph_orphans(media, faces, people):
     return graph.orphan_edges(nodes, graph.edges(faces, "media_contains_person", F.col("media_id"), person)).select("source", "target")
 
 
-@query("faces", "media", sql=EVENTS_SQL + ", fp AS (SELECT DISTINCT k.album || ':' || k.event AS event, fc.person_id FROM faces fc JOIN k USING (media_id)) SELECT CAST(a.person_id AS VARCHAR) AS source, CAST(b.person_id AS VARCHAR) AS target, CAST(count(*) AS DOUBLE) AS weight FROM fp a JOIN fp b ON a.event = b.event AND a.person_id < b.person_id GROUP BY a.person_id, b.person_id")
-def people_at_events(faces, media):
+@query("faces", "moments", sql=EVENTS_SQL + ", fp AS (SELECT DISTINCT k.owner || ':' || k.event AS event, fc.person_id FROM faces fc JOIN k USING (media_id)) SELECT CAST(a.person_id AS VARCHAR) AS source, CAST(b.person_id AS VARCHAR) AS target, CAST(count(*) AS DOUBLE) AS weight FROM fp a JOIN fp b ON a.event = b.event AND a.person_id < b.person_id GROUP BY a.person_id, b.person_id")
+def people_at_events(faces, moments):
     """Pairs of people by the number of events both attended."""
-    marked = _events(media).select("media_id", F.concat_ws(":", "album", F.col("event").cast("string")).alias("event"))
+    marked = timeline.events(moments).select("media_id", F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event"))
     return graph.together(faces.join(marked, "media_id"), "event", "people_same_event").select("source", "target", "weight")
 
 

@@ -25,16 +25,32 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "CAST(o_orderkey * 1013 % 5000000 AS BIGINT) AS bytes",
             "CAST(o_orderkey % 1024 AS BIGINT) AS stages",
             "CAST(o_orderkey % 40 AS BIGINT) AS views",
+            "CAST(1000 + o_orderkey % 7 * 300 AS BIGINT) AS width",
+            "CAST(1500 AS BIGINT) AS height",
         ],
         None,
     ),
-    "tags": ("lineitem", ["l_orderkey AS media_id", "concat(l_returnflag, l_linestatus) AS label", "l_discount * CAST(10 AS DOUBLE) AS confidence"], None),
+    "tags": ("lineitem", ["l_orderkey * 10 + l_linenumber AS tag_id", "l_orderkey AS media_id", "concat(l_returnflag, l_linestatus) AS label", "l_discount * CAST(10 AS DOUBLE) AS confidence"], None),
     "favorites": ("orders", ["o_orderkey AS media_id"], "o_orderkey % 13 = 0"),
     "trash": ("orders", ["o_orderkey AS media_id", "o_orderdate AS deleted"], "o_orderkey % 29 = 0"),
     "hidden": ("orders", ["o_orderkey AS media_id"], "o_orderkey % 31 = 0"),
-    "faces": ("lineitem", ["l_orderkey AS media_id", "l_suppkey AS person_id", "l_discount * CAST(10 AS DOUBLE) AS confidence"], None),
+    "faces": ("lineitem", ["l_orderkey * 10 + l_linenumber AS face_id", "l_orderkey AS media_id", "l_suppkey AS person_id", "l_discount * CAST(10 AS DOUBLE) AS confidence"], None),
     "people": ("supplier", ["s_suppkey AS person_id", "s_name AS name", "CASE WHEN s_nationkey % 4 = 0 THEN 'merged' ELSE 'active' END AS status", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS display_name"], None),
     "timeline": ("events", ["event_id AS media_id", "user_id AS owner", "ts", "event_type AS kind", "value"], None),
+    "moments": (
+        "events",
+        [
+            "event_id AS media_id",
+            "user_id AS owner",
+            "ts AS created",
+            "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(user_id % 80 AS DOUBLE) + CAST(event_id % 5 AS DOUBLE) * (CASE WHEN user_id % 3 = 0 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END) END AS lat",
+            "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(user_id % 170 AS DOUBLE) + CAST(event_id % 3 AS DOUBLE) * CAST(0.004 AS DOUBLE) END AS lng",
+            "CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id * 31 % 100 AS DOUBLE) / CAST(100 AS DOUBLE) END AS quality",
+            "event_id % 4 = 0 AS has_people",
+            "event_id % 23 AS person_id",
+        ],
+        None,
+    ),
     "vectors": ("embeddings", ["vec_id AS media_id", "embedding AS vector", "label AS region"], None),
     "texts": ("documents", ["doc_id AS media_id", "text", "lang", "source"], None),
     "states": ("labels", ["doc_id AS media_id", "quality AS is_good", "toxic AS is_flagged"], None),

@@ -1,5 +1,6 @@
 """Golden values, edge cases and properties of the catalog operators."""
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumentrail.functions import pixels, vector
-from lumentrail.operators import clusters, dedup, filters, graph, timeline, video
+from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, timeline, video
 from lumentrail.plans import assistant
 from lumentrail.plans.parser import add_months, parse, parsed_column
 from lumentrail.sources import tables
@@ -148,6 +149,129 @@ def test_faces(spark):
     assert {r.box_id for r in clusters.kept_boxes(boxes, ["media_id"]).collect()} == {1, 3}
 
 
+def memory_rows(spark, rows):
+    """(cluster, id, hours from T0, lat, lng, people, quality)"""
+    df = spark.createDataFrame([(c, i, T0 + timedelta(hours=h), a, b, p, q) for c, i, h, a, b, p, q in rows], "cluster string, media_id long, created timestamp_ntz, lat double, lng double, has_people boolean, quality double")
+    return albums.memory_scores(df, ["cluster"], least=0.0)
+
+
+def test_memory_scores(spark):
+    """Five items in four hours: dense enough for 0.625, one day, three of five located near each other, three with people, best four of the qualities."""
+    quality = [0.8, 0.9, 0.7, 0.85, 0.75]
+    rows = [("a", i, i, 37.7749 + i / 10_000 if i < 3 else None, -122.4194 if i < 3 else None, i in (0, 1, 3), quality[i]) for i in range(5)]
+    got = memory_rows(spark, rows).first()
+    assert got.score == pytest.approx(0.25 * (0.6 * 0.625 + 0.4) + 0.2 * 1.0 + 0.2 * 1.0 + 0.2 * 0.5 + 0.15 * (0.9 + 0.85 + 0.8 + 0.75) / 4)
+    lone = memory_rows(spark, [("b", 1, 0, None, None, None, None)]).first()
+    assert lone.score == pytest.approx(0.25 * (0.6 * 0.5 + 0.4) + 0.2 * 0.3 + 0.2 * 0.3 + 0.2 * 0.5 + 0.15 * 0.5)
+    wide = memory_rows(spark, [("c", i, 30 * i, 10.0 * i, 0.0, i == 0, 0.5) for i in range(5)]).first()  # five days
+    assert wide.score == pytest.approx(0.25 * (0.6 * (5 / 120) / 2 + 0.4 * 0.9) + 0.2 * 0.7 + 0.2 * 0.8 + 0.1 + 0.075)
+
+
+def test_memory_semantics(spark):
+    """The mean cosine of pairs, from the sum of unit vectors."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((6, 4))
+    x[4] = 0
+    df = spark.createDataFrame([("a", [float(v) for v in r]) for r in x] + [("b", [1.0, 2.0])], "cluster string, vector array<double>")
+    got = {r.cluster: r.similarity for r in clusters.mean_cosine(df, ["cluster"]).collect()}
+    u = x / np.where(np.linalg.norm(x, axis=1) > 0, np.linalg.norm(x, axis=1), 1)[:, None]
+    assert got["a"] == pytest.approx(np.mean([u[i] @ u[j] for i in range(6) for j in range(i)])) and got["b"] is None
+
+
+def test_unseen(spark):
+    """Of two memories with the same items only the first stays."""
+    candidates = spark.createDataFrame([("a", 0.8), ("b", 0.8), ("c", 0.5)], "id string, score double")
+    members = spark.createDataFrame([(c, i) for c in "ab" for i in range(5)] + [("c", 4), ("c", 9)], "id string, media_id long")
+    assert sorted(r.id for r in albums.unseen(candidates, members).collect()) == ["a", "c"]
+
+
+def test_titles(spark):
+    day = datetime(2025, 6, 15, 10)
+    rows = [
+        (1, day, day + timedelta(hours=6), 10, None, None, "everyday", "Sunday, June 15"), (2, day, day + timedelta(days=2), 12, None, "Goa", "trip", "Trip in Goa June 15–17"),
+        (3, day, day + timedelta(days=20), 3, ["Ann", "Bo"], None, "people", "Ann June 15 – July 5"), (4, day, day, 5, None, "Goa", "event", "Event in Goa Sunday, June 15"), (5, day, day + timedelta(days=40), 2, None, None, "seasonal", "Summer June 15 – July 25"),
+    ]
+    df = spark.createDataFrame([r[:6] for r in rows], "id int, start timestamp_ntz, end timestamp_ntz, n long, people array<string>, place string")
+    got = {r.id: r for r in albums.titled(df, F.lit(NOW).cast("timestamp_ntz")).collect()}
+    assert [(got[r[0]].theme, got[r[0]].title) for r in rows] == [r[6:] for r in rows]
+    assert got[2].subtitle == "12 photos" and got[1].subtitle is None
+    assert albums.titled(df.limit(1), F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz")).first().title == "Sunday, June 15 2025"
+
+
+def test_frame_times(spark):
+    times = lambda f, ms, most=12: [r.ts_ms for r in f(spark.createDataFrame([(1, ms)], "video_id long, duration_ms long"), most=most).orderBy("frame").collect()]
+    assert len(times(video.sample_times, 3000, 10)) == 3 and times(video.sample_times, 3000, 10) == [500, 1500, 2500]
+    assert times(video.sample_times, 700) == [350] and times(video.sample_times, 0) == []
+    assert times(video.adaptive_times, 40_000, 10) == [500, 3833, 7166, 10_500, 14_500, 18_500, 22_500, 26_500, 30_500, 35_500]
+    assert times(video.key_moments, 3000) == [2500, 750, 1500]
+    assert times(video.key_moments, 60_000, 8) == [2500, 10_000, 15_000, 20_000, 30_000, 40_000, 45_000, 50_000]
+    longest = times(video.key_moments, 600_000, 40)
+    assert len(longest) == 40 == len(set(longest)) and longest == sorted(longest)
+
+
+def test_video_quality(spark):
+    df = spark.createDataFrame([(1, 0, 0.9, 0.2), (2, 0, None, None), (2, 1000, None, None), (2, 2000, None, None)], "video_id long, ts_ms long, blur double, quality double")
+    got = {r.video_id: r for r in video.quality(df).collect()}
+    assert got[1].score == pytest.approx(0.4 * 0.1 + 0.4 * 0.2 + 0.2 * 0.5) and got[1].issues == ["blurry", "low_quality", "few_frames"]
+    assert got[2].score == pytest.approx(0.4 * 0.5 + 0.4 * 0.5 + 0.2) and got[2].issues == []
+
+
+def test_highlights_and_chapter_titles(spark):
+    scenes = spark.createDataFrame([(1, 0, 5000, 0.8, None), (1, 5000, 9000, 0.0, "Beach"), (1, 61_000, 62_000, 1.0, None)], "video_id long, start_ms long, end_ms long, confidence double, label string")
+    segments = spark.createDataFrame([(1, 0, 2000, ["p"], ["dog", "cat"], "hello"), (1, 2000, 6000, ["p", "q"], ["dog"], None), (1, 8000, 9000, [], [], "")], "video_id long, start_ms long, end_ms long, people array<string>, labels array<string>, ocr_text string")
+    videos = spark.createDataFrame([(1, 20_000)], "video_id long, duration_ms long")
+    got = video.highlights(scenes.drop("label"), segments, videos).collect()
+    assert [(r.start_ms, r.reasons) for r in got] == [(0, ["2 people detected", "Objects: cat, dog", "Text detected on screen"])]
+    assert got[0].score == pytest.approx(0.2 + 0.08 + 0.1 + 0.08)  # 5 s is not short beside 6.7 s
+    titles = {r.start_ms: r.title for r in video.chapter_titles(scenes.drop("confidence"), segments).collect()}
+    assert titles == {0: "People & dog", 5000: "Beach", 61_000: "Scene 01:01"}
+    summary = video.summaries(scenes, segments, video.highlights(scenes.drop("label"), segments, videos), videos).first()
+    assert tuple(summary) == (1, 20_000, 3, 2, 2, 1, 1)
+
+
+def test_related_decays(spark):
+    cols = "media_id long, event string, people array<string>, lat double, lng double, created timestamp_ntz, hi long, lo long"
+    seed = spark.createDataFrame([(0, "e", ["a", "b"], 0.0, 0.0, T0, 0, 0)], cols)
+    rows = [(1, "e", ["a"], 0.0, 0.0, T0 + timedelta(minutes=30), 0, 7), (2, "f", ["c"], 0.05, 0.0, T0 + timedelta(hours=12), 1, 1023), (3, None, [], None, None, T0 + timedelta(hours=96), 0, 1)]
+    got = {r.media_id: r.score for r in retrieval.related(spark.createDataFrame(rows, cols), seed, least=0.0).collect()}
+    km = 0.05 * math.pi / 180 * 6371
+    assert got[1] == pytest.approx(0.3 + 0.125 + 0.2 + 0.15 + 0.1 * (1 - 3 / 64))
+    assert got[2] == pytest.approx(0.2 * (1 - (km - 1) / 9) + 0.15 * 0.5)
+    assert got[3] == pytest.approx(0.05 * 0.5 + 0.1 * (1 - 1 / 64))
+
+
+def test_covers_and_diversity(spark):
+    df = spark.createDataFrame([("g", 1, 0.9, 0.8, False, 1500, 1000), ("g", 2, 0.9, 0.6, True, 1000, 2000), ("g", 3, None, None, None, 0, 0)], "g string, media_id long, quality double, blur double, people boolean, width long, height long")
+    scored = df.withColumn("score", clusters.cover_score(F.col("quality"), F.col("blur"), F.col("people"), F.col("width"), F.col("height")))
+    assert {r.media_id: round(r.score, 9) for r in scored.collect()} == {1: round(0.36 + 0.24 + 0.15 + 0.1, 9), 2: round(0.36 + 0.18 + 0.15 - 0.3 + 0.15, 9), 3: round(0.2 + 0.15 + 0.15 - 0.3, 9)}
+    assert clusters.covers(scored, ["g"]).first().cover == 1
+    near = spark.createDataFrame([("g", 1, 0.9, [1.0, 0.0]), ("g", 2, 0.8, [1.0, 0.1]), ("g", 3, 0.1, [0.0, 1.0]), ("h", 4, 0.1, [1.0])], "g string, media_id long, score double, vector array<double>")
+    assert sorted(tuple(r) for r in clusters.diverse(near, ["g"], 2).collect()) == [("g", 1, 1), ("g", 3, 2), ("h", 4, 1)]
+
+
+def test_sub_themes(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [("x", i, a if i % 2 else b) for i in range(8)] + [("y", i, a) for i in range(4)] + [("z", i, [float(k == i % 3) for k in range(3)]) for i in range(6)]
+    got = clusters.sub_themes(spark.createDataFrame(rows, "g string, media_id long, vector array<double>"), ["g"]).collect()
+    parts = {(r.g, r.theme): {x.media_id for x in got if (x.g, x.theme) == (r.g, r.theme)} for r in got}
+    assert parts == {("x", 0): {0, 2, 4, 6}, ("x", 1): {1, 3, 5, 7}, ("y", 0): {0, 1, 2, 3}, ("z", 0): set(range(6))}
+
+
+def test_assigned_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda v: [float(x) for x in v / np.linalg.norm(v)]
+    new = spark.createDataFrame([(i, unit(rng.standard_normal(4))) for i in range(40)], "face_id long, vector array<double>")
+    known = spark.createDataFrame([(i, unit(rng.standard_normal(4))) for i in range(25)], "person_id long, vector array<double>")
+    assert sorted(map(tuple, clusters.assigned(new, known).collect())) == sorted(map(tuple, clusters.assigned(new, known, block=4).collect()))
+
+
+def test_feedback(spark):
+    media = spark.createDataFrame([(1,), (2,), (3,)], "media_id long")
+    marks = spark.createDataFrame([(1, " Red  CAR ", False), (2, "red car", True), (3, "car", False)], "media_id long, query string, liked boolean")
+    assert sorted(r[0] for r in filters.without_disliked(media, marks, "red car").collect()) == [2, 3]
+    assert filters.without_disliked(media, marks, "  ").count() == 3
+
+
 def test_graph_orphans(spark):
     nodes = spark.createDataFrame([("person", "1", "x"), ("media", "2", "y")], "type string, external_id string, name string")
     links = spark.createDataFrame([("r", "2", "1", 1.0, 1.0), ("r", "2", "9", 1.0, 1.0)], "relation string, source string, target string, confidence double, weight double")
