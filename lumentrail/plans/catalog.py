@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lumentrail.functions import geo, text, time, vector
 from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
-from lumentrail.plans.parser import parse
+from lumentrail.plans.parser import parse, parsed_column
 from lumentrail.sources import tables
 from lumentrail.sources.fixtures import view, with_views
 
@@ -893,6 +893,28 @@ def parsed_phrase(media):
 
 
 
+#: Phrases and what they mean at NOW: labels, left-out labels, first concepts, first day, least quality, intent.
+PHRASES = (
+    ("sharp photos of dogs from last week", "dog", "", "", "2001-07-26", 0.7, "combined"),
+    ("beach without people", "", "person", "beach mountain", None, None, "combined"),
+    ("foggy golden hour", "", "", "rain snow", None, None, "scene"),
+    ("kids playing football in 1999", "person,sports ball", "", "wedding birthday", "1999-01-01", None, "combined"),
+    ("cave", "", "", "beach mountain", None, None, "scene"),
+    ("not blurry bikes minus cars", "bicycle", "car", "", None, 0.7, "combined"),
+    ("something else", "", "", "", None, None, "unknown"),
+)
+
+
+@query("people", sql="SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(["CAST(NULL AS VARCHAR)" if x is None and i == 4 else "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x} AS DOUBLE)" if i == 5 else f"'{x}'" for i, x in enumerate(p)]) + ")" for p in PHRASES) + ") t(phrase, labels, excluded, concepts, day, quality, intent)")
+def parsed_phrases(people):
+    """What the front end makes of phrases, columns of which it parses in batches."""
+    rows = people.sparkSession.createDataFrame([(p[0],) for p in PHRASES], "phrase string").withColumn("p", parsed_column(F.col("phrase"), NOW))
+    return rows.select(
+        "phrase", F.array_join("p.labels", ",").alias("labels"), F.array_join("p.exclude_labels", ",").alias("excluded"), F.array_join(F.slice("p.concepts", 1, 2), " ").alias("concepts"),
+        F.date_format("p.date_from", "yyyy-MM-dd").alias("day"), F.col("p.min_quality").alias("quality"), F.col("p.intent").alias("intent"),
+    )
+
+
 ALBUM_JSON = '{"kind": "photo", "min_quality": 0.5, "labels": ["NO"], "date_from": "1996-05-01T00:00:00", "unknown": 1}'
 
 

@@ -34,6 +34,26 @@ def times(spark, hours, owner="a"):
         ("photos from this month", {"date_from": datetime(2025, 6, 1)}),
         ("photos from 2025-01-15", {"date_from": datetime(2025, 1, 15)}),
         ("photos in 2024", {"date_from": datetime(2024, 1, 1), "date_to": datetime(2024, 12, 31, 23, 59, 59)}),
+        ("last Monday", {"date_from": datetime(2025, 6, 9), "date_to": datetime(2025, 6, 9, 23, 59, 59)}),
+        ("the day before yesterday", {"date_from": datetime(2025, 6, 13)}),
+        ("Jan 15th, 2024", {"date_from": datetime(2024, 1, 15), "date_to": datetime(2024, 1, 15, 23, 59, 59)}),
+        ("6/7/2024", {"date_from": datetime(2024, 6, 7)}),
+        ("2024-13-45", {"date_from": None}),
+        ("from March", {"date_from": datetime(2025, 3, 1), "date_to": datetime(2025, 3, 31, 23, 59, 59)}),
+        ("this week", {"date_from": datetime(2025, 6, 9), "date_to": NOW}),
+        ("shots with a nikon z6", {"make": "Nikon", "model_contains": "Z6"}),
+        ("X-T4 and GFX 100", {"model_contains": "GFX 100"}),
+        ("pixel 7 pro", {"make": "Google", "model_contains": "pixel 7 pro"}),
+        ("galaxy z fold4", {"make": "Samsung", "model_contains": "galaxy z fold4"}),
+        ("high-quality out of focus", {"min_quality": 0.7, "max_blur": 0.3}),
+        ("not a screenshot", {"min_quality": 0.3}),
+        ("not screenshot", {"min_quality": None}),
+        ("near New York in winter", {"location": "New York"}),
+        ("cell-phone, hotdogs and wine glass", {"labels": ("cell phone", "wine glass")}),
+        ("mans womens", {"labels": ()}),
+        ("cave", {"concepts": ("beach", "mountain", "forest", "park", "garden", "ocean", "sea", "lake", "river", "waterfall", "sunset", "sunrise", "sky", "clouds", "desert", "island")}),
+        ("foggy", {"concepts": ("rain", "snow", "sunny", "cloudy", "fog", "night", "dark", "bright", "golden hour", "blue hour")}),
+        ("golden hour, dogs", {"labels": ("dog",), "semantic": "rain snow sunny cloudy fog night dark bright golden hour blue hour dog"}),
         ("8 months ago", {"date_from": datetime(2024, 10, 15, 12)}),
         ("iPhone 14 photos", {"make": "Apple", "model_contains": "iPhone"}),
         ("Galaxy S24 photos", {"make": "Samsung"}),
