@@ -308,6 +308,52 @@ def test_pixels():
     assert pixels.resized(noisy, 10, 10).mean() == pytest.approx(noisy.mean())
 
 
+def test_quality_of_rasters():
+    rng = np.random.default_rng(0)
+    dark, bright, mid = (np.full((30, 30), v, np.uint8) for v in (20, 240, 120))
+    assert [pixels.exposure_class(x) for x in (dark, bright, mid, np.zeros((0, 0)))] == ["underexposed", "overexposed", "balanced", "unknown"]
+    dim = np.where(np.arange(900).reshape(30, 30) % 10 < 6, 40, 130).astype(np.uint8)
+    assert pixels.exposure_class(dim) == "slightly_underexposed"
+    noisy = rng.integers(0, 256, (60, 60)).astype(np.uint8)
+    assert pixels.quality(mid) == pytest.approx(0.2 + 0.15) and pixels.quality(dark) == pytest.approx(0.06 + 0.15)
+    assert pixels.quality(noisy) == pytest.approx(0.3 + 0.2 + 0.25 * np.std(noisy) / 80 + 0.1 * pixels.dynamic_range(noisy), abs=0.06) and pixels.noise(noisy) == 1.0
+    g = np.zeros((5, 5))
+    g[1, 1], g[3, 3] = 8, 4
+    assert pixels.noise(g) == pytest.approx(16 / 50)  # of 32, 16, 0 and 0 the upper middle
+
+
+def test_toned():
+    image = np.array([[[200, 100, 50], [10, 20, 30]], [[128, 128, 128], [250, 250, 250]]], np.uint8)
+    assert (pixels.toned(image) == image).all()
+    assert pixels.toned(image, brightness=0.2)[0, 1].tolist() == [20, 30, 40]
+    assert pixels.toned(image, contrast=0.5)[0, 0].tolist() == [229, 89, 19]
+    assert pixels.toned(image, temperature=1.0)[1, 0].tolist() == [158, 125, 98] and pixels.toned(image, tint=-1.0)[1, 0].tolist() == [119, 158, 119]
+    assert pixels.toned(image, highlights=-1.0)[1, 1].max() < 180 and (pixels.toned(image, highlights=-1.0)[0, 1] == image[0, 1]).all()
+    assert pixels.toned(image, shadows=1.0)[0, 1].min() > 80 and (pixels.toned(image, blacks=1.0)[1, 1] == image[1, 1]).all()
+    assert pixels.toned(image, saturation=-1.0)[0, 0].tolist() == [124] * 3 and (pixels.toned(image, whites=1.0)[1, 0] == image[1, 0]).all()
+    skin, sky = (np.full((2, 2, 3), c, np.uint8) for c in ([200, 150, 120], [120, 150, 200]))
+    change = lambda x: int(np.abs(pixels.toned(x, vibrance=1.0).astype(int) - x).sum())
+    assert change(skin) < change(sky)
+    both = pixels.toned(image, exposure=0.3, contrast=0.5)
+    assert (both == pixels.toned(pixels.toned(image, exposure=0.3), contrast=0.5)).mean() > 0.7
+    edge = np.repeat(np.where(np.arange(40) < 20, 80, 160)[None, :, None], 40, axis=0).repeat(3, axis=2).astype(np.uint8)
+    assert pixels.toned(edge, clarity=1.0).max() > 160 and pixels.toned(edge, sharpness=1.0).min() < 80 and pixels.toned(edge, vignette=-1.0)[0, 0].max() < 80
+    with pytest.raises(ValueError):
+        pixels.toned(image, glow=1.0)
+
+
+def test_screens_and_pages():
+    screen = np.full((1000, 500, 3), 30, np.uint8)
+    screen[300:700, 100:400] = np.random.default_rng(0).integers(0, 256, (400, 300, 3))
+    assert pixels.screenshot_score(screen) == pytest.approx((0.8 + 0.9 + 1.0 + 0.8) / 4)
+    page = np.full((1414, 1000, 3), 250, np.uint8)
+    page[40:1380:28, 100:900] = 20
+    page[41:1380:28, 100:900] = 20
+    assert pixels.document_score(page) >= (0.9 + 0.6 + 0.1 + 0.5) / 4 - 0.1 and pixels.document_score(np.random.default_rng(1).integers(0, 256, (90, 400, 3))) < 0.3
+    assert pixels.looks_like_screen(1080, 2340) is True or pixels.looks_like_screen(1080, 2000) and not pixels.looks_like_screen(1600, 1200)
+    assert pixels.looks_like_page(2100, 2970) and not pixels.looks_like_page(1920, 1080)
+
+
 def test_plans(spark, sf):
     """Filters and columns reach the scan; top-k is one operator; no Python in relational plans."""
     from lumentrail.plans.catalog import QUERIES
