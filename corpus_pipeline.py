@@ -3,6 +3,13 @@
 Each stage takes what its predecessor kept and its decisions take effect: toxic
 documents go, shared lines go, one document of each group of near copies stays,
 the mix repeats or leaves out documents, and the rest is packed.
+
+Defined cases, in every stage: a null or empty text is a document like another
+(not toxic without a learned reason, one empty line, no near copy, no words for
+the mix, the end id alone when packed); texts of any length are taken whole; rows
+that repeat an id are rows of their own, treated alike where their texts are; rows
+without an id pass, and are mixed by their texts; columns beside those of
+documents are dropped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrail.llm.common import bucket_of, settle, table
+from lumentrail.llm.common import bucket_of, hashed, settle, table
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
 from lumentrail.llm.ngram_join import ngram_join
@@ -28,34 +35,36 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under ``TOXIC_FROM``; the model learns from the rows that op7 learns from."""
+    """Documents whose toxicity score is under ``TOXIC_FROM``; the model learns from the rows that op7 learns from (its fixed prior, where they are none)."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), 3) != 1))
     return score_toxicity(docs, model).where(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines they share with two others."""
+    """Documents without the lines they share with two others; a document may end without text."""
     return _measured(line_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies. Rows that repeat that id all stay, as do rows without an id."""
     kept = settle(ngram_join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    named = docs.where("doc_id is not null").join(hashed(kept, kept.count()), "doc_id", "left_semi")
     return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix at weights 5, 2, 1 over the sources takes them; the one at a source's cut counts as whole if at least half is taken."""
+    # Rows without an id go by their texts: no key is all of them.
+    docs = docs.select(*COLUMNS).withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    taken = mix_sources(docs, F.array("source")).groupBy(F.col("doc_id").alias("__id")).agg(F.max(times).alias("__times"))  # rows that repeat an id go alike
+    taken = mix_sources(docs, F.array("source"), id_col="__key").groupBy(F.col("doc_id").alias("__key")).agg(F.max(times).alias("__times"))  # rows that repeat an id go alike
     taken = settle(taken.where("__times > 0"))
-    mixed = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    mixed = docs.join(hashed(taken, taken.count()), "__key")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix, in sequences of 2048 ids."""
+    """The pieces of the mix, in sequences of 2048 ids; of a document taken twice, those of each copy."""
     return pack_public(docs)
 
 

@@ -38,6 +38,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition up to which a hash table of short keys is built for a join: such a table can't spill.
+HASHED_ROWS = 2_000_000
+
+
+def hashed(small: DataFrame, rows: int) -> DataFrame:
+    """``small`` (``rows`` rows at most) as the side of a join whose keys are hashed, so that the other side, with its texts, need not be sorted.
+
+    Only where a partition's share of it is small; else the join sorts, and spills.
+    """
+    partitions = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.hint("shuffle_hash") if rows <= HASHED_ROWS * partitions else small
+
+
 def ascii_lower(text: str) -> str:
     """``text`` with A-Z lower-cased and everything else as it is."""
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)

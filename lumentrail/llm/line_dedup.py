@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrail.llm.common import SPACE, ascii_lower, settle
+from lumentrail.llm.common import SPACE, ascii_lower, hashed, settle
 
 _ID, _DROPS, _DONE = "__lines_id", "__lines_drops", "__lines_done"
 
@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         held.join(shared, "line").where(F.col("doc") != F.col("keeper"))
         .groupBy(F.col("doc").alias(_ID)).agg(F.collect_set("line").alias(_DROPS))
     )
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == drops[_ID], "left")
+    joined = docs.join(hashed(drops, held.count()), docs[id_col] == drops[_ID], "left")
     done = joined.withColumn(_DONE, _without(min_chars)(docs[text_col], F.col(_DROPS)))
     kept = [F.col(f"{_DONE}.text").alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(*kept, F.col(f"{_DONE}.n_lines").alias("n_lines"), F.col(f"{_DONE}.n_dropped").alias("n_dropped"))

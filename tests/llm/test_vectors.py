@@ -1,12 +1,15 @@
 """Vector operators and the pipeline against brute force."""
 
+import collections
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumentrail.llm import ann, registry, voronoi_join
+from test_text_operators import brute_lines
 
 
 def vectors(spark, x, extra=()):
@@ -146,19 +149,87 @@ def test_mixing_query_matches_sql(spark, duck, sf):
 
 
 def test_pipeline(spark, sf):
+    """Each stage's decisions, held to what its operator says about its own input, and the whole run."""
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300).cache()
-    seen = {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*c.COLUMNS).cache()
+    rows = {}
     for name, stage in c.STAGES:
         out = stage(spark, docs, sf).cache()
-        seen[name] = out.count()
+        rows[name] = out.collect()
         if name != "packing":
             assert out.columns == list(c.COLUMNS)
-        if name == "ngram_join":
-            ids = [r.doc_id for r in out.select("doc_id").collect()]
-            assert len(ids) == len(set(ids))
+            assert all(r.n_chars == len(r.text or "") for r in rows[name]) or name == "toxicity"
         before, docs = docs, out
-    assert seen["toxicity"] < 300 and seen["line_dedup"] == seen["toxicity"] and seen["ngram_join"] <= seen["line_dedup"]
-    assert docs.agg(F.sum("length")).first()[0] == docs.select("doc_id", "sequence_id", "offset", "length").agg(F.sum("length")).first()[0]
-    assert before.count() > 0
+    first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scores = {r.doc_id: r.score for r in registry.queries()["op7_toxicity"](spark, sf).collect()}
+    assert {r.doc_id for r in rows["toxicity"]} == {i for i in first if scores[i] < c.TOXIC_FROM}
+    assert [(r.doc_id, r.text) for r in sorted(rows["line_dedup"])] == [(i, t) for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in rows["toxicity"]])]
+    joined = brute_join_of(rows["line_dedup"])
+    assert {r.doc_id for r in rows["ngram_join"]} == {i for i, _, comp in joined if i == comp}
+    times = collections.Counter(r.doc_id for r in rows["mixing"])
+    assert set(times) <= {r.doc_id for r in rows["ngram_join"]} and max(times.values()) <= 3
+    by = collections.defaultdict(int)
+    for r in rows["packing"]:
+        by[r.doc_id] += r.length
+    tokens = {r.doc_id: r.doc_tokens for r in rows["packing"]}
+    assert all(by[i] == times[i] * tokens[i] for i in times) and set(by) == set(times)
+    again = c.run(spark, sf).collect()
+    assert collections.Counter((r.doc_id, r.doc_tokens, r.start, r.length) for r in again if r.start == 0 and r.length == r.doc_tokens)
+    assert sum(r.length for r in again) == sum(by.values())
+
+
+def brute_join_of(rows):
+    """(id, size, component) from an index of shingles."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sets, holders = {}, collections.defaultdict(list)
+    for r in rows:
+        w = word.findall((r.text or "").translate({u: u + 32 for u in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in sets.items():
+        shared = collections.Counter(j for s in own for j in holders[s] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [(i, len(s), find(i)) for i, s in sets.items()]
+
+
+def test_pipeline_of_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated and missing ids, further columns, and no rows at all."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (4, "two words", None, None, 9), (4, "two words", None, None, 9), (None, "a text without an id", "en", "b", 20),
+        (None, "a text without an id", "en", "b", 20), (None, None, None, None, None), (7, "shared line of many documents\nown seven", "en", "b", 1), (8, "shared line of many documents\nown eight", "en", "b", 1), (9, "shared line of many documents\nown nine", "en", "b", 1),
+    ]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, component_id int")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in c.STAGES:
+            now = stage(spark, now, sf).cache()
+            n = now.count()
+            assert name == "packing" or now.columns == list(c.COLUMNS)
+            if start is docs:
+                assert {"toxicity": n == 11, "line_dedup": n == 11, "ngram_join": n == 11, "mixing": n > 0, "packing": n > 0}[name], (name, n)
+            else:
+                assert n == 0
+    assert sorted(r.text for r in c.lines(spark, docs, sf).where("doc_id in (7, 8, 9)").collect()) == ["own eight", "own seven", "shared line of many documents\nown nine"]
+
+
+def test_hashed_only_where_it_fits(spark):
+    from lumentrail.llm.common import HASHED_ROWS, hashed
+
+    df = spark.range(3)
+    assert "shuffle_hash" in hashed(df, 3)._jdf.queryExecution().logical().toString().lower()
+    assert "shuffle_hash" not in hashed(df, HASHED_ROWS * 10**6)._jdf.queryExecution().logical().toString().lower()
