@@ -96,3 +96,10 @@ def duplicates_of(df: DataFrame, media_id, *, key: str = "media_id", within: int
     own = df.where(F.col(key) == media_id).limit(1).select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
     apart = hamming(F.col("hi"), F.col("lo"), F.col("hi2"), F.col("lo2"))
     return df.where(F.col(key) != media_id).crossJoin(F.broadcast(own)).select(F.col(key).alias("media_id"), apart.alias("bits")).where(F.col("bits") <= within)  # one row
+
+
+def visible_groups(groups: DataFrame, gone: DataFrame) -> DataFrame:
+    """Members (``comp, node``) without those that are gone (``media_id``), of the groups that keep two."""
+    left = groups.join(gone.select(F.col("media_id").alias("node")), "node", "left_anti")
+    several = left.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
+    return left.join(several, "comp", "left_semi")

@@ -123,3 +123,26 @@ def coverage_by(media: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
         found = media.select("media_id").join(df.select("media_id"), "media_id", "left_semi").agg(F.lit(name).alias("what"), F.count("*").alias("n"))
         out = found if out is None else out.unionByName(found)
     return out.crossJoin(F.broadcast(total)).select("what", "n", coverage(F.col("n"), F.col("total")).alias("share"))  # one row
+
+
+def cube(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Counts and sums of every set of keys; ``level`` tells which ones a row is over (a bit for each that is left out)."""
+    return df.cube(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum(value).alias(value))
+
+
+def grouped(df: DataFrame, key: str, item: str, k: int) -> DataFrame:
+    """``key, n, first``: how many rows each key has, and the first ``k`` items of it."""
+    first = df.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("__at") <= k)
+    items = first.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("first"))
+    return df.groupBy(key).agg(F.count("*").alias("n")).join(items, key)
+
+
+def folded_order(df: DataFrame, column: str, key: str, k: int) -> DataFrame:
+    """The first ``k`` rows by a text without regard to case, with ``place``."""
+    first = df.orderBy(F.lower(column), column, key).limit(k)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.lower(column), column, key)))  # k rows
+
+
+def over_fetch(limit: int) -> int:
+    """How many candidates are fetched for a limit: ten times as many, within 50 and 2000."""
+    return max(50, min(2000, 10 * limit))

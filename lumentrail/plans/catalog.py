@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions import geo, text, time, vector
+from lumentrail.functions import box, geo, text, time, vector
 from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
 from lumentrail.plans.parser import parse, parsed_column
 from lumentrail.sources import tables
@@ -326,6 +326,75 @@ def latest_by_kind(timeline):
     return stats.latest(timeline, ["kind"], "ts").select("kind", "media_id", "ts")
 
 
+@query("media", sql="SELECT kind, album, CAST(grouping(kind) * 2 + grouping(album) AS BIGINT) AS level, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM media GROUP BY CUBE (kind, album)")
+def cube_counts(media):
+    return stats.cube(media, ["kind", "album"], "bytes")
+
+
+@query("jobs", sql="SELECT status, count(*) AS n, array_to_string(list(job_id ORDER BY job_id)[1:5], ',') AS first FROM jobs GROUP BY status")
+def grouped_jobs(jobs):
+    return stats.grouped(jobs, "status", "job_id", 5).select("status", "n", F.array_join("first", ",").alias("first"))
+
+
+@query("people", sql="SELECT person_id, CAST(row_number() OVER (ORDER BY lower(name), name, person_id) AS INTEGER) AS place FROM people QUALIFY place <= 20")
+def people_by_name_folded(people):
+    """The first twenty in an order that heeds no case."""
+    return stats.folded_order(people, "name", "person_id", 20).select("person_id", "place")
+
+
+@query("texts", "trash", sql="WITH t AS (SELECT sha256(text) AS hash, media_id FROM texts WHERE media_id NOT IN (SELECT media_id FROM trash)) SELECT hash, count(*) AS n, min(media_id) AS first FROM t GROUP BY hash HAVING count(*) > 1")
+def visible_duplicates(texts, trash):
+    """Groups of copies without trashed members, while two are left."""
+    groups = texts.select(F.sha2("text", 256).alias("comp"), F.col("media_id").alias("node"))
+    left = dedup.visible_groups(groups, trash)
+    return left.groupBy(F.col("comp").alias("hash")).agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+@query("segments", sql="SELECT video_id, start_ms, printf('%02d:%02d', start_ms // 60000, (start_ms // 1000) % 60) AS at FROM segments WHERE person_id IN (0, 5)")
+def clock_times(segments):
+    return video.work_list(segments.withColumn("status", F.col("person_id")), [0, 5]).select("video_id", "start_ms", time.clock(F.col("start_ms")).alias("at"))
+
+
+@query("media", sql="SELECT media_id, CASE WHEN bytes < 1024 THEN printf('%d B', bytes) WHEN bytes < 1048576 THEN printf('%.1f KB', round(bytes / CAST(1024 AS DOUBLE), 1)) ELSE printf('%.1f MB', round(bytes / CAST(1048576 AS DOUBLE), 1)) END AS size FROM media")
+def byte_sizes(media):
+    return media.select("media_id", text.byte_size(F.col("bytes")).alias("size"))
+
+
+BOX_SQL = "b AS (SELECT tag_id, media_id, label, confidence, CAST(tag_id % 7 AS DOUBLE) / 10 AS l, CAST(tag_id % 5 AS DOUBLE) / 10 AS t, CAST(tag_id % 3 + 1 AS DOUBLE) / 10 AS w, CAST(tag_id % 4 + 1 AS DOUBLE) / 10 AS h FROM tags)"
+
+
+def _boxes(tags: DataFrame) -> DataFrame:
+    part = lambda n, plus, name: ((F.col("tag_id") % n + plus).cast("double") / 10).alias(name)
+    return tags.select("tag_id", "media_id", "label", "confidence", part(7, 0, "left"), part(5, 0, "top"), part(3, 1, "width"), part(4, 1, "height"))
+
+
+@query("tags", sql=f"WITH {BOX_SQL} SELECT a.media_id, a.tag_id AS a, b.tag_id AS b, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou FROM (SELECT a.media_id, a.tag_id AS ta, b.tag_id AS tb, greatest(0, least(a.l + a.w, b.l + b.w) - greatest(a.l, b.l)) * greatest(0, least(a.t + a.h, b.t + b.h) - greatest(a.t, b.t)) AS i, a.w * a.h + b.w * b.h AS both_ FROM b a JOIN b ON a.media_id = b.media_id AND a.tag_id < b.tag_id AND a.label = b.label) x, LATERAL (SELECT x.both_ - x.i AS u) y, LATERAL (SELECT x.media_id, x.ta AS tag_id) a, LATERAL (SELECT x.tb AS tag_id) b")
+def box_overlaps(tags):
+    """Boxes of one label on one item, by how far they cover each other."""
+    one = _boxes(tags).select("media_id", "label", F.col("tag_id").alias("a"), F.struct("left", "top", "width", "height").alias("x"))
+    other = _boxes(tags).select("media_id", "label", F.col("tag_id").alias("b"), F.struct("left", "top", "width", "height").alias("y"))
+    return one.join(other, ["media_id", "label"]).where("a < b").select("media_id", "a", "b", F.round(box.iou(F.col("x"), F.col("y")), 6).alias("iou"))
+
+
+@query("tags", sql=f"WITH {BOX_SQL} SELECT media_id, tag_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY media_id ORDER BY confidence DESC, tag_id) AS INTEGER) AS rank FROM b WHERE confidence >= 0.5 AND w * h >= 2e-2) WHERE rank <= 3 GROUP BY ALL")
+def best_regions(tags):
+    found = clusters.best_regions(_boxes(tags).withColumnRenamed("tag_id", "box_id"))
+    return found.select("media_id", F.col("box_id").alias("tag_id"), "rank").distinct()
+
+
+@query("tags", sql=f"WITH {BOX_SQL}, o AS (SELECT media_id, round(greatest(0, least(1, avg(confidence))), 6) AS confidence, round(min(l), 6) AS left_, round(min(t), 6) AS top_, round(max(l + w) - min(l), 6) AS width, round(max(t + h) - min(t), 6) AS height, array_to_string(list(label ORDER BY t, l, label), chr(10)) AS text FROM b GROUP BY media_id) SELECT media_id, text, confidence, left_ AS \"left\", top_ AS top, width, height FROM o")
+def text_lines(tags):
+    """Lines of an item in reading order, and the box around them."""
+    found = video.ocr_summary(_boxes(tags).withColumnRenamed("label", "text"))
+    return found.select("media_id", "text", *[F.round(c, 6).alias(c) for c in ("confidence", "left", "top", "width", "height")])
+
+
+@query("texts", sql="SELECT media_id, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS text FROM texts")
+def truncated_errors(texts):
+    """Messages as they are stored: of at most a thousand characters."""
+    return stats.truncated(texts, "text").select("media_id", "text")
+
+
 # Timeline.
 
 GAP_SQL = "lag(ts) OVER (PARTITION BY owner ORDER BY ts, media_id)"
@@ -695,7 +764,11 @@ def representative_frames(segments):
     return video.representative(segments.select("video_id", (F.col("end_ms") * 10000 + F.col("start_ms")).alias("ts_ms"), (F.col("label") == "NO").alias("representative")))
 
 
-@query("vectors")
+@query("vectors", sql="""WITH f AS (SELECT media_id // 10 AS video_id, media_id % 10 * 1500 AS ts, vector::DOUBLE[] AS vector, row_number() OVER w AS pos, lag(vector::DOUBLE[]) OVER w AS before FROM vectors WINDOW w AS (PARTITION BY media_id // 10 ORDER BY media_id)),
+s AS (SELECT video_id, CASE WHEN pos = 1 THEN 0 ELSE ts END AS start_ms FROM f WHERE pos = 1 OR greatest(0, least(1, 1 - list_cosine_similarity(before, vector))) > 9e-1),
+e AS (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY start_ms), 15000) AS end_ms FROM s), k AS (SELECT * FROM e WHERE end_ms - start_ms >= 1000),
+l AS (SELECT *, CAST(end_ms - start_ms >= 3000 OR row_number() OVER (PARTITION BY video_id ORDER BY start_ms) = 1 AS INTEGER) AS long_ FROM k), g AS (SELECT *, CAST(sum(long_) OVER (PARTITION BY video_id ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scene FROM l)
+SELECT video_id, scene, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM g GROUP BY video_id, scene""")
 def scenes(vectors):
     """Ten frames to a video, cut where neighbours differ."""
     frames = vectors.select(F.floor(F.col("media_id") / 10).alias("video_id"), (F.col("media_id") % 10 * 1500).alias("ts_ms"), "vector", F.lit(15_000).cast("long").alias("duration_ms"))

@@ -9,8 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumentrail.functions import pixels, vector
-from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, timeline, video
+from lumentrail.functions import encoding, pixels, vector
+from lumentrail.functions import tables as sql_tables
+from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
 from lumentrail.plans import assistant
 from lumentrail.plans.parser import add_months, parse, parsed_column
 from lumentrail.sources import tables
@@ -354,6 +355,36 @@ def test_screens_and_pages():
     assert pixels.looks_like_page(2100, 2970) and not pixels.looks_like_page(1920, 1080)
 
 
+def test_encoder_protocol(spark):
+    class LetterCounts:
+        dims = 3
+
+        def encode(self, items):
+            x = np.array([[t.count(c) for c in "abc"] for t in items], float)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    df = spark.createDataFrame([("aab",), (None,), ("c",)], "t string").select(encoding.encoded(F.col("t"), LetterCounts()).alias("v"))
+    got = [r.v for r in df.collect()]
+    assert got[0] == pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5), 0]) and got[1] is None and got[2] == [0, 0, 1]
+
+
+def test_sample_times_in_sql(spark):
+    sql_tables.register(spark)
+    videos = spark.createDataFrame([(1, 3000), (2, 60_000), (3, 0), (4, 500)], "video_id long, duration_ms long")
+    videos.createOrReplaceTempView("some_videos")
+    got = spark.sql("SELECT video_id, t.frame, t.ts_ms FROM some_videos, LATERAL sample_times(duration_ms, 12) t").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, video.sample_times(videos).collect()))
+
+
+def test_stored_graph(spark, tmp_path):
+    nodes = spark.createDataFrame([("person", "1", "x")], "type string, external_id string, name string")
+    links = spark.createDataFrame([("r", "2", "1", 1.0, 1.0), ("s", "2", "9", 1.0, 1.0)], "relation string, source string, target string, confidence double, weight double")
+    _, read = graph.stored(nodes, links, str(tmp_path / "g"))
+    one = graph.outgoing(read, "2", relations=["r"])
+    assert [r.target for r in one.collect()] == ["1"] and "PartitionFilters: [" in one._jdf.queryExecution().toString()
+    assert stats.over_fetch(1) == 50 and stats.over_fetch(100) == 1000 and stats.over_fetch(9999) == 2000
+
+
 def test_plans(spark, sf):
     """Filters and columns reach the scan; top-k is one operator; no Python in relational plans."""
     from lumentrail.plans.catalog import QUERIES
