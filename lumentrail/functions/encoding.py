@@ -27,12 +27,12 @@ def encoded(items: Column, encoder: VectorEncoder) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             known = batch.notna().to_numpy()
-            out = pd.Series([None] * len(batch), dtype=object)
+            rows: Iterator = iter(())
             if known.any():
                 found = np.asarray(encoder.encode(batch[known].tolist()), np.float32)
                 if found.shape != (int(known.sum()), dims):
                     raise ValueError(f"the encoder gave {found.shape}, not {(int(known.sum()), dims)}")
-                out[known] = list(found)
-            yield out
+                rows = iter(found)
+            yield pd.Series([next(rows) if k else None for k in known], dtype=object)
 
     return run(items)
