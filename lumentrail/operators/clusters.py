@@ -1,7 +1,7 @@
 """Clustering that depends on order, and selections from clusters.
 
-Greedy operators run in one group at a time (an item, a cluster, a block of
-faces) with rows sorted inside, so their results do not depend on partitioning.
+Greedy operators run over one group at a time with rows sorted inside, so their
+results do not depend on partitioning; groups that may be large go in bounded parts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions.vector import clamped_dot, cosine
+from lumentrail.functions.vector import clamped_dot, cosine, l2_normalized
 from lumentrail.operators.lineage import settle
 
 
@@ -27,9 +27,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key: str = "face_id", least: float = 0.6, least_size: int = 2) -> DataFrame:
-    """``block..., face_id, leader``: the first face not yet placed leads, and takes every other one at least that similar. Small clusters go."""
+def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key: str = "face_id", least: float = 0.6, least_size: int = 2, chunk: int = 2000) -> DataFrame:
+    """``block..., face_id, leader``: the first face not yet placed leads, and takes every other one at least that similar. Small clusters go.
+
+    A face depends on earlier ones only, so a block goes ``chunk`` faces at a time:
+    the first of those left are placed by one task, then all later ones that a new
+    leader takes, wherever they lie. A block of any size comes to the same clusters.
+    """
     kinds = ", ".join(f"{c} {faces.schema[c].dataType.simpleString()}" for c in [*block, key])
+    ids = [*block, key]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, ignore_index=True)
@@ -40,11 +46,23 @@ def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key:
                 free = np.flatnonzero(leader < 0)
                 near = free[x[free] @ x[i] >= least]
                 leader[np.union1d(near, [i])] = i
-        sizes = np.bincount(leader, minlength=len(rows))
-        out = rows[[*block, key]].assign(leader=rows[key].to_numpy()[leader])
-        return out[sizes[leader] >= least_size]
-
-    return faces.select(*block, key, "vector").groupBy(*block).applyInPandas(run, f"{kinds}, leader {faces.schema[key].dataType.simpleString()}")
+        return rows[ids].assign(leader=rows[key].to_numpy()[leader])
+
+    rest, placed = settle(faces.select(*ids, "vector")), None
+    while rest.limit(1).count():
+        first = rest.withColumn("__at", F.row_number().over(Window.partitionBy(*block).orderBy(key))).where(F.col("__at") <= chunk).drop("__at")
+        done = settle(first.groupBy(*block).applyInPandas(run, f"{kinds}, leader {faces.schema[key].dataType.simpleString()}"))
+        later = rest.join(done.select(*ids), ids, "left_anti")
+        leaders = rest.join(done.where(F.col(key) == F.col("leader")).select(*ids), ids, "left_semi").select(*block, F.col(key).alias("leader"), l2_normalized(F.col("vector")).alias("__v"))
+        met = later.withColumn("__u", l2_normalized(F.col("vector"))).join(leaders, list(block)).where(clamped_dot(F.col("__u"), F.col("__v")) >= least)
+        taken = settle(met.groupBy(*ids).agg(F.min("leader").alias("leader")))
+        done = done.unionByName(taken)
+        placed = done if placed is None else placed.unionByName(done)
+        rest = settle(later.join(taken.select(*ids), ids, "left_anti"))
+    if placed is None:
+        return faces.select(*ids, F.col(key).alias("leader")).limit(0)
+    large = placed.groupBy(*block, "leader").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select(*block, "leader")
+    return placed.join(large, [*block, "leader"], "left_semi").select(*ids, "leader")
 
 
 def assigned(new: DataFrame, known: DataFrame, *, least: float = 0.6, block: int = 20_000) -> DataFrame:
