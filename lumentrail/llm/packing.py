@@ -51,6 +51,10 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ſ]+| ?[0-9]+| ?[^\sA
 _LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
+#: White space that the word rule takes together across a single space.
+_WIDE_SPACE = re.compile(r"\s \s|  ")
+
+
 class Encoder(dict):
     """Ids of texts under a byte-level BPE vocabulary; pieces of words are remembered up to a bound.
 
@@ -64,6 +68,7 @@ class Encoder(dict):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.remembered = remembered
+        self.after_space = AfterSpace(self)
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encoding._encode_single_piece(piece), ID).tobytes()
@@ -73,14 +78,23 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def plain(self, text: str) -> bytes:
+        """Of a text of plain characters, or a part of one that ends before a space."""
+        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+
     def encode(self, text: str) -> bytes:
         """The ids of a text of any length.
 
-        A long run of white space is a piece of its own under the word rule, all
-        but its last character where something follows: it is cut out here.
+        Where no white space stands on both sides of a space, words with the space
+        before them are encoded one by one. Elsewhere a long run of white space is a
+        piece of its own under the word rule, all but its last character where
+        something follows: it is cut out here.
         """
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+            if _WIDE_SPACE.search(text):
+                return self.plain(text)
+            first, *others = text.split(" ")
+            return b"".join([self.plain(first), *map(self.after_space.__getitem__, others)])
         out, at = [], 0
         for run in _LONG_SPACE.finditer(text):
             upto = run.end() - (run.end() < len(text))
@@ -92,6 +106,21 @@ class Encoder(dict):
         return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
 
 
+class AfterSpace(dict):
+    """Ids of what stands between two spaces of a plain text, with the space before it; remembered up to a bound."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encoder.plain(" " + part)
+        if len(self) >= self.encoder.remembered:
+            self.clear()
+        if len(part) <= 40:
+            self[part] = ids
+        return ids
+
+
 def _tokenised(ranks, pattern: str, end_id: int, size: int):
     """Documents' ids, and at a partition's end one row that counts the documents of each id (then of all, then all tokens)."""
     end = np.array([end_id], ID).tobytes()
@@ -129,16 +158,19 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, share: int, k1: float = 1.2, b: float = 0.75):
         self.docs = docs
         lengths = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs)
-        order = np.argsort(flat, kind="stable")  # a radix sort of 16-bit ids: postings by term, documents ascending
-        term, doc = flat[order], np.repeat(np.arange(len(docs), dtype=np.int32), lengths)[order]
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))
-        times = np.diff(np.append(first, len(term)))
-        self.posting_doc = doc[first]
-        term = term[first]
-        self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
+        # One number for each token, by document and then by id; its runs are the postings.
+        wide = np.uint32 if len(docs) <= 1 << 16 else np.uint64
+        key = (np.repeat(np.arange(len(docs), dtype=wide), lengths) << wide(16)) | np.concatenate(docs).astype(wide)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times, key = np.diff(np.append(first, len(key))), key[first]
+        doc, self.doc_term = (key >> wide(16)).astype(np.int32), (key & wide(0xFFFF)).astype(np.uint16)
         norm = k1 * (1 - b + b * lengths / mean_length)
-        self.weight = (idf[term] * (times * (k1 + 1) / (times + norm[self.posting_doc]))).astype(np.float32)
+        self.doc_weight = (idf[self.doc_term] * (times * (k1 + 1) / (times + norm[doc]))).astype(np.float32)
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(docs)))])
+        by_term = np.argsort(self.doc_term, kind="stable")  # a radix sort of 16-bit ids: documents ascend
+        term, self.posting_doc, self.weight = self.doc_term[by_term], doc[by_term], self.doc_weight[by_term]
+        self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
         self.unused = np.ones(len(docs), bool)
         held = np.diff(self.starts)
         common = np.flatnonzero((held > 1) & (held * share >= len(docs)))
@@ -147,9 +179,6 @@ class Shard:
         self.dense = np.zeros((len(docs), len(common)), np.float32)
         dense = self.column[term] >= 0
         self.dense[self.posting_doc[dense], self.column[term[dense]]] = self.weight[dense]
-        by_doc = np.argsort(self.posting_doc, kind="stable")
-        self.doc_term, self.doc_weight = term[by_doc], self.weight[by_doc]
-        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.posting_doc, minlength=len(docs)))])
         self.asked = np.zeros(len(idf), bool)
 
     def scores(self, docs: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -163,7 +192,7 @@ class Shard:
         return found
 
     def terms(self, doc: int) -> np.ndarray:
-        return self.doc_term[self.doc_starts[doc] : self.doc_starts[doc + 1]]
+        return self.doc_term[self.doc_starts[doc] : self.doc_starts[doc + 1]].astype(np.int64)
 
     def compacted(self) -> np.ndarray:
         """Takes used documents out of the index; the old numbers of those left."""
