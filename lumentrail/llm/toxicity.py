@@ -45,7 +45,9 @@ QUOTED = re.compile("\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[
 #: Digits and signs that stand for letters; 1 may be either of two.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: A word with such signs, each run of them before a letter; and four single letters or more with one sign between them.
-DISGUISED = re.compile(r"(?<![\w@$!])[^\W\d_]*(?:[0134578@$!]+[^\W\d_]+)+(?![\w@$])")
+DISGUISED = re.compile(r"(?<![\w@$!])[^\W\d_]*+(?:[0134578@$!]++[^\W\d_]++)++(?![\w@$])")
+#: What any such word holds.
+SIGN_THEN_LETTER = re.compile(r"[0134578@$!][^\W\d_]")
 SPREAD = re.compile(r"(?<![\w@$!.\-*])[^\W_]([.\-_*·|~ ])[^\W_](?:\1[^\W_]){2,}(?![^\W_])")
 REPORTING = frozenset("said says say quote quoted quotes word words term called wrote writes cited example zitat sagte wort dit cité mot dijo palabra cita".split())
 ADDRESS = frozenset("you your youre ur du dich dein sie tu toi ton vous votre usted tú".split())
@@ -60,6 +62,21 @@ class Term:
     weight: float
 
 
+class Matches(dict):
+    """What words match, remembered up to a bound."""
+
+    def __init__(self, match, most: int = 300_000):
+        self.match, self.most = match, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        found = self.match(word)
+        if len(word) <= 40:
+            self[word] = found
+        return found
+
+
 class FuzzyTrie:
     """Terms in a trie, walked by all their Levenshtein automata at once.
 
@@ -90,6 +107,7 @@ class FuzzyTrie:
         self.found: list[tuple[Term, int] | None] = []
         self.stemmed: list[Term | None] = []
         self.start = self._state({0: 0})
+        self.known = Matches(self.match)
 
     def _edits(self, term: Term) -> int:
         """How many edits away a term may be."""
@@ -150,10 +168,13 @@ def unfolded(word: str) -> list[str]:
     return [plain, "".join("l" if c == "1" else STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)] if "1" in word else [plain]
 
 
-def disguised(low: str, match) -> list[tuple[int, int, Term]]:
-    """Places of terms (as they are, not misspelled) under digits, signs and separators."""
+def disguised(low: str, words: set[str], match) -> list[tuple[int, int, Term]]:
+    """Places of terms (as they are, not misspelled) under digits, signs and separators. ``words``: those of the text."""
     out = []
-    for pattern in (DISGUISED, SPREAD):
+    patterns = [DISGUISED] if SIGN_THEN_LETTER.search(low) else []
+    if sum(len(w) == 1 for w in words) > 1:  # no term is one letter over and over
+        patterns.append(SPREAD)
+    for pattern in patterns:
         for m in pattern.finditer(low):
             hit = next((h for h in map(match, unfolded(m.group())) if h and not h[1]), None)
             if hit:
@@ -174,9 +195,9 @@ def evidence(text: str | None, trie: FuzzyTrie, window: int = 5, misspelled: flo
     if not text:
         return 0.0, 0.0
     low = text.lower()
-    match = trie.match
-    hits = {w: m for w in set(TOKEN.findall(low)) if (m := match(w))}
-    hidden = disguised(low, match)
+    known, seen = trie.known, set(TOKEN.findall(low))
+    hits = {w: m for w in seen if (m := known[w])}
+    hidden = disguised(low, seen, trie.match)
     if not hits and not hidden:
         return 0.0, 0.0
     tokens = list(TOKEN.finditer(low))
