@@ -232,7 +232,7 @@ class Shard:
 def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
     """The order in which documents enter the stream of windows; ``most`` neighbours are asked for at first, then more.
 
-    The index is left to those unused each time half of its documents are used.
+    The index is left to those unused each time a fifth of its documents is used.
     """
     order, at, seed, next_free = [], 0, None, 0
     names, used = np.arange(len(shard.docs)), 0
@@ -244,7 +244,7 @@ def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
         at, used = at + len(shard.docs[doc]), used + 1
 
     while True:
-        if used > 64 and 2 * used > len(shard.docs):
+        if used > 64 and 5 * used > len(shard.docs):
             names, used, next_free = names[shard.compacted()], 0, 0
         while next_free < len(shard.docs) and not shard.unused[next_free]:
             next_free += 1
