@@ -65,7 +65,7 @@ class Term:
 class Matches(dict):
     """What words match, remembered up to a bound."""
 
-    def __init__(self, match, most: int = 300_000):
+    def __init__(self, match, most: int = 100_000):
         self.match, self.most = match, most
 
     def __missing__(self, word: str):
@@ -85,7 +85,8 @@ class FuzzyTrie:
     and more two; stems and shorter words must be exact.
     """
 
-    def __init__(self, terms: Iterable[Term], once: int = 5, twice: int = 10):
+    def __init__(self, terms: Iterable[Term], once: int = 5, twice: int = 10, most_states: int = 20_000):
+        self.most_states = most_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: defaultdict[int, list[Term]] = defaultdict(list)  # a stem may be a word, too
         self.least = (once, twice)
@@ -101,13 +102,17 @@ class FuzzyTrie:
         self.bend = [max(map(self._edits, self.ends.get(node, ())), default=0) for node in range(len(self.children))]
         for node in range(len(self.children) - 1, -1, -1):
             self.bend[node] = max([self.bend[node], *(self.bend[child] for child in self.children[node].values())])
+        self._begin()
+        self.known = Matches(self.match)
+
+    def _begin(self) -> None:
+        """No states but the first: words are without end, and what they lead to is kept up to a bound."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[Term, int] | None] = []
         self.stemmed: list[Term | None] = []
         self.start = self._state({0: 0})
-        self.known = Matches(self.match)
 
     def _edits(self, term: Term) -> int:
         """How many edits away a term may be."""
@@ -151,6 +156,8 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[Term, int] | None:
         """The term that ``word`` is, and how many edits away."""
+        if len(self.sets) > self.most_states:
+            self._begin()
         state = self.start
         for c in word:
             after = self.next[state].get(c)
