@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from lumentrail.llm.ann import ann_search
 from lumentrail.llm.common import bucket_of, table, tokenizer_file
 from lumentrail.llm.html_text import extract_text
+from lumentrail.llm.impact_search import impact_search
 from lumentrail.llm.line_dedup import line_dedup
 from lumentrail.llm.mixing import mix_sources
 from lumentrail.llm.ngram_join import ngram_join
 from lumentrail.llm.packing import pack
 from lumentrail.llm.quality import fit_quality, score_quality
+from lumentrail.llm.simhash import simhash_groups
+from lumentrail.llm.spelling import spelling_groups
 from lumentrail.llm.token_count import count_tokens, read_vocabulary
 from lumentrail.llm.toxicity import fit_toxicity, score_toxicity
 from lumentrail.llm.voronoi_join import voronoi_top_k
@@ -91,6 +94,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents of highest score for every benchmark item."""
+    return impact_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters and two occurrences, with the form that it is a variant of."""
+    return spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked at four or fewer differing bits of their fingerprints."""
+    groups = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -110,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
+        "op11_impact_search": op11_impact_search,
+        "op12_spelling": op12_spelling,
+        "op13_simhash": op13_simhash,
         "pipeline": pipeline,
     }
 
@@ -193,5 +215,67 @@ GROUP BY k.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, corpus GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+# crc32 half a byte at a time, low half first: the sixteen steps of its polynomial are fixed values.
+_CRC32 = """xor(4294967295, list_reduce([strpos('0123456789ABCDEF', substr(hex(encode({0})), 2 * ((i - 1) // 2) + 2 - (i - 1) % 2, 1)) - 1 for i in range(1, 2 * octet_length(encode({0})) + 1)],
+  lambda c, x: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, x) & 15)]), 4294967295))"""
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), keyed AS (
+  SELECT run, times, {_CRC32.format("(doc_id || ':' || run)")} AS h FROM runs
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM keyed
+), dictionary AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM dictionary)
+), near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION
+  SELECT c.word, d.word, d.n FROM cut c JOIN dictionary d ON c.rest = d.word
+  UNION
+  SELECT d.word, c.word, c.n FROM cut c JOIN dictionary d ON c.rest = d.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), formed AS (
+  SELECT d.word, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM dictionary d LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL
+  SELECT f.word, g.form, steps + 1 FROM followed f JOIN formed g ON f.root = g.word WHERE g.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, steps) AS root FROM followed GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_top_k": OP2_SQL, "op5_mixing": _op5_sql(), "op9_ngram_join": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_voronoi_top_k": OP2_SQL, "op5_mixing": _op5_sql(), "op9_ngram_join": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_impact_search": OP11_SQL, "op12_spelling": OP12_SQL}
