@@ -136,7 +136,8 @@ def _index(table: pa.Table) -> pa.Table:
 def impact_index(docs: DataFrame, asked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The settled index (``INDEX``) of the terms in ``asked`` (``term``, distinct) over all of ``docs``, whose ids are longs.
 
-    A row for each term of a block, and one (``term`` null) with the block's ids by place.
+    A row for each term of a block, after one (``term`` null) with the block's ids by
+    place. A block's rows were made by one task and lie together, so a search needs no shuffle.
     """
     asked = settle(asked)
     counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -193,15 +194,9 @@ def _set(bitmap: np.ndarray) -> np.ndarray:
 
 def _search(queries: list[tuple[int, list[str]]], k: int):
     schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+    wanted = {t for _, terms in queries for t in terms}
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, terms = None, {}
-        for row in table.to_pylist():
-            if row["term"] is None:
-                ids = row["ids"]
-            else:
-                words = np.frombuffer(row["places"], np.uint32)
-                terms[row["term"]] = words, np.frombuffer(row["slices"], np.uint64).reshape(row["n_bits"], len(words))
+    def searched(ids: list, terms: dict) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int | None, int]] = []
         for query, asked in queries:
             own = [terms[t] for t in asked if t in terms]
@@ -211,7 +206,20 @@ def _search(queries: list[tuple[int, list[str]]], k: int):
                 for words, slices in own:
                     add(sums, words, slices)
                 found.extend((query, ids[p], s) for p, s in zip(*(x.tolist() for x in largest(sums, k))))
-        return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found) if found else [[]] * 3, schema)], schema=schema)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms = [], {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["term"] is None:  # the next block
+                    yield from searched(ids, terms)
+                    ids, terms = row["ids"], {}
+                elif row["term"] in wanted:
+                    words = np.frombuffer(row["places"], np.uint32)
+                    terms[row["term"]] = words, np.frombuffer(row["slices"], np.uint64).reshape(row["n_bits"], len(words))
+        yield from searched(ids, terms)
 
     return run
 
@@ -238,7 +246,7 @@ def impact_search(docs: DataFrame, items: DataFrame, k: int = 50, *, id_col: str
     found = None
     for batch in range(batches):  # each is of bounded size, and sees every block
         rows = wanted.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch).select("query", "terms").collect()
-        part = index.groupBy("block").applyInArrow(_search([(r["query"], r["terms"]) for r in rows], k), "query long, id long, score long")
+        part = index.mapInArrow(_search([(r["query"], r["terms"]) for r in rows], k), "query long, id long, score long")
         found = part if found is None else found.unionAll(part)
     ranks = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     best = found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
