@@ -144,22 +144,25 @@ def ann_search(
     most_lists: int = 65_536,
     coverage: float = 0.98,
     block_rows: int = 32_768,
+    query_rows: int = 16_384,
     step: int = 16,
     epsilon: float = 2.1,
     seed: int = 7,
 ) -> DataFrame:
     """The ``k`` nearest rows found for each query row: ``query_id, rank, vec_id, score`` (Euclidean distance).
 
-    ``block_rows`` bounds a task's candidates; a small table is dealt to more, smaller blocks.
+    ``block_rows`` bounds a task's candidates, about; a small table is dealt to more,
+    smaller blocks. ``query_rows`` does so for its queries: those that probe a list go in
+    as many lots, each of which meets every block.
     """
     spark = vectors.sparkSession
     clean = vectors.withColumn("__query", is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce("__query", F.lit(False)).alias("query"))
     clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), zero=False))
-    parts = [_of_one_size(rows, n, k, fit_rows, most_lists, coverage, block_rows, step, epsilon, seed) for rows, n in by_size(clean, "vector")]
+    parts = [_of_one_size(rows, n, k, fit_rows, most_lists, coverage, block_rows, query_rows, step, epsilon, seed) for rows, n in by_size(clean, "vector")]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _of_one_size(clean: DataFrame, total: int, k: int, fit_rows: int, most_lists: int, coverage: float, block_rows: int, step: int, epsilon: float, seed: int) -> DataFrame:
+def _of_one_size(clean: DataFrame, total: int, k: int, fit_rows: int, most_lists: int, coverage: float, block_rows: int, query_rows: int, step: int, epsilon: float, seed: int) -> DataFrame:
     sample = sampled(clean, fit_rows, "vec_id", "vector")
     lists = Lists(sample, int(min(most_lists, max(1, math.sqrt(total)))), seed)
     probes = calibrated_probes(sample, lists, k, coverage)
@@ -186,8 +189,11 @@ def _of_one_size(clean: DataFrame, total: int, k: int, fit_rows: int, most_lists
     queries = settle(indexed.where("query").select("uid", F.col("vec_id").alias("query_id"), "vector").mapInArrow(probing, "uid long, query_id long, vector array<double>, lists array<int>"))
 
     def search(asked: DataFrame) -> DataFrame:
-        asked = asked.join(blocks, "list").select("uid", "vector", "bound", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        both = placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block"))
+        lots = F.broadcast(settle(asked.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("lots"))))  # one row a list
+        asked = asked.join(blocks, "list").join(lots, "list").withColumn("lot", F.pmod(F.xxhash64("uid"), F.col("lots")).cast("int"))
+        asked = asked.select("uid", "vector", "bound", "list", "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        met = placed.join(lots, "list").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        both = met.groupBy("list", "block", "lot").cogroup(asked.groupBy("list", "block", "lot"))
         return both.applyInArrow(_searched(rotation, k, step, epsilon), "uid long, other long, vec_id long, score double")
 
     order = Window.partitionBy("uid").orderBy("score", "vec_id", "other")

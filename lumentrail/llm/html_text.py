@@ -7,6 +7,13 @@ largest sum is the content. The smallest density on its path to the body is a
 threshold: what hangs beside the path and reaches it belongs to the content too,
 unless links make up most of it.
 
+Titles, bylines and short lists have little density of their own. So from the
+content upward: beside a path inside an article or main element everything belongs
+to it; in any other block below the body so do headings, paragraphs, lists, tables
+and the like, and text that stands in the block itself; and a page's first
+heading, wherever it stands, if the content has none. Lists of links stay where a
+heading announces them or the content itself holds them; elsewhere they are menus.
+
 What cannot hold text for readers (scripts, styles, inputs) is never counted.
 Elements, roles and names that say navigation, header, footer, aside, form,
 advert, notice or comments are heeded only then: the chosen block does not lie in
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)[^>]*(?:>|\Z)"
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
@@ -71,6 +78,10 @@ AROUND_NAMES = frozenset(
 #: Words that say nothing beside one of the above.
 NEUTRAL_NAMES = frozenset("site page main global primary secondary top bottom left right upper lower box block list item items bar wrapper wrap container links link area section inner outer posts form unit slot text content icons buttons thread".split())
 KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What holds an article, and what is written in one.
+RULED = frozenset("article main".split())
+WRITTEN = frozenset("p ul ol dl table blockquote pre figure details center".split())
 
 
 def says_around(name: str) -> bool:
@@ -168,28 +179,28 @@ class Page:
                     self._pop(depth)
         self._pop(1)
 
-    def blocks(self, chosen: set[int], cut: list[bool]) -> list[str]:
-        """Texts of the blocks under the chosen nodes, less those cut, in page order."""
+    def blocks(self, chosen: set[int], cut: list[bool], own: frozenset | set = frozenset()) -> list[str]:
+        """Texts of the blocks under the chosen nodes, less those cut, in page order; of nodes in ``own`` the text beside their blocks."""
         inside = [False] * len(self.tag)
         for node in range(len(self.tag)):
             over = self.parent[node]
-            inside[node] = not cut[node] and (node in chosen or (over >= 0 and inside[over]))
+            inside[node] = not cut[node] and (node in chosen or (over >= 0 and (inside[over] or (over in own and self.tag[node] in INLINE))))
         out, now = [], []
         for node, text in self.pieces:
             if not text:
                 if line := " ".join("".join(now).split()):
                     out.append(line)
                 now = []
-            elif inside[node]:
+            elif inside[node] or node in own:
                 now.append(entities.unescape(text) if "&" in text else text)
         if line := " ".join("".join(now).split()):
             out.append(line)
         return out
 
-    def content(self) -> tuple[set[int], list[bool]]:
-        """Numbers of the nodes whose subtrees are the main content, and which nodes are cut from them."""
+    def content(self) -> tuple[set[int], list[bool], set[int]]:
+        """Numbers of the nodes whose subtrees are the main content, which nodes are cut from them, and whose own text is content, too."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags, headings, mains = ([0] * n for _ in range(6))
+        chars, tags, link_chars, link_tags, headings, mains, heading_chars = ([0] * n for _ in range(7))
         in_link = [False] * n
         for node in range(1, n):
             in_link[node] = self.tag[node] == "a" or in_link[self.parent[node]]
@@ -205,6 +216,7 @@ class Page:
             over = self.parent[node]
             chars[over] += chars[node]
             link_chars[over] += link_chars[node]
+            heading_chars[over] += chars[node] if self.tag[node] in HEADINGS else heading_chars[node]
             tags[over] += tags[node] + 1
             link_tags[over] += link_tags[node] + (self.tag[node] == "a")
             headings[over] += headings[node] + (self.tag[node] == "h1")
@@ -241,11 +253,49 @@ class Page:
         least = min(dense[k] for k in path)
         chosen = {best} if sums[best] else {body}
         mostly_links = [3 * link_chars[k] >= 2 * chars[k] and link_tags[k] >= 3 and self.tag[k] not in INLINE for k in range(n)]
+        ruled = [False] * n  # in an article or main element
+        before: dict[int, int] = {}  # the block with text before each, under the same parent
+        announced = [False] * n  # a heading stands right before it, or in it
+        for k in range(1, n):
+            over = self.parent[k]
+            ruled[k] = ruled[over] or self.tag[k] in RULED
+            if self.tag[k] not in INLINE and chars[k] and not self.cut[k]:
+                announced[k] = announced[over] or self.tag[before.get(over, 0)] in HEADINGS
+                if self.tag[k] in HEADINGS:
+                    announced[over] = True
+                before[over] = k
+        own: set[int] = set()
+        has_title = any(self.tag[k] == "h1" for k in self._under(chosen)) if headings[body] else True
+        beside: dict[int, list[int]] = defaultdict(list)
         for k in blocks:
-            if self.parent[k] in on_path and self.parent[k] != best and k not in on_path and dense[k] >= least and 2 * link_chars[k] < chars[k]:
-                chosen.add(k)
-        cut = [self.cut[k] or (k not in on_path and ((self.around[k] and not wraps(k)) or mostly_links[k])) for k in range(n)]
-        return chosen, cut
+            if k not in on_path and self.parent[k] in on_path and chars[k]:
+                beside[self.parent[k]].append(k)
+        for over in path[1:]:
+            rule = ruled[over] and over != body
+            for k in beside[over]:
+                if mostly_links[k] and not (announced[k] and over != body):
+                    continue
+                title = self.tag[k] in HEADINGS or 2 * heading_chars[k] >= chars[k]
+                if title and not rule:
+                    first = headings[k] > 0 or self.tag[k] == "h1"
+                    if has_title if first else over == body:
+                        continue
+                    has_title |= first
+                    chosen.add(k)
+                elif rule or (over != body and self.tag[k] in WRITTEN) or (dense[k] >= least and 2 * link_chars[k] < chars[k]):
+                    chosen.add(k)
+            if over != body and not (self.around[over] and not wraps(over)):
+                own.add(over)
+        keeps = {k for k in range(n) if mostly_links[k] and (ruled[k] or self.tag[best] != "body") and announced[k]}
+        cut = [self.cut[k] or (k not in on_path and ((self.around[k] and not wraps(k)) or (mostly_links[k] and k not in keeps))) for k in range(n)]
+        return chosen, cut, own
+
+    def _under(self, chosen: set[int]) -> Iterator[int]:
+        inside = [False] * len(self.tag)
+        for k in range(len(self.tag)):
+            inside[k] = k in chosen or (self.parent[k] >= 0 and inside[self.parent[k]])
+            if inside[k]:
+                yield k
 
 
 def main_text(source: str | None) -> str:

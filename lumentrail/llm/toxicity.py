@@ -40,14 +40,22 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
 QUOTE_MARKS = "\"'`«»‘’‚“”„‹›"
-#: A quotation of any length within a line.
-QUOTED = re.compile("\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+#: Marks that open a quotation, and those that may close it, within a line.
+CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“”"}
+MARK = re.compile('["“”«»„\n]')
 #: Digits and signs that stand for letters; 1 may be either of two.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: A word with such signs, each run of them before a letter; and four single letters or more with one sign between them.
 DISGUISED = re.compile(r"(?<![\w@$!])[^\W\d_]*+(?:[0134578@$!]++[^\W\d_]++)++(?![\w@$])")
 #: What any such word holds.
 SIGN_THEN_LETTER = re.compile(r"[0134578@$!][^\W\d_]")
+#: Words of letters with one sign or more between them.
+CUT = re.compile(r"(?<![\w\-*·|~])[^\W\d_]++(?:[-_*·|~][^\W\d_]++)++(?![\w\-*·|~])")
+#: A letter three times or more.
+REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+#: What shows nothing between two letters.
+INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+HAS_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 SPREAD = re.compile(r"(?<![\w@$!.\-*])[^\W_]([.\-_*·|~ ])[^\W_](?:\1[^\W_]){2,}(?![^\W_])")
 REPORTING = frozenset("said says say quote quoted quotes word words term called wrote writes cited example zitat sagte wort dit cité mot dijo palabra cita".split())
 ADDRESS = frozenset("you your youre ur du dich dein sie tu toi ton vous votre usted tú".split())
@@ -103,7 +111,7 @@ class FuzzyTrie:
         for node in range(len(self.children) - 1, -1, -1):
             self.bend[node] = max([self.bend[node], *(self.bend[child] for child in self.children[node].values())])
         self._begin()
-        self.known = Matches(self.match)
+        self.known = Matches(self.match_repeated)
 
     def _begin(self) -> None:
         """No states but the first: words are without end, and what they lead to is kept up to a bound."""
@@ -154,6 +162,16 @@ class FuzzyTrie:
             self.next[state][c] = after
         return after
 
+    def match_repeated(self, word: str) -> tuple[Term, int] | None:
+        """As ``match``; a word of long runs of a letter may also be a term, one edit away, with one or two in their place."""
+        found = self.match(word)
+        if found is None and REPEATED.search(word):
+            for times in (r"\1", r"\1\1"):
+                hit = self.match(REPEATED.sub(times, word))
+                if hit and not hit[1]:
+                    return hit[0], 1
+        return found
+
     def match(self, word: str) -> tuple[Term, int] | None:
         """The term that ``word`` is, and how many edits away."""
         if len(self.sets) > self.most_states:
@@ -169,14 +187,35 @@ class FuzzyTrie:
         return self.found[state]
 
 
+def quotations(low: str) -> list[tuple[int, int]]:
+    """Spans of quotations, each within a line, from left to right, in one pass back for the closing marks and one on."""
+    marks = [(m.start(), m.group()) for m in MARK.finditer(low)]
+    closing: list[int | None] = [None] * len(marks)
+    last: dict[str, int] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        mark = marks[i][1]
+        if mark == "\n":
+            last.clear()
+        else:
+            closing[i] = min((last[c] for c in CLOSES.get(mark, "") if c in last), default=None)
+            last[mark] = i
+    spans, i = [], 0
+    while i < len(marks):
+        if (end := closing[i]) is not None:
+            spans.append((marks[i][0], marks[end][0] + 1))
+            i = end
+        i += 1
+    return spans
+
+
 def unfolded(word: str) -> list[str]:
     """What a disguised word may stand for."""
     plain = "".join(STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)
     return [plain, "".join("l" if c == "1" else STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)] if "1" in word else [plain]
 
 
-def disguised(low: str, words: set[str], match) -> list[tuple[int, int, Term]]:
-    """Places of terms (as they are, not misspelled) under digits, signs and separators. ``words``: those of the text."""
+def disguised(low: str, words: set[str], match, known) -> list[tuple[int, int, Term]]:
+    """Places of terms (as they are, not misspelled) under digits, signs and separators. ``words``: those of the text; ``known``: what words match."""
     out = []
     patterns = [DISGUISED] if SIGN_THEN_LETTER.search(low) else []
     if sum(len(w) == 1 for w in words) > 1:  # no term is one letter over and over
@@ -186,6 +225,12 @@ def disguised(low: str, words: set[str], match) -> list[tuple[int, int, Term]]:
             hit = next((h for h in map(match, unfolded(m.group())) if h and not h[1]), None)
             if hit:
                 out.append((m.start(), m.end(), hit[0]))
+    for m in CUT.finditer(low):
+        parts = TOKEN.findall(m.group())
+        if not any(map(known.__getitem__, parts)):  # else a part is counted itself
+            hit = match("".join(parts))
+            if hit and not hit[1]:
+                out.append((m.start(), m.end(), hit[0]))
     return out
 
 
@@ -202,16 +247,18 @@ def evidence(text: str | None, trie: FuzzyTrie, window: int = 5, misspelled: flo
     if not text:
         return 0.0, 0.0
     low = text.lower()
+    if not low.isascii() and HAS_INVISIBLE.search(low):
+        low = low.translate(INVISIBLE)
     known, seen = trie.known, set(TOKEN.findall(low))
     hits = {w: m for w in seen if (m := known[w])}
-    hidden = disguised(low, seen, trie.match)
+    hidden = disguised(low, seen, trie.match, known)
     if not hits and not hidden:
         return 0.0, 0.0
     tokens = list(TOKEN.finditer(low))
     words, starts = [t.group() for t in tokens], [t.start() for t in tokens]
     found = [(starts[at], starts[at] + len(w), at, at + 1, *hits[w]) for at, w in enumerate(words) if w in hits]
     found += [(a, b, bisect_left(starts, a), bisect_left(starts, b), term, 1) for a, b, term in hidden]
-    quoted = [m.span() for m in QUOTED.finditer(low)]
+    quoted = quotations(low)
     opens = [a for a, _ in quoted]
     sums = [0.0, 0.0]
     for start, end, first, last, term, edits in found:
