@@ -6,7 +6,7 @@ results do not depend on partitioning; groups that may be large go in bounded pa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,33 +65,33 @@ def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key:
     return placed.join(large, [*block, "leader"], "left_semi").select(*ids, "leader")
 
 
-def assigned(new: DataFrame, known: DataFrame, *, least: float = 0.6, block: int = 20_000) -> DataFrame:
-    """``face_id, person_id, similarity``: each new face goes to the person of the most similar known face; null under ``least``.
-
-    ``known`` is the people's running means, one vector a person. Up to ``block``
-    of them are broadcast; more are dealt to so many blocks, and each face meets
-    every block once.
-    """
-    people = known.select("person_id", F.col("vector").alias("v"))
-    count = people.count()
-    faces = new.select("face_id", "vector")
-    if count <= block:
-        both = faces.crossJoin(F.broadcast(people))  # block rows at most
-    else:
-        blocks, salts = -(-count // block), int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        people = people.withColumn("blk", F.pmod(F.xxhash64("person_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        faces = faces.withColumn("salt", F.pmod(F.xxhash64("face_id"), F.lit(salts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        both = faces.join(people, ["blk", "salt"])
-    best = both.groupBy("face_id").agg(F.max(F.struct(clamped_dot(F.col("vector"), F.col("v")).alias("s"), (-F.col("person_id")).alias("p"))).alias("b"))
-    return best.select("face_id", F.when(F.col("b.s") >= least, -F.col("b.p")).alias("person_id"), F.col("b.s").alias("similarity"))
-
-
 def mean_vectors(rows: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
     """The mean vector of each group, as an aggregate by component: groups of any size are combined before the shuffle."""
     parts = rows.select(*keys, F.posexplode(vector).alias("at", "x")).groupBy(*keys, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def mean_states(rows: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
+    """``keys..., n, sums``: what the mean vector of each group is made of. States of parts are merged, kept and merged again."""
+    parts = rows.select(*keys, F.posexplode(vector).alias("at", "x")).groupBy(*keys, "at").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    return parts.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("sums"))
+
+
+def merged_states(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """States by key of both: as one pass over all rows had made them."""
+    keys = [c for c in stored.columns if c not in ("n", "sums")]
+    both = stored.unionByName(incoming)
+    sizes = both.groupBy(*keys).agg(F.sum("n").alias("n"))
+    parts = both.select(*keys, F.posexplode("sums").alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    sums = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("sums"))
+    return sizes.join(sums, keys).select(*stored.columns)
+
+
+def means_of(states: DataFrame) -> DataFrame:
+    """The mean vectors of states."""
+    return states.withColumn("vector", F.transform("sums", lambda x: x / F.col("n"))).drop("n", "sums")
+
+
 def coherence(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id") -> DataFrame:
     """``keys..., coherence, representative, diversity`` from cosines to the centroid and, by the sum of unit vectors, between all pairs."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -138,38 +138,44 @@ def diverse(rows: DataFrame, keys: Sequence[str], k: int, *, key: str = "media_i
     return chosen
 
 
-def sub_themes(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id", least: float = 0.7, least_size: int = 3, most: int = 5000) -> DataFrame:
+def sub_themes(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id", least: float = 0.6, least_size: int = 3) -> DataFrame:
     """``keys..., media_id, theme``: within a cluster the first item not yet placed begins a theme, and takes each later one whose mean cosine with its members reaches ``least``.
 
     Themes under ``least_size`` go; a cluster without any, and one too small for
-    two, is one theme (0). One task has one cluster, whose size is that of a
-    memory: more than ``most`` rows raise. The mean cosine with a theme is the
-    product with the sum of its unit vectors, so nothing is taken pair by pair.
+    two, is one theme (0). An item asks themes in the order in which they began, and
+    what it finds there depends on earlier items only; so one pass over a cluster's
+    sorted items places all of them. It keeps a sum of unit vectors for each theme,
+    with which the mean cosine is a product, and no items: clusters have any size.
     """
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, key])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most:
-            raise ValueError(f"a cluster of more than {most} rows: split it first")
-        part = part.sort_values(key, ignore_index=True)
-        theme = np.zeros(len(part), int)
-        if len(part) >= 2 * least_size:
-            x, theme[:] = _unit(_matrix(part["vector"])), -1
-            for i in range(len(part)):
-                if theme[i] < 0:
-                    theme[i], total, n = i, x[i].copy(), 1
-                    for j in range(i + 1, len(part)):
-                        if theme[j] < 0 and x[j] @ total / n >= least:
-                            theme[j], total, n = i, total + x[j], n + 1
-            sizes = np.bincount(theme, minlength=len(part))
-            if (sizes >= least_size).any():
-                keep = sizes[theme] >= least_size
-                part, theme = part[keep], theme[keep]
-            else:
-                theme[:] = 0
-        return part[[*keys, key]].assign(theme=np.unique(theme, return_inverse=True)[1] if len(part) else theme)
-
-    return rows.select(*keys, key, "vector").groupBy(*keys).applyInPandas(run, f"{kinds}, theme int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums, sizes = None, np.zeros((0, 0)), np.zeros(0)
+        for rows in batches:
+            x, place = _unit(_matrix(rows["vector"])) if len(rows) else np.zeros((0, 0)), np.zeros(len(rows), int)
+            for i, own in enumerate(zip(*(rows[c] for c in keys))):
+                if own != now:
+                    now, sums, sizes, used = own, np.zeros((16, x.shape[1])), np.ones(16), 0
+                fits = np.flatnonzero(sums[:used] @ x[i] / sizes[:used] >= least)
+                if len(fits):
+                    place[i] = fits[0]
+                else:
+                    if used == len(sums):
+                        sums, sizes = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([sizes, np.ones_like(sizes)])
+                    place[i], sizes[used], used = used, 0, used + 1
+                sums[place[i]] += x[i]
+                sizes[place[i]] += 1
+            yield rows[[*keys, key]].assign(place=place)
+
+    keys = list(keys)
+    dealt = rows.select(*keys, key, "vector").repartition(*keys).sortWithinPartitions(*keys, key)
+    placed = settle(dealt.mapInPandas(run, f"{kinds}, place int"))
+    sized = placed.groupBy(*keys, "place").agg(F.count("*").alias("n"))
+    total, large = F.sum("n").over(Window.partitionBy(*keys)), (F.col("n") >= least_size)
+    several = (total >= 2 * least_size) & (F.max(large).over(Window.partitionBy(*keys)))
+    numbered = sized.withColumn("several", several).where(~F.col("several") | large)
+    theme = F.when(F.col("several"), F.row_number().over(Window.partitionBy(*keys).orderBy("place")) - 1).otherwise(0)
+    return placed.join(numbered.select(*keys, "place", theme.cast("int").alias("theme")), [*keys, "place"]).select(*keys, key, "theme")
 
 
 def kept_boxes(boxes: DataFrame, keys: Sequence[str], *, over: float = 0.45, least: float = 0.25, most: int | None = None, key: str = "box_id") -> DataFrame:

@@ -10,8 +10,14 @@ from lumentrail.operators.lineage import settle
 
 
 def exact_groups(df: DataFrame, content: str = "content_hash", key: str = "media_id") -> DataFrame:
-    """``hash, members`` (sorted), ``n`` of hashes that several items share."""
-    return df.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("hash")).agg(F.array_sort(F.collect_list(key)).alias("members"), F.count("*").alias("n")).where("n > 1")
+    """``hash, first`` (smallest id), ``n`` of hashes that several items share; counts alone, whatever a group's size."""
+    return df.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("hash")).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+
+
+def exact_members(df: DataFrame, content: str = "content_hash", key: str = "media_id") -> DataFrame:
+    """``hash, member``: a row for each item of the groups of :func:`exact_groups`."""
+    rows = df.where(F.col(content).isNotNull()).select(F.col(content).alias("hash"), F.col(key).alias("member"))
+    return rows.join(exact_groups(df, content, key).select("hash"), "hash", "left_semi")
 
 
 def hamming_pairs(df: DataFrame, *, key: str = "media_id", within: int = 8) -> DataFrame:

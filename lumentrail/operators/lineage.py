@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -14,10 +15,21 @@ def settle(df: DataFrame) -> DataFrame:
     A session of one machine that names none gets a folder of its own; on a
     cluster, where executors can't read each other's disks, that is an error.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, set if it was not."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumentrail-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path under the shared folder, for a table that a job writes and reads again."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

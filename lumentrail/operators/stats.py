@@ -103,9 +103,52 @@ def keep_top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+def best_share_mean(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.7, *, bins: int = 1024) -> DataFrame:
+    """``keys..., mean``: of the largest ``share`` (rounded up) of each group's values, for groups of any size.
+
+    Values are counted, then counts are added up in bins of equal width. The bins
+    above the cut count whole; only the values of the bin that it goes through are
+    sorted, and of equal ones there is one row. Null values don't count.
+    """
+    keys = list(keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    reach = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("all"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    binned = counted.join(reach, keys).withColumn("bin", at).withColumn("take", F.ceil(F.col("all") * share))
+    by_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), F.first("take").alias("take"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = by_bin.withColumn("above", above).withColumn("left", F.col("take") - F.col("above")).where("left > 0")
+    whole = cut.where("n <= left").select(*keys, "total", "n")
+    open_ = binned.join(cut.where("n > left").select(*keys, "bin", "left"), [*keys, "bin"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = open_.withColumn("n", F.greatest(F.lit(0), F.least("n", F.col("left") - before))).select(*keys, (F.col("v") * F.col("n")).alias("total"), "n")
+    return whole.unionByName(part).groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("mean"))
+
+
+#: Each sketch has 2^SKETCH registers: a standard error of about 0.8 %.
+SKETCH = 14
+
+
+def daily_sketches(df: DataFrame, day: Column, distinct: Sequence[str]) -> DataFrame:
+    """``day, n`` and a sketch of the distinct values of each column: a state that is kept, and merged with that of later rows."""
+    return df.groupBy(day.alias("day")).agg(F.count("*").alias("n"), *(F.hll_sketch_agg(c, SKETCH).alias(c) for c in distinct))
+
+
+def merged_sketches(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """States by day of both, as one pass over all rows had made them."""
+    columns = [c for c in stored.columns if c not in ("day", "n")]
+    return stored.unionByName(incoming).groupBy("day").agg(F.sum("n").alias("n"), *(F.hll_union_agg(c).alias(c) for c in columns))
+
+
+def sketched_counts(states: DataFrame) -> DataFrame:
+    """One row: ``n`` exactly, and the distinct values over all days within the sketches' error."""
+    columns = [c for c in states.columns if c not in ("day", "n")]
+    return states.agg(F.sum("n").alias("n"), *(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns))
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: str, key: str = "media_id") -> DataFrame:
+    """The newest row of each key; of equally new ones that of the smallest ``key``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), key)
     return df.withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
 
 

@@ -119,14 +119,14 @@ def merged_trips(trips_: DataFrame, *, owner: Sequence[str] = ("owner",), days:
     return rows.groupBy(*owner, "trip").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
-def band_pairs(df: DataFrame, *, time: str = "start", key: str = "event", within_hours: int = 25) -> DataFrame:
-    """Pairs of rows less than ``within_hours`` apart, each once: an equi-join on time buckets, not a cross join."""
+def band_pairs(df: DataFrame, *, time: str = "start", key: str = "event", within_hours: int = 25, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows (of the same ``by``, say an owner) less than ``within_hours`` apart, each once: an equi-join on time buckets, not a cross join."""
     width = within_hours * HOUR
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
-    left = df.select(F.col(key).alias("a"), micros.alias("ta"), F.explode(F.array(*[F.floor(micros / width) + d for d in (0, 1)])).alias("bucket"))
-    right = df.select(F.col(key).alias("b"), micros.alias("tb"), F.floor(micros / width).alias("bucket"))
+    left = df.select(*by, F.col(key).alias("a"), micros.alias("ta"), F.explode(F.array(*[F.floor(micros / width) + d for d in (0, 1)])).alias("bucket"))
+    right = df.select(*by, F.col(key).alias("b"), micros.alias("tb"), F.floor(micros / width).alias("bucket"))
     ordered = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
-    return left.join(right, "bucket").where(ordered & (F.col("tb") - F.col("ta") < width)).select("a", "b", (F.col("tb") - F.col("ta")).alias("micros"))
+    return left.join(right, [*by, "bucket"]).where(ordered & (F.col("tb") - F.col("ta") < width)).select(*by, "a", "b", (F.col("tb") - F.col("ta")).alias("micros"))
 
 
 def rate_limited(df: DataFrame, *, owner: Sequence[str] = ("owner",), time: str = "ts", seconds: int = 60, most: int = 3) -> DataFrame:

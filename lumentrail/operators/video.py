@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lumentrail.functions.time import clock
 from lumentrail.functions.vector import cosine_distance
+from lumentrail.operators.asof import asof, max_before
 
 
 def fixed_segments(videos: DataFrame) -> DataFrame:
@@ -85,22 +86,42 @@ def merged_scenes(scenes_: DataFrame, *, least_ms: int = 3000) -> DataFrame:
 
 
 def in_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each frame with the first segment that holds its time (start included, end not)."""
-    inside = frames.join(segments, "video_id").where("ts_ms >= start_ms and ts_ms < end_ms")
-    return inside.groupBy("video_id", "ts_ms").agg(F.min(F.struct("start_ms", "end_ms")).alias("s")).select("video_id", "ts_ms", "s.start_ms", "s.end_ms")
+    """Each frame with the first segment that holds its time (start included, end not).
+
+    By start and end, only a segment that ends later than all before it can be the
+    first to hold a time; the ends of those ascend with their starts, so the one to
+    ask is the first that ends after the frame.
+    """
+    later = max_before(segments.select("video_id", "start_ms", "end_ms"), ["video_id"], "start_ms", "end_ms")
+    records = later.where("start_ms < end_ms and (before is null or end_ms > before)").drop("before")
+    met = asof(frames.select("video_id", "ts_ms").distinct(), records, ["video_id"], "ts_ms", "end_ms", forward=True, equal=False)
+    return met.where("s.start_ms <= ts_ms").select("video_id", "ts_ms", "s.start_ms", "s.end_ms")
 
 
 def nearest_segment(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each frame with the segment whose start is nearest, ties to the earlier."""
-    both = frames.join(segments, "video_id")
-    best = F.min(F.struct(F.abs(F.col("start_ms") - F.col("ts_ms")).alias("off"), "start_ms", "end_ms"))
-    return both.groupBy("video_id", "ts_ms").agg(best.alias("s")).select("video_id", "ts_ms", "s.start_ms", "s.end_ms", "s.off")
+    """Each frame with the segment whose start is nearest, ties to the earlier: the last that starts up to it, or the first after it."""
+    first = segments.groupBy("video_id", "start_ms").agg(F.min("end_ms").alias("end_ms"))
+    both = asof(frames.select("video_id", "ts_ms").distinct(), first, ["video_id"], "ts_ms", "start_ms").withColumnRenamed("s", "before")
+    both = asof(both, first, ["video_id"], "ts_ms", "start_ms", forward=True, equal=False).withColumnRenamed("s", "after")
+    off = lambda c: F.abs(F.col(f"{c}.start_ms") - F.col("ts_ms"))
+    best = F.when(F.col("after").isNull() | (off("before") <= off("after")), F.col("before")).otherwise(F.col("after"))
+    found = both.withColumn("s", best).where("s is not null")
+    return found.select("video_id", "ts_ms", "s.start_ms", "s.end_ms", off("s").alias("off"))
+
 
+def overlaps(scenes_: DataFrame, segments: DataFrame, *, span_ms: int = 60_000) -> DataFrame:
+    """Pairs of scenes and segments of a video that meet; segments keep their columns, bounds as seg_start and seg_end.
+
+    Both lie in the stretches of ``span_ms`` that they touch and meet there; a pair
+    counts in the stretch where the later of the two begins.
+    """
+    def dealt(df: DataFrame, start: str, end: str) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / span_ms)
+        return df.withColumn("__span", F.explode(F.sequence(at(start), F.greatest(at(start), at(end)))))
 
-def overlaps(scenes_: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs of scenes and segments of a video that meet; segments keep their columns, bounds as seg_start and seg_end."""
     other = segments.withColumnsRenamed({"start_ms": "seg_start", "end_ms": "seg_end"})
-    return scenes_.join(other, "video_id").where("seg_start < end_ms and seg_end > start_ms")
+    met = dealt(scenes_, "start_ms", "end_ms").join(dealt(other, "seg_start", "seg_end"), ["video_id", "__span"])
+    return met.where("seg_start < end_ms and seg_end > start_ms").where(F.col("__span") == F.floor(F.greatest("start_ms", "seg_start") / span_ms)).drop("__span")
 
 
 def searched(segments: DataFrame, *, text: str | None = None, label: str | None = None, person: str | None = None, obj: str | None = None, between: tuple[int, int] | None = None) -> DataFrame:

@@ -50,8 +50,9 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", late: str
 def job_states(stream: DataFrame, *, retries: int = 3) -> DataFrame:
     """``job_id, status, tries, wait_s`` from job events (``job_id, event, at``), by a state machine per job.
 
-    A failure leads to a retry after 2 s per try (within 1 and 30), the last one
-    and a cancellation are final; what comes after a final state is ignored.
+    A failure leads to a retry after 2 s per try (within 1 and 30), the third one
+    and a cancellation are final; what comes after a final state is ignored. Nothing
+    waits here: ``jobs.timed_jobs`` has the waits and timeouts as timers.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,7 +63,7 @@ def job_states(stream: DataFrame, *, retries: int = 3) -> DataFrame:
                 break
             if event == "fail":
                 tries += 1
-                status = "failed" if tries > retries else "pending"
+                status = "failed" if tries >= retries else "pending"
             elif event in ("start", "complete", "cancel"):
                 status = {"start": "running", "complete": "completed", "cancel": "cancelled"}[event]
         state.update((status, tries))

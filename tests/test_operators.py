@@ -290,14 +290,6 @@ def test_sub_themes(spark):
     assert parts == {("x", 0): {0, 2, 4, 6}, ("x", 1): {1, 3, 5, 7}, ("y", 0): {0, 1, 2, 3}, ("z", 0): set(range(6))}
 
 
-def test_assigned_in_blocks(spark):
-    rng = np.random.default_rng(1)
-    unit = lambda v: [float(x) for x in v / np.linalg.norm(v)]
-    new = spark.createDataFrame([(i, unit(rng.standard_normal(4))) for i in range(40)], "face_id long, vector array<double>")
-    known = spark.createDataFrame([(i, unit(rng.standard_normal(4))) for i in range(25)], "person_id long, vector array<double>")
-    assert sorted(map(tuple, clusters.assigned(new, known).collect())) == sorted(map(tuple, clusters.assigned(new, known, block=4).collect()))
-
-
 def test_feedback(spark):
     media = spark.createDataFrame([(1,), (2,), (3,)], "media_id long")
     marks = spark.createDataFrame([(1, " Red  CAR ", False), (2, "red car", True), (3, "car", False)], "media_id long, query string, liked boolean")
