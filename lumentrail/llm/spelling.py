@@ -24,7 +24,7 @@ from lumentrail.llm.common import hashed, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a block beyond which it is subdivided.
-BLOCK = 48
+BLOCK = 128
 
 
 def noisy(run: Column, id_column: Column, rate: int) -> Column:
