@@ -46,7 +46,7 @@ from lumentrail.llm.common import settle
 ID = np.dtype("<u2")
 #: The tokenizer's word rule for texts of these characters, where Python's classes agree with Unicode's letters and numbers.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¿-ÖØ-öø-ſ‐-‧]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ſ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ſ]+|\s+(?!\S)|\s+")
+_PIECES = re.compile(r" ?[A-Za-zÀ-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9À-ſ]+|\s+(?!\S)|\s+")
 #: A run of Unicode's white space that is too long for the library's own word rule, which recurses over it.
 _LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
@@ -92,12 +92,24 @@ class Encoder(dict):
         return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
 
 
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def kept_encoder(ranks: bytes, pattern: str) -> Encoder:
+    """The encoder of a vocabulary, with what it remembers: a worker's tasks share it."""
+    key = (zlib.crc32(ranks), len(ranks), pattern)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(ranks, pattern)
+    return _KEPT[key]
+
+
 def _tokenised(ranks, pattern: str, end_id: int, size: int):
     """Documents' ids, and at a partition's end one row that counts the documents of each id (then of all, then all tokens)."""
     end = np.array([end_id], ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = kept_encoder(ranks.value, pattern)
         held, id_type = np.zeros(size + 2, np.int64), None
         for batch in batches:
             id_type = batch.column(0).type
