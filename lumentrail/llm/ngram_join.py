@@ -4,7 +4,9 @@ Two sets whose similarity reaches the threshold share a token among the first
 ``n - ceil(t * n) + 1`` of each, under *any* total order of tokens. Three orders
 are used here. All put frequent tokens last, as far as a count sketch of bounded
 size tells them from the rest (it never counts too low, and an order needs no
-exact counts); they differ in the hash that ranks tokens of one level. Candidates
+exact counts; where the corpus is too large for it, tokens of long lists are counted
+one by one and prefixes taken again); they differ in the hash that ranks tokens of
+one level. Candidates
 share a token of their prefixes under the first order; before a pair is verified
 its sizes must fit and its prefixes must share enough tokens under each of the
 three. Enough is what a pair of those sizes must share in prefixes of that length,
@@ -65,6 +67,8 @@ BROADCAST_IDS = 4_000_000
 LIGHT = 64
 #: Families of longer lists with up to so many shingles (8 bytes each, some ten times that in use) are searched by one task each.
 FAMILY_TOKENS = 4_000_000
+#: Shingles a cell of the sketch, on average, beyond which it can't tell frequent tokens from rare ones.
+SATURATED = 1_024
 #: Total orders of tokens that prefixes are taken under.
 ORDERS = 3
 
@@ -170,6 +174,24 @@ def _levels(prints: DataFrame) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / light))).astype(np.uint8)
 
 
+def _flags(table: pa.Table) -> pa.Table:
+    """A piece of the levels of tokens by how long their lists are: the highest of a cell's."""
+    own = np.zeros((1 << SKETCH_BITS) // PIECES, np.uint8)
+    own[table.column("cell").to_numpy() % len(own)] = np.ceil(np.log2(np.maximum(1, table.column("n").to_numpy() / LIGHT)))
+    return pa.table({"piece": table.column("piece")[:1], "levels": pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())})
+
+
+def _counted_levels(found: DataFrame) -> np.ndarray:
+    """Levels of cells by the tokens that came to lists longer than ``LIGHT``, which are counted one by one: rare tokens share no cell's count with others."""
+    sizes = found.where("token is not null").select("token", "cls").distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT)
+    cells = sizes.groupBy(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("cell")).agg(F.max("n").alias("n"))
+    pieces = cells.withColumn("piece", F.floor(F.col("cell") / ((1 << SKETCH_BITS) // PIECES)).cast("int"))
+    levels = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.uint8)
+    for row in pieces.groupBy("piece").applyInArrow(_flags, "piece int, levels binary").collect():  # PIECES rows
+        levels[row["piece"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+    return levels.reshape(-1)
+
+
 def short_prefixes(own: np.ndarray, first: np.ndarray, height: np.ndarray) -> bytes:
     """The prefixes of a set under all orders (of the first: ``first``) as sorted 16-bit hashes. ``height``: the levels of its tokens."""
     prefixes = [finished(first)]
@@ -399,15 +421,24 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return links
 
 
-def _by_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of lists once for each token of their prefix under the second order."""
-    for batch in batches:
-        prefixes = [np.frombuffer(s, np.uint16).reshape(ORDERS, -1)[1] for s in batch.column("short").to_pylist()]
-        for at in range(0, len(prefixes), 1000):
-            part = prefixes[at : at + 1000]
-            take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(p) for p in part]))
-            rows = batch.drop_columns(["short"]).take(take)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(part).astype(np.int64))], [*rows.schema.names, "second"])
+def _by_second(levels: bytes, percent: int):
+    """Classes once for each token of their prefix under the second order, in full: hashes of 16 bits would meet by chance in sets of thousands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(zlib.decompress(levels), np.uint8)
+        for batch in batches:
+            for c, tokens in zip(batch.column("cls").to_pylist(), batch.column("tokens").to_pylist()):
+                own = np.frombuffer(tokens, np.uint64)
+                second = second_prefix(own, level[_cells(own)], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(second), c)), pa.array(second.view(np.int64))], ["cls", "second"])
+
+    return run
+
+
+def second_prefix(own: np.ndarray, height: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set under the second order, as 64-bit hashes."""
+    mixed, n = finished(own ^ _MIX[1]), prefix_length(len(own), percent)
+    return mixed[np.lexsort((mixed, height))[:n]]
 
 
 def _family_links(percent: int):
@@ -446,13 +477,20 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rows = rows.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("other")).otherwise(F.col("cls")))
         firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
     rows = rows.drop("other")
-    levels = zlib.compress(_levels(prints).tobytes(), 1)
+    height = _levels(prints)
+    levels = zlib.compress(height.tobytes(), 1)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // 500_000 + 1)
 
-    emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width, clashing), "bucket int, packed binary, token long, cls long, n long, pos long, short binary")
-    # One shuffle takes all kinds: packed light tokens go by bucket, the others are spread by class.
-    dealt = emitted.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("token", "cls")))
-    found = settle(dealt.select("packed", "token", "cls", "n", "pos", "short").mapInArrow(_lists, "list binary, members array<long>, ns array<long>, token long, cls long, n long, pos long, short binary"))
+    def lists(levels: bytes) -> DataFrame:
+        emitted = texts.select("text").mapInArrow(_prefixes(levels, buckets, percent, width, clashing), "bucket int, packed binary, token long, cls long, n long, pos long, short binary")
+        # One shuffle takes all kinds: packed light tokens go by bucket, the others are spread by class.
+        dealt = emitted.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("token", "cls")))
+        return settle(dealt.select("packed", "token", "cls", "n", "pos", "short").mapInArrow(_lists, "list binary, members array<long>, ns array<long>, token long, cls long, n long, pos long, short binary"))
+
+    found = lists(levels)
+    if total > SATURATED << SKETCH_BITS:  # order again, by tokens that were counted exactly
+        levels = zlib.compress(np.maximum(height, _counted_levels(found)).tobytes(), 1)
+        found = lists(levels)
     light = found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"])
     shorts = found.where("short is not null").select("cls", "n", "short")
     heavy = found.where("token is not null").select("token", "cls", "n", "pos").distinct()
@@ -573,8 +611,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 hubs = settle(hubs.unionAll(best))
                 more = starred(members, best)
             else:
-                dealt = members.join(shorts.select("cls", "short"), "cls").select("token", "cls", "n", "pos", "comp", "short")
-                dealt = settle(dealt.mapInArrow(_by_second, "token long, cls long, n long, pos long, comp long, second long"))
+                sets = sets_of(members.select("cls").distinct()).join(members.select("cls").distinct(), "cls", "left_semi")
+                seconds = sets.mapInArrow(_by_second(levels, percent), "cls long, second long")
+                dealt = settle(members.join(seconds, "cls").select("token", "cls", "n", "pos", "comp", "second"))
                 other = dealt.select("token", "second", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
                 reach = fit(F.col("n"), F.col("n2")) & in_reach(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
                 more = dealt.join(other, ["token", "second"]).where("cls < cls2 and comp <> comp2").where(reach).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))

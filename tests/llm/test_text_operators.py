@@ -166,6 +166,50 @@ def test_lists_beyond_the_light_limit(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
 
 
+def test_ngram_join_orders_again_by_exact_counts(spark, monkeypatch):
+    """A sketch that is full tells nothing: tokens of long lists are counted, and go last in the second prefixes."""
+    texts = near_copies(seed=3, groups=3, size=12)
+    seen, counted = [], ngram_join._counted_levels
+    monkeypatch.setattr(ngram_join, "_levels", lambda prints: np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    monkeypatch.setattr(ngram_join, "_counted_levels", lambda found: seen.append(counted(found)) or seen[-1])
+    for light, family in ((4, 4_000_000), (4, 0)):
+        monkeypatch.setattr(ngram_join, "LIGHT", light)
+        monkeypatch.setattr(ngram_join, "FAMILY_TOKENS", family)
+        monkeypatch.setattr(ngram_join, "SATURATED", -1)
+        got = ngram_join.ngram_join(frame(spark, texts))
+        assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
+    # Every token that more than LIGHT texts have in their prefixes (here: by hash alone) has a level, by how many they are.
+    sets = {s.tobytes(): s for t in texts if len(s := ngram_join.shingle_set(t, ngram_join.WordHashes()))}
+    firsts = collections.Counter(int(x) for s in sets.values() for x in s[: ngram_join.prefix_length(len(s), 80)])
+    for token, n in firsts.items():
+        level = seen[0][token >> 64 - ngram_join.SKETCH_BITS]
+        assert level >= (np.ceil(np.log2(n / 4)) if n > 4 else 0)
+    assert seen[0].any()
+
+
+def test_prefixes_of_long_unrelated_texts_do_not_meet():
+    """In full, prefixes under the second order of sets of thousands share nothing by chance, as 16-bit hashes would."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, 5_000).astype(np.uint64)) for _ in range(40)]
+    seconds = [ngram_join.second_prefix(s, np.zeros(len(s), np.uint8), 80) for s in sets]
+    assert all(len(x) == 1_001 or len(x) == ngram_join.prefix_length(len(s), 80) for x, s in zip(seconds, sets))
+    assert sum(len(np.intersect1d(seconds[i], seconds[j])) for i in range(40) for j in range(i)) == 0
+    near = np.unique(np.concatenate([sets[0][200:], rng.integers(0, 2**63, 200).astype(np.uint64)]))
+    assert len(np.intersect1d(seconds[0], ngram_join.second_prefix(near, np.zeros(len(near), np.uint8), 80))) > 100
+
+
+def test_ngram_join_of_long_texts(spark, monkeypatch):
+    """Texts of thousands of shingles with one shared heavy passage, through every step of large families."""
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"p{i}" for i in range(9))
+    texts = [f"{' '.join(f'v{x}' for x in rng.integers(0, 10**9, 2_500))} {passage}" for _ in range(12)]
+    texts += [t.replace(" p3 ", " q3 ") for t in texts[:3]] + [texts[0] + " tail"]
+    monkeypatch.setattr(ngram_join, "FAMILY_TOKENS", 0)
+    monkeypatch.setattr(ngram_join, "_levels", lambda prints: np.ones(1 << ngram_join.SKETCH_BITS, np.uint8))
+    got = ngram_join.ngram_join(frame(spark, texts))
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(list(enumerate(texts)))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(frame(spark, ["a"]).limit(0)).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [None])).collect()] == [(0, 0, 0)]
