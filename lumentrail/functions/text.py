@@ -43,7 +43,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def split_list(joined: Column) -> Column:
     """A comma-joined list as an array, without empty entries."""
-    return F.filter(F.transform(F.split(joined, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(joined, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def byte_size(n: Column) -> Column:

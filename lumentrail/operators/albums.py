@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumentrail.functions.text import split_list
 from lumentrail.functions.time import season, whole_days
 from lumentrail.operators.clusters import mean_cosine
+from lumentrail.operators.lineage import settle
 from lumentrail.operators.stats import best_mean
 
 
@@ -86,6 +88,49 @@ def titled(memories: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("title", title).withColumn("subtitle", F.when(F.col("n") > 10, F.concat(F.col("n").cast("string"), F.lit(" photos"))))
 
 
+def completed(memories: DataFrame, members: DataFrame, now: Column) -> DataFrame:
+    """Memories (memory_id, n, start, end, score, people, place) with theme, title, subtitle, ``cover`` and ``persons``.
+
+    ``members``: memory_id, media_id, cover_score, person_id. The cover is the item of
+    the best score, ties to the smaller id; people are those of any item, each once.
+    """
+    by = members.groupBy("memory_id").agg(F.max_by("media_id", F.struct("cover_score", -F.col("media_id"))).alias("cover"))
+    seen = members.where("person_id is not null").select("memory_id", "person_id").distinct()
+    people = seen.groupBy("memory_id").agg(F.array_sort(F.collect_list("person_id")).alias("persons"))
+    return titled(memories, now).join(by, "memory_id", "left").join(people, "memory_id", "left").withColumn("persons", F.coalesce("persons", F.array().cast(people.schema["persons"].dataType)))
+
+
+def album_title(category: Column, name: Column, trip: Column) -> Column:
+    """What an album of :func:`albums` is called; a trip as its memory (``trip``)."""
+    month = F.date_format(F.try_to_timestamp(F.concat(name, F.lit("-01")), F.lit("yyyy-MM-dd")), "MMMM yyyy")
+    return (
+        F.when(category == "best_of_year", F.concat(F.lit("Best of "), name)).when(category == "month", F.concat(month, F.lit(" Highlights")))
+        .when(category == "trip", trip).when(category == "person", F.concat(F.lit("Photos with "), name)).otherwise(name)
+    )
+
+
+def captions(media: DataFrame, tags: DataFrame, faces: DataFrame) -> DataFrame:
+    """``media_id, caption``: scenes and activities, sure labels, people, camera and place, whatever is known of each.
+
+    ``media``: scenes, activities (comma-joined), is_screenshot, is_document, camera,
+    aperture, iso, lat, lng. Labels are in their order as words.
+    """
+    sure = tags.where(F.col("confidence") > 0.5).select("media_id", "label").distinct().groupBy("media_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels"))
+    seen = faces.groupBy("media_id").agg(F.count("*").alias("faces"), F.count("person_id").alias("persons"))
+    listed = lambda c, name: F.when(F.size(split_list(F.col(c))) > 0, F.concat(F.lit(f"{name}: "), F.array_join(split_list(F.col(c)), ", "), F.lit(".")))
+    persons = F.when(F.col("persons") == 1, "1 person detected.").when(F.col("persons") > 1, F.concat(F.col("persons").cast("string"), F.lit(" people detected."))).when(F.col("faces") > 1, F.concat(F.col("faces").cast("string"), F.lit(" faces detected.")))
+    details = F.concat_ws(", ", F.concat(F.lit("at f/"), F.col("aperture").cast("string")), F.concat(F.lit("ISO "), F.col("iso").cast("string")))
+    camera = F.when(F.col("camera") != "", F.concat(F.concat_ws(" ", F.concat(F.lit("Taken with "), F.col("camera")), F.when(details != "", details)), F.lit(".")))
+    place = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.format_string("Location: %.4f, %.4f.", "lat", "lng"))
+    parts = [
+        listed("scenes", "Scene"), listed("activities", "Activity"), F.when(F.col("is_screenshot"), "Screenshot."), F.when(F.col("is_document"), "Document."),
+        F.when(F.col("labels").isNotNull(), F.concat(F.lit("Contains: "), F.col("labels"), F.lit("."))), persons, camera, place,
+    ]
+    text = F.concat_ws(" ", *parts)
+    rows = media.join(sure, "media_id", "left").join(seen, "media_id", "left")
+    return rows.select("media_id", F.when(text != "", text).otherwise(F.concat(F.lit("Photo "), F.col("media_id").cast("string"))).alias("caption"))
+
+
 def unseen(candidates: DataFrame, members: DataFrame, *, most_shared: float = 0.7) -> DataFrame:
     """Candidates (``id, score``) most of whose members (``id, media_id``) belong to no better one."""
     ranked = candidates.select("id", F.struct(-F.col("score"), F.col("id")).alias("order"))
@@ -98,13 +143,14 @@ def unseen(candidates: DataFrame, members: DataFrame, *, most_shared: float = 0.
 def albums(memories: DataFrame, members: DataFrame, people: DataFrame, now: Column, *, most: int = 100) -> DataFrame:
     """Albums from memories: ``category, name, n, score, start, cover``.
 
-    ``memories``: memory_id, start, score, theme; ``members``: memory_id, position,
-    media_id; ``people``: memory_id, person_id. Best of each year but this one (10
+    ``memories``: memory_id, start, score, theme, and maybe ``active`` (those that are
+    not make no albums); ``members``: memory_id, position, media_id; ``people``: memory_id, person_id. Best of each year but this one (10
     items), months but this one (5) and seasons (15) take at most ``most`` items,
     memories by falling score (seasons: in their order); trips (5) and people (10
     different items) take all.
     """
-    rows = memories.join(members, "memory_id")
+    known = memories.where("active") if "active" in memories.columns else memories
+    rows = settle(known.join(members, "memory_id"))  # every kind of album reads it
     year, month = F.year("start"), F.date_format("start", "yyyy-MM")
     best, in_order = [F.desc("score"), F.col("memory_id"), F.col("position")], [F.col("memory_id"), F.col("position")]
     kinds: list[tuple[str, DataFrame, Column, Sequence[Column], int]] = [

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.functions.vector import clamped_dot, cosine, l2_normalized
+from lumentrail.functions.vector import cosine
 from lumentrail.operators.lineage import settle
 
 
@@ -27,44 +27,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key: str = "face_id", least: float = 0.6, least_size: int = 2, chunk: int = 2000) -> DataFrame:
-    """``block..., face_id, leader``: the first face not yet placed leads, and takes every other one at least that similar. Small clusters go.
-
-    A face depends on earlier ones only, so a block goes ``chunk`` faces at a time:
-    the first of those left are placed by one task, then all later ones that a new
-    leader takes, wherever they lie. A block of any size comes to the same clusters.
-    """
-    kinds = ", ".join(f"{c} {faces.schema[c].dataType.simpleString()}" for c in [*block, key])
-    ids = [*block, key]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        x = _unit(_matrix(rows["vector"]))
-        leader = np.full(len(rows), -1)
-        for i in range(len(rows)):
-            if leader[i] < 0:
-                free = np.flatnonzero(leader < 0)
-                near = free[x[free] @ x[i] >= least]
-                leader[np.union1d(near, [i])] = i
-        return rows[ids].assign(leader=rows[key].to_numpy()[leader])
-
-    rest, placed = settle(faces.select(*ids, "vector")), None
-    while rest.limit(1).count():
-        first = rest.withColumn("__at", F.row_number().over(Window.partitionBy(*block).orderBy(key))).where(F.col("__at") <= chunk).drop("__at")
-        done = settle(first.groupBy(*block).applyInPandas(run, f"{kinds}, leader {faces.schema[key].dataType.simpleString()}"))
-        later = rest.join(done.select(*ids), ids, "left_anti")
-        leaders = rest.join(done.where(F.col(key) == F.col("leader")).select(*ids), ids, "left_semi").select(*block, F.col(key).alias("leader"), l2_normalized(F.col("vector")).alias("__v"))
-        met = later.withColumn("__u", l2_normalized(F.col("vector"))).join(leaders, list(block)).where(clamped_dot(F.col("__u"), F.col("__v")) >= least)
-        taken = settle(met.groupBy(*ids).agg(F.min("leader").alias("leader")))
-        done = done.unionByName(taken)
-        placed = done if placed is None else placed.unionByName(done)
-        rest = settle(later.join(taken.select(*ids), ids, "left_anti"))
-    if placed is None:
-        return faces.select(*ids, F.col(key).alias("leader")).limit(0)
-    large = placed.groupBy(*block, "leader").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select(*block, "leader")
-    return placed.join(large, [*block, "leader"], "left_semi").select(*ids, "leader")
-
-
 def mean_vectors(rows: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
     """The mean vector of each group, as an aggregate by component: groups of any size are combined before the shuffle."""
     parts = rows.select(*keys, F.posexplode(vector).alias("at", "x")).groupBy(*keys, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -179,22 +141,48 @@ def sub_themes(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id", l
 
 
 def kept_boxes(boxes: DataFrame, keys: Sequence[str], *, over: float = 0.45, least: float = 0.25, most: int | None = None, key: str = "box_id") -> DataFrame:
-    """Non-maximum suppression: boxes by falling confidence, less those that cover a kept one by more than ``over``. Columns: keys, box_id, confidence, left, top, width, height."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["confidence"] >= least].sort_values(["confidence", key], ascending=[False, True], ignore_index=True)
-        l, t = part["left"].to_numpy(), part["top"].to_numpy()
-        r, b = l + part["width"].to_numpy(), t + part["height"].to_numpy()
-        area, kept, free = (r - l) * (b - t), [], np.ones(len(part), bool)
-        for i in range(len(part)):
-            if free[i] and (most is None or len(kept) < most):
-                kept.append(i)
+    """Non-maximum suppression: boxes by falling confidence, less those that cover a kept one by more than ``over``. Columns: keys, box_id, confidence, left, top, width, height.
+
+    Items are sorted into tasks and gone through in runs, many to a batch.
+    """
+
+    def kept(l: np.ndarray, t: np.ndarray, r: np.ndarray, b: np.ndarray, area: np.ndarray) -> list[int]:
+        free, out = np.ones(len(l), bool), []
+        for i in range(len(l)):
+            if free[i] and (most is None or len(out) < most):
+                out.append(i)
                 w, h = np.minimum(r, r[i]) - np.maximum(l, l[i]), np.minimum(b, b[i]) - np.maximum(t, t[i])
                 both = np.clip(w, 0, None) * np.clip(h, 0, None)
                 free &= both <= over * (area + area[i] - both)
-        return part.loc[kept]
+        return out
+
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        own = rows[list(keys)]
+        return np.flatnonzero(np.concatenate([[True], (own.iloc[1:].to_numpy() != own.iloc[:-1].to_numpy()).any(axis=1)]))
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        l, t = rows["left"].to_numpy(), rows["top"].to_numpy()
+        r, b = l + rows["width"].to_numpy(), t + rows["height"].to_numpy()
+        area, stays = (r - l) * (b - t), []
+        first = starts(rows)
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(rows)]):
+            stays += [at] if to == at + 1 and most != 0 else [at + i for i in kept(l[at:to], t[at:to], r[at:to], b[at:to], area[at:to])]
+        return rows.iloc[stays]
 
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last item so far may go on
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if len(rows):
+                last = int(starts(rows)[-1])
+                held = rows.iloc[last:].reset_index(drop=True)
+                if last:
+                    yield done(rows.iloc[:last])
+        if held is not None:
+            yield done(held)
+
+    sure = boxes.where(F.col("confidence") >= least).repartition(*keys).sortWithinPartitions(*keys, F.desc("confidence"), key)
+    return sure.mapInPandas(run, boxes.schema)
 
 
 def best_regions(boxes: DataFrame, *, least: float = 0.5, least_area: float = 0.02, most: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""New faces go to the person of the most similar face before them, found through an index of cells.
+"""Faces and the faces before them, found through an index of cells: persons of new faces, and clusters around leaders.
 
 Faces come in the order of their ids. Each is compared with every face that has a
 person by then: the known ones, and new ones of smaller ids. From ``least`` on it
@@ -6,6 +6,11 @@ takes the person of the best; below, it founds a person. Which face is best does
 depend on persons, so all best faces are searched at once, and persons follow the
 chains of best faces to where they begin, twice as far in each round.
 
+Clusters are told by the same order: the first face not yet placed leads, and takes
+every later one that is similar enough. Whether a face leads depends on the smallest
+face before it that is similar and a leader, or not decided yet; so all faces ask for
+that one at once, those whose answer is final are decided, and the rest ask again.
+
 The index deals faces to cells around pivots and keeps each cell's radius. A query
 visits the cells that may hold a face within ``least``: the angle to the pivot less
 the radius is a bound, so nothing is missed. Cells are cut to parts, and queries of
@@ -14,10 +19,9 @@ a part to lots, of ``ROWS`` each: a task multiplies two blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,31 +86,41 @@ def _best(key, queries: pa.Table, faces: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
+def _dealt(queries: DataFrame, faces: DataFrame, place: list[str], rows: int, run, schema: str) -> DataFrame:
+    """``run`` over each place's queries and faces, in lots and parts of about ``rows``."""
+    asked = queries.groupBy(*place).agg(F.ceil(F.count("*") / rows).cast("int").alias("lots"))
+    held = faces.groupBy(*place).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    sizes = settle(asked.join(held, place))
+    q = queries.join(sizes, place).withColumn("lot", F.pmod(F.xxhash64("face_id"), F.col("lots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    f = faces.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("face_id", "order"), F.col("parts")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    key = [*place, "part", "lot"]
+    return q.drop("parts", "lots").groupBy(*key).cogroup(f.drop("parts", "lots").groupBy(*key)).applyInArrow(run, schema)
+
+
+class Cells:
+    """An index of ``faces`` (``face_id, vector, order`` and maybe more; vectors of one length): ``celled`` has each face's cell, ``visits`` a row for each cell where a face may find another within ``least``."""
+
+    def __init__(self, faces: DataFrame, least: float, pivots: int, asking: str):
+        n = faces.count()
+        sample = faces.select("vector").orderBy(F.xxhash64("face_id", "order")).limit(min(pivots, max(1, int(n**0.5)))).toArrow()
+        centres = _units(sample.column("vector").combine_chunks())
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in faces.schema) + ", cell int"
+        self.celled = settle(faces.mapInArrow(_celled(centres), f"{kind}, angle double"))
+        radius = np.full(len(centres), -10.0)  # no face, no visit
+        for r in self.celled.groupBy("cell").agg(F.max("angle").alias("radius")).collect():  # a row a pivot
+            radius[r["cell"]] = r["radius"] + ROOM
+        self.celled = self.celled.drop("angle")
+        self.visits = settle(faces.where(asking).mapInArrow(_visits(centres, radius, least), kind))
+
+
 def best_earlier(new: DataFrame, known: DataFrame, least: float, *, rows: int = ROWS, pivots: int = PIVOTS) -> DataFrame:
     """``face_id, similarity, order, other``: each new face's most similar face among the known (order 0) and the new of smaller id (order 1), where one reaches ``least``."""
     faces = known.select("face_id", "vector", F.lit(0).alias("order")).unionAll(new.select("face_id", "vector", F.lit(1).alias("order")))
     faces = settle(faces.where(_usable()).select("face_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "order", F.size("vector").alias("dims")))
     found = None
     for dims in sorted(r["dims"] for r in faces.select("dims").distinct().collect()):  # vectors of other models are never compared
-        own = faces.where(F.col("dims") == dims).drop("dims")
-        n = own.count()
-        sample = own.select("vector").orderBy(F.xxhash64("face_id", "order")).limit(min(pivots, max(1, int(n**0.5)))).toArrow()
-        centres = _units(sample.column("vector").combine_chunks())
-        kind = "face_id long, vector array<double>, order int, cell int"
-        celled = settle(own.mapInArrow(_celled(centres), f"{kind}, angle double"))
-        known_cells = celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row a pivot
-        radius, sizes = np.full(len(centres), -np.inf), {}
-        for r in known_cells:
-            radius[r["cell"]], sizes[r["cell"]] = r["radius"] + ROOM, r["n"]
-        radius[np.isinf(radius)] = -10.0  # no face, no visit
-        visits = settle(own.where("order = 1").mapInArrow(_visits(centres, radius, least), kind))
-        asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-        by_cell = own.sparkSession.createDataFrame([(c, -(-k // rows), -(-asked.get(c, 0) // rows)) for c, k in sizes.items()], "cell int, parts int, lots int")
-        dealt = F.broadcast(by_cell)  # a row a pivot
-        q = visits.join(dealt, "cell").withColumn("lot", F.pmod(F.xxhash64("face_id"), F.col("lots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        f = celled.join(dealt, "cell").where("lots > 0").withColumn("part", F.pmod(F.xxhash64("face_id", "order"), F.col("parts")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-        key = ["cell", "part", "lot"]
-        met = q.select(*key, "face_id", "vector").groupBy(*key).cogroup(f.select(*key, "face_id", "vector", "order").groupBy(*key)).applyInArrow(_best, "face_id long, similarity double, order int, other long")
+        cells = Cells(faces.where(F.col("dims") == dims).drop("dims"), least, pivots, "order = 1")
+        met = _dealt(cells.visits.drop("order"), cells.celled, ["cell"], rows, _best, "face_id long, similarity double, order int, other long")
         found = met if found is None else found.unionAll(met)
     if found is None:
         return new.select("face_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("order"), F.col("face_id").alias("other")).limit(0)
@@ -132,3 +146,58 @@ def assigned(new: DataFrame, known: DataFrame, *, least: float = 0.6, rows: int
         ahead = now.select(F.col("face_id").alias("up"), F.col("person_id").alias("p"), F.col("founder").alias("f"), F.col("up").alias("u"))
         now = settle(now.join(ahead, "up", "left").select("face_id", F.coalesce("person_id", "p").alias("person_id"), "similarity", F.coalesce("founder", "f").alias("founder"), F.col("u").alias("up")))
     return new.select("face_id").join(now.select("face_id", "person_id", "founder", "similarity"), "face_id", "left")
+
+
+def _first(block: list[str], least: float, schema: pa.Schema):
+    """Each query's first face before it, among those given, that is similar enough."""
+
+    def run(key, queries: pa.Table, faces: pa.Table) -> pa.Table:
+        if not queries.num_rows or not faces.num_rows:
+            return schema.empty_table()
+        order = np.argsort(faces.column("face_id").to_numpy())
+        ids, mine = faces.column("face_id").to_numpy()[order], queries.column("face_id").to_numpy()
+        near = _units(queries.column("vector").combine_chunks()) @ _units(faces.column("vector").combine_chunks())[order].T
+        fits = (np.round(near, 12) >= least) & (ids[None, :] < mine[:, None])
+        at, ok = fits.argmax(1), fits.any(1)
+        own = queries.filter(pa.array(ok))
+        return pa.table([*(own.column(c) for c in block), own.column("face_id"), pa.array(ids[at][ok])], schema=schema)
+
+    return run
+
+
+def leader_clusters(faces: DataFrame, *, block: Sequence[str] = ("block",), key: str = "face_id", least: float = 0.6, least_size: int = 2, rows: int = ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """``block..., face_id, leader``: the first face not yet placed leads, and takes every other one of its block at least that similar. Small clusters go.
+
+    Blocks have any size. The number of rounds grows as the longest chain of faces
+    that wait for each other, which in no particular order is a logarithm of their number.
+    A vector without a direction is like no other.
+    """
+    ids = [*block, "face_id"]
+    own = settle(faces.select(*block, F.col(key).alias("face_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit(0).alias("order"), _usable().alias("usable")))
+    state = own.select(*ids, F.when(F.coalesce(~F.col("usable"), F.lit(True)), F.col("face_id")).alias("leader"))
+    sized = own.where("usable").drop("usable").withColumn("dims", F.size("vector"))
+    schema = pa.schema([*((c, _arrow(faces, c)) for c in block), ("face_id", pa.int64()), ("other", pa.int64())])
+    told = ", ".join(f"{c} {faces.schema[c].dataType.simpleString()}" for c in block) + ", face_id long, other long"
+    parts = [Cells(sized.where(F.col("dims") == d).drop("dims"), least, pivots, "true") for d in sorted(r["dims"] for r in sized.select("dims").distinct().collect())]
+    state = settle(state)
+    while parts and state.where("leader is null").limit(1).count():
+        open_, leaders = state.where("leader is null").select(*ids), state.where("leader = face_id").select(*ids)
+        asked = None
+        for cells in parts:
+            q = cells.visits.drop("order").join(open_, ids, "left_semi")
+            f = cells.celled.join(open_.unionAll(leaders), ids, "left_semi")
+            met = _dealt(q, f, [*block, "cell"], rows, _first(list(block), least, schema), told)
+            asked = met if asked is None else asked.unionAll(met)
+        first = asked.groupBy(*ids).agg(F.min("other").alias("other"))
+        leads = leaders.select(*block, F.col("face_id").alias("other"), F.lit(True).alias("leads"))
+        now = state.join(first, ids, "left").join(leads, [*block, "other"], "left")
+        decided = F.when(F.col("other").isNull(), F.col("face_id")).when(F.col("leads"), F.col("other"))
+        state = settle(now.select(*ids, F.coalesce("leader", decided).alias("leader")))
+    large = state.groupBy(*block, "leader").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select(*block, "leader")
+    return state.join(large, [*block, "leader"], "left_semi").select(*block, F.col("face_id").alias(key), "leader")
+
+
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)

@@ -152,6 +152,29 @@ def latest(df: DataFrame, keys: Sequence[str], order: str, key: str = "media_id"
     return df.withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
 
 
+def diagnostics(tables: dict[str, DataFrame], jobs: DataFrame, analysed: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """``section, name, n, note``: rows of each table, jobs by status, and how many of the first table's items are analysed, with a warning where that is under half of more than ten.
+
+    ``analysed`` has media_id and analysed (a time or null), once for an item.
+    """
+    first = next(iter(tables))
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.lit("table").alias("section"), F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    counted = by_status(jobs, statuses).select(F.lit("job").alias("section"), F.col("status").alias("name"), F.col("n").cast("long").alias("n"))
+    done = analysed.agg(F.count("analysed").alias("done"), F.max("analysed").alias("last")).crossJoin(tables[first].agg(F.count("*").alias("total")))  # one row each
+    share = coverage(F.col("done"), F.col("total"))
+    low = F.when((share < 0.5) & (F.col("total") > 10), F.format_string("Analysis coverage is low: %.1f%% (%d/%d photos analyzed)", share * 100, F.col("done"), F.col("total")))
+    rows = F.array(
+        F.struct(F.lit("analysed").alias("name"), F.col("done").alias("n"), F.date_format("last", "yyyy-MM-dd").alias("note")),
+        F.struct(F.lit("not_analysed").alias("name"), (F.col("total") - F.col("done")).alias("n"), F.lit(None).cast("string").alias("note")),
+        F.struct(F.lit("coverage").alias("name"), F.floor(share * 1000).cast("long").alias("n"), low.alias("note")),
+    )
+    told = done.select(F.lit("analysis").alias("section"), F.explode(rows).alias("r")).select("section", "r.*")
+    return out.unionByName(counted).withColumn("note", F.lit(None).cast("string")).unionByName(told)
+
+
 def best_detections(tags: DataFrame, *, key: str = "tag_id") -> DataFrame:
     """The surest detection of each label (in any case) of an item; of equally sure ones the first."""
     best = F.max_by(F.struct(*tags.columns), F.struct("confidence", -F.col(key)))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lumentrail.functions import box, geo, text, time, vector
 from lumentrail.operators import albums, clusters, dedup, faceindex, filters, graph, retrieval, stats, timeline, video
+from lumentrail.operators.lineage import settle
 from lumentrail.plans.parser import parse, parsed_column
 from lumentrail.sources import tables
 from lumentrail.sources.fixtures import view, with_views
@@ -802,8 +803,8 @@ ALBUM_NOW, ALBUM_NOW_SQL = datetime(2025, 3, 1), "TIMESTAMP '2025-03-01 00:00:00
 
 def _memory_tables(moments: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Memories of events, their items in order and their people."""
-    rows = timeline.events(moments).withColumn("memory_id", F.col("owner") * 1000 + F.col("event"))
-    found = albums.memory_scores(rows, ["memory_id"], vectors=vectors)
+    rows = settle(timeline.events(moments).withColumn("memory_id", F.col("owner") * 1000 + F.col("event")))
+    found = settle(albums.memory_scores(rows, ["memory_id"], vectors=vectors))
     place = F.when(F.col("located") > 0, "here")
     scored = found.select("memory_id", "n", "start", "end", "score", F.lit(None).cast("array<string>").alias("people"), place.alias("place"))
     scored = scored.withColumn("theme", albums.theme(scored))
@@ -811,17 +812,16 @@ def _memory_tables(moments: DataFrame, vectors: DataFrame) -> tuple[DataFrame, D
     return scored, rows.select("memory_id", "media_id", F.row_number().over(w).alias("position")), rows.select("memory_id", "person_id").distinct()
 
 
-@query(
-    "moments", "vectors",
-    sql=MEMORIES_SQL + f""", mm AS (SELECT owner * 1000 + event AS memory_id, *, CASE WHEN CAST(start AS DATE) <> CAST(finish AS DATE) AND located > 0 THEN 'trip' ELSE 'other' END AS theme FROM mem),
+ALBUMS_SQL = MEMORIES_SQL + f""", mm AS (SELECT owner * 1000 + event AS memory_id, *, CASE WHEN CAST(start AS DATE) <> CAST(finish AS DATE) AND located > 0 THEN 'trip' ELSE 'other' END AS theme FROM mem),
     it AS (SELECT mm.memory_id, mm.start, mm.score, mm.theme, k.media_id, k.person_id, row_number() OVER (PARTITION BY mm.memory_id ORDER BY k.created, k.media_id) AS position FROM mm JOIN k ON k.owner = mm.owner AND k.event = mm.event),
     named AS (SELECT 'best_of_year' AS category, CAST(year(start) AS VARCHAR) AS name, it.*, -score AS o FROM it WHERE year(start) <> year({ALBUM_NOW_SQL}) UNION ALL SELECT 'month', strftime(start, '%Y-%m'), it.*, -score FROM it WHERE strftime(start, '%Y-%m') <> strftime({ALBUM_NOW_SQL}, '%Y-%m')
       UNION ALL SELECT 'season', (CASE WHEN month(start) IN (3, 4, 5) THEN 'Spring' WHEN month(start) IN (6, 7, 8) THEN 'Summer' WHEN month(start) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END) || ' ' || year(start), it.*, 0 FROM it),
     al AS (SELECT category, name, least(100, count(*)) AS n, max(score) AS score, min(start) AS start, first(media_id ORDER BY round(o, 9), memory_id, position) AS cover FROM named GROUP BY category, name HAVING count(*) >= CASE category WHEN 'best_of_year' THEN 10 WHEN 'month' THEN 5 ELSE 15 END
       UNION ALL SELECT 'trip', CAST(memory_id AS VARCHAR), count(*), max(score), min(start), first(media_id ORDER BY position) FROM it WHERE theme = 'trip' GROUP BY memory_id HAVING count(*) >= 5
-      UNION ALL SELECT 'person', CAST(person_id AS VARCHAR), count(*), 0.5, min(start), first(media_id ORDER BY memory_id, position) FROM (SELECT pe.person_id, it.media_id, it.memory_id, it.position, it.start FROM (SELECT DISTINCT memory_id, person_id FROM it) pe JOIN it USING (memory_id)) GROUP BY person_id HAVING count(*) >= 10)
-    SELECT category, name, n, round(score, 6) AS score, start, cover FROM al""",
-)
+      UNION ALL SELECT 'person', CAST(person_id AS VARCHAR), count(*), 0.5, min(start), first(media_id ORDER BY memory_id, position) FROM (SELECT pe.person_id, it.media_id, it.memory_id, it.position, it.start FROM (SELECT DISTINCT memory_id, person_id FROM it) pe JOIN it USING (memory_id)) GROUP BY person_id HAVING count(*) >= 10)"""
+
+
+@query("moments", "vectors", sql=ALBUMS_SQL + " SELECT category, name, n, round(score, 6) AS score, start, cover FROM al")
 def automatic_albums(moments, vectors):
     scored, members, people = _memory_tables(moments, vectors)
     scored = scored.withColumn("score", F.round("score", 9))
@@ -889,7 +889,7 @@ def faces_assigned(vectors):
 @query("vectors")
 def face_clusters(vectors):
     """At 0.3, as the fixture's vectors are nearly random."""
-    return clusters.leader_clusters(vectors.select(F.col("region").alias("block"), F.col("media_id").alias("face_id"), "vector"), least=0.3)
+    return faceindex.leader_clusters(vectors.select(F.col("region").alias("block"), F.col("media_id").alias("face_id"), "vector"), least=0.3)
 
 
 def _diverse_sql(k: int = 3) -> str:

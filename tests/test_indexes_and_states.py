@@ -222,3 +222,28 @@ def test_stored_box_equals_the_scan(spark, sf):
 
     media = view(spark, sf, "media")
     assert filters.in_box(media, 10.0, 20.0, 20.0).count() > 0
+
+
+def _leaders(x, least):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    leader = np.full(len(u), -1)
+    for i in range(len(u)):
+        if leader[i] < 0:
+            free = np.flatnonzero(leader < 0)
+            leader[free[u[free] @ u[i] >= least]] = i
+            leader[i] = i
+    return leader
+
+
+def test_leaders_of_large_blocks_in_few_rounds(spark, monkeypatch):
+    """20,000 faces, as the rule places them one after the other."""
+    rng = np.random.default_rng(8)
+    blocks = {b: (rng.standard_normal((n // 25 + 1, 6))[rng.integers(0, n // 25 + 1, n)] + 0.25 * rng.standard_normal((n, 6))).round(4) for b, n in (("a", 20_000), ("b", 300), ("c", 1))}
+    rows = [(b, i, v.tolist()) for b, x in blocks.items() for i, v in enumerate(x)] + [("b", 900, [0.0] * 6), ("b", 901, None), ("b", 902, [1.0]), ("b", 903, [2.0])]
+    rounds, settle = [], faceindex.settle
+    monkeypatch.setattr(faceindex, "settle", lambda df: rounds.append(1) or settle(df))
+    got = faceindex.leader_clusters(spark.createDataFrame(rows, "block string, face_id long, vector array<double>"), least=0.95, least_size=1)
+    found = {(r.block, r.face_id): r.leader for r in got.collect()}
+    want = {(b, i): int(k) for b, x in blocks.items() for i, k in enumerate(_leaders(x, 0.95))}
+    assert found == want | {("b", 900): 900, ("b", 901): 901, ("b", 902): 902, ("b", 903): 902}
+    assert len(rounds) < 60

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumentrail.functions import encoding, pixels, vector
 from lumentrail.functions import tables as sql_tables
-from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats, timeline, video
+from lumentrail.operators import albums, clusters, dedup, faceindex, filters, graph, retrieval, stats, timeline, video
 from lumentrail.plans import assistant
 from lumentrail.plans.parser import add_months, parse, parsed_column
 from lumentrail.sources import tables
@@ -165,7 +165,7 @@ def test_scenes(spark):
 
 def test_faces(spark):
     df = spark.createDataFrame([("b", 1, [0.8, 0.6]), ("b", 2, [0.78, 0.62]), ("b", 3, [-1.0, 0.0])], "block string, face_id long, vector array<double>")
-    assert {(r.face_id, r.leader) for r in clusters.leader_clusters(df).collect()} == {(1, 1), (2, 1)}
+    assert {(r.face_id, r.leader) for r in faceindex.leader_clusters(df).collect()} == {(1, 1), (2, 1)}
     rng = np.random.default_rng(2)
     x = rng.standard_normal((60, 3))
     many = spark.createDataFrame([("b" if i % 2 else "c", i, [float(v) for v in r]) for i, r in enumerate(x)], "block string, face_id long, vector array<double>")
@@ -175,9 +175,9 @@ def test_faces(spark):
         if want[i] == i:
             want.update({j: i for j in range(i, 60) if j % 2 == i % 2 and want.get(j, i) == i and u[i] @ u[j] >= 0.6 and j not in want})
     sizes = {i: list(want.values()).count(i) for i in want.values()}
-    for chunk in (2000, 4):
-        assert {r.face_id: r.leader for r in clusters.leader_clusters(many, chunk=chunk).collect()} == {i: k for i, k in want.items() if sizes[k] > 1}
-    assert clusters.leader_clusters(many.limit(0)).count() == 0
+    for rows in (4096, 4):
+        assert {r.face_id: r.leader for r in faceindex.leader_clusters(many, rows=rows).collect()} == {i: k for i, k in want.items() if sizes[k] > 1}
+    assert faceindex.leader_clusters(many.limit(0)).count() == 0
     boxes = spark.createDataFrame([("m", 1, 0.9, 0.1, 0.1, 0.5, 0.5), ("m", 2, 0.8, 0.12, 0.1, 0.5, 0.5), ("m", 3, 0.7, 0.7, 0.7, 0.2, 0.2)], "media_id string, box_id long, confidence double, left double, top double, width double, height double")
     assert {r.box_id for r in clusters.kept_boxes(boxes, ["media_id"]).collect()} == {1, 3}
 

@@ -2,7 +2,9 @@
 
 import pytest
 
-from lumentrail.plans import catalog
+from lumentrail.plans import catalog, details, incremental
+
+assert details.QUERIES is catalog.QUERIES is incremental.QUERIES
 
 
 def rows(columns, data):
