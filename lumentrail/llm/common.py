@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentrail.operators.lineage import settle
+
+__all__ = ["ASCII_LOWER", "HASHED_ROWS", "SPACE", "WORD", "ascii_lower", "bucket_of", "hashed", "settle", "table", "tokenizer_file"]
+
 #: The white space of every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
 #: A word, for Python and Java regular expressions alike.
@@ -21,23 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder.
-
-    The files outlive lost executors and go when the JVM no longer refers to
-    them. The folder is the cluster's ``spark.checkpoint.dir``. A session of one
-    machine that names none gets a folder of its own; a cluster's must name one,
-    as executors can't read each other's disks.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumentrail-"))
-    return df.checkpoint(eager=True)
-
-
 #: Rows of a partition up to which a hash table of short keys is built for a join: such a table can't spill.
 HASHED_ROWS = 2_000_000
 

@@ -201,15 +201,19 @@ class Page:
         """Numbers of the nodes whose subtrees are the main content, which nodes are cut from them, and whose own text is content, too."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags, headings, mains, heading_chars = ([0] * n for _ in range(7))
-        in_link = [False] * n
+        in_link, block, alone, alone_links = [False] * n, list(range(n)), [0] * n, [0] * n  # the last two: text beside a block's blocks
         for node in range(1, n):
             in_link[node] = self.tag[node] == "a" or in_link[self.parent[node]]
+            if self.tag[node] in INLINE:
+                block[node] = block[self.parent[node]]
         for node, text in self.pieces:
             if text and not self.cut[node]:
                 size = len("".join(text.split()))
                 chars[node] += size
+                alone[block[node]] += size
                 if in_link[node]:
                     link_chars[node] += size
+                    alone_links[block[node]] += size
         for node in range(n - 1, 0, -1):
             if self.cut[node]:
                 continue
@@ -284,7 +288,7 @@ class Page:
                     chosen.add(k)
                 elif rule or (over != body and self.tag[k] in WRITTEN) or (dense[k] >= least and 2 * link_chars[k] < chars[k]):
                     chosen.add(k)
-            if over != body and not (self.around[over] and not wraps(over)):
+            if over != body and 2 * alone_links[over] < alone[over] and not (self.around[over] and not wraps(over)):
                 own.add(over)
         keeps = {k for k in range(n) if mostly_links[k] and (ruled[k] or self.tag[best] != "body") and announced[k]}
         cut = [self.cut[k] or (k not in on_path and ((self.around[k] and not wraps(k)) or (mostly_links[k] and k not in keeps))) for k in range(n)]

@@ -10,7 +10,8 @@ hash and document, then by hash), so that no task gathers its documents.
 Defined cases: a null or empty text is one empty line; a null id takes no part
 in the counting and keeps its lines; rows that repeat an id count as one
 document and are treated alike; other columns pass unchanged, whatever their
-names, except ``n_lines`` and ``n_dropped``, which are replaced.
+names, except ``n_lines`` and ``n_dropped``, which are replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

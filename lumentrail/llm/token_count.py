@@ -13,8 +13,9 @@ its words, and a word is worked out once per task while it stays in a bounded
 memory.
 
 Defined cases: a null or empty text has no tokens; a text of any length is read
-whole, and a word of any length costs time in proportion to it; other columns
-pass unchanged except ``n_tokens``, which is replaced.
+whole, and a word of any length costs time in proportion to it; repeated rows are
+counted each; other columns pass unchanged except ``n_tokens``, which is replaced;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

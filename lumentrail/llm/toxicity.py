@@ -32,6 +32,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"([^\W\d_]+)")
 QUOTE_MARKS = "\"'`«»‘’‚“”„‹›"
 #: Marks that open a quotation, and those that may close it, within a line.
 CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“”"}
@@ -51,6 +53,8 @@ DISGUISED = re.compile(r"(?<![\w@$!])[^\W\d_]*+(?:[0134578@$!]++[^\W\d_]++)++(?!
 SIGN_THEN_LETTER = re.compile(r"[0134578@$!][^\W\d_]")
 #: Words of letters with one sign or more between them.
 CUT = re.compile(r"(?<![\w\-*·|~])[^\W\d_]++(?:[-_*·|~][^\W\d_]++)++(?![\w\-*·|~])")
+#: What any such text holds.
+SEPARATED = re.compile(r"[-_*·|~][^\W\d_]")
 #: A letter three times or more.
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 #: What shows nothing between two letters.
@@ -73,7 +77,7 @@ class Term:
 class Matches(dict):
     """What words match, remembered up to a bound."""
 
-    def __init__(self, match, most: int = 100_000):
+    def __init__(self, match, most: int = 300_000):
         self.match, self.most = match, most
 
     def __missing__(self, word: str):
@@ -85,6 +89,71 @@ class Matches(dict):
         return found
 
 
+class Pieces:
+    """Which words are terms as they stand, and which may be misspellings, by what edits leave of a term.
+
+    A term has four parts. One edit lies in one of them, and what stands before and
+    behind that part is a word's start and end. Two edits lie in one or two of them; a
+    part between the two is at most one place from where it was. (Before that is looked
+    at, two edits must have left one of three thirds, at most two places from where it
+    was.) A word of the right length that shows what is left for some place of the edits
+    may be the term, and the automata decide; any other word is not.
+    """
+
+    def __init__(self, terms: Iterable[Term], edits):
+        self.words: dict[str, Term] = {}
+        stems: defaultdict[int, dict[str, Term]] = defaultdict(dict)
+        # Word length and edits; (start, end and middle of what is left), the texts there.
+        shapes: defaultdict = defaultdict(lambda: defaultdict(set))
+        thirds: defaultdict = defaultdict(lambda: defaultdict(set))
+        for term in terms:
+            t, m, k = term.text, len(term.text), edits(term)
+            if term.stem:
+                stems[m].setdefault(t, term)
+                continue
+            if t not in self.words or (term.weight, t) > (self.words[t].weight, t):
+                self.words[t] = term
+            cut, third = [m * i // 4 for i in range(5)], [0, m // 3, 2 * m // 3, m]
+            for length in range(m - k, m + k + 1) if k else ():
+                for first in range(4):
+                    last = min(3, first + k - 1)
+                    shapes[length, k][cut[first], m - cut[last + 1], 0, 0].add(t[: cut[first]] + t[cut[last + 1] :])
+                    for far in range(first + 2, 4) if k > 1 else ():  # one edit in each of two parts that are apart
+                        for a in (cut[first + 1] - 1, cut[first + 1], cut[first + 1] + 1):
+                            size = cut[far] - cut[first + 1]
+                            shapes[length, k][cut[first], m - cut[far + 1], a, a + size].add(t[: cut[first]] + t[cut[far + 1] :] + t[cut[first + 1] : cut[far]])
+                if k > 1:
+                    thirds[length][0, third[1]].add(t[: third[1]])
+                    thirds[length][length - (m - third[2]), length].add(t[third[2] :])
+                    for a in range(max(0, third[1] - 2), third[1] + 3):
+                        thirds[length][a, a + third[2] - third[1]].add(t[third[1] : third[2]])
+        self.stems = sorted(stems.items())
+        self.shapes = {n: list(by.items()) for n, by in shapes.items()}
+        self.thirds = {n: list(by.items()) for n, by in thirds.items()}
+
+    def exact(self, word: str) -> Term | None:
+        """The shortest stem that ``word`` starts with, else the word that it is."""
+        for size, found in self.stems:
+            if (term := found.get(word[:size])) is not None:
+                return term
+        return self.words.get(word)
+
+    def may(self, word: str) -> bool:
+        n = len(word)
+        for (start, end, _, _), found in self.shapes.get((n, 1), ()):
+            if word[:start] + word[n - end :] in found:
+                return True
+        for (a, b), found in self.thirds.get(n, ()):
+            if word[a:b] in found:
+                break
+        else:
+            return False
+        for (start, end, a, b), found in self.shapes[n, 2]:
+            if word[:start] + word[n - end :] + word[a:b] in found:
+                return True
+        return False
+
+
 class FuzzyTrie:
     """Terms in a trie, walked by all their Levenshtein automata at once.
 
@@ -93,7 +162,8 @@ class FuzzyTrie:
     and more two; stems and shorter words must be exact.
     """
 
-    def __init__(self, terms: Iterable[Term], once: int = 5, twice: int = 10, most_states: int = 20_000):
+    def __init__(self, terms: Iterable[Term], once: int = 5, twice: int = 10, most_states: int = 50_000):
+        terms = list(terms)
         self.most_states = most_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: defaultdict[int, list[Term]] = defaultdict(list)  # a stem may be a word, too
@@ -110,13 +180,15 @@ class FuzzyTrie:
         self.bend = [max(map(self._edits, self.ends.get(node, ())), default=0) for node in range(len(self.children))]
         for node in range(len(self.children) - 1, -1, -1):
             self.bend[node] = max([self.bend[node], *(self.bend[child] for child in self.children[node].values())])
+        self.pieces = Pieces(terms, self._edits)
+        self.codes = list(range(4 * len(self.children)))  # a node and its edits, as numbers that all states share
         self._begin()
         self.known = Matches(self.match_repeated)
 
     def _begin(self) -> None:
         """No states but the first: words are without end, and what they lead to is kept up to a bound."""
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.states: dict[tuple[int, ...], int] = {}
+        self.sets: list[tuple[int, ...]] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[Term, int] | None] = []
         self.stemmed: list[Term | None] = []
@@ -135,7 +207,7 @@ class FuzzyTrie:
                 if edits <= self.bend[child] and edits < places.get(child, 99):
                     places[child] = edits
                     queue.append(child)
-        key = frozenset(places.items())
+        key = tuple([self.codes[4 * node + edits] for node, edits in sorted(places.items())])
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -153,7 +225,8 @@ class FuzzyTrie:
             if edits <= self.bend[node] and edits < places.get(node, 99):
                 places[node] = edits
 
-        for node, edits in self.sets[state]:
+        for code in self.sets[state]:
+            node, edits = code >> 2, code & 3
             reach(node, edits + 1)  # a letter too many
             for other, child in self.children[node].items():
                 reach(child, edits + (other != c))
@@ -174,6 +247,10 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[Term, int] | None:
         """The term that ``word`` is, and how many edits away."""
+        if (term := self.pieces.exact(word)) is not None:
+            return term, 0
+        if not self.pieces.may(word):
+            return None
         if len(self.sets) > self.most_states:
             self._begin()
         state = self.start
@@ -225,7 +302,7 @@ def disguised(low: str, words: set[str], match, known) -> list[tuple[int, int, T
             hit = next((h for h in map(match, unfolded(m.group())) if h and not h[1]), None)
             if hit:
                 out.append((m.start(), m.end(), hit[0]))
-    for m in CUT.finditer(low):
+    for m in CUT.finditer(low) if SEPARATED.search(low) else ():
         parts = TOKEN.findall(m.group())
         if not any(map(known.__getitem__, parts)):  # else a part is counted itself
             hit = match("".join(parts))
@@ -249,13 +326,14 @@ def evidence(text: str | None, trie: FuzzyTrie, window: int = 5, misspelled: flo
     low = text.lower()
     if not low.isascii() and HAS_INVISIBLE.search(low):
         low = low.translate(INVISIBLE)
-    known, seen = trie.known, set(TOKEN.findall(low))
+    parts = WORDS.split(low)  # what stands between words, and words, in turn
+    words, known = parts[1::2], trie.known
+    seen = set(words)
     hits = {w: m for w in seen if (m := known[w])}
     hidden = disguised(low, seen, trie.match, known)
     if not hits and not hidden:
         return 0.0, 0.0
-    tokens = list(TOKEN.finditer(low))
-    words, starts = [t.group() for t in tokens], [t.start() for t in tokens]
+    starts = list(accumulate(map(len, parts)))[:-1:2]
     found = [(starts[at], starts[at] + len(w), at, at + 1, *hits[w]) for at, w in enumerate(words) if w in hits]
     found += [(a, b, bisect_left(starts, a), bisect_left(starts, b), term, 1) for a, b, term in hidden]
     quoted = quotations(low)
@@ -329,6 +407,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
+_KEPT: dict[tuple, FuzzyTrie] = {}
+
+
+def kept_trie(terms: tuple[Term, ...]) -> FuzzyTrie:
+    """The trie of some terms, with what it remembers: a worker's tasks share it."""
+    if terms not in _KEPT:
+        _KEPT.clear()
+        _KEPT[terms] = FuzzyTrie(terms)
+    return _KEPT[terms]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: tuple[Term, ...]
@@ -341,7 +430,7 @@ class ToxicityModel:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            trie = FuzzyTrie(terms)
+            trie = kept_trie(terms)
             for texts in batches:
                 sums = [evidence(t, trie, window) for t in texts]
                 yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, weights[0] * math.log1p(a) + weights[1] * math.log1p(b) + weights[2])))) for a, b in sums], dtype="float64")

@@ -42,6 +42,9 @@ REFS_TEXT = "\n".join(f"Reference number {i}" for i in range(5))
         (f"<body><div><h1><a href=/>Site</a></h1>{MENU}</div><div><h1>T</h1><blockquote>quoted</blockquote>{TWO}<pre>x = 1</pre></div></body>", f"T\nquoted\n{LONG}\n{MORE}\nx = 1"),
         (f"<body><div>Lead text that stands in the block itself. <b>Bold.</b><div>{TWO}</div>Last words.</div><div>{MENU}</div></body>", f"Lead text that stands in the block itself. Bold.\n{LONG}\n{MORE}\nLast words."),
         (f"<body><div><span><a href=a>a</a> <a href=b>b</a> <a href=c>c</a></span></div><section><dl><dt>term</dt><dd>what it means</dd></dl><div>{TWO}{TWO}</div></section></body>", f"term\nwhat it means\n{LONG}\n{MORE}\n{LONG}\n{MORE}"),
+        (f"<body><div><a href=a>Home</a> &gt; <a href=b>News</a><div><h1>T</h1>{TWO}</div></div></body>", f"T\n{LONG}\n{MORE}"),
+        (f"<body><div id=page><div class=header><h1>Site</h1></div><div class=content><h1>T</h1>{TWO}<div class='ad-slot'>Buy</div></div><div class=footer>f</div></div></body>", f"T\n{LONG}\n{MORE}"),
+        (f"<article>{TWO}<figure><img src=x><figcaption>A figure.</figcaption></figure><div class=related-posts>{MENU}</div></article>", f"{LONG}\n{MORE}\nA figure."),
     ],
 )
 def test_layouts(page, text):
@@ -102,3 +105,32 @@ def test_disguises_are_found(text):
 @pytest.mark.parametrize("text", ["id iot", "a-b-c-d", "patriot-ic", "cooool", "---", "well-known", "x-y"])
 def test_clean_words_stay_clean(text):
     assert toxicity.evidence(text, toxicity.FuzzyTrie([toxicity.Term("idiot", False, 1.0)])) == (0.0, 0.0)
+
+
+def test_pieces_pass_every_word_that_the_automata_match():
+    import random
+
+    rnd = random.Random(2)
+    terms = [toxicity.Term(w, False, 1.0) for w in ("idiot", "moron", "scum", "pathetics", "worthlessly", "abominations", "aaaaaaaaaaaa", "ababababab")] + [toxicity.Term("stup", True, 1.0)]
+    trie = toxicity.FuzzyTrie(terms)
+    passed = 0
+    for _ in range(60_000):
+        word = list(rnd.choice(terms).text)
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(word) + 1)
+            word[at : at + rnd.randrange(2)] = rnd.choices("abiost", k=rnd.randrange(2))
+        word = "".join(word)
+        state, stem, found = trie.start, None, None
+        for c in word:
+            state = trie.next[state][c] if c in trie.next[state] else trie._step(state, c)
+            if state < 0:
+                break
+            stem = stem or trie.stemmed[state]
+            if stem:
+                break
+        found = (stem, 0) if stem else trie.found[state] if state >= 0 else None
+        assert found is None or trie.pieces.exact(word) or trie.pieces.may(word), word
+        assert (trie.pieces.exact(word) is not None) == bool(found and not found[1])
+        assert trie.match(word) == found
+        passed += trie.pieces.may(word)
+    assert not trie.pieces.may("something") and passed > 5_000

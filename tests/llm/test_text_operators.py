@@ -509,6 +509,14 @@ def test_token_count(spark):
     assert [r.n_tokens for r in got] == [0] + [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_token_count_of_repeats_clashes_and_empty_tables(spark):
+    pieces = [("▁", -1.0), ("a", -1.0), ("▁a", -1.5)]
+    df = spark.createDataFrame([(1, "a a", "old"), (1, "a a", "other"), (2, None, "x")], "doc_id long, text string, n_tokens string")
+    got = token_count.count_tokens(df, pieces, -2.0)
+    assert got.columns == ["doc_id", "text", "n_tokens"] and sorted((r.doc_id, r.n_tokens) for r in got.collect()) == [(1, 2), (1, 2), (2, 0)]
+    assert token_count.count_tokens(df.limit(0), pieces, -2.0).count() == 0
+
+
 def test_token_count_ties():
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -46,6 +46,28 @@ def test_ann_recall_and_ties(spark):
     assert hit >= 0.95 * 10 * len(got)
 
 
+def test_ann_lists_with_more_queries_than_a_lot(spark):
+    """Queries of a list in lots, each of which meets every block: the same rows are found."""
+    x = clustered(700, seed=4)
+    rows = lambda **bounds: sorted(map(tuple, ann.ann_search(vectors(spark, x), F.col("vec_id") % 2 == 0, **bounds).collect()))
+    assert rows(block_rows=60, query_rows=7) == rows()
+
+
+def test_ann_recall_of_many_queries(spark):
+    """20,000 vectors of 16 components in clusters, 1,000 queries."""
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((150, 16))[rng.integers(0, 150, 20_000)] * 2 + rng.standard_normal((20_000, 16))).astype(np.float32).astype(float)
+    got = collections.defaultdict(set)
+    for r in ann.ann_search(vectors(spark, x), F.col("vec_id") % 20 == 0, fit_rows=4_096, query_rows=200).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 20_000, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert len(got) == 1_000 and hit >= 0.95 * 10_000
+
+
 def test_ann_few_rows(spark):
     assert ann.ann_search(vectors(spark, []), F.lit(True)).count() == 0
     got = ann.ann_search(vectors(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]), F.col("vec_id") == 0).orderBy("rank").collect()
