@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentrail.functions.tables import register
-from lumentrail.operators import clusters, filters, graph, retrieval, stats
-from lumentrail.operators.lineage import scratch
-from lumentrail.plans.catalog import NOW, ORACLES, QUERIES, query
+from lumentrail.operators import clusters, filters, graph, retrieval, stats, timeline
+from lumentrail.operators.lineage import scratch, settle
+from lumentrail.plans.catalog import EVENTS_SQL, NOW, ORACLES, QUERIES, query
 from lumentrail.sources import merging, spatial, tables, textindex
 from lumentrail.streaming import jobs
 
@@ -111,6 +111,48 @@ def overview_sketched(moments: DataFrame) -> DataFrame:
     return stats.sketched_counts(merging.merged(moments.sparkSession, path))
 
 
+_COUNTS = {
+    "media_contains_person": "(SELECT count(*) FROM fa)", "media_taken_at_place": "(SELECT count(*) FROM pl)", "media_has_label": "(SELECT count(*) FROM (SELECT DISTINCT media_id, label FROM tags))", "media_in_album": "(SELECT count(*) FROM media)",
+    "person_visited_place": "(SELECT count(*) FROM (SELECT DISTINCT person_id, place FROM fa JOIN pl USING (media_id)))", "people_co_occurs": "(SELECT count(*) FROM (SELECT DISTINCT a.person_id, b.person_id FROM fa a JOIN fa b ON a.media_id = b.media_id AND a.person_id < b.person_id))",
+    "media_in_event": "(SELECT count(*) FROM ev)", "event_attended_by_person": "(SELECT count(*) FROM fe)", "event_at_place": "(SELECT count(*) FROM (SELECT DISTINCT event, place FROM ev JOIN pl USING (media_id)))",
+    "people_same_event": "(SELECT count(*) FROM (SELECT DISTINCT a.person_id, b.person_id FROM fe a JOIN fe b ON a.event = b.event AND a.person_id < b.person_id))", "memory_contains_media": "(SELECT count(*) FROM ev)", "memory_contains_person": "(SELECT count(*) FROM fe)",
+    "events_close_in_time": "(SELECT count(*) FROM st a JOIN st b ON a.owner = b.owner AND (a.start < b.start OR (a.start = b.start AND a.event < b.event)) AND date_diff('microsecond', a.start, b.start) < 90000000000)",
+}
+GRAPH_SQL = (
+    "WITH moments AS (SELECT media_id, person_id AS owner, created, lat, lng FROM media), " + EVENTS_SQL.removeprefix("WITH ")
+    + """, ev AS (SELECT media_id, owner || ':' || event AS event, owner, created FROM k), st AS (SELECT event, owner, min(created) AS start FROM ev GROUP BY 1, 2),
+    pl AS (SELECT media_id, printf('%.2f', round(lat, 2)) || ',' || printf('%.2f', round(lng, 2)) AS place FROM media WHERE lat IS NOT NULL AND lng IS NOT NULL), fa AS (SELECT DISTINCT media_id, person_id FROM faces), fe AS (SELECT DISTINCT ev.event, fa.person_id FROM fa JOIN ev USING (media_id)), ct AS ("""
+    + " UNION ALL ".join(f"SELECT '{name}' AS relation, {n} AS n" for name, n in _COUNTS.items())
+    + "), bo AS (SELECT * FROM ct UNION ALL SELECT other, n FROM ct JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in graph.REVERSES.items()) + ") r(relation, other) USING (relation)) SELECT relation, CAST(sum(n) AS BIGINT) AS n FROM bo GROUP BY relation HAVING sum(n) > 0"
+)
+
+
+def _whole_graph(media: DataFrame, faces: DataFrame, people: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole graph of the catalog, stored; an event is one of a person's."""
+    found = timeline.events(media.withColumnRenamed("person_id", "owner"))
+    events = found.select("media_id", F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event"), "owner", "created")
+    return graph.stored(*graph.whole(media, faces, people, tags, settle(events)), scratch(media.sparkSession))
+
+
+@query("media", "faces", "people", "tags", sql=GRAPH_SQL)
+def graph_whole(media: DataFrame, faces: DataFrame, people: DataFrame, tags: DataFrame) -> DataFrame:
+    """Edges by relation of everything in one graph, both ways."""
+    return _whole_graph(media, faces, people, tags)[1].groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query("media", "faces", "people", "tags", sql="""WITH w AS (SELECT media_id, person_id, count(*) AS w FROM faces GROUP BY 1, 2), t AS (SELECT media_id, label, count(*) AS w FROM tags GROUP BY 1, 2), f AS (SELECT DISTINCT media_id, person_id FROM faces)
+    SELECT 'outgoing' AS what, CAST(person_id AS VARCHAR) AS other, CAST(w AS DOUBLE) AS weight FROM w WHERE media_id = 3
+    UNION ALL SELECT 'two_hop', t.label, CAST(sum(w.w * t.w) AS DOUBLE) FROM w JOIN t USING (media_id) WHERE w.person_id = 5 GROUP BY t.label
+    UNION ALL SELECT 'together', CAST(b.person_id AS VARCHAR), CAST(count(*) AS DOUBLE) FROM f a JOIN f b ON a.media_id = b.media_id AND a.person_id = 5 AND b.person_id <> 5 GROUP BY b.person_id""")
+def graph_lookups_stored(media: DataFrame, faces: DataFrame, people: DataFrame, tags: DataFrame) -> DataFrame:
+    """Three look-ups that read a node's row groups of a stored graph: one edge away, two, and people seen together."""
+    nodes, links = _whole_graph(media, faces, people, tags)
+    one = graph.outgoing(links, "3", relations=["media_contains_person"]).select(F.lit("outgoing").alias("what"), F.col("target").alias("other"), "weight")
+    two = graph.two_hop(links, nodes, "5", "person_appears_in_media", "media_has_label", "label").select(F.lit("two_hop").alias("what"), F.col("external_id").alias("other"), "weight")
+    near = graph.outgoing(links, "5", relations=["people_co_occurs"]).select(F.lit("together").alias("what"), F.col("target").alias("other"), "weight")
+    return one.unionByName(two).unionByName(near)
+
+
 @query("segments", sql="WITH v AS (SELECT video_id, max(end_ms) AS d FROM segments GROUP BY video_id), n AS (SELECT *, greatest(1, least(12, d // 1000)) AS n FROM v WHERE d > 0), f AS (SELECT video_id, d // n AS part, unnest(range(0, n)) AS i FROM n) SELECT video_id, CAST(i AS INTEGER) AS frame, i * part + part // 2 AS ts_ms, ((i * part + part // 2) // 60000) || ':' || printf('%02d', (i * part + part // 2) // 1000 % 60) AS clock FROM f")
 def frames_by_table_function(segments: DataFrame) -> DataFrame:
     """``sampled_frames`` by a table function in Python, joined laterally."""

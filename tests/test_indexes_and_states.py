@@ -247,3 +247,15 @@ def test_leaders_of_large_blocks_in_few_rounds(spark, monkeypatch):
     want = {(b, i): int(k) for b, x in blocks.items() for i, k in enumerate(_leaders(x, 0.95))}
     assert found == want | {("b", 900): 900, ("b", 901): 901, ("b", 902): 902, ("b", 903): 902}
     assert len(rounds) < 60
+
+
+def test_graph_lookups_read_a_relation_and_a_source(spark, sf, tmp_path):
+    from lumentrail.operators import graph
+    from lumentrail.sources.fixtures import view
+
+    media, faces, people, tags = (view(spark, sf, n) for n in ("media", "faces", "people", "tags"))
+    nodes, links = graph.stored(*graph.build(media, faces, people, tags), str(tmp_path))
+    plan = _plan(graph.outgoing(links, "3", relations=["media_contains_person"]))
+    assert "PartitionFilters: [isnotnull(relation" in plan and "EqualTo(source,3)" in plan
+    files = links.where("relation = 'media_contains_person'").groupBy(F.input_file_name()).agg(F.min("source").alias("a"), F.max("source").alias("b")).collect()
+    assert sum(r.a <= "3" <= r.b for r in files) <= 2
