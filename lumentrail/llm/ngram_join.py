@@ -183,7 +183,9 @@ def _flags(table: pa.Table) -> pa.Table:
 
 def _counted_levels(found: DataFrame) -> np.ndarray:
     """Levels of cells by the tokens that came to lists longer than ``LIGHT``, which are counted one by one: rare tokens share no cell's count with others."""
-    sizes = found.where("token is not null").select("token", "cls").distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT)
+    rows = found.where("token is not null").select("token", "cls", "n")
+    heavy = rows.where("cls is not null").select("token", "cls").distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT)
+    sizes = heavy.unionAll(rows.where("cls is null").select("token", "n"))
     cells = sizes.groupBy(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("cell")).agg(F.max("n").alias("n"))
     pieces = cells.withColumn("piece", F.floor(F.col("cell") / ((1 << SKETCH_BITS) // PIECES)).cast("int"))
     levels = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.uint8)
@@ -293,7 +295,7 @@ def _prefixes(levels: bytes, buckets: int, percent: int, width: int, clashing: f
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct member lists, of two classes to ``LIGHT``, of a partition's light tokens, and longer ones as heavy rows; heavy rows and a class's first short prefixes pass through."""
+    """The distinct member lists, of two classes to ``LIGHT``, of a partition's light tokens, and longer ones as heavy rows; the lengths of long lists (rows without a class); heavy rows and a class's first short prefixes pass through."""
     schema = pa.schema([("list", pa.binary()), ("members", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("short", pa.binary())])
     classes: set[int] = set()
     record = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
@@ -316,6 +318,11 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del blobs
     starts = np.flatnonzero(np.concatenate([[True], packed["token"][1:] != packed["token"][:-1]]))
     ends = np.append(starts[1:], len(packed))
+    marks = [(s, e) for s, e in zip(starts.tolist(), ends.tolist()) if e - s > LIGHT]  # how long the lists of tokens are, also where another has the same members
+    if marks:
+        none = pa.nulls(len(marks))
+        sizes = [pa.array(packed["token"][[s for s, _ in marks]].astype(np.int64)), none.cast(pa.int64()), pa.array([e - s for s, e in marks], pa.int64()), none.cast(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *sizes, none.cast(pa.binary())], schema=schema)
     seen, out, long_ = set(), [], []
     for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
         members = packed["cls"][s:e]
@@ -493,7 +500,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         found = lists(levels)
     light = found.where("list is not null").select("list", "members", "ns").dropDuplicates(["list"])
     shorts = found.where("short is not null").select("cls", "n", "short")
-    heavy = found.where("token is not null").select("token", "cls", "n", "pos").distinct()
+    heavy = found.where("token is not null and cls is not null").select("token", "cls", "n", "pos").distinct()
     # Of heavy tokens with the same members the first in the order is enough: it is the first that any two of them share.
     signs = [F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(20,0)")).alias(f"sign{k}") for k in (0, 1)]
     signs = heavy.groupBy("token").agg(F.count("*").alias("size"), *signs, F.min("pos").alias("pos"))
