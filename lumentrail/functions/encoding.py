@@ -36,3 +36,23 @@ def encoded(items: Column, encoder: VectorEncoder) -> Column:
             yield pd.Series([next(rows) if k else None for k in known], dtype=object)
 
     return run(items)
+
+
+def to_blob(a: Column) -> Column:
+    """A vector as little-endian floats of four bytes; null stays null, a null component makes it null."""
+
+    @F.pandas_udf("binary")
+    def packed(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or any(x is None for x in v) else np.asarray(v, "<f4").tobytes() for v in vectors], dtype=object)
+
+    return packed(a.cast("array<float>"))
+
+
+def from_blob(blob: Column) -> Column:
+    """The vector of such bytes; null for a length that is no multiple of four."""
+
+    @F.pandas_udf("array<float>")
+    def read(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or len(b) % 4 else np.frombuffer(bytes(b), "<f4") for b in blobs], dtype=object)
+
+    return read(blob)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lumentrail.functions import box, text
+from lumentrail.functions import box, encoding, text, vector
 from lumentrail.operators import albums, clusters, dedup, filters, graph, retrieval, stats
 from lumentrail.plans.catalog import ALBUM_NOW, ALBUMS_SQL, COSINE, HASH_SQL, MEMORIES_SQL, ORACLES, QUERIES, _graph, _hashes, _memory_tables, _query_vector, query
 from lumentrail.sources import tables
@@ -156,3 +156,45 @@ def chat_history(turns):
     now = F.lit(datetime(2024, 1, 31)).cast("timestamp_ntz")
     sent = turns.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (now - F.make_dt_interval(F.col("conv_id") % 300)).alias("sent"))
     return tables.recent_messages(sent, now).select("conv_id", "turn")
+
+
+@query("vectors", sql="SELECT media_id, CAST(4 * len(vector) AS INTEGER) AS bytes, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM vectors")
+def vectors_as_blobs(vectors):
+    """Vectors as bytes and back: nothing of a component is lost."""
+    stored = vectors.select("media_id", encoding.to_blob(F.col("vector")).alias("blob"))
+    back = stored.withColumn("v", encoding.from_blob(F.col("blob")))
+    return back.select("media_id", F.octet_length("blob").alias("bytes"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("vectors", sql=f"SELECT v.media_id, round(greatest(0, least(1, 1 - {COSINE})), 6) AS distance, round(list_inner_product(v.vector::DOUBLE[], v.vector::DOUBLE[]) / list_inner_product(v.vector::DOUBLE[], v.vector::DOUBLE[]), 6) AS length FROM vectors v, vectors q WHERE q.media_id = 7")
+def vector_distances(vectors):
+    asked = vectors.crossJoin(_query_vector(vectors))  # one row
+    unit = vector.l2_normalized(F.col("vector"))
+    return asked.select("media_id", F.round(vector.cosine_distance(F.col("vector"), F.col("__q")), 6).alias("distance"), F.round(vector.dot(unit, unit), 6).alias("length"))
+
+
+@query("tags", "vectors", sql="WITH d AS (SELECT media_id, ['NO', 'RF', 'AF', 'AO'][1 + region % 4] AS label FROM vectors) SELECT tag_id FROM tags t WHERE confidence >= CAST(0.5 AS DOUBLE) AND NOT EXISTS (SELECT 1 FROM d WHERE d.media_id = t.media_id AND d.label = t.label)")
+def regions_missing(tags, vectors):
+    """Sure tags of items that have no region vector of their label yet."""
+    labels = F.array(*map(F.lit, ("NO", "RF", "AF", "AO")))
+    known = vectors.select("media_id", F.get(labels, (F.col("region") % 4).cast("int")).alias("region_label"))
+    return filters.with_region_vectors_missing(tags, known).select("tag_id")
+
+
+@query("media", sql="""WITH m AS (SELECT 'p' || person_id AS id, media_id FROM media WHERE person_id % 3 = 0 UNION ALL SELECT 'y' || year(created) || album, media_id FROM media WHERE media_id % 4 = 0),
+    c AS (SELECT id, CAST(count(*) AS DOUBLE) AS score FROM m GROUP BY id),
+    o AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS turn FROM c), s AS (SELECT id, media_id, turn, min(turn) OVER (PARTITION BY media_id) AS first FROM m JOIN o USING (id)), g AS (SELECT id, avg(CAST(first < turn AS DOUBLE)) AS shared FROM s GROUP BY id)
+    SELECT id, score FROM c JOIN g USING (id) WHERE shared <= CAST(0.7 AS DOUBLE)""")
+def candidates_unseen(media):
+    """Groups by person and by year and album, less those most of whose items are in better ones."""
+    by_person = media.where("person_id % 3 = 0").select(F.concat(F.lit("p"), F.col("person_id").cast("string")).alias("id"), "media_id")
+    by_year = media.where("media_id % 4 = 0").select(F.concat(F.lit("y"), F.year("created").cast("string"), F.col("album")).alias("id"), "media_id")
+    members = by_person.unionByName(by_year)
+    return albums.unseen(members.groupBy("id").agg(F.count("*").cast("double").alias("score")), members).select("id", "score")
+
+
+@query("tags", sql=f"WITH {BOX_SQL} SELECT box_id, round(least(l, t), 6) AS l, round(least(t, w), 6) AS t, round(greatest(l, t) - least(l, t), 6) AS w, round(greatest(t, w) - least(t, w), 6) AS h FROM b")
+def polygon_boxes(tags):
+    """The box around the points (left, top) and (top, width)."""
+    b = _boxes(tags).withColumn("p", box.of_polygon(F.array("left", "top"), F.array("top", "width")))
+    return b.select("box_id", *(F.round(f"p.{c}", 6).alias(c[0]) for c in ("left", "top", "width", "height")))
