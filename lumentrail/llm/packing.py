@@ -92,6 +92,24 @@ class Encoder(dict):
         return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
 
 
+def chunks(docs: list[np.ndarray], tokens: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Documents in runs of about so many tokens."""
+    ends = np.cumsum([len(d) for d in docs])
+    cuts = np.searchsorted(ends, np.arange(tokens, ends[-1] + tokens, tokens)) + 1 if len(docs) else []
+    bounds = np.unique(np.minimum([0, *cuts, len(docs)], len(docs))).tolist()
+    return (docs[a:b] for a, b in zip(bounds, bounds[1:]))
+
+
+def term_runs(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, times), by document and then by id."""
+    wide = np.uint32 if len(docs) <= 1 << 16 else np.uint64
+    key = (np.repeat(np.arange(len(docs), dtype=wide), [len(d) for d in docs]) << wide(16)) | np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times, key = np.diff(np.append(first, len(key))), key[first]
+    return (key >> wide(16)).astype(np.int64), (key & wide(0xFFFF)).astype(np.int64), times
+
+
 _KEPT: dict[tuple, Encoder] = {}
 
 
@@ -114,9 +132,9 @@ def _tokenised(ranks, pattern: str, end_id: int, size: int):
         for batch in batches:
             id_type = batch.column(0).type
             ids = [encoder.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
-            for blob in ids:
-                held[np.unique(np.frombuffer(blob, ID))] += 1
-                held[size:] += (1, len(blob) // ID.itemsize)
+            for part in chunks([np.frombuffer(blob, ID) for blob in ids]):
+                held[:size] += np.bincount(term_runs(part)[1], minlength=size)
+            held[size:] += (len(ids), sum(map(len, ids)) // ID.itemsize)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], ["doc_id", "ids", "held"])
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([held.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids", "held"])
@@ -254,23 +272,25 @@ def packed_order(shard: Shard, window: int, most: int = 16) -> list[int]:
         seed = last if at > end else None
 
 
-def _bm25(ids: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
-    """A document's terms and their BM25 weights."""
-    term, times = np.unique(ids, return_counts=True)
-    return term, idf[term] * (times * (k1 + 1) / (times + k1 * (1 - b + b * len(ids) / mean_length)))
-
-
 class Projection:
     """Documents as short vectors: BM25 weights of their terms under seeded signs, of length 1."""
 
-    def __init__(self, idf: np.ndarray, mean_length: float, dims: int, seed: int):
-        self.idf, self.mean_length = idf, mean_length
+    def __init__(self, idf: np.ndarray, mean_length: float, dims: int, seed: int, k1: float = 1.2, b: float = 0.75):
+        self.idf, self.mean_length, self.k1, self.b = idf, mean_length, k1, b
         self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (len(idf), dims))
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        term, weight = _bm25(ids, self.idf, self.mean_length)
-        x = weight.astype(np.float32) @ self.signs[term]
-        return x / (np.linalg.norm(x) + 1e-9)
+    def of(self, docs: list[np.ndarray], tokens: int = 200_000) -> np.ndarray:
+        """Some documents' vectors, worked out for about so many tokens at a time; no document is empty."""
+        parts = [self._some(part) for part in chunks(docs, tokens)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.signs.shape[1]), np.float32)
+
+    def _some(self, docs: list[np.ndarray]) -> np.ndarray:
+        (doc, term, times), lengths = term_runs(docs), np.array([len(d) for d in docs])
+        norm = self.k1 * (1 - self.b + self.b * lengths / self.mean_length)
+        weight = (self.idf[term] * (times * (self.k1 + 1) / (times + norm[doc]))).astype(np.float32)
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        x = np.add.reduceat(self.signs[term] * weight[:, None], starts, axis=0)
+        return x / (np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-9))
 
 
 @dataclass(frozen=True)
@@ -345,7 +365,7 @@ def _sampled(model):
         projection = Projection(*model.value)
         for batch in batches:
             docs = [np.frombuffer(blob, ID) for blob in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([projection.of(d).tolist() for d in docs], pa.list_(pa.float32())), pa.array([len(d) for d in docs], pa.int64())], ["x", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(projection.of(docs).tolist(), pa.list_(pa.float32())), pa.array([len(d) for d in docs], pa.int64())], ["x", "tokens"])
 
     return run
 
@@ -363,7 +383,7 @@ def _dealt(model, tree):
             at += len(batch)
             leaf = np.zeros(len(batch), np.int64)
             if len(splits.cuts) > 1:
-                leaf = splits.leaves(np.array([projection.of(np.frombuffer(blob, ID)) for blob in batch.column(1).to_pylist()]).reshape(len(batch), -1))
+                leaf = splits.leaves(projection.of([np.frombuffer(blob, ID) for blob in batch.column(1).to_pylist()]))
             shard = splits.first[leaf] + (partition * 7919 + place) % splits.parts[leaf]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard), pa.array((partition << 33) + place)], ["doc_id", "ids", "shard", "place"])
 
