@@ -318,10 +318,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del blobs
     starts = np.flatnonzero(np.concatenate([[True], packed["token"][1:] != packed["token"][:-1]]))
     ends = np.append(starts[1:], len(packed))
-    marks = [(s, e) for s, e in zip(starts.tolist(), ends.tolist()) if e - s > LIGHT]  # how long the lists of tokens are, also where another has the same members
-    if marks:
+    marks = np.flatnonzero(ends - starts > LIGHT)  # how long the lists of tokens are, also where another has the same members
+    if len(marks):
         none = pa.nulls(len(marks))
-        sizes = [pa.array(packed["token"][[s for s, _ in marks]].astype(np.int64)), none.cast(pa.int64()), pa.array([e - s for s, e in marks], pa.int64()), none.cast(pa.int64())]
+        sizes = [pa.array(packed["token"][starts[marks]].astype(np.int64)), none.cast(pa.int64()), pa.array((ends - starts)[marks].astype(np.int64)), none.cast(pa.int64())]
         yield pa.RecordBatch.from_arrays([*(none.cast(schema.field(k).type) for k in range(3)), *sizes, none.cast(pa.binary())], schema=schema)
     seen, out, long_ = set(), [], []
     for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
