@@ -886,7 +886,16 @@ def faces_assigned(vectors):
     return found.select("face_id", "person_id", "founder", F.round("similarity", 6).alias("similarity"))
 
 
-@query("vectors")
+LEADERS_SQL = """WITH RECURSIVE f AS (SELECT region AS block, media_id AS face_id, vector::DOUBLE[] AS v, row_number() OVER (PARTITION BY region ORDER BY media_id) AS pos FROM vectors),
+n AS (SELECT a.block, a.face_id, a.pos, coalesce(list(b.face_id) FILTER (WHERE b.face_id IS NOT NULL), []::BIGINT[]) AS near FROM f a LEFT JOIN f b ON a.block = b.block AND b.face_id < a.face_id AND round(list_cosine_similarity(a.v, b.v), 12) >= CAST(0.3 AS DOUBLE) GROUP BY a.block, a.face_id, a.pos),
+r AS (SELECT block, 0 AS step, []::BIGINT[] AS leaders FROM (SELECT DISTINCT block FROM f)
+  UNION ALL SELECT r.block, r.step + 1, CASE WHEN list_has_any(n.near, r.leaders) THEN r.leaders ELSE list_append(r.leaders, n.face_id) END FROM r JOIN n ON n.block = r.block AND n.pos = r.step + 1),
+l AS (SELECT block, max_by(leaders, step) AS leaders FROM r GROUP BY block),
+p AS (SELECT n.block, n.face_id, CASE WHEN list_contains(l.leaders, n.face_id) THEN n.face_id ELSE list_min(list_intersect(n.near, l.leaders)) END AS leader FROM n JOIN l USING (block))
+SELECT block, face_id, leader FROM (SELECT *, count(*) OVER (PARTITION BY block, leader) AS size FROM p) WHERE size >= 2"""
+
+
+@query("vectors", sql=LEADERS_SQL)
 def face_clusters(vectors):
     """At 0.3, as the fixture's vectors are nearly random."""
     return faceindex.leader_clusters(vectors.select(F.col("region").alias("block"), F.col("media_id").alias("face_id"), "vector"), least=0.3)
@@ -906,7 +915,17 @@ def diverse_selection(vectors):
     return clusters.diverse(vectors.withColumn("score", (F.col("media_id") % 10) / 10.0), ["region"], 3)
 
 
-@query("vectors")
+THEMES_SQL = """WITH RECURSIVE f AS (SELECT CAST(floor(media_id / 25) AS BIGINT) AS cluster, media_id, vector::DOUBLE[] AS v, row_number() OVER (PARTITION BY floor(media_id / 25) ORDER BY media_id) AS pos, count(*) OVER (PARTITION BY floor(media_id / 25)) AS n FROM vectors),
+s AS (SELECT a.cluster, a.pos, list(list_cosine_similarity(a.v, b.v) ORDER BY b.pos) AS near FROM f a JOIN f b USING (cluster) GROUP BY a.cluster, a.pos),
+r AS (SELECT cluster, 0 AS step, []::BIGINT[][] AS themes FROM (SELECT DISTINCT cluster FROM f)
+  UNION ALL SELECT cluster, step + 1, CASE WHEN k > 0 THEN list_transform(range(1, len(themes) + 1), lambda i: CASE WHEN i = k THEN list_append(themes[i], step + 1) ELSE themes[i] END) ELSE list_append(themes, [step + 1]) END
+  FROM (SELECT r.*, coalesce(list_position(list_transform(r.themes, lambda t: list_avg(list_transform(t, lambda m: s.near[m])) >= CAST(0.2 AS DOUBLE)), true), 0) AS k FROM r JOIN s ON s.cluster = r.cluster AND s.pos = r.step + 1)),
+t AS (SELECT cluster, list_filter(max_by(themes, step), lambda x: len(x) >= 3) AS themes FROM r GROUP BY cluster),
+p AS (SELECT f.cluster, f.media_id, CASE WHEN f.n < 6 OR len(t.themes) = 0 THEN 1 ELSE coalesce(list_position(list_transform(t.themes, lambda x: list_contains(x, f.pos)), true), 0) END AS k FROM f JOIN t USING (cluster))
+SELECT cluster, media_id, CAST(k - 1 AS INTEGER) AS theme FROM p WHERE k > 0"""
+
+
+@query("vectors", sql=THEMES_SQL)
 def sub_themes(vectors):
     """At 0.2, as the fixture's vectors are nearly random; clusters of 25 items."""
     return clusters.sub_themes(vectors.withColumn("cluster", F.floor(F.col("media_id") / 25)), ["cluster"], least=0.2)
