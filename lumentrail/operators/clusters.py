@@ -18,10 +18,6 @@ from lumentrail.functions.vector import cosine
 from lumentrail.operators.lineage import settle
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in column])
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(length > 0, length, 1)
@@ -114,18 +110,19 @@ def sub_themes(rows: DataFrame, keys: Sequence[str], *, key: str = "media_id", l
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sums, sizes = None, np.zeros((0, 0)), np.zeros(0)
         for rows in batches:
-            x, place = _unit(_matrix(rows["vector"])) if len(rows) else np.zeros((0, 0)), np.zeros(len(rows), int)
-            for i, own in enumerate(zip(*(rows[c] for c in keys))):
+            place = np.zeros(len(rows), int)
+            for i, (vector, *own) in enumerate(zip(rows["vector"], *(rows[c] for c in keys))):
+                x = _unit(np.asarray(vector, float)[None])[0]
                 if own != now:
-                    now, sums, sizes, used = own, np.zeros((16, x.shape[1])), np.ones(16), 0
-                fits = np.flatnonzero(sums[:used] @ x[i] / sizes[:used] >= least)
+                    now, sums, sizes, used = own, np.zeros((16, len(x))), np.ones(16), 0
+                fits = np.flatnonzero(sums[:used] @ x / sizes[:used] >= least)
                 if len(fits):
                     place[i] = fits[0]
                 else:
                     if used == len(sums):
                         sums, sizes = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([sizes, np.ones_like(sizes)])
                     place[i], sizes[used], used = used, 0, used + 1
-                sums[place[i]] += x[i]
+                sums[place[i]] += x
                 sizes[place[i]] += 1
             yield rows[[*keys, key]].assign(place=place)
 
