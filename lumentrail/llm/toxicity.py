@@ -291,8 +291,8 @@ def unfolded(word: str) -> list[str]:
     return [plain, "".join("l" if c == "1" else STANDS_FOR.get(c, c) for c in word if c.isalnum() or c in STANDS_FOR)] if "1" in word else [plain]
 
 
-def disguised(low: str, words: set[str], match, known) -> list[tuple[int, int, Term]]:
-    """Places of terms (as they are, not misspelled) under digits, signs and separators. ``words``: those of the text; ``known``: what words match."""
+def disguised(low: str, words: set[str], match, known: Matches | None = None) -> list[tuple[int, int, Term]]:
+    """Places of terms (as they are, not misspelled) under digits, signs and separators. ``words``: those of the text; ``known``: what words match, where that is remembered."""
     out = []
     patterns = [DISGUISED] if SIGN_THEN_LETTER.search(low) else []
     if sum(len(w) == 1 for w in words) > 1:  # no term is one letter over and over
@@ -304,7 +304,7 @@ def disguised(low: str, words: set[str], match, known) -> list[tuple[int, int, T
                 out.append((m.start(), m.end(), hit[0]))
     for m in CUT.finditer(low) if SEPARATED.search(low) else ():
         parts = TOKEN.findall(m.group())
-        if not any(map(known.__getitem__, parts)):  # else a part is counted itself
+        if not any(map(match if known is None else known.__getitem__, parts)):  # else a part is counted itself
             hit = match("".join(parts))
             if hit and not hit[1]:
                 out.append((m.start(), m.end(), hit[0]))
