@@ -47,6 +47,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,12 @@ ORDERS = 3
 
 def finished(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 class WordHashes(dict):
@@ -90,6 +94,12 @@ class WordHashes(dict):
         return h
 
 
+@cache
+def _places(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the word at each of ``k`` places of a shingle is mixed with, before and after."""
+    return tuple(np.array([_MIX[(i + ahead) % 8] for i in range(k)])[:, None] for ahead in (0, 3))
+
+
 def shingle_set(text: str | None, known: WordHashes, width: int = 5) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; A-Z lower-cased, words split at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -98,10 +108,16 @@ def shingle_set(text: str | None, known: WordHashes, width: int = 5) -> np.ndarr
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
     at = len(h) - k + 1
-    sums = np.full(at, k if k < width else 0, np.uint64)
-    for i in range(k):
-        sums += finished(h[i : i + at] + _MIX[i % 8]) * _MIX[(i + 3) % 8]
-    return np.unique(finished(sums))
+    # Row i: the words i places on. All rows are mixed at once, as texts are short and each call has its price.
+    before, after = _places(k)
+    sums = finished(np.ndarray((k, at), np.uint64, h, strides=(8, 8)) + before)
+    sums *= after
+    h = finished(sums.sum(axis=0, dtype=np.uint64) + np.uint64(k if k < width else 0))
+    h.sort()
+    fresh = np.empty(at, bool)
+    fresh[:1] = True
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    return h[fresh]
 
 
 def halves(own: np.ndarray) -> tuple[int, int]:

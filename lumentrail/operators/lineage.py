@@ -8,15 +8,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a plan's shuffle files go when it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once into the session's shared checkpoint folder.
 
     A session of one machine that names none gets a folder of its own; on a
     cluster, where executors can't read each other's disks, that is an error.
+    What ``df`` shuffled is deleted with the end of the job, not with the driver's
+    next collection of garbage: nothing reads it again.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own is made with the setting
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:

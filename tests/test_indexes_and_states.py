@@ -259,3 +259,23 @@ def test_graph_lookups_read_a_relation_and_a_source(spark, sf, tmp_path):
     assert "PartitionFilters: [isnotnull(relation" in plan and "EqualTo(source,3)" in plan
     files = links.where("relation = 'media_contains_person'").groupBy(F.input_file_name()).agg(F.min("source").alias("a"), F.max("source").alias("b")).collect()
     assert sum(r.a <= "3" <= r.b for r in files) <= 2
+
+
+def test_settled_plans_leave_no_shuffle_files(spark):
+    """What a settled plan shuffled goes with its job, whether or not the driver collects garbage; the rows stay."""
+    from pathlib import Path
+    from time import sleep
+
+    from lumentrail.operators.lineage import CLEANUP, settle
+
+    dirs = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    settled = settle(spark.range(0, 20_000, 1, 4).groupBy((F.col("id") % 5_000).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(100):
+        if not files() - before:
+            break
+        sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP) == setting
+    assert settled.where("n = 4").count() == 5_000
