@@ -279,3 +279,17 @@ def test_settled_plans_leave_no_shuffle_files(spark):
     assert not files() - before
     assert spark.conf.get(CLEANUP) == setting
     assert settled.where("n = 4").count() == 5_000
+
+
+def test_a_face_travels_once_to_a_shard(spark, monkeypatch):
+    """However many cells may hold a face's like, and however many rounds leaders take: what is dealt grows with faces, not with faces times cells."""
+    rng = np.random.default_rng(5)
+    faces = spark.createDataFrame([("b", i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 16)))], "block string, face_id long, vector array<float>")
+    sent, dealt = [], faceindex._dealt
+    monkeypatch.setattr(faceindex, "_dealt", lambda q, *a: sent.append(q.count()) or dealt(q, *a))
+    new = faces.where("face_id % 2 = 1").select("face_id", "vector")
+    assert faceindex.best_earlier(new, faces.where("face_id % 2 = 0").select("face_id", "vector"), 0.2).count() == 450
+    assert sent == [450]
+    sent.clear()
+    assert faceindex.leader_clusters(faces, least=0.2, least_size=1).count() == 900
+    assert sum(sent) <= 2 * 900
