@@ -970,10 +970,11 @@ def people_reset(faces, people):
     return kept.agg(F.count("*").alias("n_faces"), F.count("person_id").cast("int").alias("n_named")).crossJoin(nobody.agg(F.count("*").cast("int").alias("n_people")))  # one row each
 
 
-@query("moments", sql=EVENTS_SQL + ", s AS (SELECT owner, owner || ':' || event AS event, min(created) AS start FROM k GROUP BY k.owner, k.event), c AS (SELECT a.event AS x, b.event AS y, greatest(3e-1, least(1e0, 1 - floor(date_diff('microsecond', a.start, b.start) / 6e7) / 144e1)) AS sure FROM s a JOIN s b ON a.owner = b.owner AND (a.start < b.start OR (a.start = b.start AND a.event < b.event)) AND date_diff('microsecond', a.start, b.start) < 90000000000) SELECT relation, count(*) AS n, round(sum(sure), 3) AS total FROM (SELECT 'events_close_in_time' AS relation, sure FROM c UNION ALL SELECT 'events_close_in_time', sure FROM c) GROUP BY relation")
+@query("moments", sql=EVENTS_SQL + ", s AS (SELECT owner || ':' || event AS event, min(created) AS start FROM k GROUP BY k.owner, k.event), c AS (SELECT a.event AS x, b.event AS y, greatest(3e-1, least(1e0, 1 - floor(date_diff('microsecond', a.start, b.start) / 6e7) / 144e1)) AS sure FROM s a JOIN s b ON (a.start < b.start OR (a.start = b.start AND a.event < b.event)) AND date_diff('microsecond', a.start, b.start) < 90000000000) SELECT relation, count(*) AS n, round(sum(sure), 3) AS total FROM (SELECT 'events_close_in_time' AS relation, sure FROM c UNION ALL SELECT 'events_close_in_time', sure FROM c) GROUP BY relation")
 def graph_event_times(moments):
-    by = timeline.events(moments).groupBy("owner", F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event")).agg(F.min("created").alias("start"))
-    return graph.both_ways(graph.close_events(by, ["owner"])).groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 3).alias("total"))
+    """Of all owners: their number grows as the square of the events', so they are counted and not made."""
+    by = timeline.events(moments).groupBy(F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event")).agg(F.min("created").alias("start"))
+    return graph.both_ways(graph.close_event_totals(by)).groupBy("relation").agg(F.sum("weight").alias("n"), F.round(F.sum(F.col("confidence") * F.col("weight")), 3).alias("total"))
 
 
 @query("moments", "segments", sql=EVENTS_SQL + ", a AS (SELECT DISTINCT owner, event, media_id FROM k), b AS (SELECT DISTINCT owner, event, person_id FROM k), c AS (SELECT DISTINCT video_id, person_id FROM segments WHERE person_id % 3 <> 0), d AS (SELECT DISTINCT video_id, label FROM segments), nn AS (SELECT ['memory_contains_media', 'media_in_memory'] AS r, (SELECT count(*) FROM a) AS n UNION ALL SELECT ['memory_contains_person', 'person_in_memory'], (SELECT count(*) FROM b) UNION ALL SELECT ['media_contains_person', 'person_appears_in_media'], (SELECT count(*) FROM c) UNION ALL SELECT ['media_has_label', 'label_appears_in_media'], (SELECT count(*) FROM d)) SELECT unnest(r) AS relation, n FROM nn")

@@ -293,3 +293,20 @@ def test_a_face_travels_once_to_a_shard(spark, monkeypatch):
     sent.clear()
     assert faceindex.leader_clusters(faces, least=0.2, least_size=1).count() == 900
     assert sum(sent) <= 2 * 900
+
+
+def test_close_events_of_all_owners_are_counted(spark):
+    """Totals of all pairs, equal times and other owners' events included, as the edges themselves give them."""
+    from lumentrail.operators import graph
+
+    rng = np.random.default_rng(3)
+    starts = np.concatenate([rng.integers(0, 4 * 86_400, 300) * 1_000_000 + rng.integers(0, 3, 300), [7_000_000] * 3, [7_000_000 + 90_000_000_000, 7_000_000 + 90_000_000_000 - 1]])
+    events = spark.createDataFrame([(f"e{i}", int(t)) for i, t in enumerate(starts)], "event string, t long").select("event", F.timestamp_micros("t").cast("timestamp_ntz").alias("start"))
+    told = lambda df, n, total: df.select(n, F.round(total, 6)).first()
+    got = graph.close_event_totals(events).agg(F.sum("weight").alias("n"), F.sum(F.col("confidence") * F.col("weight")).alias("total"))
+    want = graph.close_events(events).agg(F.count("*").alias("n"), F.sum("confidence").alias("total"))
+    assert tuple(told(got, "n", "total")) == tuple(told(want, "n", "total"))
+    moments = spark.createDataFrame([(i, i % 2, i // 2) for i in range(8)], "media_id long, owner long, at long").selectExpr("media_id", "owner", "cast(timestamp_seconds(at * 60) as timestamp_ntz) as created", "0d as lat", "0d as lng")
+    from lumentrail.plans.catalog import graph_event_times
+
+    assert [tuple(r) for r in graph_event_times(moments).collect()] == [("events_close_in_time", 2, 2.0)]  # two owners' events, both ways
