@@ -10,8 +10,11 @@ Features come from the whole text, in any script: hashed 4-grams of its UTF-8
 bytes (A-Z lower-cased), shares of character classes from one histogram of the
 bytes, and repetition and length of its words.
 
-At most ``fit_rows`` labelled rows are fitted on (those with the smallest hashes
-of their ids), with ``pairs_each`` seeded pairs for each of the rarer class.
+Every labelled row is fitted on. Rows are dealt by the hash of their ids to groups of
+about ``group_rows``, within which each row of the rarer class meets at least
+``pairs_each`` seeded rows of the other, and each row of the other at least one; a
+group of one class alone has no pair. Sums over groups are all that fitting needs of
+them; tables keep features, strengths and ranks.
 
 Defined cases: a null text is an empty one, whose features are all 0 and whose
 score is defined; a text of any length is read whole, in bounded memory; repeated
@@ -30,10 +33,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumentrail.llm.toxicity import fit_logistic
+from lumentrail.llm.common import settle
+
+#: Ids up to this number are broadcast (12 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 _CLASSES = ("!", "|", "$%&*#@^~+=<>{}[]\\/_", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:?", " ", "\n", "\"'()-", "abcdefghijklmnopqrstuvwxyz")
 _TABLE = np.zeros((256, len(_CLASSES) + 1))
@@ -86,32 +94,47 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def preference_pairs(y: np.ndarray, each: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of winners and losers: every row of the rarer class meets ``each`` seeded rows of the other."""
+def preference_pairs(y: np.ndarray, each: int, seed: int | tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of winners and losers: every row of the rarer class meets ``each`` seeded rows of the other or more, so that every row of that is met."""
     rng = np.random.default_rng(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    a, b = np.repeat(few, each), rng.choice(many, len(few) * each)
+    if not len(few):
+        return few, few
+    each = max(each, -(-len(many) // len(few)))
+    n = len(few) * each
+    a, b = np.repeat(few, each), np.concatenate([rng.permutation(many) for _ in range(-(-n // len(many)))])[:n]
     return (b, a) if few is bad else (a, b)
 
 
-def pairwise_logistic(x: np.ndarray, won: np.ndarray, lost: np.ndarray, ridge: float, steps: int = 25, block: int = 8192) -> np.ndarray:
-    """Weights of the Bradley-Terry model by ridge-penalised Newton steps on differences of features, taken a block of pairs at a time."""
-    w = np.zeros(x.shape[1])
+def pair_sums(x: np.ndarray, won: np.ndarray, lost: np.ndarray, w: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and bend of the pairs' logistic loss at ``w``, on differences of features, a block of pairs at a time."""
+    slope, bend = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for at in range(0, len(won), block):
+        d = x[won[at : at + block]] - x[lost[at : at + block]]
+        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # how unlikely the winner still is
+        slope -= d.T @ p
+        bend += (d * (p * (1 - p))[:, None]).T @ d
+    return slope, bend
+
+
+def newton(sums, size: int, penalty: np.ndarray, steps: int, small: float) -> np.ndarray:
+    """Weights by ridge-penalised Newton steps; ``sums(w)`` gives slope and bend of the loss."""
+    w = np.zeros(size)
     for _ in range(steps):
-        slope, bend = ridge * w, ridge * np.eye(len(w))
-        for at in range(0, len(won), block):
-            d = x[won[at : at + block]] - x[lost[at : at + block]]
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # how unlikely the winner still is
-            slope -= d.T @ p
-            bend += (d * (p * (1 - p))[:, None]).T @ d
-        step = np.linalg.solve(bend, slope)
+        slope, bend = sums(w)
+        step = np.linalg.solve(bend + np.diag(penalty), slope + penalty * w)
         w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < small:
             break
     return w
 
 
+def pairwise_logistic(x: np.ndarray, won: np.ndarray, lost: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
+    """Weights of the Bradley-Terry model on some rows at hand."""
+    return newton(lambda w: pair_sums(x, won, lost, w), x.shape[1], np.full(x.shape[1], ridge), steps, 1e-6)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     weights: tuple[float, ...]
@@ -131,37 +154,100 @@ class QualityModel:
         return score(text)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, pairs_each: int = 8, seed: int = 0, cut_score: float = 0.3) -> QualityModel:
-    """A model of the rows of ``docs`` that ``labels`` (``doc_id``, ``quality``) marks."""
-    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # fit_rows ids at most
-    sample = sample.select("text", "quality").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+def _packed(table: pa.Table) -> pa.Table:
+    """A group's rows as two blocks; their order is not the cluster's."""
+    rows = sorted(zip(table.column("x").to_pylist(), table.column("y").to_pylist()))
+    return pa.table({"g": table.column("g")[:1], "x": pa.array([b"".join(x for x, _ in rows)], pa.binary()), "y": pa.array([bytes(y for _, y in rows)], pa.binary())})
+
+
+def _added(table: pa.Table) -> pa.Table:
+    order = np.argsort(table.column("g").to_numpy())
+    total = sum(np.frombuffer(table.column("sums")[int(k)].as_py()) for k in order)
+    return pa.table({"g": table.column("lot")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(groups: DataFrame, count: int, f, lots: int = 16) -> np.ndarray:
+    """The sum over groups, in their order, of what ``f(g, x, y)`` says of each: an array of fixed length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, x, y in zip(*(batch.column(c).to_pylist() for c in ("g", "x", "y"))):
+                own = f(g, np.frombuffer(x, np.float32).reshape(-1, FEATURES), np.frombuffer(y, np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([np.asarray(own, float).tobytes()], pa.binary())], ["g", "sums"])
+
+    told = groups.mapInArrow(run, "g int, sums binary")
+    if count > lots:
+        told = told.withColumn("lot", F.col("g") % lots).groupBy("lot").applyInArrow(_added, "g int, sums binary")
+    return sum(np.frombuffer(r["sums"]) for r in sorted(told.collect(), key=lambda r: r["g"]))  # ``lots`` rows at most
+
 
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def quantile_cut(strengths: DataFrame, n: int, n_bad: int) -> float:
+    """The middle of the widest gap between two ranks of ``s``, within half a percent of the rank ``n_bad``.
+
+    Approximate quantiles tell where those ranks lie; only the rows there are sorted.
+    """
+    slack = max(1, n // 200)
+    first, end = max(0, n_bad - slack), min(n, n_bad + slack)
+    room = 2 + n // 2_000  # the quantiles' error is a fifth of it at most
+    lo, hi = strengths.agg(F.percentile_approx("s", [max(0.0, (first - room) / n), min(1.0, (end + room) / n)], 10_000)).first()[0]
+    below = strengths.where(F.col("s") < lo).count()
+    w = Window.orderBy("s")
+    ranked = strengths.where(F.col("s").between(lo, hi)).select("s", (F.row_number().over(w) - 1 + below).alias("rank"), F.lead("s").over(w).alias("next"))
+    gap = ranked.where((F.col("rank") >= first) & (F.col("rank") < end - 1)).orderBy(F.desc(F.col("next") - F.col("s")), "rank").first()
+    return (gap["s"] + gap["next"]) / 2
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, group_rows: int = 8_192, pairs_each: int = 8, seed: int = 0, cut_score: float = 0.3) -> QualityModel:
+    """A model of the rows of ``docs`` that ``labels`` (``doc_id``, ``quality``) marks: of all of them."""
+    marked = settle(labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")))
+    n = marked.count()
+    count = max(1, -(-n // group_rows))
+    marked = F.broadcast(marked) if n <= BROADCAST_IDS else marked
+    rows = docs.select("doc_id", "text").join(marked, "doc_id").select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("g"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"x": [features(t).tolist() for t in batch["text"]], "y": batch["quality"].to_numpy()})
+            x = [features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(x, pa.binary()), batch.column("y")], ["g", "x", "y"])
 
-    rows = sample.mapInPandas(featured, "x array<double>, y int").toPandas()
-    y = rows["y"].to_numpy(float)
-    if rows["y"].nunique() < 2:
+    groups = settle(rows.mapInArrow(featured, "g int, x binary, y int").groupBy("g").applyInArrow(_packed, "g int, x binary, y binary"))
+    none = np.zeros(2 + 2 * FEATURES)
+    n, n_good, *sums = none + _summed(groups, count, lambda g, x, y: np.concatenate([[len(y), y.sum()], x.sum(0, dtype=float), np.square(x, dtype=float).sum(0)]))
+    if not 0 < n_good < n:
         return QualityModel((0.0,) * FEATURES, 0.0, 1.0, 0.5)
-    x = np.stack(rows["x"].to_numpy())
-    order = np.lexsort([*x.T, y])  # the sample's order is the cluster's; the pairs are not to depend on it
-    x, y = x[order], y[order]
-    scale = x.std(axis=0) + 1e-3
+    mean, squares = np.split(np.array(sums) / n, 2)
+    scale = np.sqrt(np.maximum(0, squares - mean * mean)) + 1e-3
     scale[-BUCKETS:] /= N_GRAM_SHARE
-    won, lost = preference_pairs(y, pairs_each, seed)
-    w = pairwise_logistic((x / scale).astype(np.float32), won, lost, ridge=1.0) / scale
-    strengths = x @ w
-    ranked, n_bad = np.sort(strengths), int((y == 0).sum())
-    # The quantile at the share of bad rows; within half a percent of it, the widest gap between two ranks.
-    slack = max(1, len(ranked) // 200)
-    first = max(0, n_bad - slack)
-    gap = first + int(np.argmax(np.diff(ranked[first : min(len(ranked), n_bad + slack)])))
-    cut = float((ranked[gap] + ranked[gap + 1]) / 2)
-    spread = float(strengths.std()) + 1e-9
-    slope = max(1e-3, float(fit_logistic(((strengths - cut) / spread)[:, None], y, ridge=1.0)[0]) / spread)
+
+    def of_pairs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def told(g: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            slope, bend = pair_sums((x / scale).astype(np.float32), *preference_pairs(y, pairs_each, (seed, g)), w)
+            return np.concatenate([slope, bend.ravel()])
+
+        got = _summed(groups, count, told)
+        return got[:FEATURES], got[FEATURES:].reshape(FEATURES, FEATURES)
+
+    w = newton(of_pairs, FEATURES, np.ones(FEATURES), 25, 1e-6) / scale
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("x").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.float32).reshape(-1, FEATURES) @ w)], ["s"])
+
+    cut = quantile_cut(settle(groups.mapInArrow(strengths, "s double")), int(n), int(n - n_good))
+    total, square = _summed(groups, count, lambda g, x, y: [(x @ w - cut).sum(), np.square(x @ w - cut).sum()]) / n
+    spread = math.sqrt(max(0.0, square - total * total)) + 1e-9
+
+    def of_rows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def told(g: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = np.stack([(x @ w - cut) / spread, np.ones(len(x))], 1)
+            p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
+            return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+        got = _summed(groups, count, told)
+        return got[:2], got[2:].reshape(2, 2)
+
+    slope = max(1e-3, float(newton(of_rows, 2, np.array([1.0, 1e-6]), 50, 1e-8)[0]) / spread)
     return QualityModel(tuple(map(float, w)), cut, slope, cut_score)
 
 

@@ -763,3 +763,23 @@ def test_a_word_and_a_stem_of_the_same_letters():
     for order in (1, -1):
         trie = toxicity.FuzzyTrie([toxicity.Term("idiot", True, 3.0), toxicity.Term("idiot", False, 2.0)][::order])
         assert [trie.match(w) and trie.match(w)[1] for w in ("idiot", "idiotic", "idxot", "idxotic")] == [0, 0, 1, None]
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    """A sign that only a few of 20,200 labelled rows carry, whatever the hashes of their ids, and the cut from all strengths."""
+    from lumentrail.llm import quality
+
+    rng = np.random.default_rng(4)
+    df = spark.range(20_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words of row "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, " !!!! !!!!").otherwise("")).alias("text"))
+    last = {r.doc_id for r in df.select("doc_id").orderBy(F.xxhash64("doc_id").desc(), F.desc("doc_id")).limit(200).collect()}  # those beyond the smallest hashes of 20,000
+    docs = df.withColumn("text", F.when(F.col("doc_id").isin(*last), F.lit("$$$$ %%%% $$$$ %%%%")).otherwise(F.col("text")))
+    labels = docs.select("doc_id", F.when(F.col("doc_id").isin(*last), 0).otherwise((F.col("doc_id") % 2).cast("int")).alias("quality"))
+    model = quality.fit_quality(docs, labels, group_rows=4_000)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert all((s >= 0.3) == (i % 2 == 1 and i not in last) for i, s in got.items())
+    values = rng.standard_normal(1_000).round(3)
+    ranked = np.sort(values)
+    for n_bad in (1, 300, 999):
+        lo = max(0, n_bad - 5)
+        at = lo + int(np.argmax(np.diff(ranked[lo : min(1_000, n_bad + 5)])))
+        assert quality.quantile_cut(spark.createDataFrame([(float(v),) for v in values], "s double"), 1_000, n_bad) == (ranked[at] + ranked[at + 1]) / 2
