@@ -9,6 +9,11 @@ that it found, not the texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from lumentrail.operators.lineage import settle
 
 #: Ids of a postings row at most, and words found up to which their names go to the scan as a filter.
 BLOCK, NAMED = 8_192, 1_000
+#: Tasks that write a bucket's postings.
+PARTS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -23,15 +30,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+")), "")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of up to ``BLOCK`` texts at a time, each with the ids of its texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(at, BLOCK)
+            words = pc.list_flatten(batch.column("words")).dictionary_encode()
+            codes, rows = words.indices.to_numpy(), pc.list_parent_indices(batch.column("words")).to_numpy()
+            turn = np.empty(batch.num_rows, np.int64)
+            turn[pc.array_sort_indices(batch.column("key")).to_numpy()] = np.arange(batch.num_rows)
+            order = np.lexsort((turn[rows], codes))
+            codes = codes[order]
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), batch.column("key").take(pa.array(rows[order])))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(codes[starts])), ids], ["word", "ids"])
+
+
 def write_index(texts: DataFrame, path: str, *, key: str = "media_id", text: str = "text", buckets: int = 64) -> None:
-    """Writes the index of ``texts`` to ``path``. Ids of a word are spread over rows by their hash, so that no row or task holds those of a common word."""
-    held = texts.select(key, F.explode(words_of(F.col(text))).alias("word")).distinct()
-    held = settle(held.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")))
-    sizes = held.groupBy("bucket", "word").agg(F.count("*").alias("n"))
+    """Writes the index of ``texts`` to ``path``. Postings are made where the texts are read, so that a word and its ids travel together, and a common word has a row for each ``BLOCK`` of texts."""
+    spark, bucket = texts.sparkSession, F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+    held = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    made = held.mapInArrow(_postings, f"word string, ids array<{texts.schema[key].dataType.simpleString()}>")
+    part = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(PARTS))
+    made = made.select(bucket.alias("bucket"), "word", F.array_distinct("ids").alias("ids"))
+    made.repartition("bucket", part).sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    sizes = spark.read.parquet(f"{path}/postings").groupBy("bucket", "word").agg(F.sum(F.size("ids")).alias("n"))
     sizes.repartition("bucket").sortWithinPartitions("word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
-    lots = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / BLOCK))
-    blocks = held.join(sizes, ["bucket", "word"]).groupBy("bucket", "word", lots.alias("block")).agg(F.sort_array(F.collect_list(key)).alias("ids"))
-    blocks.repartition("bucket").sortWithinPartitions("word", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def found_postings(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
