@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumentrail.operators.lineage import spread
+
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, *, forward: bool = False, equal: bool = True, span: int = 3_600_000) -> DataFrame:
     """``left`` with ``s``: the row of ``right`` (its columns beside ``by``, as a struct) that is last by ``right_at`` up to ``at``.
@@ -24,7 +26,7 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at
     mark = lambda c: F.col(c) * sign
     own = left.select(*by, mark(at).alias("__t"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("__right"))
     other = right.select(*by, mark(right_at).alias("__t"), F.lit(None).cast(own.schema["__left"].dataType).alias("__left"), held.alias("__right"))
-    both = own.unionAll(other).withColumn("__span", F.floor(F.col("__t") / span))
+    both = spread(own.unionAll(other).withColumn("__span", F.floor(F.col("__t") / span)), *by, "__span")
     # At one time the rows of right come first if they count, else last.
     turn = F.col("__left").isNotNull() if equal else F.col("__left").isNull()
     near = F.last("__right", ignorenulls=True).over(Window.partitionBy(*by, "__span").orderBy("__t", turn).rowsBetween(Window.unboundedPreceding, 0))
@@ -38,7 +40,7 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at
 
 def max_before(df: DataFrame, by: Sequence[str], at: str, value: str, *, span: int = 3_600_000) -> DataFrame:
     """``df`` with ``before``: the largest ``value`` of the rows before each by ``at``, then ``value``; null for the first. In stretches, as ``asof``."""
-    by, rows = list(by), df.withColumn("__span", F.floor(F.col(at) / span))
+    by, rows = list(by), spread(df.withColumn("__span", F.floor(F.col(at) / span)), *by, "__span")
     local = F.max(value).over(Window.partitionBy(*by, "__span").orderBy(at, value).rowsBetween(Window.unboundedPreceding, -1))
     ends = rows.groupBy(*by, "__span").agg(F.max(value).alias("__end"))
     start = F.max("__end").over(Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new path under the shared folder, for a table that a job writes and reads again."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+#: Rows of a task, about, beyond which tables are dealt to more tasks than the session's shuffle partitions.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as the rows of the files it reads ask for, so that a task's share doesn't grow with the input.
+
+    As it is where the session's shuffle partitions are enough, or where it reads no Parquet files.
+    """
+    spark, files = df.sparkSession, [unquote(f) for f in df.inputFiles()]
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return df
+    tasks = -(-spark.read.parquet(*files).count() // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df

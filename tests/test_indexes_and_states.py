@@ -310,3 +310,35 @@ def test_close_events_of_all_owners_are_counted(spark):
     from lumentrail.plans.catalog import graph_event_times
 
     assert [tuple(r) for r in graph_event_times(moments).collect()] == [("events_close_in_time", 2, 2.0)]  # two owners' events, both ways
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    from lumentrail.operators import lineage
+
+    spark.range(1_000).write.parquet(f"{tmp_path}/a b.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/a b.parquet")
+    assert lineage.spread(rows, "id") is rows
+    monkeypatch.setattr(lineage, "TASK_ROWS", 50)
+    assert lineage.spread(rows, "id").rdd.getNumPartitions() == 20
+
+
+def test_edges_of_one_source_are_written_by_several_tasks(spark, tmp_path):
+    from lumentrail.operators import graph
+
+    links = graph.edges(spark.range(20_000), "seen", F.lit("all"), F.col("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = graph.stored(graph.entities(spark.range(5), "media", F.col("id"), F.col("id")), links, str(tmp_path))[1]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert links.count() == 20_000 and len(links.inputFiles()) > 1
+
+
+def test_index_rows_hold_blocks_of_texts(spark, tmp_path, monkeypatch):
+    """A word's ids come from blocks of texts as they are read; a repeated id counts once, a null one not at all."""
+    texts = spark.createDataFrame([(i % 90 if i < 99 else None, "common word") for i in range(100)], "media_id long, text string").coalesce(1)
+    textindex.write_index(texts, str(tmp_path), buckets=2)
+    rows = spark.read.parquet(f"{tmp_path}/postings").collect()
+    assert sorted((r.word, sorted(r.ids)) for r in rows) == [(w, list(range(90))) for w in ("common", "word")]
+    assert {r.word: r.n for r in spark.read.parquet(f"{tmp_path}/words").collect()} == {"common": 90, "word": 90}
+    assert "block" not in spark.read.parquet(f"{tmp_path}/postings").columns
