@@ -47,17 +47,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-#: Rows of a task, about, beyond which tables are dealt to more tasks than the session's shuffle partitions.
+#: Rows of a task, about, beyond which tables are dealt to tasks by their rows.
 TASK_ROWS = 500_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` to as many tasks as the rows of the files it reads ask for, so that a task's share doesn't grow with the input.
+def tasks(*tables: DataFrame) -> int:
+    """Tasks among which to deal tables, by the rows of the files that the largest reads; 0 where one task is enough or one reads no Parquet files."""
+    rows = []
+    for df in tables:
+        files = [unquote(f) for f in df.inputFiles()]
+        if not files or not all(f.endswith(".parquet") for f in files):
+            return 0
+        rows.append(df.sparkSession.read.parquet(*files).count())
+    n = -(-max(rows) // TASK_ROWS)
+    return max(n, tables[0].sparkSession.sparkContext.defaultParallelism) if n > 1 else 0
 
-    As it is where the session's shuffle partitions are enough, or where it reads no Parquet files.
+
+def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` to ``n`` tasks, if not given to as many as ``tasks`` finds, so that a task's share doesn't grow with the input.
+
+    The number is given to Spark in every case but 0: what a shuffle of the session's own makes of its
+    partitions depends on their compressed bytes, of which short rows need very few.
     """
-    spark, files = df.sparkSession, [unquote(f) for f in df.inputFiles()]
-    if not files or not all(f.endswith(".parquet") for f in files):
-        return df
-    tasks = -(-spark.read.parquet(*files).count() // TASK_ROWS)
-    return df.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    n = tasks(df) if n is None else n
+    return df.repartition(n, *keys) if n else df

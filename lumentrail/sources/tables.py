@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumentrail.operators.lineage import spread
+from lumentrail.operators.lineage import spread, tasks
 
 #: Tables of the catalog as DDL.
 SCHEMAS: dict[str, str] = {
@@ -82,7 +82,8 @@ def scan_diff(source: DataFrame, index: DataFrame) -> DataFrame:
 
 def reconcile(catalog: DataFrame, device: DataFrame) -> DataFrame:
     """``media_id, state``: orphaned (in the catalog alone) or missing (on the device alone)."""
-    catalog, device = (spread(t.select("media_id"), "media_id") for t in (catalog, device))
+    n = tasks(catalog, device)
+    catalog, device = (spread(t.select("media_id"), "media_id", n=n) for t in (catalog, device))
     lost = catalog.select("media_id").distinct().join(device.select("media_id"), "media_id", "left_anti").select("media_id", F.lit("orphaned").alias("state"))
     new = device.select("media_id").distinct().join(catalog.select("media_id"), "media_id", "left_anti").select("media_id", F.lit("missing").alias("state"))
     return lost.unionByName(new)

@@ -342,3 +342,35 @@ def test_index_rows_hold_blocks_of_texts(spark, tmp_path, monkeypatch):
     assert sorted((r.word, sorted(r.ids)) for r in rows) == [(w, list(range(90))) for w in ("common", "word")]
     assert {r.word: r.n for r in spark.read.parquet(f"{tmp_path}/words").collect()} == {"common": 90, "word": 90}
     assert "block" not in spark.read.parquet(f"{tmp_path}/postings").columns
+
+
+def _all_dealt_by_rows(df) -> bool:
+    """Whether every shuffle of a plan has a number of tasks of its own, whatever the session's partitions."""
+    shuffles = [line for line in _plan(df).split("== Physical")[1].split("\n") if "Exchange hashpartitioning" in line]
+    return bool(shuffles) and all("REPARTITION_BY_NUM" in line for line in shuffles)
+
+
+@pytest.fixture
+def few_rows_a_task(spark, monkeypatch):
+    """Tables of more than 100 rows are dealt; no side is broadcast."""
+    from lumentrail.operators import lineage
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_of_few_tasks_are_dealt_by_rows_too(spark, tmp_path, few_rows_a_task):
+    """Also where the session has more shuffle partitions than the table asks for: Spark would join those by their bytes."""
+    from lumentrail.operators import lineage
+    from lumentrail.sources import tables
+
+    media, tags = spark.range(150).select(F.col("id").alias("media_id")), spark.range(700).select((F.col("id") % 140 + 20).alias("media_id"))
+    for name, df in (("media", media), ("tags", tags)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    media, tags = spark.read.parquet(f"{tmp_path}/media"), spark.read.parquet(f"{tmp_path}/tags")
+    assert lineage.spread(media, "media_id") is not media
+    found = tables.reconcile(media, tags)
+    assert _all_dealt_by_rows(found)
+    assert {tuple(r) for r in found.collect()} == {(i, "orphaned") for i in range(20)} | {(i, "missing") for i in range(150, 160)}
