@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lumentrail.functions.time import clock
 from lumentrail.functions.vector import cosine_distance
 from lumentrail.operators.asof import asof, max_before
+from lumentrail.operators.lineage import spread, tasks
 
 
 def fixed_segments(videos: DataFrame) -> DataFrame:
@@ -98,15 +99,33 @@ def in_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return met.where("s.start_ms <= ts_ms").select("video_id", "ts_ms", "s.start_ms", "s.end_ms")
 
 
-def nearest_segment(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each frame with the segment whose start is nearest, ties to the earlier: the last that starts up to it, or the first after it."""
-    first = segments.groupBy("video_id", "start_ms").agg(F.min("end_ms").alias("end_ms"))
-    both = asof(frames.select("video_id", "ts_ms").distinct(), first, ["video_id"], "ts_ms", "start_ms").withColumnRenamed("s", "before")
-    both = asof(both, first, ["video_id"], "ts_ms", "start_ms", forward=True, equal=False).withColumnRenamed("s", "after")
+def nearest_segment(frames: DataFrame, segments: DataFrame, *, span_ms: int = 3_600_000) -> DataFrame:
+    """Each frame with the segment whose start is nearest, ties to the earlier: the last that starts up to it, or the first after it.
+
+    As in ``asof``, both are put together and sorted within stretches of ``span_ms``, and what lies before and behind
+    a stretch comes from windows over one row a stretch. Both ways are one shuffle; frames and segments may repeat.
+    """
+    keys, start = ["video_id", "__span"], F.when(~F.col("__frame"), F.col("__t"))
+    marks = frames.select("video_id", F.col("ts_ms").alias("__t"), F.lit(True).alias("__frame"), F.lit(None).cast(segments.schema["end_ms"].dataType).alias("end_ms"))
+    marks = marks.unionAll(segments.select("video_id", F.col("start_ms").alias("__t"), F.lit(False).alias("__frame"), "end_ms")).where("video_id is not null and __t is not null")
+    n = 2 * tasks(marks)  # a row is a frame and a segment
+    rows = spread(marks.withColumn("__span", F.floor(F.col("__t") / span_ms)), *keys, n=n).groupBy(*keys, "__t", "__frame").agg(F.min("end_ms").alias("end_ms"))
+
+    # At one time a segment comes before a frame, and the other way round from behind.
+    upto, back = [F.col("__t"), F.col("__frame")], [F.desc("__t"), F.desc("__frame")]
+    last = lambda c, by, order, upper: F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper))
+    segment = F.when(start.isNotNull(), F.struct(F.col("__t").alias("start_ms"), "end_ms"))
+    local = rows.withColumn("__up", last(segment, keys, upto, 0)).withColumn("__down", last(segment, keys, back, 0)).where("__frame")
+
+    ends = rows.groupBy(*keys).agg(F.max(start).alias("__l"), F.max_by("end_ms", start).alias("__le"), F.min(start).alias("__f"), F.min_by("end_ms", start).alias("__fe"))
+    end = lambda t, e: F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("start_ms"), F.col(e).alias("end_ms")))
+    beside = spread(ends, "video_id", n=n).select(*keys, last(end("__l", "__le"), ["video_id"], [F.col("__span")], -1).alias("__prior"), last(end("__f", "__fe"), ["video_id"], [F.desc("__span")], -1).alias("__next"))
+
+    met = local.join(spread(beside, *keys, n=n), keys).select("video_id", F.col("__t").alias("ts_ms"), F.coalesce("__up", "__prior").alias("before"), F.coalesce("__down", "__next").alias("after"))
     off = lambda c: F.abs(F.col(f"{c}.start_ms") - F.col("ts_ms"))
     best = F.when(F.col("after").isNull() | (off("before") <= off("after")), F.col("before")).otherwise(F.col("after"))
-    found = both.withColumn("s", best).where("s is not null")
-    return found.select("video_id", "ts_ms", "s.start_ms", "s.end_ms", off("s").alias("off"))
+    found = met.withColumn("s", best).where("s is not null")
+    return found.select("video_id", F.col("ts_ms").cast(frames.schema["ts_ms"].dataType).alias("ts_ms"), F.col("s.start_ms").cast(segments.schema["start_ms"].dataType).alias("start_ms"), "s.end_ms", off("s").alias("off"))
 
 
 def overlaps(scenes_: DataFrame, segments: DataFrame, *, span_ms: int = 60_000) -> DataFrame:

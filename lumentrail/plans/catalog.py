@@ -693,7 +693,7 @@ def key_moments(segments):
 
 
 def _frames(segments: DataFrame) -> DataFrame:
-    return segments.select("video_id", (F.col("start_ms") + 1500).alias("ts_ms")).distinct()
+    return segments.select("video_id", (F.col("start_ms") + 1500).alias("ts_ms"))
 
 
 FRAMES_SQL = "WITH f AS (SELECT DISTINCT video_id, start_ms + 1500 AS ts_ms FROM segments), s AS (SELECT DISTINCT video_id, start_ms, end_ms FROM segments)"
@@ -706,7 +706,7 @@ def frames_in_segments(segments):
 
 @query("segments", sql=FRAMES_SQL + " SELECT video_id, ts_ms, start_ms, end_ms, off FROM (SELECT *, abs(start_ms - ts_ms) AS off, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY abs(start_ms - ts_ms), start_ms, end_ms) AS pos FROM f JOIN s USING (video_id)) WHERE pos = 1")
 def frames_to_nearest_segment(segments):
-    return video.nearest_segment(_frames(segments), segments.select("video_id", "start_ms", "end_ms").distinct())
+    return video.nearest_segment(_frames(segments), segments.select("video_id", "start_ms", "end_ms"))
 
 
 @query("segments", sql="WITH c AS (SELECT DISTINCT video_id, start_ms - 2000 AS start_ms, start_ms + 3000 AS end_ms FROM segments) SELECT c.video_id, c.start_ms, c.end_ms, array_to_string(list_sort(list_distinct(list(s.label))), ',') AS labels FROM c JOIN segments s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms GROUP BY 1, 2, 3")

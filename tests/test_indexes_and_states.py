@@ -391,3 +391,20 @@ def test_pairs_of_people_are_counted_where_they_are_dealt(spark, tmp_path, few_r
     want = Counter(pair for p in people.values() for pair in combinations(p, 2))
     assert {tuple(r) for r in found.collect()} == {("people_co_occurs", str(a), str(b), 1.0, float(n)) for (a, b), n in want.items()}
     assert dict(found.dtypes) == {"relation": "string", "source": "string", "target": "string", "confidence": "double", "weight": "double"}
+
+
+@pytest.mark.parametrize("span", [7, 1000])
+def test_nearest_segments_of_tables_dealt_by_rows(spark, tmp_path, few_rows_a_task, span):
+    """Frames and segments that repeat, lie in several stretches, or have no video, time or end."""
+    rnd = random.Random(span)
+    segments = [(rnd.choice([None, 0, 1, 2]), a if (a := rnd.randrange(-20, 100)) % 9 else None, a + rnd.randrange(9)) for _ in range(150)] + [(5, 3, None), (5, 40, None), (5, 40, 47)]
+    frames = [(rnd.choice([None, 0, 1, 2, 3]), t if (t := rnd.randrange(-30, 130)) % 11 else None) for _ in range(400)] + [(5, 3), (5, 30), (5, 22)]
+    spark.createDataFrame(segments, "video_id long, start_ms int, end_ms long").write.parquet(str(tmp_path / "segments"))
+    spark.createDataFrame(frames, "video_id long, ts_ms long").write.parquet(str(tmp_path / "frames"))
+    found = video.nearest_segment(spark.read.parquet(str(tmp_path / "frames")), spark.read.parquet(str(tmp_path / "segments")), span_ms=span)
+    assert _all_dealt_by_rows(found)
+    assert dict(found.dtypes) == {"video_id": "bigint", "ts_ms": "bigint", "start_ms": "int", "end_ms": "bigint", "off": "bigint"}
+    near = lambda v, t: [(abs(a - t), a, float("inf") if b is None else b) for w, a, b in segments if w == v and a is not None]
+    want = {(v, t): min(x) for v, t in frames if v is not None and t is not None and (x := near(v, t))}
+    got = [(r.video_id, r.ts_ms, (r.off, r.start_ms, float("inf") if r.end_ms is None else r.end_ms)) for r in found.collect()]
+    assert len(got) == len(want) and {(v, t): s for v, t, s in got} == want
