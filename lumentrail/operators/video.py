@@ -95,7 +95,7 @@ def in_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """
     later = max_before(segments.select("video_id", "start_ms", "end_ms"), ["video_id"], "start_ms", "end_ms")
     records = later.where("start_ms < end_ms and (before is null or end_ms > before)").drop("before")
-    met = asof(frames.select("video_id", "ts_ms").distinct(), records, ["video_id"], "ts_ms", "end_ms", forward=True, equal=False)
+    met = asof(spread(frames.select("video_id", "ts_ms"), "video_id", "ts_ms").distinct(), records, ["video_id"], "ts_ms", "end_ms", forward=True, equal=False)
     return met.where("s.start_ms <= ts_ms").select("video_id", "ts_ms", "s.start_ms", "s.end_ms")
 
 

@@ -701,7 +701,7 @@ FRAMES_SQL = "WITH f AS (SELECT DISTINCT video_id, start_ms + 1500 AS ts_ms FROM
 
 @query("segments", sql=FRAMES_SQL + " SELECT video_id, ts_ms, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY start_ms, end_ms) AS pos FROM f JOIN s USING (video_id) WHERE ts_ms >= start_ms AND ts_ms < end_ms) WHERE pos = 1")
 def frames_in_segments(segments):
-    return video.in_segments(_frames(segments), segments.select("video_id", "start_ms", "end_ms").distinct())
+    return video.in_segments(_frames(segments), segments.select("video_id", "start_ms", "end_ms"))
 
 
 @query("segments", sql=FRAMES_SQL + " SELECT video_id, ts_ms, start_ms, end_ms, off FROM (SELECT *, abs(start_ms - ts_ms) AS off, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY abs(start_ms - ts_ms), start_ms, end_ms) AS pos FROM f JOIN s USING (video_id)) WHERE pos = 1")

@@ -408,3 +408,16 @@ def test_nearest_segments_of_tables_dealt_by_rows(spark, tmp_path, few_rows_a_ta
     want = {(v, t): min(x) for v, t in frames if v is not None and t is not None and (x := near(v, t))}
     got = [(r.video_id, r.ts_ms, (r.off, r.start_ms, float("inf") if r.end_ms is None else r.end_ms)) for r in found.collect()]
     assert len(got) == len(want) and {(v, t): s for v, t, s in got} == want
+
+
+def test_frames_in_segments_of_tables_dealt_by_rows(spark, tmp_path, few_rows_a_task):
+    rnd = random.Random(5)
+    segments = [(rnd.choice([None, 0, 1, 2]), a, a + rnd.randrange(-2, 9)) for _ in range(120) for a in [rnd.randrange(-20, 100)]] * 2
+    frames = [(rnd.choice([None, 0, 1, 2, 3]), rnd.randrange(-30, 130)) for _ in range(400)]
+    spark.createDataFrame(segments, "video_id long, start_ms long, end_ms long").write.parquet(str(tmp_path / "segments"))
+    spark.createDataFrame(frames, "video_id long, ts_ms long").write.parquet(str(tmp_path / "frames"))
+    found = video.in_segments(spark.read.parquet(str(tmp_path / "frames")), spark.read.parquet(str(tmp_path / "segments")))
+    assert _all_dealt_by_rows(found)
+    want = {(v, t): min(x) for v, t in frames if (x := [(a, b) for w, a, b in segments if w == v and v is not None and a <= t < b])}
+    got = [(r.video_id, r.ts_ms, (r.start_ms, r.end_ms)) for r in found.collect()]
+    assert len(got) == len(want) and {(v, t): s for v, t, s in got} == want
