@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,22 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """What a table shuffles that is written meanwhile is deleted with the end of its job, not with the driver's next collection of garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once into the session's shared checkpoint folder.
 
     A session of one machine that names none gets a folder of its own; on a
     cluster, where executors can't read each other's disks, that is an error.
-    What ``df`` shuffled is deleted with the end of the job, not with the driver's
-    next collection of garbage: nothing reads it again.
+    What ``df`` shuffled is deleted with the end of the job: nothing reads it again.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with unshuffled(spark):
         return df.select("*").checkpoint(eager=True)  # a plan of its own is made with the setting
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +55,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, path: str) -> bool:
+    """Deletes a table that a job is done with; whether there was one."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 #: Rows of a task, about, beyond which tables are dealt to tasks by their rows.
 TASK_ROWS = 500_000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumentrail.functions.tables import register
 from lumentrail.operators import clusters, filters, graph, retrieval, stats, timeline
-from lumentrail.operators.lineage import scratch, settle
+from lumentrail.operators.lineage import scratch
 from lumentrail.plans.catalog import EVENTS_SQL, NOW, ORACLES, QUERIES, query
 from lumentrail.sources import merging, spatial, tables, textindex
 from lumentrail.streaming import jobs
@@ -131,7 +131,7 @@ def _whole_graph(media: DataFrame, faces: DataFrame, people: DataFrame, tags: Da
     """The whole graph of the catalog, stored; an event is one of a person's."""
     found = timeline.events(media.withColumnRenamed("person_id", "owner"))
     events = found.select("media_id", F.concat_ws(":", F.col("owner").cast("string"), F.col("event").cast("string")).alias("event"), "owner", "created")
-    return graph.stored(*graph.whole(media, faces, people, tags, settle(events)), scratch(media.sparkSession))
+    return graph.stored_whole(media, faces, people, tags, events, scratch(media.sparkSession))
 
 
 @query("media", "faces", "people", "tags", sql=GRAPH_SQL)

@@ -1,6 +1,7 @@
 """As-of joins, stored indexes, new faces, mergeable states, sub-themes and table functions against brute force."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -421,3 +422,70 @@ def test_frames_in_segments_of_tables_dealt_by_rows(spark, tmp_path, few_rows_a_
     want = {(v, t): min(x) for v, t in frames if (x := [(a, b) for w, a, b in segments if w == v and v is not None and a <= t < b])}
     got = [(r.video_id, r.ts_ms, (r.start_ms, r.end_ms)) for r in found.collect()]
     assert len(got) == len(want) and {(v, t): s for v, t, s in got} == want
+
+
+def _shuffle_files(spark):
+    from pathlib import Path
+
+    dirs = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return {f for d in dirs for f in d.rglob("shuffle_*.data")}
+
+
+def _left(spark, before):
+    """Shuffle files that are still there after a moment: they are deleted in the background."""
+    from time import sleep
+
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        sleep(0.1)
+    return left
+
+
+def _odd_catalog(spark, folder):
+    """Tables with null ids, confidences and positions, repeated rows, an item in two events, people who are no nodes."""
+    rnd = random.Random(6)
+    some = lambda *xs: rnd.choice([None, *xs])
+    media = [(some(*range(80)), some("a", "b"), some(1.0, 2.0, 2.001), some(5.0, 7.5)) for _ in range(150)] + [(None, "c", 9.0, 9.0)]
+    faces = [(some(*range(90)), some(*range(4, 16)), some(0.25, 0.5, 1.0)) for _ in range(500)]
+    tags = [(some(*range(80)), some("x", "y", "z"), some(0.5, 0.75)) for _ in range(200)]
+    events = [(some(*range(80)), f"{o}:{e}", o, datetime(2020, 1, 1 + e % 5, rnd.randrange(24))) for _ in range(90) for o, e in [(rnd.randrange(3), rnd.randrange(9))]]
+    tables = {
+        "media": (media, "media_id long, album string, lat double, lng double"), "faces": (faces, "media_id long, person_id int, confidence double"),
+        "people": ([(i, f"p{i}") for i in range(9)], "person_id int, name string"), "tags": (tags, "media_id long, label string, confidence double"),
+        "events": (events, "media_id long, event string, owner long, created timestamp_ntz"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}")
+    return [spark.read.parquet(f"{folder}/{name}") for name in tables]
+
+
+@pytest.mark.parametrize("task_rows", [40, 500_000])
+def test_whole_graph_is_stored_relation_by_relation(spark, tmp_path, monkeypatch, task_rows):
+    """Every node and edge of the graph, while no relation finds shuffle files of those before it, and no part is left."""
+    from pathlib import Path
+
+    from lumentrail.operators import graph, lineage
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", task_rows)
+    catalog = _odd_catalog(spark, tmp_path)
+    before, left, written, parts = _shuffle_files(spark), [], graph._written, str(tmp_path / "parts")
+    monkeypatch.setattr(graph, "scratch", lambda _: parts)
+    monkeypatch.setattr(graph, "_written", lambda *args: left.append(len(_left(spark, before))) or written(*args))
+    nodes, links = graph.stored_whole(*catalog, str(tmp_path / "graph"))
+    assert left == [0] * 23 and not _left(spark, before) and not Path(parts).exists()
+    want_nodes, want_links = graph.whole(*catalog)
+    rows = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    assert rows(nodes, "type", "external_id", "name") == rows(want_nodes, "type", "external_id", "name")
+    edge = ["relation", "source", "target", "confidence", "weight"]
+    assert rows(links, *edge) == rows(want_links, *edge)
+    assert links.select("relation").distinct().count() == 21 and dict(links.dtypes) == dict(want_links.dtypes)
+
+
+def test_graph_queries_leave_no_shuffle_files(spark, sf):
+    from lumentrail.plans import incremental
+
+    for name in ("graph_whole", "graph_lookups_stored"):
+        before = _shuffle_files(spark)
+        incremental.QUERIES[name](spark, sf)
+        assert not _left(spark, before), name
